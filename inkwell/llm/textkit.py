@@ -51,6 +51,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[heads(x)]
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and for each text the number of its first word (one entry more than texts)."""
     inside = np.empty(len(data) + 1, dtype=bool)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common, textkit
 
 ORDERS = (4, 5, 6)
-BITS = 22
+BITS = 20
 SHARD_BYTES = 2 << 20
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -68,7 +68,7 @@ def occurring(texts: pa.Array, orders: tuple[int, ...], bits: int, slots: np.nda
         owner = np.searchsorted(offsets, at, side="right") - 1
         whole = at + order <= offsets[owner + 1]
         found.append((owner[whole] << 32) | value[whole].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    pairs = textkit.distinct(np.concatenate(found))
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
@@ -79,15 +79,15 @@ def fit(
     label: str = "toxic",
     max_labelled: int = 20_000,
     max_features: int = 30_000,
-    min_z: float = 3.0,
+    min_z: float = 4.5,
     alpha: float = 1.0,
     ridge: float = 1e-4,
-    steps: int = 300,
+    steps: int = 120,
 ) -> Model:
     """Fit on labelled rows; `labelled` has at most max_labelled rows (see sample()). No rows: every score is 0.5."""
     spark = labelled.sparkSession
     common.small_batches(spark)
-    rows = common.written(labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).filter("y is not null").repartition(max(2, spark.sparkContext.defaultParallelism)), "toxic-sample")
+    rows = common.written(labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).filter("y is not null").repartition(6), "toxic-sample")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     empty = Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0 if n0 == n1 else float(np.log((n1 + 1) / (n0 + 1))))
@@ -96,13 +96,13 @@ def fit(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << BITS
-        counts = np.zeros((2, size), dtype=np.int32)
+        counts = np.zeros((2, size), dtype=np.int64)
         seen = False
         for batch in common.gathered(batches, 0, SHARD_BYTES):
             y = np.asarray(batch.column(1)) > 0
             owner, feature = occurring(batch.column(0), ORDERS, BITS)
             for c in (0, 1):
-                counts[c] += np.bincount(feature[y[owner] == bool(c)], minlength=size).astype(np.int32)
+                counts[c] += np.bincount(feature[y[owner] == bool(c)], minlength=size)
             seen = True
         if seen:
             f = np.flatnonzero(counts.sum(axis=0) >= 2)
@@ -155,7 +155,7 @@ def _regression(row: np.ndarray, column: np.ndarray, ratios: np.ndarray, y: np.n
         slope_b = float(miss.mean())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         b1, b2 = 0.9 * b1 + 0.1 * slope_b, 0.999 * b2 + 0.001 * slope_b**2
-        rate = 0.05 * (1 - t / (steps + 1))
+        rate = 0.1 * (1 - t / (steps + 1))
         factor -= rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         bias -= rate * b1 / (1 - 0.9**t) / (np.sqrt(b2 / (1 - 0.999**t)) + 1e-8)
     return factor, float(bias)
