@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that Spark puts into one Arrow batch; a batch is held by one worker as a whole.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:

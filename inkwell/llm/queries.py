@@ -12,6 +12,73 @@ from inkwell.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.license import scanned
+
+    found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("licences", lambda x: F.struct(x["probability"].alias("p"), x["family"].alias("family"))))
+    return found.select(
+        "doc_id", "n_paragraphs", "candidates", F.size("licences").cast("bigint").alias("n_licences"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"),
+        F.coalesce(best["family"], F.lit("unknown")).alias("family"), F.round(best["p"], 6).alias("probability"),
+        F.array_join(F.transform("licences", lambda x: x["line"].cast("string")), ",").alias("lines"),
+    )
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm import decontam
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.matched(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["n_words"])), F.lit(0)).cast("bigint").alias("longest_match"),
+    )
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm import chat, common
+
+    said = "\\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    output = common.written(chat.formatted(turns.unionByName(more)), "chat")
+    return chat.digests(output)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm import common, warc
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = common.new_folder(spark, "warc")
+    manifest = warc.write_archives(warc.with_revisits(pages), folder)
+    read = warc.records(warc.read_archives(spark, manifest, data=False))
+    found = common.written(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    common.delete(spark, folder)
+    return found
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.filter(~lm.held_out()))
+    return lm.scored(docs, model).select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.dedup import decisions
 
@@ -52,7 +119,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
+    "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
+    "op3_chat_format": op3_chat_format,
+    "op4_warc": op4_warc,
+    "op5_mixing": op5_mixing,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
