@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from inkwell.plans import retrieval_queries  # noqa: F401
+    from inkwell.plans import retrieval_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
