@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- fixed values: budgets in bytes ----
 HARD_LIMIT = 512 << 20
@@ -41,7 +42,7 @@ def greedy_fill(items: DataFrame, size: str, order: str, budgets: Sequence[int],
             found.append(shard)
         return rows.assign(shard=found)
 
-    schema = items.schema.add("shard", "bigint")
+    schema = T.StructType([*items.schema.fields, T.StructField("shard", T.LongType())])
     return items.groupBy(group).applyInPandas(fill, schema)
 
 
@@ -90,7 +91,7 @@ def within_quota(counts: DataFrame, caps: Mapping[str, float], limits: DataFrame
 
 def rolling_count(events: DataFrame, user: str, at: str, seconds: int = 86_400) -> DataFrame:
     """Events of the user in the window that ends with each event, itself included."""
-    frame = Window.partitionBy(user).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
+    frame = Window.partitionBy(user).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(frame))
 
 

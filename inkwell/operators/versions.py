@@ -67,10 +67,10 @@ def intervals(rows: DataFrame, key: str, start: str) -> DataFrame:
 
 def reused_embeddings(old: DataFrame, new: DataFrame) -> DataFrame:
     """New chunks with the embedding of an old one of equal heading (null equals null) and content; the last of several."""
-    donors = old.filter("embedding is not null").groupBy("document_id", "heading", "content").agg(F.max_by("embedding", "chunk_index").alias("reused"))
+    donors = old.filter("embedding is not null").groupBy("document_id", "heading", "content").agg(F.max(F.struct("chunk_index", "embedding")).alias("last"))
     o, n = donors.alias("o"), new.alias("n")
     same = (F.col("o.document_id") == F.col("n.document_id")) & F.col("o.heading").eqNullSafe(F.col("n.heading")) & (F.col("o.content") == F.col("n.content"))
-    return n.join(o, same, "left").select(*[F.col(f"n.{c}") for c in new.columns if c != "embedding"], F.col("o.reused").alias("embedding"))
+    return n.join(o, same, "left").select(*[F.col(f"n.{c}") for c in new.columns if c != "embedding"], F.col("o.last.embedding").alias("embedding"))
 
 
 def shrunk(old_counts: DataFrame, new_counts: DataFrame, key: str, least: int = 5, share: float = 0.3) -> DataFrame:
