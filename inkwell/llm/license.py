@@ -13,6 +13,7 @@ paragraph of every text is looked at.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from dataclasses import dataclass
@@ -218,8 +219,8 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def paragraph_scan(text: Column, model: Model, least: float, overlap: float) -> tuple[Column, Column]:
-    """Paragraphs of a text (array), and of those with features (line, words): no paragraph without an anchor has any."""
+def paragraph_scan(text: Column) -> tuple[Column, Column]:
+    """The number of paragraphs of a text, and those with features (line, words): no paragraph without an anchor has any."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     anchored = F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(ANCHORS) + ")(?![a-z0-9])"))
     numbered = F.transform(lines, lambda line, k: F.struct(k.cast("bigint").alias("line"), _split(line).alias("words")))
@@ -234,10 +235,10 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
     by itself, repeated rows alike; columns called like the results are replaced. Texts may be of any length.
     """
     known = model or trained()
-    n_classes = len(known.families)
     zero = F.array(*[F.lit(float(b)) for b in known.bias])
-    table = F.map_from_arrays(F.array(*[F.lit(f) for f in known.weights]), F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in known.weights.values()]))
-    pairs = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(" ".join(p)) for p in sorted(t)]).alias("pairs")) for f in TEMPLATES for t in _template_pairs(f) if t])
+    # tables as one constant each, which the optimiser folds
+    table = F.from_json(F.lit(json.dumps(known.weights)), "map<string,array<double>>")
+    pairs = F.from_json(F.lit(json.dumps([{"family": f, "pairs": sorted(map(" ".join, t))} for f in TEMPLATES for t in _template_pairs(f) if t])), "array<struct<family:string,pairs:array<string>>>")
     families = F.array(*[F.lit(f) for f in known.families])
 
     def judged(x: Column) -> Column:
@@ -256,10 +257,9 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
         alike = F.transform(F.filter(pairs, lambda t: t["family"] == best), lambda t: F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"]))
         return F.struct(x["line"].alias("line"), best.alias("family"), (1 / total).alias("probability"), F.coalesce(F.array_max(alike), F.lit(0.0)).alias("overlap"))
 
-    count, hits = paragraph_scan(F.col(f"`{text}`"), known, least, overlap)
+    count, hits = paragraph_scan(F.col(f"`{text}`"))
     kept = [c for c in docs.columns if c not in (text, "n_paragraphs", "candidates", "licences")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], count.alias("n_paragraphs"), hits.alias("__hits"))
     rows = rows.withColumn("candidates", F.size("__hits").cast("bigint")).withColumn("__hits", F.transform("__hits", judged))
     confirmed = F.filter(F.transform("__hits", decided), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= least) & (x["overlap"] >= overlap))
-    assert n_classes == len(known.bias)
     return rows.withColumn("licences", confirmed).drop("__hits")
