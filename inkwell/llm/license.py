@@ -241,13 +241,18 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
     pairs = F.from_json(F.lit(json.dumps([{"family": f, "pairs": sorted(map(" ".join, t))} for f in TEMPLATES for t in _template_pairs(f) if t])), "array<struct<family:string,pairs:array<string>>>")
     families = F.array(*[F.lit(f) for f in known.families])
 
+    # one small transform for each step: a field of the step before is computed once, an expression in a lambda each time
+    def featured(x: Column) -> Column:
+        found = F.array_distinct(F.concat(*[_grams(x["words"], n) for n in (1, 2, 3)]))
+        return F.struct(x["line"].alias("line"), x["words"].alias("words"), found.alias("found"))
+
+    def weighed(x: Column) -> Column:
+        rows = F.filter(F.transform(x["found"], lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
+        return F.struct(x["line"].alias("line"), x["words"].alias("words"), (1 / F.sqrt(F.greatest(F.size(x["found"]), F.lit(1)).cast("double"))).alias("scale"), rows.alias("rows"))
+
     def judged(x: Column) -> Column:
-        words = x["words"]
-        found = F.array_distinct(F.concat(*[_grams(words, n) for n in (1, 2, 3)]))
-        scale = 1 / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
-        rows = F.filter(F.transform(found, lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
-        scores = F.aggregate(rows, zero, lambda total, w: F.zip_with(total, w, lambda a, b: a + scale * b))
-        return F.struct(x["line"].alias("line"), words.alias("words"), F.transform(scores, lambda s: s / known.temperature).alias("scores"))
+        scores = F.aggregate(x["rows"], zero, lambda total, w: F.zip_with(total, w, lambda a, b: a + x["scale"] * b))
+        return F.struct(x["line"].alias("line"), x["words"].alias("words"), F.transform(scores, lambda s: s / known.temperature).alias("scores"))
 
     def decided(x: Column) -> Column:
         top = F.array_max(x["scores"])
@@ -260,6 +265,6 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
     count, hits = paragraph_scan(F.col(f"`{text}`"))
     kept = [c for c in docs.columns if c not in (text, "n_paragraphs", "candidates", "licences")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], count.alias("n_paragraphs"), hits.alias("__hits"))
-    rows = rows.withColumn("candidates", F.size("__hits").cast("bigint")).withColumn("__hits", F.transform("__hits", judged))
+    rows = rows.withColumn("candidates", F.size("__hits").cast("bigint")).withColumn("__hits", F.transform(F.transform(F.transform("__hits", featured), weighed), judged))
     confirmed = F.filter(F.transform("__hits", decided), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= least) & (x["overlap"] >= overlap))
     return rows.withColumn("licences", confirmed).drop("__hits")
