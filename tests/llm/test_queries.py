@@ -51,6 +51,7 @@ def test_warc(spark):
 
 
 def test_mixing(spark):
+    SF = "/root/testdata/sf0.01"
     sizes = [(r["doc_id"], r["source"], len(brute.VISIBLE.findall(r["text"] or ""))) for r in table(spark, SF, "documents").collect()]
     want = brute.mixing_targets([(s, n) for _, s, n in sizes])
     got = {r["doc_id"]: r for r in queries.op5_mixing(spark, SF).collect()}
@@ -63,7 +64,7 @@ def test_mixing(spark):
         taken[source] += r["taken"]
     smallest = {s: min(n for _, x, n in sizes if x == s) for s in want}
     for s, n in taken.items():
-        assert abs(n - want[s][1]) <= max(smallest[s], 0.02 * want[s][1])
+        assert abs(n - want[s][1]) <= max(smallest[s], 0.01 * want[s][1])
     assert rows(queries.op5_mixing(spark, SF), "doc_id", "taken") == sorted((k, r["taken"]) for k, r in got.items())
 
 
