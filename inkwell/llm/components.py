@@ -1,17 +1,49 @@
-"""Connected components of a table of links, by alternating large and small stars; nothing is collected."""
+"""Connected components of a table of links; nothing is collected.
+
+Up to ONE_TASK links are joined by one task with disjoint sets; more go through rounds of large and small stars, whose
+tables are as wide as the cluster. Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import common
 
+#: Links that one task may hold: about 100 bytes each.
+ONE_TASK = 1_000_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (over := up.get(top, top)) != top:
+            top = over
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            up[max(x, y)] = up[min(x, y)] = min(x, y)
+    rows = np.array([(x, find(x)) for x in list(up)], dtype=np.int64).reshape(-1, 2)
+    rows = rows[rows[:, 0] != rows[:, 1]]
+    for at in range(0, len(rows), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 100_000, k]) for k in (0, 1)], names=["hi", "lo"])
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Rows (hi, lo) for each vertex hi that isn't the smallest of its component, lo being that; written.
 
@@ -19,7 +51,13 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     vertices are split by AQE, so a star of any size is no trouble. Vertices without links don't appear.
     """
     a, b = F.col(left), F.col(right)
-    edges = common.written(links.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
+    edges = common.written(links.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")), "links")
+    if edges.count() <= ONE_TASK:
+        out = common.written(edges.coalesce(1).mapInArrow(_joined, "hi bigint, lo bigint"), "components")
+        common.dropped(edges)
+        return out
+    several, edges = edges, common.written(edges.distinct(), "links")
+    common.dropped(several)
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))

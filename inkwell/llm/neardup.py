@@ -4,9 +4,10 @@
    one representative (the smallest id) before anything else, so groups of copies of any size cost one row.
 2. Chosen paths: in each of TREES independent trees a node passes on to its children the documents that hold a token it
    chooses; every node chooses each token with probability 1 / (threshold * K), by a hash of node and token. A pair at the
-   threshold is thus expected in one child at least of every node that it shares. In every node all documents are
+   threshold is thus expected in one child at least of every node that it shares. In every first node all documents are
    compared to the node's smallest (on the K tokens, loosely); nodes whose documents are joined by that are done. Of the
-   others, small ones are compared exhaustively and large ones branch again. Nodes at the depth limit are compared in tiles.
+   others, those with few pairs outside their largest component are compared exhaustively and the rest branch again.
+   Nodes at the depth limit are compared in tiles.
 3. The loose matches make groups. The full sets of a group come together once, and its links are confirmed on them; a
    group too large for a task is resolved against some of its documents and then, what is left, against all in blocks.
 4. Components over the confirmed links, by large and small stars.
@@ -30,7 +31,9 @@ from inkwell.llm.components import components
 
 TOKENS = 64
 TREES = 12
-LEAF = 64
+#: A node is compared exhaustively if it has at most so many rows, and pairs of a row outside its largest component with any.
+LEAF_ROWS = 1 << 14
+LEAF_PAIRS = 1 << 20
 LEVELS = 12
 #: Tokens of K that agree at least in a loose match; at similarity 0.8, five standard deviations below the mean.
 LOOSE = 36
@@ -52,7 +55,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     words, first = textkit.hashed_words(texts, textkit.VISIBLE)
     n = np.diff(first)
     sums = np.zeros(len(words), dtype=np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(words))):
         sums[: len(words) - j] += words[j:] * _PLACES[j]
     short = np.flatnonzero((n > 0) & (n < width))
     for k in short:
@@ -195,11 +198,16 @@ def _exhausted(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["node"]):
-            ids, n, tokens = np.asarray(group.column("rid")), np.asarray(group.column("n")), _matrix(group.column("tokens"))
-            forest = Forest(np.asarray(group.column("comp")))
+            ids, n, tokens, comps = (np.asarray(group.column("rid")), np.asarray(group.column("n")), _matrix(group.column("tokens")), np.asarray(group.column("comp")))
+            labels, sizes = np.unique(comps, return_counts=True)
+            asked = np.flatnonzero(comps != labels[sizes.argmax()])
+            forest = Forest(comps)
             out = []
-            for i, j, _ in _agreeing(tokens, tokens, n, n, percent):
-                out += [(ids[x], ids[y]) for x, y in zip(i, j, strict=True) if x < y and forest.join(x, y)]
+            for i, j, _ in _agreeing(tokens[asked], tokens, n[asked], n, percent):
+                at = forest.labels()
+                x, y = asked[i], j
+                apart = at[x] != at[y]
+                out += [(ids[p], ids[q]) for p, q in zip(x[apart].tolist(), y[apart].tolist(), strict=True) if forest.join(p, q)]
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -242,28 +250,29 @@ def _tiled(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def loose_groups(reps: DataFrame, percent: int) -> DataFrame:
     """(hi, lo) of the components of loose matches that the trees find; see the module's text."""
     rate = 100 / (percent * TOKENS)
-    first = common.written(_roots(reps, rate), "path-roots")
+    # dealt by node once: counts, sums and joins by node then need no other exchange
+    first = _roots(reps, rate).repartition("node")
     stats = first.groupBy("node").agg(F.count("*").alias("m"), F.min("rid").alias("pivot")).filter("m > 1")
     shared = common.written(first.join(stats, "node"), "path-nodes")
-    common.dropped(first)
     stars = common.written(_loose(shared.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), reps, percent), "path-stars")
     comps = components(stars)
     current = shared.select("node", "rid").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("node", "rid", F.coalesce("comp", "rid").alias("comp"))
     links, tables = [stars], [shared]
     for level in range(1, LEVELS + 1):
-        stats = current.groupBy("node").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rid").alias("pivot")).filter("low <> high")
-        live = common.written(current.join(stats.select("node", "m", "pivot"), "node"), f"path-level{level}")
+        current = current.repartition("node")
+        stats = current.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+        leaf = (F.col("m") <= LEAF_ROWS) & ((F.col("m") - F.col("top")) * F.col("m") <= LEAF_PAIRS)
+        live = common.written(current.join(stats.select("node", "m", leaf.alias("leaf")), "node"), f"path-level{level}")
         tables.append(live)
-        counts = live.agg(F.count_if(F.col("m") <= LEAF).alias("small"), F.count_if(F.col("m") > LEAF).alias("large")).first()
+        counts = live.agg(F.count_if("leaf").alias("small"), F.count_if(~F.col("leaf")).alias("large")).first()
         if counts["small"]:
-            links.append(common.written(_exhausted(live.filter(F.col("m") <= LEAF), reps, percent), "path-leaves"))
+            links.append(common.written(_exhausted(live.filter("leaf"), reps, percent), "path-leaves"))
         if not counts["large"]:
             break
-        large = live.filter(F.col("m") > LEAF)
+        large = live.filter("not leaf")
         if level == LEVELS:
             links.append(common.written(_tiled(large, reps, percent), "path-tiles"))
             break
-        links.append(common.written(_loose(large.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), reps, percent), "path-stars"))
         current = _branched(large, reps, rate)
     if len(links) == 1:
         groups = comps

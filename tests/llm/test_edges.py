@@ -84,7 +84,6 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert collected(neardup.near_duplicates(docs, width=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
     # the same by the ways that large groups and nodes take
     monkeypatch.setattr(neardup, "GROUP_ROWS", 10)
-    monkeypatch.setattr(components, "ONE_TASK", 10)
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "PIVOTS", 2)
     monkeypatch.setattr(neardup, "LEAF_PAIRS", 30)
@@ -92,10 +91,12 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert collected(neardup.near_duplicates(docs, width=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
 
-def test_components(spark):
-    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = dict(collected(components.components(chain), "hi", "lo"))
-    assert got == {k: 1 for k in range(2, 61)} | {101: 100}
+    assert got == {k: 1 for k in range(2, 21)} | {101: 100}
     assert components.components(chain.limit(0)).count() == 0
 
 
