@@ -272,6 +272,8 @@ def train(docs: DataFrame, *, text: str = "text", order: int = 2, min_count: int
     common.small_batches(spark)
     rows = docs.select(F.col(f"`{text}`").alias("text"))
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known for rows that don't come from files
+        size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     range_bits = max(2, min(20, (size // RANGE_BYTES).bit_length()))
     automaton = Automaton(common.new_folder(spark, "lm"), 0, 0, 0, 0)
     for k in range(1, order + 1):
