@@ -118,3 +118,15 @@ def clash_free(names: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def trimmed() -> None:
+    """Give memory that large arrays have left behind back to the machine; for the driver, after it has fitted a model."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -140,6 +140,8 @@ def fit(
     del blobs
     row = np.repeat(np.arange(len(y), dtype=np.int32), counts)
     factors, bias = _regression(row, column, ratios, y, ridge, steps)
+    del row, column, counts
+    common.trimmed()
     return Model(features, (factors * ratios).astype(np.float32), bias)
 
 
