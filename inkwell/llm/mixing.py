@@ -4,9 +4,10 @@ Each document gets a rate r (its expected copies). Rates minimise the entropy di
 sum of size * (r log r - r + 1), subject to each source's token target. The dual is convex and separates by source: rates
 are exp(lambda * tilt), with one lambda a source, solved by Newton steps on aggregates of (source, size) counts - a step
 is one small distributed aggregation, whatever the number of documents or sources. Rates are then rounded to copies:
-everyone has floor(r); the rest of the target goes to documents in the order of a hash, found by a two-level prefix sum
-(hash ranges, then inside the one range that the target falls into), and a few single documents close the gap. A decision
-depends on the row and its source's few numbers only, so rows are never sorted or moved to make it.
+everyone has floor(r); the rest of the target goes to documents in the order of a hash, found by two-level prefix sums
+(hash ranges, then inside the one range that the target falls into). Documents that don't fit are set aside and the sum
+goes on over the others, until the gap is below the smallest that is left; a last one may go over if that is nearer. A
+decision depends on the row and its source's few numbers only, so rows are never sorted or moved to make it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from inkwell.llm import common
 WEIGHTS = (5.0, 2.0, 1.0)
 RANGES = 4096
 STEPS = 60
-FILLS = 4
 BROADCAST_SOURCES = 100_000
 
 
@@ -83,48 +83,80 @@ def balanced(counts: DataFrame, wanted: DataFrame, *, tilt: Column | None = None
 
 
 def rounded(rows: DataFrame, wanted: DataFrame, duals: DataFrame, limit: float = 2.0) -> DataFrame:
-    """source, base, cut, extras: what a row (source, size, draw) needs to know its copies. wanted: source, source_size, target."""
+    """source, base, steps, extras: what a row (source, size, draw, total) needs to know its copies. wanted: source, source_size, target.
+
+    A pass takes, in the order of draws and among the rows that still fit the gap, the longest prefix that fits as a whole.
+    The row it stops at no longer fits and the next pass goes on without it, until none that is left fits. Every other pass
+    looks at rows of at most half the gap: two passes halve it or end, so the passes are logarithmic in the gap.
+    """
     rate = F.least(F.lit(float(limit)), F.exp("lam"))
     base = F.floor(rate + 1e-9).cast("bigint")
-    plan = wanted.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", base.alias("base"), (F.col("target") - base * F.col("source_size")).alias("rest"))
-    plan = common.written(plan, "mix-plan")
+    plan = wanted.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", base.alias("base"), (F.col("target") - base * F.col("source_size")).alias("gap"))
+    plan = common.written(plan.withColumn("steps", F.array().cast("array<struct<most:double,cut:bigint>>")), "mix-plan")
+    half = False
+    while True:
+        after, found = _passed(rows, plan, half)
+        if not found and not half:
+            break
+        if found:
+            common.dropped(plan)
+            plan = after
+        half = not half
+    return _closed(rows, plan).select("source", "base", "steps", "extras")
+
+
+def _taken(steps: Column, draw: Column, total: Column) -> Column:
+    return F.exists(steps, lambda s: (total <= s["most"]) & (draw <= s["cut"]))
+
+
+def _free(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    known = rows.select("source", "draw", "size", "total").join(plan.select(F.col("source").alias("s"), "gap", "steps"), F.col("source").eqNullSafe(F.col("s")))
+    return known.filter((F.col("total") > 0) & ~_taken(F.col("steps"), F.col("draw"), F.col("total")))
+
+
+def _passed(rows: DataFrame, plan: DataFrame, half: bool) -> tuple[DataFrame, bool]:
+    """The plan with one more step for each source that has rows of at most the gap (half: half the gap), and whether any has."""
+    most = F.col("gap") / 2 if half else F.col("gap")
     part = F.shiftright("draw", 52) + RANGES // 2
-    sums = rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = sums.withColumn("upto", before).join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    # ranges that fit as a whole, and the one that the rest falls into
-    whole = sums.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("part"))).alias("last"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("part", (F.col("rest") - F.col("upto") + F.col("size")).alias("left")))).alias("cut"))
-    whole = common.written(whole.select(F.col("source").alias("s"), "last", F.col("cut.part").alias("cut_part"), F.col("cut.left").alias("left")), "mix-ranges")
-    inside = rows.join(whole, F.col("source").eqNullSafe(F.col("s"))).filter(part == F.col("cut_part"))
-    inside = inside.groupBy("source", "draw", "left").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cuts = inside.withColumn("upto", upto).filter("upto <= left").groupBy("source").agg(F.max("draw").alias("draw"))
+    free = _free(rows, plan).filter(F.col("total") <= most)
+    sums = free.groupBy("source", "gap", part.alias("part")).agg(F.sum("size").alias("size"))
+    sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # ranges that fit as a whole, and the one that the gap falls into
+    fits = F.col("upto") <= F.col("gap")
+    whole = sums.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("full"), F.min(F.when(~fits, F.col("part"))).alias("cut_part"))
+    whole = common.written(whole.select(F.col("source").alias("w"), "full", "cut_part"), "mix-ranges")
+    if whole.isEmpty():
+        common.dropped(whole)
+        return plan, False
+    inside = free.join(whole, F.col("source").eqNullSafe(F.col("w"))).filter(part == F.col("cut_part"))
+    inside = inside.groupBy("source", "draw", (F.col("gap") - F.col("full")).alias("left")).agg(F.sum("size").alias("size"))
+    inside = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cuts = inside.filter("upto <= left").groupBy("source").agg(F.max("draw").alias("inner"), F.max("upto").alias("more")).withColumnRenamed("source", "c")
     low = F.shiftleft((F.col("cut_part") - RANGES // 2).cast("bigint"), 52) - 1  # the last draw before the range
-    everything = F.lit((1 << 63) - 1)
-    none = F.lit(-(1 << 63))
-    plan = plan.join(whole, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(cuts.select(F.col("source").alias("s"), F.col("draw").alias("inner")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    cut = F.when(F.col("last").isNull() & F.col("cut_part").isNull(), none).when(F.col("cut_part").isNull(), everything).otherwise(F.coalesce("inner", F.when(F.col("cut_part") > 0, low).otherwise(none)))
-    plan = plan.select("source", "base", "rest", cut.alias("cut"), F.array().cast("array<bigint>").alias("extras"))
-    for k in range(FILLS):
-        plan = common.written(_filled(rows, plan, last=k == FILLS - 1), "mix-plan")
-    return plan.select("source", "base", "cut", "extras")
-
-
-def _filled(rows: DataFrame, plan: DataFrame, last: bool) -> DataFrame:
-    """One more row for each source whose rest it brings nearest to 0 from below; the last may go over, if that is nearer."""
-    known = rows.join(plan.select(F.col("source").alias("s"), "rest", "cut", "extras"), F.col("source").eqNullSafe(F.col("s")))
-    has = (F.col("draw") <= F.col("cut")) | F.array_contains("extras", F.col("draw"))
-    taken = known.groupBy("source").agg(F.sum(F.when(has, F.col("size")).otherwise(0)).alias("taken"))
-    gaps = plan.join(taken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("gap", F.col("rest") - F.coalesce("taken", F.lit(0)))
-    free = rows.join(gaps.select(F.col("source").alias("s"), "gap", "cut", "extras"), F.col("source").eqNullSafe(F.col("s"))).filter(~has & (F.col("size") > 0))
-    if last:
-        fits, best = F.col("size") < 2 * F.col("gap"), F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "draw"))
-    else:
-        fits, best = F.col("size") <= F.col("gap"), F.min(F.struct((-F.col("size")).alias("miss"), "draw"))
-    chosen = free.filter(fits).groupBy("source").agg(best.alias("best")).select(F.col("source").alias("s"), F.col("best.draw").alias("more"))
-    out = gaps.join(chosen, F.col("source").eqNullSafe(F.col("s")), "left")
-    extras = F.when(F.col("more").isNull(), F.col("extras")).otherwise(F.array_append("extras", F.col("more")))
-    return out.select("source", "base", "rest", "cut", extras.alias("extras"))
+    cut = F.when(F.col("cut_part").isNull(), F.lit((1 << 63) - 1)).otherwise(F.coalesce("inner", F.when(F.col("cut_part") > 0, low).otherwise(F.lit(-(1 << 63)))))
+    out = plan.join(whole, F.col("source").eqNullSafe(F.col("w")), "left").join(cuts, F.col("source").eqNullSafe(F.col("c")), "left")
+    steps = F.when(F.col("full").isNull(), F.col("steps")).otherwise(F.array_append("steps", F.struct(most.cast("double").alias("most"), cut.alias("cut"))))
+    gap = F.col("gap") - F.coalesce("full", F.lit(0)) - F.coalesce("more", F.lit(0))
+    out = common.written(out.select("source", "base", gap.alias("gap"), steps.alias("steps")), "mix-plan")
+    common.dropped(whole)
+    return out, True
+
+
+def _closed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with extras: one more row for each source that goes over its target, if that is nearer."""
+    free = _free(rows, plan).filter(F.col("total") < 2 * F.col("gap"))
+    best = F.min(F.struct(F.abs(F.col("total") - F.col("gap")).alias("miss"), "draw"))
+    chosen = free.groupBy("source").agg(best.alias("best")).select(F.col("source").alias("w"), F.array("best.draw").alias("extras"))
+    out = plan.join(chosen, F.col("source").eqNullSafe(F.col("w")), "left")
+    return out.withColumn("extras", F.coalesce("extras", F.array().cast("array<bigint>")))
+
+
+def _with_totals(rows: DataFrame, alike: DataFrame | None) -> DataFrame:
+    """rows with total: the size of all rows of a source with the same draw, which are taken together."""
+    if alike is None:
+        return rows.withColumn("total", F.col("size"))
+    same = F.col("source").eqNullSafe(F.col("a_source")) & (F.col("draw") == F.col("a_draw"))
+    return rows.join(alike, same, "left").withColumn("total", F.coalesce("a_total", "size")).drop("a_source", "a_draw", "a_total")
 
 
 def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, weights: Sequence[float] = WEIGHTS, with_rows: bool = False) -> DataFrame:
@@ -140,15 +172,20 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     duals = balanced(counts, wanted, limit=limit)
     # a source without words has no aggregate in the dual
     duals = wanted.select("source").join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("lam", F.lit(0.0)).alias("lam"))
+    alike = light.groupBy("source", "draw").agg(F.count("*").alias("n"), F.sum("size").alias("a_total")).filter("n > 1 and a_total > 0")
+    alike = common.written(alike.select(F.col("source").alias("a_source"), F.col("draw").alias("a_draw"), "a_total"), "mix-alike")
+    alike = None if alike.isEmpty() else alike  # keys are unique as a rule
+    light = _with_totals(light, None) if alike is None else common.written(_with_totals(light, alike), "mix-sizes")
     plan = common.written(rounded(light, wanted, duals, limit), "mix-decisions")
-    table = plan.join(wanted.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "base", "cut", "extras", "source_size", "target")
+    table = plan.join(wanted.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "base", "steps", "extras", "source_size", "target")
     n = wanted.count()
     if with_rows:
         rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("draw", drawn(F.col("key"), F.col("size")))
+        rows = _with_totals(rows, alike)
     else:
         rows = light
     out = rows.join(F.broadcast(table) if n <= BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("of")))
-    extra = (F.col("draw") <= F.col("cut")) | F.array_contains("extras", F.col("draw"))
+    extra = _taken(F.col("steps"), F.col("draw"), F.col("total")) | F.array_contains("extras", F.col("draw"))
     copies = F.least(F.lit(int(limit)).cast("bigint"), F.col("base") + extra.cast("bigint"))
     out = out.withColumn("copies", copies)
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if with_rows else []))

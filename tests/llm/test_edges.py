@@ -246,6 +246,26 @@ def test_mixing_comes_near(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.001 * r["target"] + 1 for r in taken.collect())
 
 
+def test_mixing_goes_on_past_documents_that_do_not_fit(spark):
+    """A long document early in the order leaves the others their share; down-weighted sources, too; equal keys go together."""
+    draw = lambda k, n: spark.range(1).select(mixing.drawn(F.lit(k).cast("bigint"), F.lit(n).cast("bigint"))).first()[0]
+    early = sorted(range(10_000, 10_040), key=lambda k: draw(k, 60_000))[4]
+    rows = [(k, 100, "s") for k in range(400)] + [(early, 60_000, "s")] + [(k, 37, "t") for k in range(200)] + [(early + 1, 9_000, "t"), (7_000, 41, "t"), (7_000, 41, "t")]
+    light = spark.createDataFrame(rows, "key bigint, size bigint, source string").withColumn("draw", mixing.drawn(F.col("key"), F.col("size")))
+    light = light.withColumn("total", F.when(F.col("key") == 7_000, 82).otherwise(F.col("size")).cast("bigint"))
+    for target_s, target_t, lam in ((130_000.0, 3_000.0, 0.2), (61_500.0, 9_040.0, -0.1)):
+        wanted = spark.createDataFrame([("s", 100_000, target_s), ("t", 16_482, target_t)], "source string, source_size bigint, target double")
+        duals = spark.createDataFrame([("s", lam), ("t", -0.5)], "source string, lam double")
+        plan = {r["source"]: r for r in mixing.rounded(light, wanted, duals).collect()}
+        for source, target in (("s", target_s), ("t", target_t)):
+            p = plan[source]
+            own = [r for r in light.collect() if r["source"] == source]
+            extra = {(r["key"], r["size"]) for r in own if any(r["total"] <= s["most"] and r["draw"] <= s["cut"] for s in p["steps"]) or r["draw"] in p["extras"]}
+            got = sum(r["size"] * (p["base"] + ((r["key"], r["size"]) in extra)) for r in own)
+            left = [r["total"] for r in own if (r["key"], r["size"]) not in extra]
+            assert abs(target - got) <= min(left, default=0), (source, target, got)
+
+
 def test_dual_with_a_tilt_meets_its_constraints(spark):
     counts = spark.createDataFrame([("a", s, 10) for s in range(1, 50)] + [(None, 5, 100)], "source string, size bigint, n bigint")
     wanted = spark.createDataFrame([("a", 6000.0), (None, 100.0)], "source string, target double")
