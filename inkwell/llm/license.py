@@ -7,6 +7,10 @@ statements and on other sentences. Its probabilities are calibrated by a tempera
 trained on; a prediction below `least` is unknown. A prediction counts only if confirmed by comparison with the family's
 templates: at least `overlap` of a template statement's word pairs occur in the paragraph.
 
+Paragraphs end at blank lines. What is classified are a paragraph's lines and, as notices are often wrapped or stand in
+long lines, overlapping windows over its joined words, of which one holds any template as a whole. A unit with too few of
+the templates' word pairs to be confirmed is left out before scoring; that is exact, too.
+
 Scoring is one row-wise expression: split, filter, n-grams, weight look-up, sums. Nothing is shuffled, and every
 paragraph of every text is looked at.
 """
@@ -16,6 +20,8 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,16 +49,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GPL version 2 or later",
+        "Licensed under the GPLv3",
+        "License: GPLv3",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "SPDX-License-Identifier: LGPL-2.1-only",
         "Distributed under the terms of the LGPL version 3",
+        "Licensed under the LGPLv3",
+        "License: LGPLv3",
     ),
     "AGPL": (
         "This work is licensed under the GNU Affero General Public License, version 3",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "Released under the AGPL version 3",
+        "Licensed under the AGPLv3",
+        "License: AGPLv3",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -95,7 +107,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Words of which a feature has at least one.
 ANCHORS: tuple[str, ...] = (
     "affero", "agpl", "apache", "attribution", "bsd", "by", "cc", "cc0", "clause", "commons", "confidential", "copyright",
-    "creative", "domain", "gnu", "gpl", "lesser", "lgpl", "license", "licensed", "mit", "mozilla", "mpl", "nc",
+    "creative", "domain", "gnu", "gpl", "lesser", "lgpl", "license", "licensed", "licenses", "licensing", "mit", "mozilla", "mpl", "nc",
     "noncommercial", "permission", "permitted", "proprietary", "redistribute", "redistribution", "reserved", "sa",
     "sharealike", "spdx", "unauthorized",
 )
@@ -111,8 +123,18 @@ OTHERS: tuple[str, ...] = (
 )
 
 
+#: (words, steps) of the windows over a paragraph: each of size - step words or fewer in a row is in one of them as a whole.
+WINDOWS = ((48, 16), (24, 8))
+
+#: British forms, and versions written into the name.
+SPELLINGS = ((r"(?<![a-z0-9])licenc(e[sd]?|ing)(?![a-z0-9])", "licens{}1"), (r"(?<![a-z0-9])([al]?gpl)v([0-9])(?![0-9a-z])", "{}1 version {}2"))
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split(" ") if w]
+    text = text.lower()
+    for found, written in SPELLINGS:
+        text = re.sub(found, written.replace("{}", "\\"), text)
+    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text).split(" ") if w]
 
 
 def features_of(words: list[str]) -> list[str]:
@@ -205,8 +227,16 @@ def _template_pairs(family: str) -> list[set[tuple[str, str]]]:
     return [set(zip(w, w[1:], strict=False)) for w in (words_of(t) for t in TEMPLATES.get(family, ()))]
 
 
-def _split(paragraph: Column) -> Column:
-    return F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
+def _spelled(text: Column) -> Column:
+    """In lower case, with one spelling."""
+    text = F.lower(text)
+    for found, written in SPELLINGS:
+        text = F.regexp_replace(text, found, written.replace("{}", "$"))
+    return text
+
+
+def _split(spelled: Column) -> Column:
+    return F.filter(F.split(spelled, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -219,20 +249,38 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def paragraph_scan(text: Column) -> tuple[Column, Column]:
-    """The number of paragraphs of a text, and those with features (line, words): no paragraph without an anchor has any."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    anchored = F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(ANCHORS) + ")(?![a-z0-9])"))
-    numbered = F.transform(lines, lambda line, k: F.struct(k.cast("bigint").alias("line"), _split(line).alias("words")))
-    hits = F.filter(numbered, lambda x: F.exists(x["words"], lambda w: w.isin(*ANCHORS)))
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.lit(0).cast("bigint")).otherwise(F.size(lines).cast("bigint")), F.when(F.coalesce(anchored, F.lit(False)), hits).otherwise(F.array().cast("array<struct<line:bigint,words:array<string>>>"))
+def paragraphs(text: Column) -> Column:
+    """What blank lines separate, blank pieces included: each line feed before a blank line is left out, all others stay."""
+    return F.split(F.coalesce(text, F.lit("")), r"\n(?=[ \t\r\f\x0b]*\n)")
+
+
+def _anchored(spelled: Column) -> Column:
+    return F.rlike(spelled, F.lit("(?<![a-z0-9])(?:" + "|".join(ANCHORS) + ")(?![a-z0-9])"))
+
+
+def _window(x: Column, most: int) -> Callable[[Column], Column]:
+    return lambda s: F.struct(x["at"].alias("at"), F.element_at(x["of"], s).alias("line"), F.slice(x["words"], s, most).alias("words"))
+
+
+def _units(x: Column) -> Column:
+    """The lines of a paragraph (at, lines, words, of), and the windows over its words: (at, line within it, words)."""
+    n = F.size(x["words"])
+    units = [F.transform(x["lines"], lambda words, k: F.struct(x["at"].alias("at"), k.cast("bigint").alias("line"), words.alias("words")))]
+    for k, (most, step) in enumerate(WINDOWS):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - most + step), F.lit(step))
+        # the first kind joins short wrapped lines, too
+        wanted = (n > most) | ((F.size(x["lines"]) > 1) & (n > 0)) if k == 0 else n > most
+        units.append(F.when(wanted, F.transform(starts, _window(x, most))).otherwise(F.array().cast("array<struct<at:bigint,line:bigint,words:array<string>>>")))
+    return F.filter(F.concat(*units), lambda u: F.exists(u["words"], lambda w: w.isin(*ANCHORS)))
 
 
 def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap: float = 0.6, model: Model | None = None) -> DataFrame:
     """docs (without its text) and n_paragraphs, candidates, licences: array of (line, family, probability, overlap) of confirmed paragraphs.
 
-    A paragraph is a line. candidates: paragraphs with features. Null and empty texts have no paragraphs. Each row is scanned
-    by itself, repeated rows alike; columns called like the results are replaced. Texts may be of any length.
+    Paragraphs are what blank lines separate. candidates: paragraphs with features. A paragraph has one entry for each of its
+    families, the most probable, with the number of the line where that line or window begins. Null and blank
+    texts have no paragraphs. Each row is scanned by itself, repeated rows alike; columns called like the results are
+    replaced. Texts may be of any length.
     """
     known = model or trained()
     zero = F.array(*[F.lit(float(b)) for b in known.bias])
@@ -240,31 +288,60 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
     table = F.from_json(F.lit(json.dumps(known.weights)), "map<string,array<double>>")
     pairs = F.from_json(F.lit(json.dumps([{"family": f, "pairs": sorted(map(" ".join, t))} for f in TEMPLATES for t in _template_pairs(f) if t])), "array<struct<family:string,pairs:array<string>>>")
     families = F.array(*[F.lit(f) for f in known.families])
+    every = [t for f in TEMPLATES for t in _template_pairs(f) if t]
+    common = sorted({" ".join(p) for t in every for p in t})
+    fewest = min(math.ceil(overlap * len(t) - 1e-9) for t in every)
 
     # one small transform for each step: a field of the step before is computed once, an expression in a lambda each time
+    def lined(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), F.transform(F.split(x["text"], "\n"), _split).alias("lines"))
+
+    def joined(x: Column) -> Column:
+        of = F.flatten(F.transform(x["lines"], lambda words, k: F.array_repeat(k.cast("bigint"), F.size(words))))
+        return F.struct(x["at"].alias("at"), x["lines"].alias("lines"), F.flatten(x["lines"]).alias("words"), of.alias("of"))
+
+    def paired(x: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x["words"]) - 1, F.lit(1))), lambda k: F.array_join(F.slice(x["words"], k, 2), " "))
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["words"].alias("words"), F.array_distinct(F.filter(own, lambda p: p.isin(*common))).alias("own"))
+
+    head = lambda x: (x["at"].alias("at"), x["line"].alias("line"), x["own"].alias("own"))
+
     def featured(x: Column) -> Column:
         found = F.array_distinct(F.concat(*[_grams(x["words"], n) for n in (1, 2, 3)]))
-        return F.struct(x["line"].alias("line"), x["words"].alias("words"), found.alias("found"))
+        return F.struct(*head(x), found.alias("found"))
 
     def weighed(x: Column) -> Column:
         rows = F.filter(F.transform(x["found"], lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
-        return F.struct(x["line"].alias("line"), x["words"].alias("words"), (1 / F.sqrt(F.greatest(F.size(x["found"]), F.lit(1)).cast("double"))).alias("scale"), rows.alias("rows"))
+        return F.struct(*head(x), (1 / F.sqrt(F.greatest(F.size(x["found"]), F.lit(1)).cast("double"))).alias("scale"), rows.alias("rows"))
 
     def judged(x: Column) -> Column:
         scores = F.aggregate(x["rows"], zero, lambda total, w: F.zip_with(total, w, lambda a, b: a + x["scale"] * b))
-        return F.struct(x["line"].alias("line"), x["words"].alias("words"), F.transform(scores, lambda s: s / known.temperature).alias("scores"))
+        return F.struct(*head(x), F.transform(scores, lambda s: s / known.temperature).alias("scores"))
 
     def decided(x: Column) -> Column:
         top = F.array_max(x["scores"])
         best = F.element_at(families, F.array_position(x["scores"], top).cast("int"))
         total = F.aggregate(x["scores"], F.lit(0.0), lambda a, s: a + F.exp(s - top))
-        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x["words"]) - 1, F.lit(1))), lambda k: F.array_join(F.slice(x["words"], k, 2), " "))
-        alike = F.transform(F.filter(pairs, lambda t: t["family"] == best), lambda t: F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"]))
-        return F.struct(x["line"].alias("line"), best.alias("family"), (1 / total).alias("probability"), F.coalesce(F.array_max(alike), F.lit(0.0)).alias("overlap"))
+        alike = F.transform(F.filter(pairs, lambda t: t["family"] == best), lambda t: F.size(F.array_intersect(t["pairs"], x["own"])) / F.size(t["pairs"]))
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), best.alias("family"), (1 / total).alias("probability"), F.coalesce(F.array_max(alike), F.lit(0.0)).alias("overlap"))
+
+    def placed(x: Column) -> Column:
+        before = F.aggregate(F.slice("__parts", F.lit(1), x["at"].cast("int")), F.lit(0).cast("bigint"), lambda n, part: n + F.size(F.split(part, "\n")))
+        return F.struct((before + x["line"]).alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"))
 
-    count, hits = paragraph_scan(F.col(f"`{text}`"))
+    parts = paragraphs(F.col(f"`{text}`"))
     kept = [c for c in docs.columns if c not in (text, "n_paragraphs", "candidates", "licences")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], count.alias("n_paragraphs"), hits.alias("__hits"))
-    rows = rows.withColumn("candidates", F.size("__hits").cast("bigint")).withColumn("__hits", F.transform(F.transform(F.transform("__hits", featured), weighed), judged))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], parts.alias("__parts"))
+    rows = rows.withColumn("n_paragraphs", F.size(F.filter("__parts", lambda p: F.rlike(p, F.lit(r"\S")))).cast("bigint"))
+    spelled = F.transform("__parts", lambda p, k: F.struct(k.cast("bigint").alias("at"), _spelled(p).alias("text")))
+    rows = rows.withColumn("__hits", F.filter(spelled, lambda x: _anchored(x["text"])))
+    rows = rows.withColumn("candidates", F.size("__hits").cast("bigint"))
+    units = F.transform(F.flatten(F.transform(F.transform(F.transform("__hits", lined), joined), _units)), paired)
+    units = F.filter(units, lambda u: F.size(u["own"]) >= fewest)
+    rows = rows.withColumn("__hits", F.transform(F.transform(F.transform(units, featured), weighed), judged))
     confirmed = F.filter(F.transform("__hits", decided), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= least) & (x["overlap"] >= overlap))
-    return rows.withColumn("licences", confirmed).drop("__hits")
+    rows = rows.withColumn("__hits", confirmed)
+    rank = lambda x: F.struct(x["probability"].alias("p"), (-x["line"]).alias("line"), x["overlap"].alias("overlap"))
+    first = lambda x, y: (x["at"] == y["at"]) & (x["family"] == y["family"]) & (rank(y) > rank(x))
+    best = F.array_distinct(F.filter("__hits", lambda x: ~F.exists("__hits", lambda y: first(x, y))))
+    return rows.withColumn("licences", F.transform(best, placed)).drop("__hits", "__parts")

@@ -326,6 +326,19 @@ def test_license(spark, odd, none):
     assert license.scanned(none).count() == 0
 
 
+def test_license_notices_may_be_wrapped_or_stand_in_long_lines(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
+    prose = "slova jdou dál a nikdo neví kam vedou " * 40
+    texts = [gpl, bsd, apache, f"{prose}\n \n\n{bsd}\n{prose}", prose + gpl.replace("\n# ", " ") + " " + prose, "Released under the GPLv3.", "Released under the MIT Licence", prose + "\nSPDX-License-Identifier: MIT\n" + prose, prose, "He lost his driving licence\nby the river"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license.scanned(docs).collect()}
+    assert [sorted({x["family"] for x in got[k]["licences"]}) for k in range(len(texts))] == [["GPL"], ["BSD"], ["Apache-2.0"], ["BSD"], ["GPL"], ["GPL"], ["MIT"], ["MIT"], [], []]
+    assert got[3]["n_paragraphs"] == 2 and all(x["line"] >= 3 for x in got[3]["licences"])
+    assert all(len(w) <= most - step for most, step in license.WINDOWS[:1] for t in license.TEMPLATES.values() for w in map(license.words_of, t))
+
+
 def test_license_model_is_calibrated_on_what_it_was_not_trained_on():
     model = license.trained()
     wrong = [t for f, texts in license.TEMPLATES.items() for t in texts if license.classified(t, model)[0] != f]
