@@ -107,3 +107,28 @@ def section_chunks(nodes: DataFrame, fragments: DataFrame, most: int = 3000) ->
     joined = numbered.join(spread, F.col("path") == F.col("ancestor"))
     texts = F.array_sort(F.collect_list(F.struct("fragment_ord", "text")))
     return joined.groupBy("document_id", "chunk_index", "heading").agg(F.array_join(F.transform(texts, lambda x: F.trim(x["text"])), " ").alias("content"))
+
+
+def section_parts(nodes: DataFrame, fragments: DataFrame, most: int = 3000, part_chars: int = 1 << 20, span: int = 1024) -> DataFrame:
+    """The chunks of section_chunks in parts of about part_chars characters: no row holds more than that and one fragment.
+
+    Parts in the order of `part`, joined by spaces, are the content; numbers may be missing where a fragment is longer than
+    a part. ord of fragments is a whole number: a fragment's place is a sum over ranges of `span` numbers and one within
+    its range, so that one large section is not one task.
+    """
+    order = Window.partitionBy("document_id").orderBy("ord", "path")
+    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.col("chunk_index") < most)
+    said = fragments.select(F.col("path").alias("fragment_path"), F.col("ord").alias("fragment_ord"), F.trim("text").alias("text")).filter("text <> ''")
+    # places are found from lengths alone; the texts move to join them and to be put together
+    light = said.groupBy("fragment_path", "fragment_ord").agg(F.sum(F.length("text").cast("bigint") + 1).alias("size"))
+    rows = ancestors(light, "fragment_path").join(numbered, F.col("path") == F.col("ancestor")).select("__path", "document_id", "chunk_index", "heading").join(light, F.col("__path") == F.col("fragment_path")).drop("__path")
+    rows = rows.withColumn("range", F.floor(F.col("fragment_ord") / span))
+    upto = Window.partitionBy("document_id", "chunk_index").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("document_id", "chunk_index", "range").agg(F.sum("size").alias("range_size"))
+    starts = sums.select("document_id", "chunk_index", "range", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("document_id", "chunk_index", "range").orderBy("fragment_ord", "fragment_path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["document_id", "chunk_index", "range"])
+    placed = placed.select("document_id", "chunk_index", "heading", F.floor((F.col("start") + F.col("inner")) / part_chars).alias("part"), "fragment_path", "fragment_ord")
+    texts = F.array_sort(F.collect_list(F.struct("fragment_ord", "fragment_path", "text")))
+    whole = placed.join(said, ["fragment_path", "fragment_ord"])
+    return whole.groupBy("document_id", "chunk_index", "heading", "part").agg(F.array_join(F.transform(texts, lambda x: x["text"]), " ").alias("content"))

@@ -164,6 +164,16 @@ def hydrated_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hydrated(chunks, stored).select(F.col("id").alias("doc_id"), "content")
 
 
+@query("hydrated_content_whole", "select doc_id, text as content from documents")
+def hydrated_content_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hydrated_content over whole texts, of which a third is in the store."""
+    docs = table(spark, sf_dir, "documents")
+    moved = F.col("doc_id") % 3 == 0
+    chunks = docs.select(F.col("doc_id").alias("id"), F.when(moved, F.lit("")).otherwise(F.col("text")).alias("content"))
+    stored = docs.filter(moved).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return retrieval.hydrated(chunks, stored).select(F.col("id").alias("doc_id"), "content")
+
+
 @query(
     "last_turns",
     "with r as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc) as rn from conversations where trim(coalesce(text, '')) <> '') select conv_id, turn, role from r where rn <= 4",
@@ -235,3 +245,12 @@ def descendant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = docs.select(F.lit(1).alias("document_id"), F.concat(F.lit("a/"), "source").alias("path"), F.col("source").alias("heading"), F.col("source").alias("ord")).distinct()
     fragments = docs.select(F.concat_ws("/", F.lit("a"), "source", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("text"))
     return versions.section_chunks(nodes, fragments)
+
+
+@query("descendant_text_whole")
+def descendant_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """descendant_text over whole texts, in parts of bounded size."""
+    docs = table(spark, sf_dir, "documents")
+    nodes = docs.select(F.lit(1).alias("document_id"), F.concat(F.lit("a/"), "source").alias("path"), F.col("source").alias("heading"), F.col("source").alias("ord")).distinct()
+    fragments = docs.select(F.concat_ws("/", F.lit("a"), "source", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"), "text")
+    return versions.section_parts(nodes, fragments)

@@ -157,3 +157,29 @@ def test_sources(spark, tmp_path):
     assert [r["target"] for r in pages.links(html, same_host=True).collect()] == ["/x"]
     found = files.sections(spark.createDataFrame([("d", 1, "obsah"), ("d", 2, "Zpráva x"), ("d", 3, "yyy"), ("d", 4, "zzz")], "document_id string, page_no int, text string"), "^Zpráva", 10)
     assert sorted(r["page_no"] for r in found.collect()) == [2, 3]
+
+
+def test_section_parts_hold_whole_texts(spark):
+    from inkwell.operators import versions
+
+    texts = {k: None if k == 9 else " " * (k % 7 == 0) + f"text {k} " * (1 + k * 37 % 90) for k in range(60)}
+    source = lambda k: "big" if k % 3 else "small"
+    fragments = spark.createDataFrame([(f"a/{source(k)}/{k}", k, t) for k, t in texts.items()], "path string, ord bigint, text string")
+    nodes = spark.createDataFrame([(1, "a", "all", 0), (1, "a/big", "big", 1), (1, "a/none", "none", 2), (1, "a/small", "small", 3)], "document_id int, path string, heading string, ord int")
+    rows = sorted(versions.section_parts(nodes, fragments, part_chars=500, span=8).collect(), key=lambda r: (r["chunk_index"], r["part"]))
+    longest = max(len(t or "") for t in texts.values())
+    assert len(rows) > 20 and all(len(r["content"]) <= 500 + longest for r in rows)
+    for at, inside in ((0, lambda k: True), (1, lambda k: source(k) == "big"), (2, lambda k: False), (3, lambda k: source(k) == "small")):
+        want = " ".join(t.strip(" ") for k, t in texts.items() if inside(k) and t and t.strip(" "))
+        assert " ".join(r["content"] for r in rows if r["chunk_index"] == at) == want
+
+
+def test_descendant_text_whole_loses_nothing(spark):
+    from inkwell.plans import registry
+    from inkwell.session import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "source", "text").collect()
+    rows = registry.queries()["descendant_text_whole"](spark, "/root/testdata/sf0.001").collect()
+    for source in {r["source"] for r in docs}:
+        want = " ".join(r["text"].strip(" ") for r in sorted(docs, key=lambda r: r["doc_id"]) if r["source"] == source and (r["text"] or "").strip(" "))
+        assert " ".join(r["content"] for r in sorted(rows, key=lambda r: r["part"]) if r["heading"] == source) == want
