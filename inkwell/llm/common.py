@@ -11,7 +11,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that Spark puts into one Arrow batch; a batch is held by one worker as a whole.
@@ -112,12 +114,40 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
-def clash_free(names: list[str], wanted: str) -> str:
-    """`wanted`, or the same with underscores appended until no column (whatever the case) is called so."""
-    taken = {n.lower() for n in names}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+class Packed:
+    """The columns of a table by place, so that names don't matter: spaces, dots, repeated names and any case.
+
+    rows() has the text (or None) and the others as one struct `row`; columns() gives them back under their names, but for
+    those in `without` (compared as Spark does, without case), which the operator replaces or leaves out.
+    """
+
+    def __init__(self, docs: DataFrame, without: tuple[str, ...] = ()):
+        self.names = docs.columns
+        self.docs = docs.toDF(*[f"c{k}" for k in range(len(self.names))])
+        gone = {x.lower() for x in without}
+        self.kept = [k for k, name in enumerate(self.names) if name.lower() not in gone]
+
+    def column(self, name: str) -> Column:
+        """The column of that name: written the same if there is one, else the one that differs in case only."""
+        found = [k for k, x in enumerate(self.names) if x == name] or [k for k, x in enumerate(self.names) if x.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"there is no column {name} among {self.names}")
+        return F.col(f"c{found[0]}")
+
+    def row(self) -> Column:
+        # a struct needs a field
+        return F.struct(*[F.col(f"c{k}") for k in self.kept], *([] if self.kept else [F.lit(True).alias("none")])).alias("row")
+
+    def rows(self, text: str | None = None, *more: Column) -> DataFrame:
+        return self.docs.select(*([self.column(text).alias("text")] if text else []), self.row(), *more)
+
+    def schema(self, more: str) -> StructType:
+        """The row's type and the columns of a DDL string after it."""
+        kind = self.rows().schema["row"].dataType
+        return StructType([StructField("row", kind), *StructType.fromDDL(more).fields])
+
+    def columns(self) -> list[Column]:
+        return [F.col("row").getField(f"c{k}").alias(self.names[k]) for k in self.kept]
 
 
 def trimmed() -> None:

@@ -1,18 +1,24 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts n-grams over all training texts. Each input task counts its own tokens first (sorting, no Python object
-per token), so what is shuffled are partial counts, as blobs dealt by ranges of the hashed n-gram. n-grams that occur at
-least `min_count` times become states; an arc's weight is an interpolated, absolutely discounted log-probability, and each
-state has a failure arc to its longest proper suffix whose weight is what the discounts left over. One left-to-right
-traversal of a text carries the state and adds the weights; it is done for all texts of a batch at once, order by order:
-the state after a token at order k is the arc of the token from the state of order k - 1 before it.
-
-The automaton lies in the shared folder as sorted arrays that workers map, so workers of a machine share its pages.
+States are the n-grams of the training texts, up to `order` words, each named by a 64-bit hash that the words alone decide;
+so no state waits for another's number and every step is spread over ranges of hashes. Training is one pass: a task counts
+its own n-grams of all orders first (sorting, no Python object per token) and deals sorted, packed counts by (order, range);
+one task adds up a range and writes it as a sorted array. Nothing is joined or put together afterwards.
+
+Weights come from counts by Bayesian smoothing. At a state h with count c(h) the arc of a word w weighs
+    P(w | h) = (c(h w) + m * P(w | h')) / (c(h) + m)
+where h' is the longest proper suffix of h; without that arc the failure arc, which weighs m / (c(h) + m), leads to h'. As each
+word of a text but its end is followed by a token, the arcs of a state sum to one with what the failure arc leaves over.
+A left-to-right traversal carries the state and adds the weights, for all texts of a batch at once, order by order.
 Unknown words are one class; its probability is the share of words seen once (Good-Turing).
+
+Scoring sorts a batch's n-grams and walks the ranges in order, so it holds one range at a time; ranges on a mounted path are
+mapped, others are read for the batch and dropped. Counts are 64-bit; ranges grow in number with the input, not in size.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +31,20 @@ from inkwell.llm import artifacts, common, textkit
 from inkwell.llm.neardup import grouped
 
 SHARD_BYTES = 4 << 20
-#: Bytes of input for each range of hashed n-grams; a range is counted by one task.
-RANGE_BYTES = 12 << 20
-BLOB_KEYS = 1 << 14
-CHUNK = 1 << 20
+#: Bytes of training text for each range of hashed n-grams; a range is added up by one task.
+RANGE_BYTES = 48 << 20
+#: n-grams of one order that a task gathers before it deals them.
+KEEP_KEYS = 3 << 20
+BLOB_KEYS = 1 << 17
+ORDER = 3
+#: m by order: how many observations the shorter context counts for.
+SMOOTHING = (0.0, 5.0, 3.0, 2.0, 2.0)
 END = np.uint64(0x5851F42D4C957F2D)
-_KEEP_KEYS = 1 << 21
+#: Counts from here on stand in a list of their own beside the array of bytes.
+MANY = 255
+OPEN_RANGES = 300
+
+_PLACES = textkit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -47,293 +61,203 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-_M1, _M2 = 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
-
-
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """The inverse of textkit.mixed, which is one to one."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(pow(_M2, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
-    x = x * np.uint64(pow(_M1, -1, 1 << 64))
-    return x ^ (x >> np.uint64(32))
-
-
-@dataclass
-class Level:
-    """States of one order: sorted keys, where each range of keys begins, counts, arc weights and failure weights."""
-
-    keys: np.ndarray
-    starts: np.ndarray
-    bits: int
-    counts: np.ndarray
-    arcs: np.ndarray | None = None
-    failures: np.ndarray | None = None
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Numbers of the states of these keys, -1 where there is none."""
-        out = np.full(len(wanted), -1, dtype=np.int64)
-        if not len(self.keys):
-            return out
-        part = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end = self.starts[part].astype(np.int64), self.starts[part + 1]
-        left = np.flatnonzero(at < end)
-        while len(left):
-            here = at[left]
-            same = self.keys[here] == wanted[left]
-            out[left[same]] = here[same]
-            at[left] += 1
-            left = left[~same]
-            left = left[at[left] < end[left]]
-        return out
+def states(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the names of the n-grams that end at each token, and whether one does (not across texts)."""
+    place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+    sums = np.zeros(len(hashes), dtype=np.uint64)
+    for k in range(order):
+        sums[k:] += hashes[: len(hashes) - k] * _PLACES[k]
+        yield textkit.mixed(sums + np.uint64(k)), place >= k
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.sort(values)
+    new = np.flatnonzero(textkit.heads(values))
+    return values[new], np.diff(np.append(new, len(values)))
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists with counts as one."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    new = np.flatnonzero(textkit.heads(k))
+    return k[new], np.add.reduceat(c, new) if len(k) else c
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys by their differences and counts, byte by byte of equal weight, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), 8).T).tobytes() for x in (steps, counts.astype(np.int64))]
+    return bytes(pa.Codec("zstd", compression_level=1).compress(b"".join(planes)))
+
 
+def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=16 * n), dtype=np.uint8)
+    keys, counts = (np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).reshape(-1) for at in (0, 8 * n))
+    return np.cumsum(keys.view(np.uint64), dtype=np.uint64), counts.view(np.int64)
 
-@dataclass
+
+@dataclass(frozen=True)
 class Automaton:
-    """Where the automaton lies and its totals: order, training tokens N, distinct V, those seen once."""
+    """Where the automaton lies, bits of a range's number, and its totals: order, training tokens N, distinct V, those seen once."""
 
     folder: str
     order: int
+    range_bits: int
     n: int
     distinct: int
     once: int
 
-    def levels(self, weighted: bool = True) -> list[Level]:
-        """Levels that are complete so far; mapped once a worker."""
-        known = _LOADED.setdefault((self.folder, self.order, weighted), [])
-        while len(known) < self.order:
-            k = len(known) + 1
-            read = lambda what, kind, k=k: artifacts.read(f"{self.folder}/{k}-{what}", kind)
-            starts = read("starts", np.uint32)
-            known.append(Level(read("keys", np.uint64), starts, (len(starts) - 1).bit_length() - 1, read("counts", np.int64), read("arcs", np.float32) if weighted else None, read("failures", np.float32) if weighted and k < self.order else None))
-        return known
-
     def unknown(self) -> float:
         """Probability of the class of unknown words."""
         return max(self.once, 1) / (self.n + max(self.once, 1))
 
+    def counts(self, order: int, wanted: np.ndarray) -> np.ndarray:
+        """How often the n-grams of these names occurred; 0 for those that are no states."""
+        out = np.zeros(len(wanted), dtype=np.int64)
+        by_name = np.argsort(wanted)
+        names = wanted[by_name]
+        bounds = np.searchsorted(names, np.arange(1, 1 << self.range_bits, dtype=np.uint64) << np.uint64(64 - self.range_bits)) if self.range_bits else []
+        cuts = [0, *np.asarray(bounds).tolist(), len(names)]
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                keys, few, at_many, many = self._range(order, part)
+                if not len(keys):
+                    continue
+                at = np.minimum(np.searchsorted(keys, names[a:b]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == names[a:b])
+                n = few[at[hit]].astype(np.int64)
+                large = np.flatnonzero(n == MANY)
+                n[large] = many[np.searchsorted(at_many, at[hit[large]])]
+                out[by_name[a + hit]] = n
+        return out
 
-_LOADED: dict = {}
-
-
-def walk(levels: list[Level], hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each order the state after each token, -1 where the n-gram that ends there is none."""
-    states = [levels[0].find(hashes)]
-    inside = np.ones(len(hashes), dtype=bool)
-    inside[first[:-1]] = False
-    for level in levels[1:]:
-        states.append(np.full(len(hashes), -1, dtype=np.int64))
-        at = np.flatnonzero(inside[1:] & (states[-2][:-1] >= 0) & (states[0][1:] >= 0)) + 1
-        states[-1][at] = level.find(arc_keys(states[-2][at - 1], states[0][at]))
-    return states
-
+    def _range(self, order: int, part: int) -> tuple[np.ndarray, ...]:
+        if (self.folder, order, part) in _RANGES:
+            _RANGES.move_to_end((self.folder, order, part))
+            return _RANGES[self.folder, order, part]
+        name = f"{self.folder}/{order}-{part}"
+        found = tuple(artifacts.read(f"{name}-{what}", kind) for what, kind in (("keys", np.uint64), ("few", np.uint8), ("at", np.int64), ("many", np.int64)))
+        if isinstance(found[0], np.memmap):
+            _RANGES[self.folder, order, part] = found
+            while len(_RANGES) > OPEN_RANGES:
+                _RANGES.popitem(last=False)
+        return found
 
-def arc_keys(states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return textkit.mixed(states.astype(np.uint64) << np.uint64(32) | words.astype(np.uint64))
 
+_RANGES: OrderedDict = OrderedDict()
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    new = np.flatnonzero(textkit.heads(k))
-    return k[new], np.add.reduceat(c, new) if len(k) else c
 
+def _write_range(folder: str, order: int, part: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    large = np.flatnonzero(counts >= MANY)
+    for what, data in (("keys", keys), ("few", np.minimum(counts, MANY).astype(np.uint8)), ("at", large.astype(np.int64)), ("many", counts[large])):
+        with artifacts.Output(f"{folder}/{order}-{part}-{what}") as out:
+            out.write(data)
 
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    new = np.flatnonzero(textkit.heads(values))
-    return values[new], np.diff(np.append(new, len(values)))
 
+def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automaton:
+    """The automaton of all texts of docs; all n-grams of up to `order` words are states, however rare.
 
-def _count(rows: DataFrame, automaton: Automaton, order: int, range_bits: int, min_count: int) -> tuple[list, int, int, int]:
-    """Count the n-grams of one order; files of the ranges (in order), kept n-grams, their total, those seen once."""
-    spark = rows.sparkSession
+    Null and empty texts are an end alone. Repeated rows count each time. Texts of any length are counted whole. An empty
+    table gives an automaton without states. Columns other than the text don't matter. See released().
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    rows = docs.select(F.col(f"`{text}`").alias("text"))
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = max(2, (size // RANGE_BYTES).bit_length())
+    folder = common.new_folder(spark, "lm")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        held: list[tuple[list, list]] = [([], []) for _ in range(order)]
         for part in common.gathered(batches, 0, SHARD_BYTES):
-            hashes, first = tokens(part.column(0))
-            if order > 1:
-                states = walk(automaton.levels(False), hashes, first)
-                inside = np.ones(len(hashes), dtype=bool)
-                inside[first[:-1]] = False
-                at = np.flatnonzero(inside[1:] & (states[-1][:-1] >= 0) & (states[0][1:] >= 0)) + 1
-                hashes = arc_keys(states[-1][at - 1], states[0][at])
-            k, c = _counted(hashes)
-            keys.append(k)
-            counts.append(c)
-            if sum(map(len, keys)) > _KEEP_KEYS and len(keys) > 1:
-                k, c = _merged(keys, counts)
-                keys, counts = [k], [c]
-                if len(k) > _KEEP_KEYS:
-                    yield from _dealt(k, c, range_bits)
-                    keys, counts = [], []
-        if keys:
-            yield from _dealt(*_merged(keys, counts), range_bits)
+            for k, (names, inside) in enumerate(states(*tokens(part.column(0)), order)):
+                keys, counts = held[k]
+                for x, into in zip(counted(names[inside]), (keys, counts), strict=True):
+                    into.append(x)
+                if sum(map(len, keys)) > KEEP_KEYS:
+                    yield from _dealt(k + 1, *added(keys, counts), bits)
+                    held[k] = ([], [])
+        for k, (keys, counts) in enumerate(held):
+            if keys:
+                yield from _dealt(k + 1, *added(keys, counts), bits)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["part"]):
-            number = group.column("part")[0].as_py()
-            k, c = _merged([np.frombuffer(x, dtype=np.uint64) for x in group.column("keys").to_pylist()], [np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in group.column("counts").to_pylist()])
-            once, tokens_ = int(np.count_nonzero(c == 1)), int(c.sum())
-            kept = c >= min_count
-            for what, data in (("keys", k[kept]), ("counts", c[kept])):
-                with artifacts.Output(f"{automaton.folder}/{order}-parts/{number}-{what}") as out:
-                    out.write(data)
-            yield pa.RecordBatch.from_pydict({"part": [number], "kept": [int(kept.sum())], "tokens": [tokens_], "once": [once]})
-
-    dealt = rows.select("text").mapInArrow(partial, "part bigint, keys binary, counts binary")
-    parts = dealt.repartition(1 << range_bits, "part").sortWithinPartitions("part").mapInArrow(total, "part bigint, kept bigint, tokens bigint, once bigint")
-    found = sorted(common.written(parts, "lm-parts").collect())  # a row for each range
-    return [r["part"] for r in found], sum(r["kept"] for r in found), sum(r["tokens"] for r in found), sum(r["once"] for r in found)
-
-
-def _dealt(keys: np.ndarray, counts: np.ndarray, range_bits: int) -> Iterator[pa.RecordBatch]:
-    part = (keys >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(keys), dtype=np.int64)
-    cuts = np.searchsorted(part, np.arange((1 << range_bits) + 1))
-    for number, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        for group in grouped(batches, ["part", "level"]):
+            level, part = group.column("level")[0].as_py(), group.column("part")[0].as_py()
+            blobs = [_unpacked(x, n) for x, n in zip(group.column("blob").to_pylist(), group.column("n").to_pylist(), strict=True)]
+            del group
+            keys, counts = added(*(list(x) for x in zip(*blobs, strict=True)))
+            del blobs
+            _write_range(folder, level, part, keys, counts)
+            yield pa.RecordBatch.from_pydict({"level": [level], "part": [part], "states": [len(keys)], "tokens": [int(counts.sum())], "once": [int(np.count_nonzero(counts == 1))]})
+
+    dealt = rows.mapInArrow(partial, "part bigint, level bigint, n bigint, blob binary")
+    # a range's number is its partition's, so tasks have one range each
+    parts = dealt.repartitionById(1 << bits, F.col("part").cast("int")).sortWithinPartitions("part", "level").mapInArrow(total, "level bigint, part bigint, states bigint, tokens bigint, once bigint")
+    written = common.written(parts, "lm-parts")
+    sums = written.filter("level = 1").agg(F.sum("tokens"), F.sum("states"), F.sum("once")).first()
+    # ranges without n-grams have files, too
+    have = written.groupBy("level").agg(F.collect_set("part").alias("parts")).collect()  # a number for each range
+    common.dropped(written)
+    known = {r["level"]: set(r["parts"]) for r in have}
+    for level in range(1, order + 1):
+        for part in set(range(1 << bits)) - known.get(level, set()):
+            _write_range(folder, level, part, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    return Automaton(folder, order, bits, *(int(x or 0) for x in sums))
+
+
+def _dealt(level: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    cuts = [0, *np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(keys)]
+    for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         for at in range(a, b, BLOB_KEYS):
             end = min(b, at + BLOB_KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([keys[at:end].tobytes()], pa.binary()), pa.array([counts[at:end].astype(np.uint32).tobytes()], pa.binary())], names=["part", "keys", "counts"])
-
-
-def _assemble(automaton: Automaton, order: int, parts: list[int], kept: int, discount: float) -> None:
-    """Join the ranges of one order to one array and weigh its arcs; runs in a task, streaming in chunks."""
-    folder = automaton.folder
-    bits = max(1, min(31, kept.bit_length()))
-    tally = np.zeros((1 << bits) + 1, dtype=np.uint32)
-    with artifacts.Output(f"{folder}/{order}-keys") as out:
-        for part in parts:
-            keys = artifacts.read(f"{folder}/{order}-parts/{part}-keys", np.uint64)
-            out.write(keys)
-            for at in range(0, len(keys), CHUNK):
-                which, n = _counted(np.asarray(keys[at : at + CHUNK] >> np.uint64(64 - bits)).astype(np.int64))
-                tally[which + 1] += n.astype(np.uint32)
-    with artifacts.Output(f"{folder}/{order}-counts") as out:
-        for part in parts:
-            out.write(artifacts.read(f"{folder}/{order}-parts/{part}-counts", np.int64))
-    np.cumsum(tally, out=tally)
-    with artifacts.Output(f"{folder}/{order}-starts") as out:
-        out.write(tally)
-    keys = artifacts.read(f"{folder}/{order}-keys", np.uint64)
-    counts = artifacts.read(f"{folder}/{order}-counts", np.int64)
-    if order == 1:
-        with artifacts.Output(f"{folder}/1-arcs") as out:
-            for at in range(0, len(counts), CHUNK):
-                out.write(np.log10(counts[at : at + CHUNK] / (automaton.n + max(automaton.once, 1))).astype(np.float32))
-        return
-    lower = Automaton(folder, order - 1, automaton.n, automaton.distinct, automaton.once).levels(False)
-    below = lower[-1]
-    spent = np.zeros(len(below.keys))
-    for at in range(0, len(keys), CHUNK):
-        state = (unmixed(np.asarray(keys[at : at + CHUNK])) >> np.uint64(32)).astype(np.int64)
-        np.add.at(spent, state, counts[at : at + CHUNK] - discount)
-    rest = 1 - spent / np.maximum(below.counts, 1)
-    with artifacts.Output(f"{folder}/{order - 1}-failures") as out:
-        out.write(np.log10(np.maximum(rest, 1e-12)).astype(np.float32))
-    arcs_below = [artifacts.read(f"{folder}/{k}-arcs", np.float32) for k in range(1, order)]
-    failures_below = [artifacts.read(f"{folder}/{k}-failures", np.float32) for k in range(1, order - 1)]
-    with artifacts.Output(f"{folder}/{order}-arcs") as out:
-        for at in range(0, len(keys), CHUNK):
-            packed = unmixed(np.asarray(keys[at : at + CHUNK]))
-            state, word = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # the words of the context, last first, to walk its suffix
-            context, chain = state, []
-            for k in range(order - 1, 1, -1):
-                step = unmixed(np.asarray(lower[k - 1].keys[context]))
-                chain.append((step & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                context = (step >> np.uint64(32)).astype(np.int64)
-            weight = arcs_below[0][word].astype(np.float64)
-            suffix = np.zeros(0)
-            for k in range(2, order):
-                # the k-gram that ends in word: its context is the last k - 1 words of the state
-                suffix = chain[k - 2] if k == 2 else _suffix(lower, chain, k - 1)
-                found = lower[k - 1].find(arc_keys(suffix, word))
-                have = suffix >= 0
-                failed = np.where(have, failures_below[k - 2][np.maximum(suffix, 0)], 0) + weight
-                weight = np.where(have & (found >= 0), arcs_below[k - 1][np.maximum(found, 0)], failed)
-            share = np.maximum(counts[at : at + CHUNK] - discount, 0) / below.counts[state]
-            out.write(np.log10(share + rest[state] * 10**weight).astype(np.float32))
-
-
-def _suffix(lower: list[Level], chain: list[np.ndarray], length: int) -> np.ndarray:
-    """States of the last `length` words of the chain (last first), -1 where there is none."""
-    state = chain[length - 1]
-    for k in range(2, length + 1):
-        word = chain[length - k]
-        state = np.where(state >= 0, lower[k - 1].find(arc_keys(np.maximum(state, 0), word)), -1)
-    return state
-
-
-def train(docs: DataFrame, *, text: str = "text", order: int = 2, min_count: int = 2) -> Automaton:
-    """The automaton of all texts of docs (null: empty). Single words are all kept, longer n-grams from min_count occurrences."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    rows = docs.select(F.col(f"`{text}`").alias("text"))
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # not known for rows that don't come from files
-        size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    range_bits = max(2, min(20, (size // RANGE_BYTES).bit_length()))
-    automaton = Automaton(common.new_folder(spark, "lm"), 0, 0, 0, 0)
-    for k in range(1, order + 1):
-        parts, kept, total, once = _count(rows, automaton, k, range_bits, 1 if k == 1 else min_count)
-        if k == 1:
-            automaton = Automaton(automaton.folder, 0, total, kept, once)
-        known, discount = automaton, 0.75
-
-        def assemble(batches: Iterator[pa.RecordBatch], k=k, parts=parts, kept=kept, known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    _assemble(known, k, parts, kept, discount)
-                    yield batch
-
-        spark.range(0, 1, 1, 1).mapInArrow(assemble, "id bigint").collect()
-        common.delete(spark, f"{automaton.folder}/{k}-parts")
-        automaton = Automaton(automaton.folder, k, automaton.n, automaton.distinct, automaton.once)
-    return automaton
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([level], pa.int64()), pa.array([end - at], pa.int64()), pa.array([_packed(keys[at:end], counts[at:end])], pa.binary())], names=["part", "level", "n", "blob"])
+
+
+def released(spark, model: Automaton) -> None:
+    """Delete the automaton; nothing that is still to be computed may need it."""
+    common.delete(spark, model.folder)
+
+
+RESULTS = ("n_tokens", "n_known", "base_score", "score")
 
 
 def scored(docs: DataFrame, model: Automaton, *, text: str = "text") -> DataFrame:
     """docs without its text and n_tokens, n_known, base_score, score (log10) of each row.
 
-    Null texts are empty: one token, the end. Every row is scored by itself; columns called like the results are replaced.
+    Null texts are empty: one token, the end. Every row is scored by itself, repeated rows alike; texts of any length are
+    scored whole. Columns called like the results, in whatever case, are replaced; an empty table gives an empty table.
     Without training texts each token is unknown with probability 1.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    results = ["n_tokens", "n_known", "base_score", "score"]
-    kept = [c for c in docs.columns if c != text and c not in results]
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens bigint, n_known bigint, base_score double, score double"
+    common.small_batches(docs.sparkSession)
+    packed = common.Packed(docs, without=(text, *RESULTS))
+    rows = packed.rows(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = model.levels()
-        nothing = np.log10(model.unknown())
-        base_rest = np.log10(model.n + 0.5 * (model.distinct + 1))
+        rest = np.log10(model.n + 0.5 * (model.distinct + 1))
         for part in common.gathered(batches, 0, SHARD_BYTES):
             hashes, first = tokens(part.column(0))
-            states = walk(levels, hashes, first)
-            known = states[0] >= 0
-            word = np.maximum(states[0], 0)
-            counts = np.where(known, levels[0].counts[word], 0) if len(levels[0].keys) else np.zeros(len(hashes))
-            base = np.log10(counts + 0.5) - base_rest
-            weight = np.where(known, levels[0].arcs[word], nothing) if len(levels[0].keys) else np.full(len(hashes), nothing)
-            weight = weight.astype(np.float64)
-            inside = np.ones(len(hashes), dtype=bool)
-            inside[first[:-1]] = False
-            for k in range(1, model.order):
-                before = np.full(len(hashes), -1, dtype=np.int64)
-                before[1:] = np.where(inside[1:], states[k - 1][:-1], -1)
-                if len(levels[k - 1].keys):
-                    weight += np.where(before >= 0, levels[k - 1].failures[np.maximum(before, 0)], 0)
-                if len(levels[k].keys):
-                    weight = np.where(states[k] >= 0, levels[k].arcs[np.maximum(states[k], 0)], weight)
-            starts = first[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(1), pa.array(np.diff(first)), *(pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, weight))],
-                names=["row", *results],
-            )
-
-    out = rows.mapInArrow(score, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *results)
+            p, counts, known, base = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
+            for k, (names, inside) in enumerate(states(hashes, first, model.order)):
+                before, counts = counts, np.zeros(len(hashes), dtype=np.int64)
+                if k == 0:
+                    counts = model.counts(1, names)
+                    known, base = counts > 0, np.log10(counts + 0.5) - rest
+                    p = np.where(known, counts / (model.n + max(model.once, 1)), model.unknown())
+                    continue
+                context = np.zeros(len(hashes), dtype=np.int64)
+                context[1:] = before[:-1]
+                context[~inside] = 0
+                at = np.flatnonzero((context > 0) & known)
+                counts[at] = model.counts(k + 1, names[at])
+                m = SMOOTHING[min(k, len(SMOOTHING) - 1)]
+                p = np.where(context > 0, (counts + m * p) / (context + m), p)
+            sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), base, np.log10(p))]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(first)), *map(pa.array, sums)], names=["row", *RESULTS])
+
+    out = rows.mapInArrow(score, packed.schema("n_tokens bigint, n_known bigint, base_score double, score double"))
+    return out.select(*packed.columns(), *RESULTS)

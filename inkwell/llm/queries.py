@@ -72,11 +72,14 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inkwell.llm import lm
+    from inkwell.llm import common, lm
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = lm.train(docs.filter(~lm.held_out()))
-    return lm.scored(docs, model).select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    found = lm.scored(docs, model).select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    found = common.written(found, "lm-scores")
+    lm.released(spark, model)
+    return found
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

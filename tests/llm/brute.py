@@ -75,41 +75,26 @@ def tokens(text):
     return [*VISIBLE.findall((text or "").translate(LOWER)), None]
 
 
-def lm(docs, order=2, min_count=2, discount=0.75):
+def lm(docs, order=3, smoothing=(0, 5, 3, 2, 2)):
     """n_tokens, n_known, base, score for (doc_id, text), by dictionaries and recursion."""
     train = [tokens(t) for d, t in docs if remainder(d) != 1]
-    counts = [Counter() for _ in range(order + 1)]
-    kept = [set() for _ in range(order + 1)]
-    for k in range(1, order + 1):
-        for words in train:
-            for i in range(len(words) - k + 1):
-                g = tuple(words[i : i + k])
-                if k == 1 or g[:-1] in kept[k - 1]:
-                    counts[k][g] += 1
-        kept[k] = {g for g, c in counts[k].items() if k == 1 or c >= min_count}
-    n, v = sum(counts[1].values()), len(counts[1])
-    once = max(1, sum(c == 1 for c in counts[1].values()))
-    spent = Counter()
-    for k in range(2, order + 1):
-        for g in kept[k]:
-            spent[g[:-1]] += (counts[k][g] - discount) / counts[k - 1][g[:-1]]
+    counts = Counter(tuple(words[i : i + k]) for words in train for k in range(1, order + 1) for i in range(len(words) - k + 1))
+    n, v = sum(map(len, train)), sum(len(g) == 1 for g in counts)
+    once = max(1, sum(c == 1 for g, c in counts.items() if len(g) == 1))
 
     def p(history, word):
         if not history:
-            return (counts[1][(word,)] or once) / (n + once)
+            return (counts[(word,)] or once) / (n + once)
+        m, c = smoothing[len(history)], counts[history]
         lower = p(history[1:], word)
-        if history not in kept[len(history)]:
-            return lower
-        g = (*history, word)
-        share = (counts[len(g)][g] - discount) / counts[len(history)][history] if g in kept[len(g)] else 0
-        return share + (1 - spent[history]) * lower
+        return (counts[(*history, word)] + m * lower) / (c + m) if c else lower
 
     out = []
     for d, t in docs:
         words = tokens(t)
-        base = sum(math.log10((counts[1][(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        base = sum(math.log10((counts[(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
         score = sum(math.log10(p(tuple(words[max(0, i - order + 1) : i]), w)) for i, w in enumerate(words))
-        out.append((d, remainder(d) == 1, len(words), sum(counts[1][(w,)] > 0 for w in words), n, base, score))
+        out.append((d, remainder(d) == 1, len(words), sum(counts[(w,)] > 0 for w in words), n, base, score))
     return sorted(out)
 
 
