@@ -119,6 +119,81 @@ def mixing_targets(sizes, share=1.5, limit=2.0, weights=(5, 2, 1)):
     return {s: (total[s], target[s]) for s in names}
 
 
+def mixing_rates(cells, targets, limit=2.0):
+    """Rates by (source, class), for cells {source: {class: mass}}: nested bisection on the tilt and on each source's lambda."""
+    total = sum(m for by in cells.values() for m in by.values())
+    mean = sum(m * c for by in cells.values() for c, m in by.items()) / total
+
+    def rate(lam, mu, c):
+        return math.exp(min(math.log(limit), lam + mu * (c - mean)))
+
+    def lam_for(source, mu):
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(m * rate(mid, mu, c) for c, m in cells[source].items()) < targets[source] else (low, mid)
+        return high
+
+    def moment(mu):
+        return sum(m * (c - mean) * rate(lam_for(s, mu), mu, c) for s, by in cells.items() for c, m in by.items())
+
+    low, high = -1.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if moment(mid) < 0 else (low, mid)
+    return {(s, c): rate(lam_for(s, low), low, c) for s, by in cells.items() for c in by}
+
+
+def mixing(docs, share=1.5, limit=2.0, close=5e-4):
+    """doc_id -> words taken, for (doc_id, source, size) with different doc_ids."""
+    import struct
+
+    import xxhash
+
+    known = mixing_targets([(s, n) for _, s, n in docs], share, limit)
+    cells = {}
+    for _, s, n in docs:
+        if n:
+            by = cells.setdefault(s, {})
+            by[n.bit_length()] = by.get(n.bit_length(), 0) + n
+    rates = mixing_rates(cells, {s: t for s, (_, t) in known.items()}, limit)
+    taken = {}
+    for s, (_, target) in known.items():
+        rows, gap = [], target
+        for k, source, n in docs:
+            if source != s:
+                continue
+            r = rates[s, n.bit_length()] if n else 0.0
+            base = math.floor(r + 1e-9)
+            h = 42
+            for data in (str(k).encode(), struct.pack("<q", n), struct.pack("<i", 20260101)):
+                h = xxhash.xxh64(data, seed=h).intdigest()
+            uniform = ((h >> 11) + 0.5) / 2**53
+            part = max(0.0, r - base)
+            taken[k] = base * n
+            gap -= base * n
+            if n and base < limit:
+                rows.append((uniform / (uniform + part), n, k))
+        rows.sort()
+        half = False
+        while gap > close * target:
+            fits = [x for x in rows if x[1] <= (gap / 2 if half else gap)]
+            if not fits and not half:
+                break
+            left = gap
+            for x in fits:
+                if x[1] > left:
+                    break
+                left -= x[1]
+                taken[x[2]] += x[1]
+                rows.remove(x)
+            gap, half = left, not half
+        if gap > close * target and (near := [x for x in rows if x[1] < 2 * gap]):
+            best = min(near, key=lambda x: (abs(x[1] - gap), x[0]))
+            taken[best[2]] += best[1]
+    return taken
+
+
 def chat(turns):
     """conv_id -> digests of the turns and of the assistant's words."""
     by = defaultdict(list)

@@ -242,40 +242,56 @@ def test_mixing(spark, odd, none):
 def test_mixing_comes_near(spark):
     rows = [(k, "w " * (1 + k * 7919 % 300), f"s{k % 6}" if k % 3 else "s0") for k in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    taken = mixing.mixed(docs, with_rows=True).groupBy("row.source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    taken = mixing.taken_rows(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
     assert all(abs(r["taken"] - r["target"]) <= 0.001 * r["target"] + 1 for r in taken.collect())
 
 
+def test_mixing_row_by_row(spark):
+    """Each document's words, as a plain version with another solver deals them; rates rise or fall with the length."""
+    sizes = [1 + k * 7919 % 400 if k % 5 else 1 + k * 31 % 9 for k in range(900)]
+    rows = [(k, f"s{k % 7}" if k % 4 else None, n * (3 if k % 7 == 2 else 1)) for k, n in enumerate(sizes)] + [(5000, "s1", 60_000), (5001, "long", 70_000), (5002, "none", 0)]
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, s, n in rows], "doc_id bigint, text string, source string")
+    want = brute.mixing(rows)
+    got = dict(collected(mixing.mixed(docs), "doc_id", "taken"))
+    assert got == want
+    targets, taken = brute.mixing_targets([(s, n) for _, s, n in rows]), {}
+    for k, s, _ in rows:
+        taken[s] = taken.get(s, 0) + got[k]
+    assert all(abs(taken[s] - t) <= 0.001 * t + 10 for s, (_, t) in targets.items() if s not in ("s1", "long"))
+
+
 def test_mixing_goes_on_past_documents_that_do_not_fit(spark):
-    """A long document early in the order leaves the others their share; down-weighted sources, too; equal keys go together."""
-    draw = lambda k, n: spark.range(1).select(mixing.drawn(F.lit(k).cast("bigint"), F.lit(n).cast("bigint"))).first()[0]
-    early = sorted(range(10_000, 10_040), key=lambda k: draw(k, 60_000))[4]
-    rows = [(k, 100, "s") for k in range(400)] + [(early, 60_000, "s")] + [(k, 37, "t") for k in range(200)] + [(early + 1, 9_000, "t"), (7_000, 41, "t"), (7_000, 41, "t")]
-    light = spark.createDataFrame(rows, "key bigint, size bigint, source string").withColumn("draw", mixing.drawn(F.col("key"), F.col("size")))
-    light = light.withColumn("total", F.when(F.col("key") == 7_000, 82).otherwise(F.col("size")).cast("bigint"))
-    for target_s, target_t, lam in ((130_000.0, 3_000.0, 0.2), (61_500.0, 9_040.0, -0.1)):
-        wanted = spark.createDataFrame([("s", 100_000, target_s), ("t", 16_482, target_t)], "source string, source_size bigint, target double")
-        duals = spark.createDataFrame([("s", lam), ("t", -0.5)], "source string, lam double")
-        plan = {r["source"]: r for r in mixing.rounded(light, wanted, duals).collect()}
+    """Long documents early in the order leave the others their share; equal draws go together."""
+    rows = [("s", 100, k * 1000) for k in range(400)] + [("s", 60_000, 4_500)] + [("t", 37, k * 1000 + 1) for k in range(200)] + [("t", 9_000, 7), ("t", 41, 99), ("t", 41, 99)]
+    light = spark.createDataFrame([(s, n, 0 if n != 37 else 1, (1 << 40) + d) for s, n, d in rows], "source string, size bigint, base bigint, draw bigint").withColumn("total", F.when(F.col("size") == 41, 82).otherwise(F.col("size")).cast("bigint"))
+    for target_s, target_t in ((30_000.0, 7_400.0 + 3_000.0), (61_500.0, 7_400.0 + 9_040.0)):
+        wanted = spark.createDataFrame([("s", target_s), ("t", target_t)], "source string, target double")
+        plan = {r["source"]: r for r in mixing.rounded(light, wanted, n=2).collect()}
         for source, target in (("s", target_s), ("t", target_t)):
             p = plan[source]
             own = [r for r in light.collect() if r["source"] == source]
-            extra = {(r["key"], r["size"]) for r in own if any(r["total"] <= s["most"] and r["draw"] <= s["cut"] for s in p["steps"]) or r["draw"] in p["extras"]}
-            got = sum(r["size"] * (p["base"] + ((r["key"], r["size"]) in extra)) for r in own)
-            left = [r["total"] for r in own if (r["key"], r["size"]) not in extra]
-            assert abs(target - got) <= min(left, default=0), (source, target, got)
-
-
-def test_dual_with_a_tilt_meets_its_constraints(spark):
-    counts = spark.createDataFrame([("a", s, 10) for s in range(1, 50)] + [(None, 5, 100)], "source string, size bigint, n bigint")
-    wanted = spark.createDataFrame([("a", 6000.0), (None, 100.0)], "source string, target double")
-    tilt = F.log(1 + F.col("size")) / 4
-    lam = {r["source"]: r["lam"] for r in mixing.balanced(counts, wanted, tilt=tilt).collect()}
-    import math
-
-    for source, target in (("a", 6000.0), (None, 100.0)):
-        have = sum(r["n"] * r["size"] * math.log(1 + r["size"]) / 4 * min(2, math.exp(lam[source] * math.log(1 + r["size"]) / 4)) for r in counts.collect() if r["source"] == source)
-        assert have == pytest.approx(target, rel=1e-6)
+            extra = [any(r["total"] <= s["most"] and r["draw"] <= s["cut"] for s in p["steps"]) or r["draw"] in p["extras"] for r in own]
+            got = sum(r["size"] * (r["base"] + e) for r, e in zip(own, extra, strict=True))
+            left = [r["total"] for r, e in zip(own, extra, strict=True) if not e]
+            assert abs(target - got) <= max(mixing.CLOSE * target, min(left, default=0)), (source, target, got)
+
+
+def test_dual_meets_its_constraints(spark):
+    """Tokens by source and the mean length class of the mix, with a source at its limit and one of null."""
+    masses = {"a": {4: 300.0, 9: 5000.0}, "b": {4: 4000.0, 6: 900.0}, None: {5: 100.0}, "full": {7: 70.0}}
+    targets = {"a": 2000.0, "b": 7000.0, None: 60.0, "full": 140.0}
+    total = sum(sum(by.values()) for by in masses.values())
+    mean = sum(c * m for by in masses.values() for c, m in by.items()) / total
+    rows = spark.createDataFrame(
+        [(s, float(sum(by.values())), targets[s], [(c, c - mean, m) for c, m in by.items()]) for s, by in masses.items()],
+        "source string, source_size double, target double, cells array<struct<class:int,x:double,mass:double>>",
+    )
+    state, mu = mixing.balanced(rows)
+    rate = {(r["source"], r["class"]): r["base"] + r["part"] for r in mixing.rates(state, mu).collect()}
+    for s, by in masses.items():
+        assert sum(m * rate[s, c] for c, m in by.items()) == pytest.approx(targets[s], rel=1e-6)
+    assert rate == pytest.approx(brute.mixing_rates(masses, targets), rel=1e-5)
+    assert abs(mu) > 0.01 and rate["a", 4] != pytest.approx(rate["a", 9])
 
 
 def test_chat(spark):
