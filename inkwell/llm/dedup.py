@@ -1,21 +1,33 @@
 """Exact dedup as a log-structured merge index, in DataFrame operations only.
 
-flush: each input task is a memtable; it writes one run of (digest, doc_id, ...) sorted by digest, with a Bloom
-filter and min/max statistics for it. compact: runs merge to the smallest identifier and the row count of each
-digest; counts are combined before the shuffle, so a digest with any share of the rows is no hot key. verify: the
-texts of digests with more than one row are compared byte by byte (grouped by the text itself, combined before the
-shuffle). Rows with a digest of their own never move.
+Rows arrive in batches. A batch is a memtable: its digests are combined (smallest identifier, number of rows) and flushed as
+a run - sorted by digest, with its smallest and largest digest and a filter, a bitmap with about FILTER_BITS bits a digest.
+Before that the batch is looked up in the runs there are: digests outside a run's range or not in its filter need no look;
+a run that no digest of the batch passes is skipped and not read; in the others the candidates are joined. FANOUT runs of a level
+are merged into one of the next, keeping each digest's smallest identifier. Only digests that were hit, or that a batch
+itself holds twice, can be groups; all others keep their own row and are moved no more.
+
+Hits receive byte verification: the texts of groups are compared as texts (grouped by the text, combined before the shuffle).
+Whatever is counted is combined before a shuffle, so a digest with any share of the rows is no hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import common
 
-#: Keys of duplicate groups that may be broadcast (about 100 bytes each); more of them are joined by a shuffle.
+#: Rows of (digest, identifier) or (identifier) that may be broadcast: about 100 bytes each; more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
+#: Rows of filters that may be broadcast: FILTER_ROW_BYTES each.
+BROADCAST_FILTERS = 8_000
+FILTER_BITS = 16
+FILTER_ROW_BYTES = 4096
+FANOUT = 4
+BATCHES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -23,86 +35,245 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def flush(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sorted runs (digest, id) of all rows, one for each task, written with Bloom filters; no shuffle."""
-    spark = docs.sparkSession
-    rows = docs.select(F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), F.col(f"`{key}`").alias("id"))
-    path = common.new_folder(spark, "dedup-runs")
-    rows.sortWithinPartitions("digest", "id").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-    out = spark.read.schema(rows.schema).parquet(path)
-    out._inkwell_path = path
+def digest_of(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def near(df: DataFrame, keys: int, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has few enough rows, else as it is (shuffle join; AQE splits hot keys)."""
+    return F.broadcast(df) if keys <= (BROADCAST_GROUPS if most is None else most) else df
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """One row for each digest of (digest, id, ties, n): smallest id (null only if all are), rows that tie for it, rows."""
+    counted = rows.groupBy("digest", "id").agg(F.sum("ties").alias("ties"), F.sum("n").alias("n"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("ties"))
+    return counted.groupBy("digest").agg(F.min(order).alias("first"), F.sum("n").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.ties").alias("ties"), "n")
+
+
+@dataclass
+class Run:
+    """A sorted run (digest, id, ties, n), its filter (bucket, bits; `positions` bits in all), and what it holds."""
+
+    name: int
+    table: DataFrame
+    filter: DataFrame
+    positions: int
+    buckets: int
+    low: bytes | None
+    high: bytes | None
+
+
+def _position(digest: Column, positions: int) -> Column:
+    """Place in the filter, from 1."""
+    return F.pmod(F.xxhash64(digest), F.lit(positions)) + 1
+
+
+@dataclass
+class Index:
+    """The runs by level; looked_up and skipped count (batch, run) pairs that were read, or passed over by filter or range."""
+
+    levels: list[list[Run]] = field(default_factory=list)
+    hits: list[DataFrame] = field(default_factory=list)
+    looked_up: int = 0
+    skipped: int = 0
+    merges: int = 0
+    _names: int = 0
+
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def insert(self, batch: DataFrame) -> None:
+        """Add rows (digest, id): look them up, flush them as a run of the first level, and compact levels that are full."""
+        ones = batch.select("digest", "id", F.lit(1).cast("long").alias("ties"), F.lit(1).cast("long").alias("n"))
+        run = self._flushed(combined(ones))
+        if run is None:
+            return
+        self._look_up(run)
+        self._add(run, 0)
+
+    def _flushed(self, rows: DataFrame) -> Run | None:
+        table = common.written(rows.sortWithinPartitions("digest"), "dedup-run")
+        facts = table.agg(F.count("*").alias("rows"), F.min("digest").alias("low"), F.max("digest").alias("high")).first()
+        if not facts["rows"]:
+            common.dropped(table)
+            return None
+        positions = FILTER_BITS * facts["rows"]
+        place = table.select(_position(F.col("digest"), positions).alias("at"))
+        bits = place.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        self._names += 1
+        return Run(self._names, table, common.written(bits, "dedup-filter"), positions, 1 + positions // (8 * FILTER_ROW_BYTES), bytes(facts["low"]), bytes(facts["high"]))
+
+    def _look_up(self, batch: Run) -> None:
+        asked = [run for run in self.runs() if run.low <= batch.high and batch.low <= run.high]
+        self.skipped += len(self.runs()) - len(asked)
+        candidates: DataFrame | None = None
+        for run in asked:
+            at = _position(F.col("digest"), run.positions)
+            keys = batch.table.select("digest", F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+            keys = keys.join(near(run.filter, run.buckets, BROADCAST_FILTERS), "bucket")
+            byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            passed = keys.filter(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).select("digest", F.lit(run.name).alias("run"))
+            candidates = passed if candidates is None else candidates.unionByName(passed)
+        if candidates is None:
+            return
+        candidates = common.written(candidates, "dedup-candidates")
+        counts = {r["run"]: r["n"] for r in candidates.groupBy("run").agg(F.count("*").alias("n")).collect()}  # a row for each run
+        found: DataFrame | None = None
+        for run in asked:
+            if run.name not in counts:
+                self.skipped += 1
+                continue
+            self.looked_up += 1
+            known = candidates.filter(F.col("run") == run.name).join(run.table.select("digest"), "digest", "left_semi").select("digest")
+            found = known if found is None else found.unionByName(known)
+        if found is not None:
+            self.hits.append(common.written(found, "dedup-hits"))
+        common.dropped(candidates)
+
+    def _add(self, run: Run, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) < FANOUT:
+            return
+        full, self.levels[level] = self.levels[level], []
+        merged = self._flushed(combined(_union([r.table for r in full])))
+        self.merges += 1
+        common.dropped(*(x for r in full for x in (r.table, r.filter)))
+        if merged is not None:
+            self._add(merged, level + 1)
+
+    def groups(self) -> DataFrame:
+        """Digests with more than one row: digest, id, ties, n; written."""
+        runs = self.runs()
+        if len(runs) == 1:  # all that was hit has been merged
+            return common.written(runs[0].table.filter("n > 1"), "dedup-groups")
+        tables = [r.table for r in runs]
+        if not tables:
+            raise ValueError("an index without rows has no groups")
+        twice = [t.filter("n > 1").select("digest") for t in tables]
+        wanted = common.written(_union([*self.hits, *twice]).distinct(), "dedup-wanted")
+        n = wanted.count()
+        out = common.written(combined(_union([t.join(near(wanted, n), "digest", "left_semi") for t in tables])), "dedup-groups")
+        common.dropped(wanted)
+        return out
+
+    def drop(self) -> None:
+        common.dropped(*(x for r in self.runs() for x in (r.table, r.filter)), *self.hits)
+        self.levels, self.hits = [], []
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One row for each digest: smallest id (null only if all are), rows, and rows that tie for the smallest id."""
-    counted = runs.groupBy("digest", "id").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))
-    return counted.groupBy("digest").agg(F.min(order).alias("first"), F.sum("n").alias("n")).select("digest", F.col("first.id").alias("keep_id"), F.col("first.n").alias("ties"), "n")
+def flush(packed: common.Packed, key: str, text: str, batches: int) -> DataFrame:
+    """(digest, id, batch) of all rows; a row's batch is that of its input split, so rows aren't moved. Written."""
+    rows = packed.docs.select(digest_of(normalised(packed.column(text))).alias("digest"), packed.column(key).alias("id"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
+    return common.written(rows, "dedup-digests")
 
 
-def near(df: DataFrame, keys: int) -> DataFrame:
-    """df marked for broadcast if it has few enough rows, else as it is (shuffle join; AQE splits hot keys)."""
-    return F.broadcast(df) if keys <= BROADCAST_GROUPS else df
-
-
-def verified_groups(docs: DataFrame, runs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, bool]:
-    """Groups of equal texts with more than one row: (digest, text or null, keep_id, ties, n), their number, and whether
-    a digest stands for different texts, in which case the text is given and has to be matched too."""
-    found = common.written(compact(runs).filter("n > 1"), "dedup-groups")
-    groups = found.count()
-    if not groups:
-        return found.withColumn("body", F.lit(None).cast("string")), 0, False
-    rows = docs.select(F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), normalised(F.col(f"`{text}`")).alias("body"))
-    hits = rows.join(near(found.select("digest"), groups), "digest", "left_semi")
+def _bodies(packed: common.Packed, key: str, text: str, *more: Column) -> DataFrame:
+    return packed.docs.select(packed.column(key).alias("id"), normalised(packed.column(text)).alias("body"), *more).withColumn("digest", digest_of(F.col("body")))
+
+
+def _of(rows: DataFrame, ids: DataFrame, n: int, kind: str) -> DataFrame:
+    """Rows whose id is (left_semi) or isn't (left_anti) among ids."""
+    known = near(ids.select(F.col("id").alias("known")), n)
+    return rows.join(known, F.col("id").eqNullSafe(F.col("known")), kind)
+
+
+def verified(packed: common.Packed, digests: DataFrame, groups: DataFrame, n: int, *, key: str, text: str) -> tuple[DataFrame, bool]:
+    """The groups after their texts have been compared, and whether a digest stood for different texts.
+
+    If one did, groups have their text (body) and are matched by it, too. Only rows whose identifier is in a group are read
+    for it.
+    """
+    ids = common.written(digests.join(near(groups.select("digest"), n), "digest", "left_semi").select("id").distinct(), "dedup-ids")
+    n_ids = ids.count()
+    hits = _of(_bodies(packed, key, text), ids, n_ids, "left_semi").join(near(groups.select("digest"), n), "digest", "left_semi")
     texts = hits.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
     collided = common.written(texts.filter("texts > 1").select("digest"), "dedup-collisions")
-    if collided.isEmpty():
-        return found.withColumn("body", F.lit(None).cast("string")), groups, False
-    rows = docs.select(F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), normalised(F.col(f"`{text}`")).alias("body"), F.col(f"`{key}`").alias("id"))
-    counted = rows.join(near(found.select("digest"), groups), "digest", "left_semi").groupBy("digest", "body", "id").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))
-    split = counted.groupBy("digest", "body").agg(F.min(order).alias("first"), F.sum("n").alias("n"))
-    return common.written(split.select("digest", "body", F.col("first.id").alias("keep_id"), F.col("first.n").alias("ties"), "n"), "dedup-split"), groups, True
-
-
-def _decided(rows: DataFrame, groups: DataFrame, n_groups: int, by_text: bool) -> DataFrame:
-    """rows (with digest, id and, if by_text, body) and keep_id, group_size, kept. One row of those that tie is kept."""
-    if not n_groups:
-        return rows.withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    differ = not collided.isEmpty()
+    common.dropped(collided)
+    if differ:
+        counted = hits.groupBy("digest", "body", "id").agg(F.count("*").alias("n"))
+        order = F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))
+        split = counted.groupBy("digest", "body").agg(F.min(order).alias("first"), F.sum("n").alias("n"))
+        groups = common.written(split.select("digest", "body", F.col("first.id").alias("id"), F.col("first.n").alias("ties"), "n"), "dedup-split")
+    common.dropped(ids)
+    return groups, differ
+
+
+def _judged(rows: DataFrame, groups: DataFrame, n: int, by_text: bool) -> DataFrame:
+    """rows (digest, id, and body if by_text) with keep_id, group_size, ties, kept; rows that tie for a group's first are all kept here."""
     on = ["digest", "body"] if by_text else ["digest"]
-    out = rows.join(near(groups.select(*on, "keep_id", "ties", F.col("n").alias("group_size"), F.lit(True).alias("hit")), n_groups), on, "left")
-    first = ~F.coalesce(F.col("hit"), F.lit(False)) | F.col("id").eqNullSafe(F.col("keep_id"))
-    out = out.withColumns({"kept": first, "keep_id": F.when(F.col("hit"), F.col("keep_id")).otherwise(F.col("id")), "group_size": F.coalesce(F.col("group_size"), F.lit(1).cast("long"))})
-    if groups.filter("ties > 1").isEmpty():
-        return out.drop("hit", "ties")
-    tied = F.col("kept") & F.coalesce(F.col("ties") > 1, F.lit(False))
-    one = F.row_number().over(Window.partitionBy(*on, "id").orderBy(F.lit(0))) == 1
-    return out.filter(~tied).unionByName(out.filter(tied).withColumn("kept", one)).drop("hit", "ties")
+    known = groups.select(*on, F.col("id").alias("keep_id"), F.col("n").alias("group_size"), "ties", F.lit(True).alias("hit"))
+    out = rows.join(known if by_text else near(known, n), on, "left")
+    first = F.col("hit").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))
+    return out.withColumns({"kept": first, "keep_id": F.when(F.col("hit"), F.col("keep_id")).otherwise(F.col("id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "ties": F.coalesce("ties", F.lit(1).cast("long"))}).drop("hit")
+
+
+def _indexed(packed: common.Packed, key: str, text: str, batches: int) -> tuple[DataFrame, DataFrame | None, int, bool]:
+    """Digests of all rows; the verified groups or None; their number; whether they are matched by text, too."""
+    digests = flush(packed, key, text, batches)
+    index = Index()
+    for k in range(batches):
+        index.insert(digests.filter(F.col("batch") == k).select("digest", "id"))
+    if not index.runs():
+        return digests, None, 0, False
+    groups = index.groups()
+    index.drop()
+    n = groups.count()
+    if not n:
+        return digests, None, 0, False
+    groups, by_text = verified(packed, digests, groups, n, key=key, text=text)
+    return digests, groups, n, by_text
 
 
-def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """One row for each row of docs: key, keep_id, group_size, kept, text_sha256 (hex, of the normalised text).
 
     Null texts are empty texts. Of equal texts the row with the smallest key stays; null keys come after all others;
-    of rows that tie in key and text, one stays. An empty table gives an empty table. Long texts are hashed and compared whole.
+    of rows that tie in key and text, one stays. An empty table gives an empty table. Long texts are hashed and compared
+    whole. Other columns don't matter, whatever they are called. batches: memtables that the rows are inserted as.
     """
-    runs = flush(docs, key=key, text=text)
-    groups, n, by_text = verified_groups(docs, runs, key=key, text=text)
-    rows = runs
-    if by_text:
-        rows = docs.select(F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), normalised(F.col(f"`{text}`")).alias("body"), F.col(f"`{key}`").alias("id"))
-    out = _decided(rows, groups, n, by_text)
+    packed = common.Packed(docs)
+    digests, groups, n, by_text = _indexed(packed, key, text, batches)
+    rows = _bodies(packed, key, text) if by_text else digests.drop("batch")
+    if groups is None:
+        out = rows.withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    else:
+        out = _judged(rows, groups, n, by_text)
+        if not groups.filter("ties > 1").isEmpty():
+            # rows that tie are alike in all that is returned: count them, and one of them stays
+            columns = ["digest", "id", "keep_id", "group_size"]
+            tied = out.filter("kept and ties > 1").groupBy(*columns, *(["body"] if by_text else [])).agg(F.count("*").alias("n"))
+            one = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda k: k == 1)).alias("kept")
+            out = out.filter("not kept or ties = 1").select(*columns, "kept").unionByName(tied.select(*columns, one))
     return out.select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns, whatever they are called; see decisions()."""
-    runs = flush(docs, key=key, text=text)
-    groups, n, by_text = verified_groups(docs, runs, key=key, text=text)
-    if not n:
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """The rows of docs that stay, all columns, whatever they are called; see decisions().
+
+    Only rows whose key is that of a dropped row are hashed again; all others pass through.
+    """
+    packed = common.Packed(docs)
+    digests, groups, n, by_text = _indexed(packed, key, text, batches)
+    if groups is None:
+        return docs
+    judged = _judged(_bodies(packed, key, text) if by_text else digests, groups, n, by_text)
+    gone = common.written(judged.filter("not kept or ties > 1").select("id").distinct(), "dedup-gone")
+    n_gone = gone.count()
+    if not n_gone:
         return docs
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.unhex(F.sha2(normalised(F.col(f"`{text}`")), 256)).alias("digest"), F.col(f"`{key}`").alias("id"), row, *([normalised(F.col(f"`{text}`")).alias("body")] if by_text else []))
-    out = _decided(rows, groups, n, by_text).filter("kept")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    own = packed.docs.select(packed.column(key).alias("id"), packed.row())
+    stay = _of(own, gone, n_gone, "left_anti").select("row")
+    asked = _judged(_of(_bodies(packed, key, text, packed.row()), gone, n_gone, "left_semi"), groups, n, by_text).filter("kept")
+    tied = asked.filter("ties > 1").dropDuplicates(["digest", "id", *(["body"] if by_text else [])])
+    return stay.unionByName(asked.filter("ties = 1").select("row")).unionByName(tied.select("row")).select(*packed.columns())

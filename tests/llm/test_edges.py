@@ -51,6 +51,27 @@ def test_exact_dedup_separates_texts_of_one_digest(spark, monkeypatch):
     assert collected(dedup.decisions(docs), "doc_id", "keep_id", "group_size") == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 1)]
 
 
+def test_exact_dedup_in_batches(spark):
+    """Batches, however many, give what one gives; runs that hold nothing of a batch are skipped by their filters."""
+    texts = {1: ["a", "b", "c", "c"], 2: ["d", "e"], 3: ["b", "f", "a"], 4: ["g"], 5: ["g", "c"], 6: ["h"]}
+    rows, key = [], 100
+    for batch, found in texts.items():
+        for t in found:
+            rows.append((key, t, batch))
+            key -= 1
+    table = spark.createDataFrame(rows, "id bigint, text string, batch int").withColumn("digest", dedup.digest_of(F.col("text")))
+    whole, index = dedup.Index(), dedup.Index()
+    whole.insert(table.select("digest", "id"))
+    for batch in texts:
+        index.insert(table.filter(F.col("batch") == batch).select("digest", "id"))
+    assert collected(index.groups()) == collected(whole.groups()) and len(collected(whole.groups())) == 4
+    # 1 has nothing of 2; 1 is read for 3; 2 and 4 hold nothing of what follows; four runs became one
+    assert index.merges == 1 and [len(level) for level in index.levels] == [2, 1]
+    assert index.skipped >= 6 and index.looked_up >= 2 and index.looked_up + index.skipped == 0 + 1 + 2 + 3 + 1 + 2
+    docs = table.select(F.col("id").alias("doc_id"), "text").repartition(3)
+    assert collected(dedup.decisions(docs, batches=1)) == collected(dedup.decisions(docs, batches=5))
+
+
 def test_near_duplicates(spark, odd, none):
     got = collected(neardup.near_duplicates(odd, width=4), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (None, 1, None, True), (7, 2, 7, True), (8, 3, 8, True)], key=repr)
