@@ -1,7 +1,8 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the n-grams of the training texts, up to `order` words, each named by a 64-bit hash that the words alone decide;
-so no state waits for another's number and every step is spread over ranges of hashes. Training is one pass: a task counts
+States are the n-grams of the training texts, up to `order` words, each named by a hash that the words alone decide; so no
+state waits for another's number and every step is spread over ranges of hashes. A name has NAME_BITS bits besides the number
+of its range, so the chance that a look-up meets another n-gram's name, under 10 ** -7, is the same at every size. Training is one pass: a task counts
 its own n-grams of all orders first (sorting, no Python object per token) and deals sorted, packed counts by (order, range);
 one task adds up a range and writes it as a sorted array. Nothing is joined or put together afterwards.
 
@@ -32,7 +33,8 @@ from inkwell.llm.neardup import grouped
 
 SHARD_BYTES = 4 << 20
 #: Bytes of training text for each range of hashed n-grams; a range is added up by one task.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 32 << 20
+NAME_BITS = 48
 #: n-grams of one order that a task gathers before it deals them.
 KEEP_KEYS = 3 << 20
 BLOB_KEYS = 1 << 17
@@ -61,13 +63,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def states(hashes: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order the names of the n-grams that end at each token, and whether one does (not across texts)."""
+def states(hashes: np.ndarray, first: np.ndarray, order: int, range_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the names of the n-grams that end at each token, and whether one does (not across texts).
+
+    The highest bits are the number of the range, NAME_BITS follow, the rest is 0.
+    """
+    unused = np.uint64(max(0, 64 - NAME_BITS - range_bits))
     place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
     sums = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(order):
         sums[k:] += hashes[: len(hashes) - k] * _PLACES[k]
-        yield textkit.mixed(sums + np.uint64(k)), place >= k
+        yield textkit.mixed(sums + np.uint64(k)) >> unused << unused, place >= k
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +106,65 @@ def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys.view(np.uint64), dtype=np.uint64), counts.view(np.int64)
 
 
+@dataclass
+class Range:
+    """The states of one order in a range of names: sorted names in two parts, counts up to MANY, and larger ones with their places."""
+
+    high: np.ndarray
+    low: np.ndarray
+    few: np.ndarray
+    at: np.ndarray
+    many: np.ndarray
+
+    @staticmethod
+    def read(data: np.ndarray) -> Range:
+        n, large = data[:16].view(np.int64).tolist() if len(data) else (0, 0)
+        arrays, start = [], 16
+        for size, kind in ((large, np.int64), (large, np.int64), (n, np.uint32), (n, np.uint16), (n, np.uint8)):
+            end = start + size * np.dtype(kind).itemsize
+            arrays.append(data[start:end].view(kind))
+            start = end
+        at, many, high, low, few = arrays
+        return Range(high, low, few, at, many)
+
+    @staticmethod
+    def write(uri: str, names: np.ndarray, counts: np.ndarray, range_bits: int) -> None:
+        high, low = _halves(names, range_bits)
+        large = np.flatnonzero(counts >= MANY)
+        with artifacts.Output(uri) as out:
+            for data in (np.array([len(names), len(large)], dtype=np.int64), large.astype(np.int64), counts[large].astype(np.int64), high, low, np.minimum(counts, MANY).astype(np.uint8)):
+                out.write(data)
+
+    def counts(self, names: np.ndarray, range_bits: int) -> np.ndarray:
+        """The counts of sorted names; 0 for those that aren't here."""
+        out = np.zeros(len(names), dtype=np.int64)
+        if not len(self.high):
+            return out
+        high, low = _halves(names, range_bits)
+        at = np.searchsorted(self.high, high)
+        open_ = np.flatnonzero(at < len(self.high))
+        while len(open_):
+            here = at[open_]
+            alike = self.high[here] == high[open_]
+            open_, here = open_[alike], here[alike]
+            same = self.low[here] == low[open_]
+            hit, place = open_[same], here[same]
+            n = self.few[place].astype(np.int64)
+            large = np.flatnonzero(n == MANY)
+            n[large] = self.many[np.searchsorted(self.at, place[large])]
+            out[hit] = n
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.high)]
+        return out
+
+
+def _halves(names: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The NAME_BITS of names in 32 and 16 bits."""
+    bare = names << np.uint64(range_bits) >> np.uint64(64 - NAME_BITS)
+    return (bare >> np.uint64(16)).astype(np.uint32), bare.astype(np.uint16)
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Where the automaton lies, bits of a range's number, and its totals: order, training tokens N, distinct V, those seen once."""
@@ -124,25 +189,18 @@ class Automaton:
         cuts = [0, *np.asarray(bounds).tolist(), len(names)]
         for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                keys, few, at_many, many = self._range(order, part)
-                if not len(keys):
-                    continue
-                at = np.minimum(np.searchsorted(keys, names[a:b]), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == names[a:b])
-                n = few[at[hit]].astype(np.int64)
-                large = np.flatnonzero(n == MANY)
-                n[large] = many[np.searchsorted(at_many, at[hit[large]])]
-                out[by_name[a + hit]] = n
+                out[by_name[a:b]] = self._range(order, part).counts(names[a:b], self.range_bits)
         return out
 
-    def _range(self, order: int, part: int) -> tuple[np.ndarray, ...]:
-        if (self.folder, order, part) in _RANGES:
-            _RANGES.move_to_end((self.folder, order, part))
-            return _RANGES[self.folder, order, part]
-        name = f"{self.folder}/{order}-{part}"
-        found = tuple(artifacts.read(f"{name}-{what}", kind) for what, kind in (("keys", np.uint64), ("few", np.uint8), ("at", np.int64), ("many", np.int64)))
-        if isinstance(found[0], np.memmap):
-            _RANGES[self.folder, order, part] = found
+    def _range(self, order: int, part: int) -> Range:
+        at = (self.folder, order, part)
+        if at in _RANGES:
+            _RANGES.move_to_end(at)
+            return _RANGES[at]
+        data = artifacts.read(f"{self.folder}/{order}-{part}", np.uint8)
+        found = Range.read(data)
+        if isinstance(data, np.memmap):
+            _RANGES[at] = found
             while len(_RANGES) > OPEN_RANGES:
                 _RANGES.popitem(last=False)
         return found
@@ -151,13 +209,6 @@ class Automaton:
 _RANGES: OrderedDict = OrderedDict()
 
 
-def _write_range(folder: str, order: int, part: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    large = np.flatnonzero(counts >= MANY)
-    for what, data in (("keys", keys), ("few", np.minimum(counts, MANY).astype(np.uint8)), ("at", large.astype(np.int64)), ("many", counts[large])):
-        with artifacts.Output(f"{folder}/{order}-{part}-{what}") as out:
-            out.write(data)
-
-
 def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automaton:
     """The automaton of all texts of docs; all n-grams of up to `order` words are states, however rare.
 
@@ -168,13 +219,13 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automat
     common.small_batches(spark)
     rows = docs.select(F.col(f"`{text}`").alias("text"))
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = max(2, (size // RANGE_BYTES).bit_length())
+    bits = min(16, max(2, (size // RANGE_BYTES).bit_length()))
     folder = common.new_folder(spark, "lm")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, list]] = [([], []) for _ in range(order)]
         for part in common.gathered(batches, 0, SHARD_BYTES):
-            for k, (names, inside) in enumerate(states(*tokens(part.column(0)), order)):
+            for k, (names, inside) in enumerate(states(*tokens(part.column(0)), order, bits)):
                 keys, counts = held[k]
                 for x, into in zip(counted(names[inside]), (keys, counts), strict=True):
                     into.append(x)
@@ -192,7 +243,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automat
             del group
             keys, counts = added(*(list(x) for x in zip(*blobs, strict=True)))
             del blobs
-            _write_range(folder, level, part, keys, counts)
+            Range.write(f"{folder}/{level}-{part}", keys, counts, bits)
             yield pa.RecordBatch.from_pydict({"level": [level], "part": [part], "states": [len(keys)], "tokens": [int(counts.sum())], "once": [int(np.count_nonzero(counts == 1))]})
 
     dealt = rows.mapInArrow(partial, "part bigint, level bigint, n bigint, blob binary")
@@ -206,7 +257,7 @@ def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automat
     known = {r["level"]: set(r["parts"]) for r in have}
     for level in range(1, order + 1):
         for part in set(range(1 << bits)) - known.get(level, set()):
-            _write_range(folder, level, part, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            Range.write(f"{folder}/{level}-{part}", np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), bits)
     return Automaton(folder, order, bits, *(int(x or 0) for x in sums))
 
 
@@ -242,7 +293,7 @@ def scored(docs: DataFrame, model: Automaton, *, text: str = "text") -> DataFram
         for part in common.gathered(batches, 0, SHARD_BYTES):
             hashes, first = tokens(part.column(0))
             p, counts, known, base = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
-            for k, (names, inside) in enumerate(states(hashes, first, model.order)):
+            for k, (names, inside) in enumerate(states(hashes, first, model.order, model.range_bits)):
                 before, counts = counts, np.zeros(len(hashes), dtype=np.int64)
                 if k == 0:
                     counts = model.counts(1, names)
