@@ -128,11 +128,14 @@ class Packed:
         self.kept = [k for k, name in enumerate(self.names) if name.lower() not in gone]
 
     def column(self, name: str) -> Column:
-        """The column of that name: written the same if there is one, else the one that differs in case only."""
+        return F.col(f"c{self.place(name)}")
+
+    def place(self, name: str) -> int:
+        """Place of the column of that name: written the same if there is one, else the one that differs in case only."""
         found = [k for k, x in enumerate(self.names) if x == name] or [k for k, x in enumerate(self.names) if x.lower() == name.lower()]
         if not found:
             raise ValueError(f"there is no column {name} among {self.names}")
-        return F.col(f"c{found[0]}")
+        return found[0]
 
     def row(self) -> Column:
         # a struct needs a field

@@ -5,19 +5,21 @@ overlap). For each shard a suffix array over its words is sorted by prefix doubl
 64-bit keys, down to the depth of a test window. Every window at every test suffix is binary-searched in it (all at
 once, vectorised); occurrences are confirmed on 64-bit hashes of the words. Consecutive windows along one diagonal join to
 the longest verbatim matches, with their locations in the document and in the test item. Shards are independent:
-nothing is shuffled, and a lost task is repeated on its own. Test items are sent to the workers in blocks of bounded
-size; more than one block makes more than one pass over the rows.
+nothing is shuffled, and a lost task is repeated on its own. Test items are sent to the workers in blocks of bounded size,
+one at a time: with more than one, a pass over the rows is written before the next block is read, so the driver and a worker
+hold one block. A worker indexes a block once, whatever number of tasks it runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from inkwell.llm import common, textkit
 
@@ -41,17 +43,20 @@ class Windows:
 
     length: int
     hashes: np.ndarray
-    item: np.ndarray  # of the first place, a number into ids
-    word: np.ndarray
-    place: np.ndarray  # item words numbered through all items, so that neighbours differ by 1
+    place: np.ndarray  # the first one; item words numbered through all items, so that neighbours differ by 1
     owner_ends: np.ndarray
     owners: np.ndarray
 
 
 @dataclass
 class TestIndex:
+    """Item names, their windows, and the words of all items by place, a 0 after each item."""
+
     ids: np.ndarray
     groups: list[Windows]
+    words: np.ndarray
+    item: np.ndarray  # by place
+    word: np.ndarray  # by place
 
 
 def index_items(ids: list[str], texts: pa.Array, window: int = WINDOW) -> TestIndex:
@@ -61,21 +66,26 @@ def index_items(ids: list[str], texts: pa.Array, window: int = WINDOW) -> TestIn
     number = {x: k for k, x in enumerate(names)}
     item_of = np.array([number[x] for x in ids], dtype=np.int64)
     counts = np.diff(first)
+    hashes = np.maximum(hashes, np.uint64(1))
     base = first[:-1] + np.arange(len(counts))  # a gap between items
+    words = np.zeros(len(hashes) + len(counts) + 1, dtype=np.uint64)
+    words[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+    item = np.repeat(item_of, counts + 1)
+    word = np.arange(len(item)) - np.repeat(base, counts + 1)
     groups = []
     for length in sorted({min(int(n), window) for n in counts if n}):
         members = np.flatnonzero(counts >= window if length == window else counts == length)
         per = counts[members] - length + 1
         owner = np.repeat(members, per)
-        word = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        rows = hashes[(first[owner] + word)[:, None] + np.arange(length)]
-        order = np.lexsort((word, owner, *rows.T[::-1]))
-        rows, owner, word = rows[order], owner[order], word[order]
+        at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        rows = hashes[(first[owner] + at)[:, None] + np.arange(length)]
+        order = np.lexsort((at, owner, *rows.T[::-1]))
+        rows, owner, at = rows[order], owner[order], at[order]
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         heads = np.flatnonzero(new)
-        groups.append(Windows(length, rows[heads], item_of[owner[heads]], word[heads], base[owner[heads]] + word[heads], np.append(heads[1:], len(rows)), item_of[owner]))
-    return TestIndex(names, groups)
+        groups.append(Windows(length, rows[heads], base[owner[heads]] + at[heads], np.append(heads[1:], len(rows)), item_of[owner]))
+    return TestIndex(names, groups, words, item, word)
 
 
 def suffix_array(letters: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +220,8 @@ def scan(texts: pa.Array, test: TestIndex, before: tuple[np.ndarray, np.ndarray,
         new[1:] = (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])
         heads = np.flatnonzero(new)
         run = np.diff(np.append(heads, len(at)))
-        spans.append((doc[heads], g.item[window[heads]], g.word[window[heads]], at[heads] - base[doc[heads]], run + g.length - 1))
+        begin, item_place, n = _extended(hashes, test.words, at[heads], place[heads], run + g.length - 1)
+        spans.append((doc[heads], test.item[item_place], test.word[item_place], begin - base[doc[heads]], n))
         pairs = textkit.distinct(doc << 32 | window)
         pair_doc, pair_window = pairs >> 32, pairs & 0xFFFFFFFF
         begin = np.where(pair_window > 0, g.owner_ends[pair_window - 1], 0)
@@ -224,55 +235,100 @@ def scan(texts: pa.Array, test: TestIndex, before: tuple[np.ndarray, np.ndarray,
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     n_hit = covered[base + np.diff(first)] - covered[base]
     joined = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, dtype=np.int64)] * 5
+    if len(joined[0]):
+        # runs of one match, found apart, are one once they are extended
+        joined = list(np.unique(np.stack([joined[0], joined[3], joined[1], joined[2], joined[4]]), axis=1)[[0, 2, 3, 1, 4]])
     by_doc = np.lexsort((joined[3], joined[0]))
     pairs = textkit.distinct(np.concatenate(items)) if items else np.zeros(0, dtype=np.int64)
     return Found(np.diff(first), n_hit, *(x[by_doc] for x in joined), pairs >> 32, pairs & 0xFFFFFFFF)
 
 
+def _extended(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (place in the shard, place among the items, words) made as long as they go in both, to the left and right."""
+    at, place, n = at.copy(), place.copy(), n.copy()
+    open_ = np.arange(len(at))
+    while len(open_):
+        left = (at[open_] > 0) & (place[open_] > 0)
+        same = left & (hashes[at[open_] - 1] == words[place[open_] - 1]) & (hashes[at[open_] - 1] > 0)
+        open_ = open_[same]
+        at[open_] -= 1
+        place[open_] -= 1
+        n[open_] += 1
+    open_ = np.arange(len(at))
+    while len(open_):
+        ends, item_ends = at[open_] + n[open_], place[open_] + n[open_]
+        inside = (ends < len(hashes)) & (item_ends < len(words))
+        open_, ends, item_ends = open_[inside], ends[inside], item_ends[inside]
+        open_ = open_[(hashes[ends] == words[item_ends]) & (hashes[ends] > 0)]
+        n[open_] += 1
+    return at, place, n
+
+
 def _lists(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)), values)
 
 
-def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[pa.Table]:
-    """Test items with text, in blocks of about BLOCK_BYTES each."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item_key}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null")
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> tuple[int, Callable[[int], pa.Table]]:
+    """The number of blocks of test items with text, of about BLOCK_BYTES each, and a function that fetches one."""
+    packed = common.Packed(benchmark)
+    items = packed.docs.select(F.coalesce(packed.column(item_key).cast("string"), F.lit("")).alias("id"), packed.column(item_text).alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(total) // BLOCK_BYTES
-    for k in range(blocks):
-        yield items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow()
+    return blocks, lambda k: items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow()
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """For each row of docs: `row` (all its columns), n_words, n_hit, items (ids, sorted as strings), spans.
+    """For each row of docs: `row` (its columns by place: c0, c1, ...), n_words, n_hit, items (ids, sorted as strings), spans.
 
     A span is a longest verbatim match: item, word of the item, word of the document, words. Where several items share a
-    passage, it names the first of them; `items` has them all. Null texts have no words. Repeated rows are matched each by
-    itself; null item texts are no items; a null item id is an empty string. Empty tables give no rows or no matches.
+    passage, it names the first of them; `items` has them all. Null texts have no words. Texts of any length are searched
+    whole. Repeated rows are matched each by itself; null item texts are no items; a null item id is an empty string; items
+    with one id are one item of several texts. Columns may have any names. Empty tables give no rows or no matches.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    out = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    row_type = out.schema["row"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, item_key, item_text))
-    for k, block in enumerate(blocks):
-        out = _pass(out, spark.sparkContext.broadcast(block), f"row {row_type}", k == len(blocks) - 1, window)
-    return out
+    packed = common.Packed(docs)
+    row_type = packed.rows().schema["row"].dataType
+    at = packed.place(text)
+    rows = packed.rows()
+    n, fetch = _blocks(benchmark, item_key, item_text)
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(fetch(k))
+        passed = _pass(rows, shared, row_type, at, window)
+        if k == n - 1:
+            return passed
+        before, rows = rows, common.written(passed, "decontam-pass")
+        common.dropped(before)
+        shared.destroy()
+
+
+#: The block that this worker has used last, with its index.
+_INDEX: list = []
+
+
+def _indexed(shared, window: int) -> TestIndex:
+    block = shared.value  # the same object in all tasks of a worker
+    if not _INDEX or _INDEX[0] is not block or _INDEX[1] != window:
+        _INDEX[:] = block, window, index_items(block["id"].to_pylist(), block["text"].combine_chunks(), window)
+    return _INDEX[2]
 
 
-def _pass(rows: DataFrame, shared, row_field: str, last: bool, window: int) -> DataFrame:
+def _pass(rows: DataFrame, shared, row_type, at: int, window: int) -> DataFrame:
     again = "items" in rows.columns
-    schema = f"{'' if last else 'text string, '}{row_field}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<{', '.join(x.replace(' ', ':') for x in SPAN.split(', '))}>>"
+    spans = ", ".join(x.replace(" ", ":") for x in SPAN.split(", "))
+    schema = StructType([StructField("row", row_type), *StructType.fromDDL(f"n_words bigint, n_hit bigint, items array<string>, spans array<struct<{spans}>>").fields])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        test = index_items(block["id"].to_pylist(), block["text"].combine_chunks(), window)
-        for part in common.gathered(batches, 0, SHARD_BYTES):
-            yield _matched_batch(part, test, again, last)
+        test = _indexed(shared, window)
+        for batch in batches:
+            texts = batch.column("row").field(at)
+            for part in common.gathered(iter([pa.RecordBatch.from_arrays([texts, *batch.columns], names=["text", *batch.schema.names])]), 0, SHARD_BYTES):
+                yield _matched_batch(part, test, again)
 
     return rows.mapInArrow(match, schema)
 
 
-def _matched_batch(part: pa.RecordBatch, test: TestIndex, again: bool, last: bool) -> pa.RecordBatch:
+def _matched_batch(part: pa.RecordBatch, test: TestIndex, again: bool) -> pa.RecordBatch:
     n = part.num_rows
     before, old_items, old_spans = None, [[]] * n, [[]] * n
     if again:
@@ -289,8 +345,7 @@ def _matched_batch(part: pa.RecordBatch, test: TestIndex, again: bool, last: boo
     if again:
         items = pa.array([sorted({*a, *b}) for a, b in zip(old_items, items.to_pylist(), strict=True)], items.type)
         span_lists = pa.array([a + b for a, b in zip(old_spans, span_lists.to_pylist(), strict=True)], span_lists.type)
-    columns = {} if last else {"text": part.column("text")}
-    columns |= {"row": part.column("row"), "n_words": pa.array(found.n_words.astype(np.int64)), "n_hit": pa.array(found.n_hit.astype(np.int64)), "items": items, "spans": span_lists}
+    columns = {"row": part.column("row"), "n_words": pa.array(found.n_words.astype(np.int64)), "n_hit": pa.array(found.n_hit.astype(np.int64)), "items": items, "spans": span_lists}
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -300,6 +355,5 @@ def contaminated() -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    kept = matched(docs, benchmark, **options).filter(~contaminated())
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of docs that aren't contaminated, with all their columns; see matched()."""
+    return matched(docs, benchmark, **options).filter(~contaminated()).select(*common.Packed(docs).columns())

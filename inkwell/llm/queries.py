@@ -31,7 +31,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.matched(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.col("row.c0").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"),
         F.coalesce(F.array_max(F.transform("spans", lambda x: x["n_words"])), F.lit(0)).cast("bigint").alias("longest_match"),
     )

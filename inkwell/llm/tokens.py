@@ -1,10 +1,10 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts go to the encoder in batches balanced by bytes; a text longer than a batch is split where
+Texts go to the encoder in batches balanced by bytes, one call a batch; a text longer than a batch is split where
 pre-tokenisation breaks in any case, so the parts' counts add up to the text's count.
-The vocabulary's path is a parameter. Both libraries of the same vocabulary can count: tiktoken (about three
-times faster) for texts whose code points all lie in the range on which the two were compared code point by
-code point (tests), tokenizers, the reference, for all other texts.
+The vocabulary's path is a parameter. Both libraries of the same vocabulary encode batches: tiktoken (three to four
+times faster) those of texts whose code points all lie in the range on which the two were compared code point by
+code point (tests), tokenizers all others.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ _ENCODERS: dict = {}
 
 
 def boundaries(text: str, size: int) -> Iterator[str]:
-    """Parts of about `size` characters that join to text; each cut is before a space between two plain ASCII letters.
+    """Parts of about `size` characters that join to text, cut before a space between two plain ASCII letters or between a
+    letter of Chinese, Japanese or Korean and a full-width stop, comma or the like.
 
-    There the pre-tokeniser always starts a new word (the space belongs to the word after it), and no special
-    string has such a place inside, so a cut changes no token. A text without such places stays whole.
+    There the pre-tokeniser always starts a new word (a space belongs to the word after it, a run of letters ends at
+    punctuation), and no special string has such a place inside, so a cut changes no token. A text without such places
+    stays whole.
     """
     start = 0
     while len(text) - start > size:
@@ -41,7 +43,7 @@ def boundaries(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
-_SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
+_SAFE = re.compile("[A-Za-z](?= [A-Za-z])|[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3](?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def _tokenizer(path: str):
@@ -71,26 +73,20 @@ def counter(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
     def exact(texts: list[str]) -> list[int]:
         return [len(x) for x in _tokenizer(vocabulary).encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fast(texts: list[str]) -> list[int]:
+        return [len(x) for x in _ranks(ranks, pattern).encode_ordinary_batch(texts, num_threads=1)]
+
     def count(texts: list[str]) -> list[int]:
-        parts, owner = [], []
+        batches: dict = {exact: ([], []), fast: ([], [])}
         for k, text in enumerate(texts):
             for part in boundaries(text, BATCH_BYTES) if len(text) > BATCH_BYTES else (text,):
-                parts.append(part)
+                compared = ranks is not None and COMPARED.fullmatch(part) and not any(s in part for s in special)
+                owner, parts = batches[fast if compared else exact]
                 owner.append(k)
+                parts.append(part)
         out = [0] * len(texts)
-        if ranks is None:
-            for k, n in zip(owner, exact(parts), strict=True):
-                out[k] += n
-            return out
-        encode = _ranks(ranks, pattern).encode_ordinary
-        slow = []
-        for k, part in zip(owner, parts, strict=True):
-            if COMPARED.fullmatch(part) and not any(s in part for s in special):
-                out[k] += len(encode(part))
-            else:
-                slow.append((k, part))
-        if slow:
-            for (k, _), n in zip(slow, exact([part for _, part in slow]), strict=True):
+        for encode, (owner, parts) in batches.items():
+            for k, n in zip(owner, encode(parts) if parts else (), strict=True):
                 out[k] += n
         return out
 
@@ -112,21 +108,17 @@ def token_counts(
 
     Null counts as empty (0 bytes, 0 tokens); whole texts of any length are counted; each row is counted by
     itself, repeated rows included; an empty table gives an empty table. Columns of docs that are called like
-    the two results are replaced by them.
+    the two results, in whatever case, are replaced by them; others may have any names.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    kept = [c for c in docs.columns if c not in (text, n_bytes, n_tokens)]
-    rows = docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
+    common.small_batches(docs.sparkSession)
+    packed = common.Packed(docs, without=(text, n_bytes, n_tokens))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary, ranks, pattern, special)
-        for batch in batches:
-            for part in common.by_bytes(batch, 0, BATCH_BYTES):
-                sizes = common.lengths(part.column(0))
-                tokens = count(part.column(0).fill_null("").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["row", "n_bytes", "n_tokens"])
-
-    out = rows.mapInArrow(counted, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("n_bytes").alias(n_bytes), F.col("n_tokens").alias(n_tokens))
+        for part in common.gathered(batches, 0, BATCH_BYTES):
+            sizes = common.lengths(part.column(0))
+            tokens = count(part.column(0).fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["row", "n_bytes", "n_tokens"])
+
+    out = packed.rows(text).mapInArrow(counted, packed.schema("n_bytes bigint, n_tokens bigint"))
+    return out.select(*packed.columns(), F.col("n_bytes").alias(n_bytes), F.col("n_tokens").alias(n_tokens))

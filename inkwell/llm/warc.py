@@ -33,16 +33,21 @@ def with_revisits(pages: DataFrame, *, key: str = "page_id", url: str = "url", p
     """page_id, url, payload (binary), payload_bytes, sha1, record_type, refers_to of each page.
 
     Of equal payloads (by SHA-256) of at least `smallest` bytes the page with the largest key is a response and the others
-    revisit it; smaller ones are all responses. Null payloads are empty. Rows with a null key revisit or are responses like
-    others and are never the largest; rows that tie for the largest key are all responses.
+    revisit it; smaller ones are all responses. Null payloads are empty, null URLs stay null. Rows with a null key revisit or
+    are responses like others and are never the largest; rows that tie for the largest key are all responses. Keys are
+    integers. Payloads may be of any length; an empty table gives an empty table; other columns are left out.
+    Only digests are grouped. The groups' keys are broadcast if they are few; else rows are joined by digest, where those
+    without one, dealt by their own keys, find nothing and meet in no task.
     """
-    body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
+    packed = common.Packed(pages)
+    body = F.encode(F.coalesce(packed.column(payload), F.lit("")), "UTF-8")
+    rows = packed.docs.select(packed.column(key).cast("bigint").alias("page_id"), packed.column(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     same = F.when(F.col("payload_bytes") >= smallest, F.unhex(F.sha2("payload", 256)))
     groups = rows.select("page_id", same.alias("same")).filter("same is not null").groupBy("same").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1 and newest is not null").select("same", "newest")
     groups = common.written(groups, "warc-groups")
-    rows = rows.withColumn("same", same).join(near(groups, groups.count()), "same", "left")
+    own = F.encode(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "UTF-8")
+    rows = rows.withColumn("same", F.coalesce(same, own)).join(near(groups, groups.count()), "same", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     return rows.select("page_id", "url", "payload", "payload_bytes", F.sha1("payload").alias("sha1"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to"))
 
@@ -67,7 +72,11 @@ def _header(page_id, url, kind, refers_to, digest, n) -> tuple[bytes, bytes]:
 
 
 def write_archives(records: DataFrame, folder: str, *, level: int = 3, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write records of with_revisits() below folder (shared by all executors); the manifest of the files, written."""
+    """Write records of with_revisits() below folder (shared by all executors); the manifest of the files, written.
+
+    Each row is one record, repeated rows each their own. Null payloads and URLs are as with_revisits() has them. A payload goes
+    through the compressor in pieces of CHUNK_BYTES. No rows give no files and an empty manifest.
+    """
     common.small_batches(records.sparkSession, 64)
     columns = ("page_id", "url", "payload", "payload_bytes", "sha1", "record_type", "refers_to")
 
@@ -186,7 +195,12 @@ def chunks_of(source, packed: bool = True) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, *, data: bool = True) -> DataFrame:
-    """The chunked record table of the manifest's files, a file to a task. data: whether chunks bring their bytes."""
+    """The chunked record table of the manifest's files, a file to a task. data: whether chunks bring their bytes.
+
+    Records come in the order of their files; record_id and chunk_no name a chunk. A record without payload is one chunk
+    without data; headers that lack an extension's fields give nulls. A record of any length is read in chunks of CHUNK_BYTES.
+    A file that ends within a record raises an error. An empty manifest gives no rows.
+    """
     common.small_batches(spark, 64)
     names = [x.strip().split(" ")[0] for x in CHUNKS.split(",")]
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

@@ -126,7 +126,7 @@ def test_decontamination(spark, odd, none):
     items = [("1", "Slovo slovo"), ("", "konec"), ("10", "slovo slovo")]
     got = decontam.matched(odd, bench)
     want = brute.decontamination([(r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in odd.collect()], items)
-    rows = collected(got, F.coalesce("row.doc_id", F.lit(-1)).alias("d"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"))
+    rows = collected(got, F.coalesce("row.c0", F.lit(-1)).alias("d"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"))
     assert rows == sorted(((w[0], w[1], w[2], w[3]) for w in want), key=repr)
     assert decontam.matched(none, bench).count() == 0
     assert decontam.decontaminated(odd, bench.limit(0)).count() == odd.count()
@@ -140,12 +140,23 @@ def test_decontamination_in_blocks_and_spans(spark, monkeypatch):
     items = [("i1", " ".join(words)), ("i2", " ".join(words[18:36])), ("i3", "b"), ("i4", "zz")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     whole = decontam.matched(docs, bench)
-    first = {r["row"]["doc_id"]: r for r in whole.collect()}
+    first = {r["row"]["c0"]: r for r in whole.collect()}
     spans = sorted((s["item_id"], s["item_word"], s["doc_word"], s["n_words"]) for s in first[1]["spans"])
     assert max(n for *_, n in spans) >= 33 and first[1]["items"] == ["i1", "i2"] and first[2]["n_hit"] == 0 and first[3]["items"] == ["i3"]
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
     for r in decontam.matched(docs, bench).collect():
-        assert (r["n_words"], r["n_hit"], r["items"]) == (first[r["row"]["doc_id"]]["n_words"], first[r["row"]["doc_id"]]["n_hit"], first[r["row"]["doc_id"]]["items"])
+        assert (r["n_words"], r["n_hit"], r["items"]) == (first[r["row"]["c0"]]["n_words"], first[r["row"]["c0"]]["n_hit"], first[r["row"]["c0"]]["items"])
+
+
+def test_decontamination_spans_are_longest_matches(spark):
+    """An item whose middle also stands in an earlier item is still found as a whole; no span is part of another of its diagonal."""
+    a, b = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(40)]
+    shared = [f"m{k}" for k in range(15)]
+    items = [("i1", " ".join([*a, *shared, "z"])), ("i2", " ".join([*b[:20], *shared, *b[20:]]))]
+    docs = spark.createDataFrame([(1, "x " + items[1][1] + " y")], "doc_id bigint, text string")
+    row = decontam.matched(docs, spark.createDataFrame(items, "item_id string, text string")).first()
+    spans = sorted((s["item_id"], s["item_word"], s["doc_word"], s["n_words"]) for s in row["spans"])
+    assert spans == [("i1", 20, 21, 15), ("i2", 0, 1, 55)]
 
 
 def test_suffix_array_cut_with_overlap(monkeypatch):
