@@ -194,6 +194,53 @@ def mixing(docs, share=1.5, limit=2.0, close=5e-4):
     return taken
 
 
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x):
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & _MASK
+    x ^= x >> 29
+    x = x * 0xA24BAED4963EE407 & _MASK
+    return x ^ x >> 32
+
+
+def character_grams(text, orders=(4, 5, 6), bits=22):
+    """Hashed n-grams of characters, by Python's integers."""
+    places = [_mixed(k * 0x9E3779B97F4A7C15 & _MASK) | 1 for k in range(1, 17)]
+    salts = [_mixed(k * 0xC2B2AE3D27D4EB4F & _MASK) for k in range(101, 117)]
+    letters = []
+    for c in text or "":
+        low = c.lower()
+        c = low if len(low) == 1 and ord(c) < 1 << 16 and ord(low) < 1 << 16 else c
+        letters.append(32 if c in "\t\n\x0b\x0c\r" else ord(c))
+    return {
+        (sum(letters[at + j] * places[j] for j in range(n)) + salts[n - 1] & _MASK) >> 64 - bits
+        for n in orders
+        for at in range(len(letters) - n + 1)
+    }
+
+
+def toxicity_features(rows, min_z=3.0, alpha=1.0):
+    """feature -> log-count ratio, for (text, label)."""
+    seen = {0: Counter(), 1: Counter()}
+    n = Counter(y for _, y in rows)
+    for text, y in rows:
+        seen[y].update(character_grams(text))
+    out = {}
+    for f in seen[0].keys() | seen[1].keys():
+        d0, d1 = seen[0][f], seen[1][f]
+        ratio = math.log((d1 + alpha) / (n[1] + 2 * alpha)) - math.log((d0 + alpha) / (n[0] + 2 * alpha))
+        if abs(ratio) / math.sqrt(1 / (d1 + alpha) + 1 / (d0 + alpha)) >= min_z:
+            out[f] = ratio
+    return out
+
+
+def toxicity_score(text, weights, bias):
+    margin = sum(weights.get(f, 0.0) for f in character_grams(text)) + bias
+    return 1 / (1 + math.exp(-min(40, max(-40, margin))))
+
+
 def chat(turns):
     """conv_id -> digests of the turns and of the assistant's words."""
     by = defaultdict(list)

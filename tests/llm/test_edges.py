@@ -227,6 +227,29 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.scored(odd, untrained).collect()} == {0.5}
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    """Features, ratios and scores as sets and sums of Python's integers give them; characters, not bytes; factors that fit."""
+    words = ["ŽLUŤ", "kůň", "你好世界", "river", "garden", "nice", "day", "\t\n", "😀😀😀", "weather"]
+    rows = [(" ".join(words[(k * 7 + j * j) % 10] for j in range(k % 9 + (k % 3 == 0) * 3)) + (" moron idiot" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    want = brute.toxicity_features(rows)
+    assert set(model.features.tolist()) == set(want)
+    weights = dict(zip(model.features.tolist(), model.weights.astype(float).tolist(), strict=True))
+    texts = [t for t, _ in rows] + ["", None, "ab", "Moron", "MORON\tidiot", "你好 moron", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert got == pytest.approx({k: brute.toxicity_score(t, weights, model.bias) for k, t in enumerate(texts)}, rel=1e-5)
+    assert all((got[k] >= 0.5) == bool(y) for k, (_, y) in enumerate(rows))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "x" * 10) for k in range(50)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.sample(labels, docs).count() == 50
+    assert toxicity.sample(labels, docs, max_labelled=20).count() == 20
+    assert toxicity.sample(labels, docs, max_bytes=155).count() == 15
+
+
 def test_token_counts(spark, odd, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

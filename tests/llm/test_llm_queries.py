@@ -88,6 +88,8 @@ def test_toxicity(spark):
     got = queries.op9_toxicity(spark, SF.replace("0.001", "0.01")).collect()
     held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    toxic = [a for a, b in held if b]
+    assert len(toxic) >= 3 and sum(toxic) >= 0.8 * len(toxic)
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (brute.remainder(r["doc_id"]) == 0) for r in got)
 
 
