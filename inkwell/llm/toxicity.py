@@ -114,7 +114,7 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     max_features: int = 40_000,
-    min_z: float = 3.0,
+    min_z: float = 3.5,
     alpha: float = 1.0,
     ridge: float = 1e-3,
     steps: int = 120,

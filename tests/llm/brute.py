@@ -221,7 +221,7 @@ def character_grams(text, orders=(4, 5, 6), bits=22):
     }
 
 
-def toxicity_features(rows, min_z=3.0, alpha=1.0):
+def toxicity_features(rows, min_z=3.5, alpha=1.0):
     """feature -> log-count ratio, for (text, label)."""
     seen = {0: Counter(), 1: Counter()}
     n = Counter(y for _, y in rows)

@@ -88,11 +88,18 @@ def test_toxicity(spark):
     got = queries.op9_toxicity(spark, SF.replace("0.001", "0.01")).collect()
     held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
-    toxic = [a for a, b in held if b]
-    assert len(toxic) >= 3 and sum(toxic) >= 0.8 * len(toxic)
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (brute.remainder(r["doc_id"]) == 0) for r in got)
 
 
+def test_toxicity_recall_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in queries.op9_toxicity(spark, sf).filter("held_out").collect() if r["doc_id"] in labels]
+    toxic, found = sum(b for _, b in held), sum(a for a, _ in held)
+    both = sum(a and b for a, b in held)
+    assert toxic >= 50 and both >= 0.85 * toxic and both >= 0.9 * found
+
+
 def test_token_counts(spark, docs):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
