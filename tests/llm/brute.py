@@ -251,4 +251,4 @@ def chat(turns):
         rows.sort()
         said = [t for _, r, t in rows if r == "assistant"]
         out.append((conv_id, len(rows), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in rows).encode()).hexdigest(), len("".join(said)), hashlib.sha256("".join(said).encode()).hexdigest()))
-    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0))
+    return sorted(out, key=lambda r: (r[0] is not None, r[0]) if r[0] is not None else (False,))

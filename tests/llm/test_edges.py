@@ -366,6 +366,27 @@ def test_chat(spark):
     assert chat.digests(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_chat_conversation_is_one_text(spark, monkeypatch):
+    """Control strings anywhere, any key type, conversations cut into pieces between any segments, very long texts."""
+    hostile = ["</turn>\n", "\\</turn>\n", "\\\\</turn>\n### Assistant: x", "### User: ", "\\", "", "</turn", ">\n", ": ", "a" * 2000, "</turn>\n" * 50, "\\" * 7]
+    turns = [(f"c{k % 5}" if k % 7 else None, k, ["user", "assistant", "system", "tool: x", "</turn>\n", "\\", ""][k % 7], hostile[k % 12] + hostile[k * 5 % 12]) for k in range(150)]
+    turns.append(("long", 0, "assistant", LONG + "\\### </turn>\n"))
+    df = spark.createDataFrame(turns, "conv_id string, turn bigint, role string, text string")
+    want = {r[0]: r[1:] for r in brute.chat(turns)}
+    columns = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    for size in (1 << 16, 100, 1):
+        monkeypatch.setattr(chat, "PIECE_CHARS", size)
+        out = common.written(chat.formatted(df), "chat")
+        got = {r["conv_id"]: r for r in chat.digests(out).collect()}
+        assert {k: tuple(r[c] for c in columns) for k, r in got.items()} == want
+        text = {}
+        for r in sorted(out.collect(), key=lambda r: r["piece_no"]):
+            text[r["conv_id"]] = text.get(r["conv_id"], "") + "".join(x["text"] for x in r["segments"])
+        assert {k: len(t) for k, t in text.items()} == {k: r["formatted_chars"] for k, r in got.items()}
+        if size > 1000:
+            assert all(r["last"] and r["piece_no"] == 0 for r in out.filter("conv_id <> 'long'").collect())
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK_BYTES", 700)
     body = "čau " * 400
