@@ -3,23 +3,27 @@
 1. Each document becomes a set of 64-bit shingle hashes and, of it, K minwise tokens. Documents of equal sets fold to
    one representative (the smallest id) before anything else, so groups of copies of any size cost one row.
 2. Chosen paths: in each of TREES independent trees a node passes on to its children the documents that hold a token it
-   chooses; every node chooses each token with probability 1 / (threshold * K), by a hash of node and token. A pair at the
-   threshold is thus expected in one child at least of every node that it shares. In every first node all documents are
+   chooses; every node chooses each token with probability BRANCH / (threshold * K), by a hash of node and token, so a pair at
+   the threshold is expected in BRANCH children of every node that it shares. In every first node all documents are
    compared to the node's smallest (on the K tokens, loosely); nodes whose documents are joined by that are done. Of the
    others, those with few pairs outside their largest component are compared exhaustively and the rest branch again.
    Nodes at the depth limit are compared in tiles.
-3. The loose matches make groups. The full sets of a group come together once, and its links are confirmed on them; a
-   group too large for a task is resolved against some of its documents and then, what is left, against all in blocks.
+3. The loose matches make groups. The full sets of a group come together once, and its links are confirmed on them. In a
+   group too large for a task, all documents are first compared to PIVOTS of them on full sets; where that leaves several
+   components, the group goes down trees of its own, whose small nodes are compared on full sets.
 4. Components over the confirmed links, by large and small stars.
-No step makes all pairs of a node or group, and none drops or caps any.
+No step makes all pairs of a node or group, and none drops or caps any. Rows of a node are counted before they are brought
+together, and only nodes small enough for a task are; joins by node on the way are split by AQE where a node is large.
 
-Recall: a pair at similarity 0.8 is missed at the root by all trees with probability (1 - 12 / (0.8 * 64)) ** 51, under
-10 ** -5, and its loose comparison fails with about 10 ** -6.
+Recall: a pair at similarity 0.8 is in one node at every depth of a tree with a probability that falls from 71% at the first
+level to no less than 37% however deep nodes have to branch (a branching process of mean BRANCH that dies out with 63%). All
+TREES trees miss it with 2 * 10 ** -9 if first nodes are small and with 6 * 10 ** -4 if every node above has to branch,
+twice that in a group too large for a task; its loose comparison fails with about 10 ** -6.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,8 @@ from inkwell.llm import common, textkit
 from inkwell.llm.components import components
 
 TOKENS = 64
-TREES = 12
+TREES = 16
+BRANCH = 1.25
 #: A node is compared exhaustively if it has at most so many rows, and pairs of a row outside its largest component with any.
 LEAF_ROWS = 1 << 14
 LEAF_PAIRS = 1 << 20
@@ -84,7 +89,8 @@ def minwise(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (shingles), set_key (128-bit digest of the set), tokens; the last two are null for sets without members."""
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").cast("bigint").alias("id"))
+    packed = common.Packed(docs)
+    rows = packed.docs.select(packed.column(text).alias("text"), packed.column(key).cast("bigint").alias("id"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.gathered(batches, 0, SHARD_BYTES):
@@ -194,7 +200,7 @@ def _agreeing(tokens: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarr
 
 def _exhausted(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Loose matches (a, b) of different components in small nodes; a spanning forest of each node's is enough."""
-    full = rows.select("node", "rid", "comp").join(reps.select("rid", "n", "tokens"), "rid").repartition("node").sortWithinPartitions("node")
+    full = rows.select("node", "rid", "comp").join(reps.select("rid", "n", "tokens"), "rid").repartition("node").sortWithinPartitions("node")  # leaves
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["node"]):
@@ -238,54 +244,77 @@ class Forest:
         return np.array([self.find(x) for x in range(len(self.up))])
 
 
-def _tiled(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Loose matches in nodes at the depth limit: blocks of BLOCK rows, each pair of blocks compared by one task."""
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows (node, rid, comp) of nodes of m rows, as nodes for each pair of blocks of BLOCK rows; for nodes at the depth limit."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("bigint")
     own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
     cut = rows.select("node", "rid", "comp", blocks.alias("blocks")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cut = cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rid", "comp")
-    return _exhausted(cut, reps, percent)
+    return cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rid", "comp")
 
 
-def loose_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(hi, lo) of the components of loose matches that the trees find; see the module's text."""
-    rate = 100 / (percent * TOKENS)
-    # dealt by node once: counts, sums and joins by node then need no other exchange
-    first = _roots(reps, rate).repartition("node")
-    stats = first.groupBy("node").agg(F.count("*").alias("m"), F.min("rid").alias("pivot")).filter("m > 1")
-    shared = common.written(first.join(stats, "node"), "path-nodes")
-    stars = common.written(_loose(shared.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), reps, percent), "path-stars")
-    comps = components(stars)
-    current = shared.select("node", "rid").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("node", "rid", F.coalesce("comp", "rid").alias("comp"))
-    links, tables = [stars], [shared]
+def _rate(percent: int) -> float:
+    return BRANCH * 100 / (percent * TOKENS)
+
+
+def _descended(current: DataFrame, reps: DataFrame, percent: int, compare: Callable[[DataFrame], DataFrame], name: str, most_bytes: int | None = None) -> list[DataFrame]:
+    """Links (a, b) that compare() finds in the leaves below the nodes of current (node, rid, comp); written.
+
+    Nodes of one component are done. A leaf has few enough rows and pairs of a row outside its largest component with any,
+    and if most_bytes is given, sets of so many bytes in all (8 for each shingle).
+    """
+    links, before = [], []
+    sized = reps.select("rid", (8 * F.col("n")).alias("bytes"))
     for level in range(1, LEVELS + 1):
-        current = current.repartition("node")
-        stats = current.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-        leaf = (F.col("m") <= LEAF_ROWS) & ((F.col("m") - F.col("top")) * F.col("m") <= LEAF_PAIRS)
-        live = common.written(current.join(stats.select("node", "m", leaf.alias("leaf")), "node"), f"path-level{level}")
-        tables.append(live)
+        if most_bytes is not None:
+            current = current.join(sized, "rid")
+        else:
+            current = current.withColumn("bytes", F.lit(0).cast("bigint"))
+        current = common.written(current.select("node", "rid", "comp", "bytes"), f"{name}-level{level}")
+        # combined before the shuffle, so a large node is no hot key
+        stats = current.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("node")
+        stats = stats.agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.count("*").alias("comps"), F.sum("bytes").alias("bytes")).filter("comps > 1")
+        leaf = (F.col("m") <= LEAF_ROWS) & ((F.col("m") - F.col("top")) * F.col("m") <= LEAF_PAIRS) & (F.col("bytes") <= F.lit(most_bytes if most_bytes is not None else 0))
+        live = common.written(current.drop("bytes").join(stats.select("node", "m", leaf.alias("leaf")), "node"), f"{name}-live{level}")
+        common.dropped(current, *before)
         counts = live.agg(F.count_if("leaf").alias("small"), F.count_if(~F.col("leaf")).alias("large")).first()
         if counts["small"]:
-            links.append(common.written(_exhausted(live.filter("leaf"), reps, percent), "path-leaves"))
+            links.append(common.written(compare(live.filter("leaf")), f"{name}-leaves"))
+        before = [live]
         if not counts["large"]:
             break
         large = live.filter("not leaf")
         if level == LEVELS:
-            links.append(common.written(_tiled(large, reps, percent), "path-tiles"))
+            links.append(common.written(compare(_tiles(large)), f"{name}-tiles"))
             break
-        current = _branched(large, reps, rate)
-    if len(links) == 1:
-        groups = comps
-    else:
-        all_links = comps.select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-        for more in links[1:]:
-            all_links = all_links.unionByName(more)
-        groups = components(all_links)
+        current = _branched(large, reps, _rate(percent))
+    common.dropped(*before)
+    return links
+
+
+def loose_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """(hi, lo) of the components of loose matches that the trees find; see the module's text."""
+    first = common.written(_roots(reps, _rate(percent)), "path-roots")
+    stats = first.groupBy("node").agg(F.count("*").alias("m"), F.min("rid").alias("pivot")).filter("m > 1")
+    shared = common.written(first.join(stats.select("node", "pivot"), "node"), "path-nodes")
+    stars = common.written(_loose(shared.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")), reps, percent), "path-stars")
+    comps = components(stars)
+    current = shared.select("node", "rid").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("node", "rid", F.coalesce("comp", "rid").alias("comp"))
+    links = _descended(current, reps, percent, lambda rows: _exhausted(rows, reps, percent), "path")
+    groups = comps
+    if links:
+        groups = components(_union([comps.select(F.col("hi").alias("a"), F.col("lo").alias("b")), *links]))
         common.dropped(comps)
-    common.dropped(*tables, *links)
+    common.dropped(first, shared, stars, *links)
     return groups
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.concatenate([x, y])
     both.sort()
@@ -342,80 +371,100 @@ def _group_links(members: DataFrame, percent: int) -> DataFrame:
     return members.select("grp", "rid", "set").repartition("grp").sortWithinPartitions("grp").mapInArrow(resolve, "a bigint, b bigint")
 
 
-def _against(asked: DataFrame, members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Links of asked (grp, block, part, rid, comp, set; at most BLOCK rows in each block) to members (grp, block, part, rid, comp, set).
+def _pivot_links(pivots: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All links of pivots (grp, part, rid, set; a few for each group and part) to members (grp, part, rid, set).
 
-    A task holds the asked rows of one (grp, block) and streams one part of the members. every: all links are given, not only
-    those that join components.
+    A task holds the pivots of one (grp, part) and streams that part of the members.
     """
-    rows = asked.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1)))
-    rows = rows.select(F.xxhash64("grp", "block", "part").alias("task"), "side", "rid", "comp", "set").repartition("task").sortWithinPartitions("task", "side")
+    rows = pivots.withColumn("side", F.lit(0)).unionByName(members.withColumn("side", F.lit(1)))
+    rows = rows.select(F.xxhash64("grp", "part").alias("task"), "side", "rid", "set").repartition("task").sortWithinPartitions("task", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped_parts(batches):
-            (ids, comps, (sets, n, tokens)), streamed = group
-            for batch in streamed:
-                own, own_comps = np.asarray(batch.column("rid")), np.asarray(batch.column("comp"))
-                own_sets, m, own_tokens = _sets(batch.column("set"))
-                forest = Forest(np.concatenate([comps, own_comps]))
+        held = None
+        for whole in grouped(batches, ["task", "side"]):
+            if whole.column("side")[0].as_py() == 0:
+                held = np.asarray(whole.column("rid")), _sets(whole.column("set"))
+                continue
+            ids, (sets, n, tokens) = held
+            for at in range(0, whole.num_rows, 100):
+                part = whole.slice(at, 100)
+                own = np.asarray(part.column("rid"))
+                own_sets, m, own_tokens = _sets(part.column("set"))
                 out = []
-                for i, j, same in _agreeing(tokens, own_tokens, n, m, percent):
-                    if every:
-                        out += [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if ids[x] != own[y] and _linked(sets[x], own_sets[y], percent)]
-                    else:
-                        out += _confirm(forest, i, j, same, sets, own_sets, len(ids), percent)
+                for i, j, _ in _agreeing(tokens, own_tokens, n, m, percent):
+                    out += [(ids[x], own[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if ids[x] != own[y] and _linked(sets[x], own_sets[y], percent)]
                 if out:
-                    yield _pairs([ids[x] for x, _ in out], [own[y] for _, y in out])
-
-    def grouped_parts(batches):
-        held = None
-        for part in grouped(batches, ["task", "side"]):
-            task, side = part.column("task")[0].as_py(), part.column("side")[0].as_py()
-            if side == 0:
-                held = (task, np.asarray(part.column("rid")), np.asarray(part.column("comp")), _sets(part.column("set")))
-            elif held is not None and held[0] == task:
-                yield held[1:], (part.slice(at, BLOCK) for at in range(0, part.num_rows, BLOCK))
+                    yield _pairs(*zip(*out, strict=True))
 
     return rows.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _large_links(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of groups too large for a task; members (grp, rid, set), sizes (grp, m): one row a group.
+def _leaf_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links confirmed on full sets that join different components of the leaves (node, rid, comp)."""
+    full = rows.select("node", "rid", "comp").join(sets.select("rid", "set"), "rid").repartition("node").sortWithinPartitions("node")
 
-    All members are compared to PIVOTS of them; then those outside the largest component so found, in blocks, to all members.
-    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["node"]):
+            ids, comps = np.asarray(group.column("rid")), np.asarray(group.column("comp"))
+            own, n, tokens = _sets(group.column("set"))
+            labels, sizes = np.unique(comps, return_counts=True)
+            asked = np.flatnonzero(comps != labels[sizes.argmax()])
+            forest = Forest(comps)
+            out = []
+            for i, j, same in _agreeing(tokens[asked], tokens, n[asked], n, percent):
+                out += _confirm(forest, asked[i], j, same, own, own, 0, percent)
+            if out:
+                yield _pairs([ids[x] for x, _ in out], [ids[y] for _, y in out])
+
+    return full.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _group_roots(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(node, rid, comp): the first level of all trees of each group; members (grp, rid, comp)."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = _matrix(batch.column("tokens"))
+            groups = textkit.mixed(np.asarray(batch.column("grp")).astype(np.uint64))
+            for root in _ROOTS[:TREES]:
+                row, child = _chosen(tokens, textkit.mixed(groups + root), _rate(percent))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("rid").take(at), batch.column("comp").take(at)], names=["node", "rid", "comp"])
+
+    rows = members.join(reps.select("rid", "tokens"), "rid").select("grp", "rid", "comp", "tokens")
+    return rows.mapInArrow(grow, "node bigint, rid bigint, comp bigint")
+
+
+def _large_links(sets: DataFrame, sizes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of groups too large for a task; sets (grp, rid, set), written; sizes (grp, m): one row a group. Written."""
     parts = F.ceil(F.col("m") / BLOCK).cast("bigint")
-    part = F.pmod(F.xxhash64("rid"), F.col("parts"))
+    rows = sets.select("grp", "rid").join(sizes.select("grp", parts.alias("parts")), "grp")
+    # the pivots: those with the smallest hashes, the smallest few of each task first
+    place = F.struct(F.xxhash64("rid"), "rid")
+    chosen = rows.groupBy("grp", "parts", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(PIVOTS)).alias("slot")).agg(F.min(place).alias("p")).select("grp", "parts", F.col("p.rid").alias("rid"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
-    rows = members.join(sizes.withColumn("parts", parts), "grp")
-    best = rows.groupBy("grp").agg(F.min("rid").alias("least"))
-    from pyspark.sql import Window
-
-    # a bounded set of pivots: the smallest id and those with the smallest hashes (ranked within few candidates of each group)
-    ranked = rows.select("grp", "rid", "parts", F.xxhash64("rid").alias("h")).join(best, "grp")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("rid") != F.col("least"), "h"))).filter(F.col("rank") <= PIVOTS)
-    pivots = ranked.select("grp", "rid", "parts").join(members, ["grp", "rid"]).select("grp", F.lit(0).cast("bigint").alias("block"), every, "rid", F.col("rid").alias("comp"), "set")
-    own = rows.select("grp", F.lit(0).cast("bigint").alias("block"), part.alias("part"), "rid", F.col("rid").alias("comp"), "set")
-    first = common.written(_against(pivots, own, percent, True), "near-pivots")
+    pivots = chosen.join(sets, ["grp", "rid"]).select("grp", every, "rid", "set")
+    own = sets.join(sizes.select("grp", parts.alias("parts")), "grp").select("grp", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("part"), "rid", "set")
+    first = common.written(_pivot_links(pivots, own, percent), "near-pivots")
     comps = components(first)
-    labelled = common.written(rows.select("grp", "rid", "parts").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("grp", "rid", "parts", F.coalesce("comp", "rid").alias("comp")), "near-labels")
-    counted = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top")).select("grp", F.col("top.comp").alias("main"))
-    rest = common.written(labelled.join(counted, "grp").filter("comp <> main").select("grp", "rid", "parts", "comp"), "near-rest")
-    left = rest.groupBy("grp").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("bigint").alias("blocks"))
-    asked = rest.join(left, "grp").withColumn("block", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("blocks"))).join(members, ["grp", "rid"]).select("grp", "block", every, "rid", "comp", "set")
-    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
-    against = labelled.join(left, "grp").select("grp", "rid", "comp", part.alias("part"), blocks).join(members, ["grp", "rid"]).select("grp", "block", "part", "rid", "comp", "set")
-    second = common.written(_against(asked, against, percent, False), "near-rest-links")
-    return first.unionByName(second)
-
-
-def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    labelled = rows.select("grp", "rid").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("grp", "rid", F.coalesce("comp", "rid").alias("comp"))
+    labelled = common.written(labelled, "near-labels")
+    open_ = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.count("*").alias("comps")).filter("comps > 1").select("grp")
+    roots = _group_roots(labelled.join(open_, "grp", "left_semi"), reps, percent)
+    rest = _descended(roots, reps, percent, lambda leaves: _leaf_links(leaves, sets, percent), "near", GROUP_BYTES)
+    out = common.written(_union([first, *rest]), "near-large-links")
+    common.dropped(first, comps, labelled, *rest)
+    return out
+
+
+def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) confirmed on full sets that join all that is linked within the groups (hi, lo); written."""
     members = groups.select(F.col("hi").alias("rid"), F.col("lo").alias("grp")).unionByName(groups.select(F.col("lo").alias("rid"), F.col("lo").alias("grp")).distinct())
-    members = common.written(members, "near-members")
+    members = common.written(members.join(reps.select("rid", "n"), "rid"), "near-members")
     n = members.count()
-    ids = F.broadcast(members) if n <= BROADCAST_IDS else members
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").cast("bigint").alias("rid")).join(ids, "rid").select("text", "rid", "grp")
+    ids = members.select("rid", "grp")
+    packed = common.Packed(docs)
+    rows = packed.docs.select(packed.column(text).alias("text"), packed.column(key).cast("bigint").alias("rid")).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "rid").select("text", "rid", "grp")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.gathered(batches, 0, SHARD_BYTES):
@@ -424,8 +473,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), sets], names=["grp", "rid", "set"])
 
     found = rows.mapInArrow(full_sets, "grp bigint, rid bigint, set binary").filter(F.length("set") > 0)
-    counts = common.written(members.groupBy("grp").agg(F.count("*").alias("m")), "near-sizes")
-    large = counts.filter(F.col("m") > GROUP_ROWS)
+    counts = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+    large = common.written(counts.filter((F.col("m") > GROUP_ROWS) | (F.col("bytes") > GROUP_BYTES)).select("grp", "m"), "near-sizes")
     n_large = large.count()
     if not n_large:
         out = common.written(_group_links(found, percent), "near-links")
@@ -433,8 +482,10 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, width: int, percent: int
         mark = large if n_large > BROADCAST_IDS else F.broadcast(large)
         small = common.written(_group_links(found.join(mark.select("grp"), "grp", "left_anti"), percent), "near-links")
         heavy = common.written(found.join(mark.select("grp"), "grp", "left_semi"), "near-sets")
-        out = small.unionByName(_large_links(heavy, mark, percent))
-    common.dropped(members)
+        more = _large_links(heavy, mark, reps, percent)
+        out = common.written(small.unionByName(more), "near-links")
+        common.dropped(small, more, heavy)
+    common.dropped(members, large)
     return out
 
 
@@ -442,21 +493,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
     """One row for each row of docs: key, n_shingles, component_id (smallest key reachable over links), kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles of `width` words;
-    a text of fewer words is one shingle; a text without words, or null, has an empty set and no links. Rows with one key are
-    one document. Rows with a null key are linked to nothing and kept. Keys are integers. Empty tables give no rows.
+    a text of fewer words is one shingle; a text without words, or null, has an empty set and no links. Texts of any length
+    are read whole. Rows with one key, repeated rows too, are one document. Rows with a null key are linked to nothing and
+    kept. Keys are integers. Other columns don't matter, whatever they are called. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     sketched = common.written(sketches(docs, width, key, text), "sketches")
     # equal sets have equal sizes and tokens: as grouping keys they need no aggregation buffer
     folded = common.written(sketched.filter("set_key is not null and id is not null").groupBy("set_key", "n", "tokens").agg(F.min("id").alias("rid")), "sets")
     reps = folded.select("rid", "n", "tokens")
     groups = loose_groups(reps, percent)
-    links = confirmed_links(docs, groups, width, percent, key, text)
+    links = confirmed_links(docs, groups, reps, width, percent, key, text)
     same = sketched.filter("set_key is not null and id is not null").select("id", "set_key").join(folded.select("set_key", "rid"), "set_key")
     # a key whose rows have several sets joins them
     several = same.filter("id <> rid").select(F.col("id").alias("a"), F.col("rid").alias("b"))
     comps = components(links.unionByName(several))
+    common.dropped(links, groups, folded)
     out = sketched.select("id", "n").join(comps.select(F.col("hi").alias("id"), F.col("lo").alias("comp")), "id", "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -469,4 +521,6 @@ def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str
     n = gone.count()
     if not n:
         return docs
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, F.col(f"`{key}`").cast("bigint") == F.col("gone_key"), "left_anti")
+    packed = common.Packed(docs)
+    own = packed.docs.select(packed.column(key).cast("bigint").alias("own_key"), packed.row())
+    return own.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, F.col("own_key") == F.col("gone_key"), "left_anti").select(*packed.columns())
