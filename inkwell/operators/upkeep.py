@@ -77,6 +77,11 @@ def pending_shard(queue: DataFrame) -> list[Column]:
     return [F.desc("is_current"), F.desc_nulls_last("embed_priority"), F.desc_nulls_last(F.coalesce("valid_until", "valid_from")), F.asc("created_at"), F.asc("id")]
 
 
+def migration_order(first: Column) -> list[Column]:
+    """What is first, then by the beginning or else the end of validity (unknown ones earliest), open ends last."""
+    return [F.when(first, 0).otherwise(1), F.coalesce("valid_from", "valid_until", F.lit("1900-01-01").cast("date")), F.asc_nulls_last("valid_until")]
+
+
 def rotated(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """key_no from 0 to n - 1 in turn."""
     return rows.withColumn("key_no", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)))

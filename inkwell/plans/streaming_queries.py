@@ -12,10 +12,14 @@ from inkwell.plans.registry import query
 from inkwell.streaming import usage
 
 
-def _work(spark: SparkSession) -> str:
-    """A new folder below that of spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below that of spark.checkpoint.dir; where it is unset, on one machine only, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="inkwell-work-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +28,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_daily_counts", "select cast(ts::date as varchar) as day, user_id, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = _work(spark)
+    work = work_folder(spark)
     latest = usage.daily_counts(_events(spark, sf_dir))
     usage.worked_off(latest, lambda df, n: df.write.mode("overwrite").parquet(f"{work}/out/v={n}"), f"{work}/check", "complete")
     return _last(spark, f"{work}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "user_id", "event_type", "n", "total")
@@ -39,7 +43,7 @@ def _last(spark: SparkSession, path: str) -> DataFrame:
 
 @query("stream_deduplicated", "select event_type, count(distinct event_id) as n from events group by 1")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = _work(spark)
+    work = work_folder(spark)
     events = _events(spark, sf_dir)
     twice = events.unionByName(_events(spark, sf_dir))
     usage.to_table(usage.once(twice, late="40 days").select("event_id", "event_type"), f"{work}/out", f"{work}/check")
@@ -48,7 +52,7 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_pending", "select user_id, (count(*) filter (where event_type = 'error') - count(*) filter (where event_type = 'purchase'))::bigint as open, count(*) filter (where event_type = 'error') > count(*) filter (where event_type = 'purchase') as pending from events group by 1")
 def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = _work(spark)
+    work = work_folder(spark)
     flags = usage.pending_flags(_events(spark, sf_dir))
     usage.worked_off(flags, lambda df, n: df.withColumn("b", F.lit(n)).write.mode("append").parquet(f"{work}/out"), f"{work}/check", "update")
     rows = spark.read.parquet(f"{work}/out")
