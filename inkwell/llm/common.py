@@ -153,13 +153,9 @@ class Packed:
         return [F.col("row").getField(f"c{k}").alias(self.names[k]) for k in self.kept]
 
 
-def trimmed() -> None:
-    """Give memory that large arrays have left behind back to the machine; for the driver, after it has fitted a model."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+def clash_free(names: list[str], wanted: str) -> str:
+    """`wanted`, or the same with underscores appended until no column (whatever the case) is called so."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

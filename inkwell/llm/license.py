@@ -1,11 +1,12 @@
 """License scans: a trained paragraph classifier, in DataFrame operations only.
 
-Features are word n-grams (1 to 3 words) that hold an anchor word of licence language, so a paragraph without such a word
-has no features and is never looked at further; that filter is exact, not a heuristic. A multinomial logistic regression
-over licence families and "unknown" is fitted at start-up, in plain Python, on variations of the families' own
-statements and on other sentences. Its probabilities are calibrated by a temperature fitted on variations that weren't
-trained on; a prediction below `least` is unknown. A prediction counts only if confirmed by comparison with the family's
-templates: at least `overlap` of a template statement's word pairs occur in the paragraph.
+Features are word n-grams (1 to 3 words) that hold a word of licence language, of granting or "not". A paragraph, line or
+window without an anchor word of licence language is unknown by definition and never looked at further. A multinomial logistic regression
+over licence families and "unknown" is fitted at start-up, on the driver, on variations of the families' own statements, on
+their negations and on other sentences. Its probabilities are calibrated by a temperature fitted on whole statements and
+sentences that a first model wasn't trained on; a prediction below `least` is unknown. A prediction counts only if confirmed
+by comparison with the family's templates: at least `overlap` of a template statement's word pairs occur in the paragraph.
+A negation is seen where it stands in the same line or window as what it negates.
 
 Paragraphs end at blank lines. What is classified are a paragraph's lines and, as notices are often wrapped or stand in
 long lines, overlapping windows over its joined words, of which one holds any template as a whole. A unit with too few of
@@ -21,13 +22,15 @@ import json
 import math
 import random
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import Packed
+
 UNKNOWN = "unknown"
 
 #: Short statements by which the families' own texts ask to be referred to.
@@ -97,6 +100,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: CC0-1.0",
         "This work is dedicated to the public domain under CC0 1.0",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+        "Licensed under the ISC license",
+    ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under the Eclipse Public License, version 2.0",
+    ),
+    "EUPL": (
+        "Licensed under the European Union Public Licence, version 1.2",
+        "SPDX-License-Identifier: EUPL-1.2",
+        "Licensed under the EUPL, Version 1.2 or later",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "SPDX-License-Identifier: Unlicense",
+        "Released under the Unlicense",
+    ),
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the copyright owner",
         "Copyright, all rights reserved",
@@ -104,14 +127,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: Words of which a feature has at least one.
+#: Words of licence language.
 ANCHORS: tuple[str, ...] = (
     "affero", "agpl", "apache", "attribution", "bsd", "by", "cc", "cc0", "clause", "commons", "confidential", "copyright",
-    "creative", "domain", "gnu", "gpl", "lesser", "lgpl", "license", "licensed", "licenses", "licensing", "mit", "mozilla", "mpl", "nc",
+    "creative", "domain", "eclipse", "epl", "eupl", "gnu", "gpl", "isc", "lesser", "lgpl", "license", "licensed", "licenses", "licensing", "mit", "mozilla", "mpl", "nc",
     "noncommercial", "permission", "permitted", "proprietary", "redistribute", "redistribution", "reserved", "sa",
-    "sharealike", "spdx", "unauthorized",
+    "sharealike", "spdx", "unauthorized", "unencumbered", "unlicense",
 )
 
+#: Words before which a "not" turns a statement round.
+GRANTS = ("licensed", "released", "distributed", "available", "governed", "dedicated", "granted", "permitted")
+#: Words of which a feature has at least one; a unit is looked at only if it holds an anchor, too.
+MARKED = (*ANCHORS, *GRANTS, "not")
+
 #: Sentences with anchor words that name no licence.
 OTHERS: tuple[str, ...] = (
     "He lost his driving license by the river", "The permission of the neighbours was not asked for", "by and by the rain stopped",
@@ -119,6 +147,8 @@ OTHERS: tuple[str, ...] = (
     "It was written by hand and sent by post", "The clause was struck from the contract", "An apache helicopter flew by", "He is licensed to drive a bus",
     "Parking is permitted by the gate", "The king's domain was large", "Her copyright case went to court", "This is a confidential talk", "step by step",
     "The lesser of two evils", "A gnu ran by", "The word was cc and nobody knew why", "They asked permission to leave", "Tables are reserved by phone",
+    "This code is compatible with the MIT license", "The GPL and the Apache license differ in patents", "Read more about the GNU General Public License", "Is the MIT license better than the BSD license",
+    "A comparison of Creative Commons licenses", "a total eclipse was seen", "the public domain is a wide field", "free software released by the union",
     "The redistribution of land took years", "unauthorized persons keep out", "by the", "of by in", "the license", "by", "sa", "nc", "cc", "mit", "mit der", "er kam mit dem Zug", "sa mère", "sa maison par la mer",
 )
 
@@ -139,10 +169,10 @@ def words_of(text: str) -> list[str]:
 
 def features_of(words: list[str]) -> list[str]:
     grams = [" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)]
-    return sorted({g for g in grams if not _ANCHOR_SET.isdisjoint(g.split(" "))})
+    return sorted({g for g in grams if not _MARKED_SET.isdisjoint(g.split(" "))})
 
 
-_ANCHOR_SET = frozenset(ANCHORS)
+_MARKED_SET = frozenset(MARKED)
 
 
 @dataclass(frozen=True)
@@ -153,47 +183,76 @@ class Model:
     temperature: float
 
 
-def _variations(text: str, rng: random.Random, n: int) -> list[list[str]]:
+def _negated(words: list[str]) -> list[str]:
+    """The words with a "not" before the first that grants; nothing if none does."""
+    at = next((k for k, w in enumerate(words) if w in GRANTS), None)
+    return [] if at is None else [*words[:at], "not", *words[at:]]
+
+
+def _variations(words: list[str], rng: random.Random, n: int) -> list[list[str]]:
     """The words as they are, and with some left out, put in front or added."""
-    words = words_of(text)
     padding = ("project", "code", "notice", "see", "file", "the", "und", "les", "data", "version")
     out = [words]
     for _ in range(n):
-        kept = [w for w in words if rng.random() > 0.08] or words
+        kept = [w for w in words if w == "not" or rng.random() > 0.08] or words
         out.append(rng.choices(padding, k=rng.randrange(4)) + kept + rng.choices(padding, k=rng.randrange(6)))
     return out
 
 
-@lru_cache(maxsize=1)
-def trained(rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> Model:
-    """Fit on the fixed statements; the same model in every run."""
+def _rows(templates: dict[str, Sequence[str]], others: Sequence[str], families: tuple[str, ...]) -> list[tuple[list[str], int]]:
+    """Features and family of what a model is fitted on."""
     rng = random.Random(7)
-    families = (*TEMPLATES, UNKNOWN)
-    rows = [(features_of(v), families.index(f)) for f, texts in TEMPLATES.items() for t in texts for v in _variations(t, rng, 6)]
-    rows += [(features_of(v), len(families) - 1) for t in OTHERS for v in _variations(t, rng, 4)]
-    held = [r for k, r in enumerate(rows) if k % 7 == 6]
-    rows = [r for k, r in enumerate(rows) if k % 7 != 6]
-    weights: dict[str, list[float]] = {}
-    bias = [0.0] * len(families)
+    rows = []
+    for family, texts in templates.items():
+        for words in map(words_of, texts):
+            rows += [(features_of(v), families.index(family)) for v in _variations(words, rng, 6)]
+            if against := _negated(words):
+                rows += [(features_of(v), len(families) - 1) for v in _variations(against, rng, 4)]
+    return rows + [(features_of(v), len(families) - 1) for t in others for v in _variations(words_of(t), rng, 4)]
+
+
+def _fitted(rows: list[tuple[list[str], int]], n: int, steps: int, ridge: float) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+    """Weights by feature and biases of n families: full-batch multinomial logistic regression; features of a row weigh 1 / sqrt(their number)."""
+    import numpy as np
+
+    names = sorted({f for found, _ in rows for f in found})
+    number = {f: k for k, f in enumerate(names)}
+    x, y = np.zeros((len(rows), len(names))), np.zeros((len(rows), n))
+    for k, (found, label) in enumerate(rows):
+        x[k, [number[f] for f in found]] = 1 / math.sqrt(len(found) or 1)
+        y[k, label] = 1
+    weights, bias = np.zeros((len(names), n)), np.zeros(n)
     bias[-1] = 1.0
-    for t in range(rounds):
-        rng.shuffle(rows)
-        step = rate / (1 + t / 15)
-        for found, label in rows:
-            scale = 1 / math.sqrt(len(found) or 1)
-            p = _softmax(_scores(weights, bias, found))
-            miss = [q - (k == label) for k, q in enumerate(p)]
-            for k, m in enumerate(miss[:-1]):
-                bias[k] -= 0.1 * step * m
-            for f in found:
-                w = weights.setdefault(f, [0.0] * len(families))
-                for k, m in enumerate(miss):
-                    w[k] -= step * (scale * m + ridge * w[k])
-    frozen = {f: tuple(round(x, 4) for x in w) for f, w in sorted(weights.items()) if max(map(abs, w)) >= 0.02}
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for t in range(1, steps + 1):
+        scores = x @ weights + bias
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        miss = p / p.sum(axis=1, keepdims=True) - y
+        slope = x.T @ miss / len(rows) + ridge * weights
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        weights -= 0.2 * (1 - t / (steps + 1)) * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+        bias[:-1] -= 0.5 * miss.mean(axis=0)[:-1]
+    kept = {f: tuple(round(float(w), 4) for w in weights[k]) for f, k in number.items() if np.abs(weights[k]).max() >= 0.02}
+    return kept, tuple(round(float(b), 4) for b in bias)
+
+
+@lru_cache(maxsize=1)
+def trained(steps: int = 300, ridge: float = 1e-5) -> Model:
+    """Fit on the fixed statements; the same model in every run.
+
+    The temperature is that at which a model that knows neither the last statement of each family nor every third of the
+    other sentences gives those the highest likelihood.
+    """
+    families = (*TEMPLATES, UNKNOWN)
+    part = _rows({f: texts[:-1] for f, texts in TEMPLATES.items()}, [t for k, t in enumerate(OTHERS) if k % 3], families)
+    held = [(features_of(words_of(texts[-1])), families.index(f)) for f, texts in TEMPLATES.items()]
+    held += [(features_of(words_of(t)), len(families) - 1) for t in OTHERS[::3]]
+    weights, bias = _fitted(part, len(families), steps, ridge)
     loss = {}
-    for tenths in range(5, 31):
-        loss[tenths / 10] = -sum(math.log(max(_softmax([s / (tenths / 10) for s in _scores(frozen, bias, found)])[label], 1e-12)) for found, label in held)
-    return Model(families, frozen, tuple(round(b, 4) for b in bias), min(loss, key=lambda t: (loss[t], t)))
+    for tenths in range(3, 41):
+        loss[tenths / 10] = -sum(math.log(max(_softmax([s / (tenths / 10) for s in _scores(weights, bias, found)])[label], 1e-12)) for found, label in held)
+    whole, bias = _fitted(_rows(TEMPLATES, OTHERS, families), len(families), steps, ridge)
+    return Model(families, whole, bias, min(loss, key=lambda t: (loss[t], t)))
 
 
 def _scores(weights, bias, found: list[str]) -> list[float]:
@@ -240,12 +299,12 @@ def _split(spelled: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """n-grams that hold an anchor."""
+    """n-grams that hold a marked word."""
     if n == 1:
-        return F.filter(words, lambda w: w.isin(*ANCHORS))
+        return F.filter(words, lambda w: w.isin(*MARKED))
     places = F.sequence(F.lit(1), F.size(words) - (n - 1))
     window = lambda k: F.slice(words, k, n)
-    grams = F.transform(F.filter(places, lambda k: F.exists(window(k), lambda w: w.isin(*ANCHORS))), lambda k: F.array_join(window(k), " "))
+    grams = F.transform(F.filter(places, lambda k: F.exists(window(k), lambda w: w.isin(*MARKED))), lambda k: F.array_join(window(k), " "))
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -279,8 +338,8 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
 
     Paragraphs are what blank lines separate. candidates: paragraphs with features. A paragraph has one entry for each of its
     families, the most probable, with the number of the line where that line or window begins. Null and blank
-    texts have no paragraphs. Each row is scanned by itself, repeated rows alike; columns called like the results are
-    replaced. Texts may be of any length.
+    texts have no paragraphs. Each row is scanned by itself, repeated rows alike; columns called like the results, in whatever
+    case, are replaced, others may have any names. Texts of any length are scanned whole; an empty table gives an empty table.
     """
     known = model or trained()
     zero = F.array(*[F.lit(float(b)) for b in known.bias])
@@ -329,9 +388,8 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
         before = F.aggregate(F.slice("__parts", F.lit(1), x["at"].cast("int")), F.lit(0).cast("bigint"), lambda n, part: n + F.size(F.split(part, "\n")))
         return F.struct((before + x["line"]).alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"))
 
-    parts = paragraphs(F.col(f"`{text}`"))
-    kept = [c for c in docs.columns if c not in (text, "n_paragraphs", "candidates", "licences")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], parts.alias("__parts"))
+    packed = Packed(docs, without=(text, "n_paragraphs", "candidates", "licences"))
+    rows = packed.rows(None, paragraphs(packed.column(text)).alias("__parts"))
     rows = rows.withColumn("n_paragraphs", F.size(F.filter("__parts", lambda p: F.rlike(p, F.lit(r"\S")))).cast("bigint"))
     spelled = F.transform("__parts", lambda p, k: F.struct(k.cast("bigint").alias("at"), _spelled(p).alias("text")))
     rows = rows.withColumn("__hits", F.filter(spelled, lambda x: _anchored(x["text"])))
@@ -344,4 +402,4 @@ def scanned(docs: DataFrame, *, text: str = "text", least: float = 0.6, overlap:
     rank = lambda x: F.struct(x["probability"].alias("p"), (-x["line"]).alias("line"), x["overlap"].alias("overlap"))
     first = lambda x, y: (x["at"] == y["at"]) & (x["family"] == y["family"]) & (rank(y) > rank(x))
     best = F.array_distinct(F.filter("__hits", lambda x: ~F.exists("__hits", lambda y: first(x, y))))
-    return rows.withColumn("licences", F.transform(best, placed)).drop("__hits", "__parts")
+    return rows.withColumn("licences", F.transform(best, placed)).select(*packed.columns(), "n_paragraphs", "candidates", "licences")

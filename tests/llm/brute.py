@@ -241,6 +241,49 @@ def toxicity_score(text, weights, bias):
     return 1 / (1 + math.exp(-min(40, max(-40, margin))))
 
 
+def licences(text, model, least=0.6, overlap=0.6):
+    """n_paragraphs, candidates and sorted (line, family, probability, overlap) of the confirmed units, by loops."""
+    from inkwell.llm import license
+
+    lines, parts, begin = (text or "").split("\n"), [[]], [0]
+    for k, line in enumerate(lines):
+        if k and not line.strip(" \t\r\f\x0b") and k < len(lines):
+            # the line feed before a blank line ends a paragraph, and the blank line begins the next
+            parts.append([])
+            begin.append(k)
+        parts[-1].append(line)
+    anchors = set(license.ANCHORS)
+    templates = {f: license._template_pairs(f) for f in license.TEMPLATES}
+    n = sum(any(x.strip() for x in part) for part in parts)
+    candidates, out = 0, set()
+    for start, part in zip(begin, parts, strict=True):
+        words = [license.words_of(line) for line in part]
+        if not any(anchors & set(w) for w in words):
+            continue
+        candidates += 1
+        flat = [(w, k) for k, line in enumerate(words) for w in line]
+        units = [(k, line) for k, line in enumerate(words)]
+        for number, (most, step) in enumerate(license.WINDOWS):
+            if len(flat) > most or (number == 0 and len(part) > 1 and flat):
+                last = max(1, len(flat) - most + step)
+                units += [(flat[at - 1][1], [w for w, _ in flat[at - 1 : at - 1 + most]]) for at in range(1, last + 1, step)]
+        best = {}
+        for line, unit in units:
+            if not anchors & set(unit):
+                continue
+            found = license.features_of(unit)
+            p = license._softmax([x / model.temperature for x in license._scores(model.weights, model.bias, found)])
+            top = max(range(len(p)), key=lambda k: (p[k], -k))
+            family = model.families[top]
+            pairs = set(zip(unit, unit[1:], strict=False))
+            similar = max((len(pairs & t) / len(t) for t in templates.get(family, ()) if t), default=0.0)
+            if family != "unknown" and p[top] >= least and similar >= overlap:
+                rank = (p[top], -(start + line), similar)
+                best[family] = max(best.get(family, rank), rank)
+        out |= {(-line, family, p, similar) for family, (p, line, similar) in best.items()}
+    return n, candidates, sorted(out)
+
+
 def chat(turns):
     """conv_id -> digests of the turns and of the assistant's words."""
     by = defaultdict(list)
