@@ -14,33 +14,53 @@ from pyspark.sql import functions as F
 from inkwell.llm import common, decontam, dedup, mixing, neardup, toxicity
 from inkwell.session import table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a score below 0.5; the classifier learns from the labelled ones of these documents."""
+    """Rows with a score below 0.5; the classifier learns from the labelled ones of these documents.
+
+    Null and empty texts have the score of no features; texts are read whole; rows are judged one by one, repeated rows
+    alike; without labels nothing goes; an empty table stays empty; other columns pass through, whatever they are called.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(toxicity.sample(labels, docs, held_out=toxicity.held_out()))
-    return toxicity.scored(docs, model, score="toxicity_score_").filter("toxicity_score_ < 0.5").select(*docs.columns)
+    score = common.clash_free(docs.columns, "toxicity_score")
+    return toxicity.scored(docs, model, score=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that with the smallest doc_id; one of those that tie.
+
+    Null texts are empty texts and equal to each other; null keys come last; texts are compared whole; an empty table stays
+    empty; other columns pass through, whatever they are called.
+    """
     return dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: that with the smallest doc_id.
+
+    Texts without words, null ones and rows without a key are near nothing and stay; rows of one key are one document; texts
+    are read whole; an empty table stays empty; other columns pass through, whatever they are called.
+    """
     return neardup.deduplicated(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words are words of benchmark passages.
+
+    Null texts have no words and stay; texts are searched whole; rows are judged one by one, repeated rows alike; without
+    benchmark items nothing goes; an empty table stays empty; other columns pass through, whatever they are called.
+    """
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least one copy in the mix: their columns, size, source_size, target, copies and taken."""
-    found = mixing.mixed(docs, with_rows=True)
-    more = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in docs.columns]
-    return found.filter("copies > 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *more)
+    """Documents with at least one copy in the mix: their columns, size, source_size, target, copies and taken.
+
+    Texts without words, null ones too, aren't taken; null sources are a source; rows that tie in key and size are taken alike;
+    an empty table stays empty; columns called like the five stay as they are and the five's are left out.
+    """
+    return mixing.taken_rows(docs)
 
 
 STAGES = [
@@ -56,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from the table documents; each stage reads what the one before wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
