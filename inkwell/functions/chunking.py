@@ -111,21 +111,26 @@ def hard_chunks(text: str, most: int) -> list[str]:
             open_ = piece
         else:
             open_ = "\n\n".join(filter(None, (open_, piece)))
-        cuts = range(0, (len(open_) - 1) // most * most, most) if len(open_) > most else ()
-        done += [open_[k : k + most].strip() for k in cuts]
-        open_ = open_[len(cuts) * most :]
+        at = 0
+        while len(open_) - at > most:
+            done.append(open_[at : at + most].strip())
+            at += most
+        open_ = open_[at:]
     return [c for c in [*done, open_.strip()] if c]
 
 
 def sliding_chunks(text: str, most: int) -> list[str]:
-    rest, done = text.strip(), []
-    while len(rest) > most:
-        window, least = rest[:most], most // 4
-        ends = ((window.rfind("\n\n"), 0), (window.rfind(". "), 1), (window.rfind(" "), 0))
-        cut = next((at + more for at, more in ends if at >= least), most)
-        done.append(rest[:cut].strip())
-        rest = rest[cut:].lstrip(" \n")
-    return [c for c in [*done, rest.strip()] if c]
+    whole, done, at = text.strip(), [], 0
+    least = most // 4
+    while len(whole) - at > most:
+        end = at + most
+        ends = ((whole.rfind("\n\n", at, end), 0), (whole.rfind(". ", at, end), 1), (whole.rfind(" ", at, end), 0))
+        cut = next((place + more for place, more in ends if place - at >= least), end)
+        done.append(whole[at:cut].strip())
+        at = cut
+        while at < len(whole) and whole[at] in " \n":
+            at += 1
+    return [c for c in [*done, whole[at:].strip()] if c]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -138,9 +143,20 @@ def _sliding(text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else sliding_chunks(t, m) for t, m in zip(text, most, strict=True)])
 
 
-def chunk_rows(docs: DataFrame, chunks: Column, *keys: str, most: int = 8000) -> DataFrame:
-    """keys, chunk_index (from 0) and content (cut to `most`) of each chunk."""
-    return docs.select(*keys, F.posexplode(chunks).alias("chunk_index", "content")).withColumn("content", F.substring("content", 1, most))
+def chunk_rows(docs: DataFrame, chunks: Column, *keys: str, most: int | None = 8000) -> DataFrame:
+    """keys, chunk_index (from 0) and content of each chunk, cut to `most` characters (what a longer chunk has beyond is lost; None: whole)."""
+    rows = docs.select(*keys, F.posexplode(chunks).alias("chunk_index", "content"))
+    return rows if most is None else rows.withColumn("content", F.substring("content", 1, most))
+
+
+def capped(text: str | Column, most: int | None = 200_000) -> Column:
+    """The first `most` characters of a report (None: all)."""
+    return _col(text) if most is None else F.substring(_col(text), 1, most)
+
+
+def continued_headings(title: Column, index: Column, word: str = "pokracovani") -> Column:
+    """The title, and from the second part on `title (word n)`."""
+    return F.when(index > 0, F.concat(title, F.lit(f" ({word} "), (index + 1).cast("string"), F.lit(")"))).otherwise(title)
 
 
 def part_headings(title: Column, n: Column, index: Column, word: str = "part") -> Column:

@@ -91,3 +91,8 @@ def days_back(spark, reference: str, n: int):
     """The reference day and the n - 1 days before it."""
     day = F.to_date(F.lit(reference))
     return spark.range(1).select(F.explode(F.sequence(F.date_sub(day, n - 1), day)).alias("day"))
+
+
+def cutoff(now: str, *, years: int = 0, days: int = 0, hours: int = 0) -> Column:
+    """The time so long before `now`, which is given, so that reruns agree."""
+    return F.to_timestamp(F.lit(now)) - F.make_interval(years=F.lit(years), days=F.lit(days), hours=F.lit(hours))

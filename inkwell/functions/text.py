@@ -1,7 +1,8 @@
-"""Text cleaning, normalisation and extraction as Column expressions (no Python on the executors)."""
+"""Text cleaning, normalisation and extraction as Column expressions; Python only for rare character entities."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,12 +41,26 @@ def stripped_tags(html: str | Column) -> Column:
     return collapsed(F.regexp_replace(_col(html), "<[^>]+>", " "))
 
 
+@F.pandas_udf("string")
+def _every_entity(text: pd.Series) -> pd.Series:
+    import html
+
+    return text.map(html.unescape, na_action="ignore")
+
+
 def unescaped(text: str | Column) -> Column:
-    """Common character entities; &amp; comes last so that nothing is unescaped twice."""
-    out = _col(text)
+    """Character entities as their characters, each once.
+
+    The common ones stay in the JVM (&amp; comes last so that nothing is unescaped twice); only texts that hold any other,
+    by name or number, go through Python, as Arrow batches.
+    """
+    source = _col(text)
+    out = source
     for entity, character in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(character))
-    return out
+    known = "|".join(name[1:-1] for name, _ in ENTITIES)
+    other = F.rlike(source, F.lit(f"&(?!(?:{known});)(?:#[0-9xX]|[A-Za-z])"))
+    return F.coalesce(_every_entity(F.when(other, source)), out)
 
 
 def inline_text(html: str | Column) -> Column:
@@ -73,6 +88,11 @@ def normalised_lines(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(text), "[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def runs_to_two(text: str | Column) -> Column:
+    """Runs of three spaces and more as two; two stay two."""
+    return F.regexp_replace(_col(text), " {3,}", "  ")
+
+
 def stems(words: str | Column) -> Column:
     """Light stems of an array of words; three small passes, so that no expression repeats another."""
     lowered = F.transform(_col(words), F.lower)

@@ -35,8 +35,11 @@ def cosine_to(vector: str | Column, asked: Sequence[float]) -> Column:
     return dot(vector, F.array(*[F.lit(float(x)) for x in asked])) / F.nullif(norm(vector) * F.lit(size), F.lit(0.0))
 
 
-def l2_normalised(vector: str | Column) -> Column:
-    size = F.nullif(norm(vector), F.lit(0.0))
+def l2_normalised(vector: str | Column, unless_length: int | None = None) -> Column:
+    """The vector over its norm; one of zeros stays as it is, and so does one of `unless_length` entries (normalised already)."""
+    size = F.coalesce(F.nullif(norm(vector), F.lit(0.0)), F.lit(1.0))
+    if unless_length is not None:
+        size = F.when(F.size(_col(vector)) == unless_length, 1.0).otherwise(size)
     return F.transform(_col(vector), lambda x: x.cast("double") / size)
 
 

@@ -111,6 +111,25 @@ def staged(stages: Sequence[tuple[str, DataFrame]], key: str, *ties: str, k: int
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n").orderBy("stage", *ties).offset(offset).limit(k)
 
 
+def staged_match(rows: DataFrame, stages: Sequence[tuple[str, Column]], *ties: str | Column, k: int = 20, offset: int = 0) -> DataFrame:
+    """As staged(), where stages are conditions on the same rows: one pass, no shuffle but that of the page."""
+    stage, label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for number, (name, test) in reversed(list(enumerate(stages))):
+        stage, label = F.when(test, number).otherwise(stage), F.when(test, name).otherwise(label)
+    found = rows.withColumns({"stage": stage, "match": label}).filter("stage is not null")
+    return found.orderBy("stage", *ties).offset(offset).limit(k)
+
+
+def first_sources(rows: DataFrame, key: str, source: str) -> DataFrame:
+    """Rows of overlapping sources, each key once: that of the first source that has it."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), source).alias("r")).select(key, "r.*")
+
+
+def gated(sources: Sequence[str], requested: Sequence[str] | None) -> list[str]:
+    """The sources to ask: all without a request, else those that serve a requested type."""
+    return [s for s in sources if requested is None or s in requested]
+
+
 def needs_clarification(hits: DataFrame, question: str, *, special: Sequence[str], forced: bool = False, doc_types: Sequence[str] | None = None, words: int = 10, top: int = 6, over: float = 0.3) -> DataFrame:
     """One row: whether a short, unrestricted question without a domain word hit both general and specialised sources."""
     best = hits.orderBy(F.desc_nulls_last("similarity"), "id").limit(top)
@@ -136,11 +155,12 @@ def relevance_percent(score: str | Column) -> Column:
     return F.floor((F.col(score) if isinstance(score, str) else score) * 100 + 0.5).cast("bigint")
 
 
-def context(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """One row: `[i] (exact)(relevance p %) title - heading`, a line break and the content of each row, blank lines between."""
+def context(rows: DataFrame, most: int | None = 100_000) -> DataFrame:
+    """One row, cut to `most` characters (None: whole; rows are a page's few): `[i] (exact)(relevance p %) title - heading`, a line break and the content of each row, blank lines between."""
     head = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.when(F.col("is_direct"), "(exact) ").otherwise(""), F.lit("(relevance "), relevance_percent("similarity").cast("string"), F.lit(" %) "), F.concat_ws(" - ", "title", "heading"))
     parts = rows.select("citation", F.concat(head, F.lit("\n"), F.col("content")).alias("part"))
-    return parts.agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "part"))), lambda x: x["part"]), "\n\n"), 1, most).alias("context"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "part"))), lambda x: x["part"]), "\n\n")
+    return parts.agg((whole if most is None else F.substring(whole, 1, most)).alias("context"))
 
 
 def citation_lookup(documents: DataFrame, chunks: DataFrame, number: int, year: int, paragraphs: Sequence[str], *, as_of: str | None = None, most_documents: int = 3, most_chunks: int = 10) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators import prefix
+
 # ---- fixed values: budgets in bytes ----
 HARD_LIMIT = 512 << 20
 MARGIN = 50 << 20
@@ -23,9 +25,8 @@ def year_shard(year: Column) -> Column:
 
 
 def running_fill(items: DataFrame, size: Column, *order: Column | str, budget: int = HARD_LIMIT - MARGIN, group: Sequence[str] = ()) -> DataFrame:
-    """shard number by cumulative size: one window, exact up to the item that crosses a border."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("shard", F.floor(before / budget).cast("bigint"))
+    """shard number by cumulative size, exact up to the item that crosses a border."""
+    return prefix.running(items, size, *order, group=group, name="__before").withColumn("shard", F.floor(F.col("__before") / budget).cast("bigint")).drop("__before")
 
 
 def greedy_fill(items: DataFrame, size: str, order: str, budgets: Sequence[int], group: str = "batch") -> DataFrame:
@@ -46,14 +47,25 @@ def greedy_fill(items: DataFrame, size: str, order: str, budgets: Sequence[int],
     return items.groupBy(group).applyInPandas(fill, schema)
 
 
+def prioritised(rows: DataFrame, laws: DataFrame, *keys: str, current: str = "is_current") -> DataFrame:
+    """rows with priority: that of a listed law, higher while it is current, else 0. laws: a short list of keys."""
+    listed = laws.select(*keys).distinct().withColumn("__listed", F.lit(True))
+    found = F.when(F.col("__listed") & F.coalesce(F.col(current), F.lit(False)), 5000).when(F.col("__listed"), 1000).otherwise(0)
+    return rows.join(listed, list(keys), "left").withColumn("priority", found).drop("__listed")
+
+
 def over_guard(sizes: DataFrame, guard: int = EMBED_GUARD) -> DataFrame:
     return sizes.filter(F.col("bytes") >= guard)
 
 
 def picked(rows: DataFrame, amount: str, target: int, *order: Column | str, group: Sequence[str] = ()) -> DataFrame:
     """Rows in order until their amounts reach the target; the one that crosses it is the last."""
-    before = F.coalesce(F.sum(amount).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).filter(F.col("before") < target).drop("before")
+    return prefix.running(rows, F.col(amount), *order, group=group, name="__before").filter(F.col("__before") < target).drop("__before")
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "n", group: Sequence[str] = ()) -> DataFrame:
+    """rows with their number, from 1, in the order."""
+    return prefix.running(rows, F.lit(1).cast("bigint"), *order, group=group, name="__before").withColumn(name, F.col("__before") + 1).drop("__before")
 
 
 def schedule(weights: DataFrame, key: str = "key", weight: str = "weight") -> DataFrame:
@@ -64,8 +76,8 @@ def schedule(weights: DataFrame, key: str = "key", weight: str = "weight") -> Da
 
 def rounds(queue: DataFrame, shard: str, weight: Column, batch: int, *order: Column | str) -> DataFrame:
     """round in which each row of a shard's queue comes up, if a shard takes weight * batch rows a round."""
-    rank = F.row_number().over(Window.partitionBy(shard).orderBy(*order))
-    return queue.withColumn("round", F.ceil(rank / (weight * batch)).cast("bigint"))
+    ranked = numbered(queue, *order, name="__rank", group=(shard,))
+    return ranked.withColumn("round", F.ceil(F.col("__rank") / (weight * batch)).cast("bigint")).drop("__rank")
 
 
 def pending_main(queue: DataFrame) -> list[Column]:
@@ -84,7 +96,7 @@ def migration_order(first: Column) -> list[Column]:
 
 def rotated(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """key_no from 0 to n - 1 in turn."""
-    return rows.withColumn("key_no", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)))
+    return numbered(rows, *order, name="__n").withColumn("key_no", F.pmod(F.col("__n") - 1, F.lit(n)).cast("int")).drop("__n")
 
 
 def within_quota(counts: DataFrame, caps: Mapping[str, float], limits: DataFrame, key: str = "key") -> DataFrame:

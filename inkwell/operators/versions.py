@@ -93,6 +93,13 @@ def predecessors(rows: DataFrame, versions: DataFrame, path: str = "path", versi
     return rows.join(hits, F.col(path) == F.col("__path"), "left").drop("__path")
 
 
+def first_prefixes(rows: DataFrame, versions: DataFrame, path: str, version: str, order: str) -> DataFrame:
+    """rows and the first version, in the order of the versions, of which their path is a continuation after a slash; null without one."""
+    known = versions.groupBy(F.col(version).alias("ancestor")).agg(F.min(order).alias("__order"))
+    hits = ancestors(rows, path).filter(F.col("ancestor") != F.col("__path")).join(known, "ancestor").groupBy("__path").agg(F.min_by("ancestor", "__order").alias(version))
+    return rows.join(hits, F.col(path) == F.col("__path"), "left").drop("__path")
+
+
 def ancestors(rows: DataFrame, path: str) -> DataFrame:
     """(path, ancestor) for each different path and each of its prefixes that end at a slash or its end."""
     segments = F.split(F.col("__path"), "/")
@@ -100,20 +107,22 @@ def ancestors(rows: DataFrame, path: str) -> DataFrame:
     return different.select("__path", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))).alias("ancestor"))
 
 
-def section_chunks(nodes: DataFrame, fragments: DataFrame, most: int = 3000) -> DataFrame:
+def section_chunks(nodes: DataFrame, fragments: DataFrame, most: int | None = 3000) -> DataFrame:
     """A chunk for each section node: the texts at or below it, in order, joined by spaces; empty sections leave gaps in the index.
 
+    Of a document's sections the first `most` are taken, the others are left out (None: all).
+
     nodes: document_id, path, heading, ord; fragments: path, ord, text.
     """
     order = Window.partitionBy("document_id").orderBy("ord", "path")
-    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.col("chunk_index") < most)
+    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.lit(True) if most is None else F.col("chunk_index") < most)
     spread = ancestors(fragments, "path").join(fragments, F.col("__path") == F.col("path")).select("ancestor", F.col("ord").alias("fragment_ord"), "text").filter("trim(text) <> ''")
     joined = numbered.join(spread, F.col("path") == F.col("ancestor"))
     texts = F.array_sort(F.collect_list(F.struct("fragment_ord", "text")))
     return joined.groupBy("document_id", "chunk_index", "heading").agg(F.array_join(F.transform(texts, lambda x: F.trim(x["text"])), " ").alias("content"))
 
 
-def section_parts(nodes: DataFrame, fragments: DataFrame, most: int = 3000, part_chars: int = 1 << 20, span: int = 1024) -> DataFrame:
+def section_parts(nodes: DataFrame, fragments: DataFrame, most: int | None = 3000, part_chars: int = 1 << 20, span: int = 1024) -> DataFrame:
     """The chunks of section_chunks in parts of about part_chars characters: no row holds more than that and one fragment.
 
     Parts in the order of `part`, joined by spaces, are the content; numbers may be missing where a fragment is longer than
@@ -121,7 +130,7 @@ def section_parts(nodes: DataFrame, fragments: DataFrame, most: int = 3000, part
     its range, so that one large section is not one task.
     """
     order = Window.partitionBy("document_id").orderBy("ord", "path")
-    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.col("chunk_index") < most)
+    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.lit(True) if most is None else F.col("chunk_index") < most)
     said = fragments.select(F.col("path").alias("fragment_path"), F.col("ord").alias("fragment_ord"), F.trim("text").alias("text")).filter("text <> ''")
     # places are found from lengths alone; the texts move to join them and to be put together
     light = said.groupBy("fragment_path", "fragment_ord").agg(F.sum(F.length("text").cast("bigint") + 1).alias("size"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import mappings
 from inkwell.operators import changes, upkeep, versions
+from inkwell.operators.prefix import work_folder
 from inkwell.plans.registry import query
-from inkwell.plans.streaming_queries import work_folder
 from inkwell.session import table
 
 NOW = "2026-01-02 03:04:05"

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from inkwell.plans import change_queries, relational_queries, retrieval_queries, streaming_queries, text_queries, upkeep_queries  # noqa: F401
+    from inkwell.plans import change_queries, detail_queries, relational_queries, retrieval_queries, streaming_queries, text_queries, upkeep_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -131,9 +131,10 @@ def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.length(F.trim("text")) >= 20).alias("g20"), (F.length(F.trim("text")) >= 200).alias("g200"), chosen.alias("chosen"), priority.alias("priority"))
 
 
-@query("orphans", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("orphans", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'O')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    children = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'")
+    return table(spark, sf_dir, "customer").join(children, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("not_ingested", "select doc_id from documents where upper(regexp_replace(' src' || (doc_id % 40), '\\s+', '', 'g')) not in (select upper(source) from documents)")
@@ -168,11 +169,11 @@ def referenced_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "count_integrity",
-    "select a.k as l_suppkey, n_main, n_shard from (select l_suppkey as k, count(*) as n_main from lineitem group by 1) a join (select l_suppkey as k, count(*) as n_shard from lineitem where l_shipdate < timestamp '1998-06-01' group by 1) b using (k) where n_main = n_shard and n_main > 0",
+    "select a.k as l_orderkey, n_main, n_shard from (select l_orderkey as k, count(*) as n_main from lineitem group by 1) a join (select l_orderkey as k, count(*) as n_shard from lineitem where l_shipdate < timestamp '1998-06-01' group by 1) b using (k) where n_main = n_shard and n_main > 0",
 )
 def count_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate")
-    return upkeep.safe_to_delete(rows, rows.filter("l_shipdate < timestamp'1998-06-01'"), "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    return upkeep.safe_to_delete(rows, rows.filter("l_shipdate < timestamp'1998-06-01'"), "l_orderkey")
 
 
 @query(

@@ -11,22 +11,22 @@ from inkwell.plans.registry import query
 from inkwell.session import table
 
 #: The similarity of each embedding to that of vec_id 0, as DuckDB computes it.
-_SIM = "s as (select e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.v) as sim from embeddings e, (select embedding::double[] as v from embeddings where vec_id = 0) q where e.embedding is not null)"
+SIMILARITY = "s as (select e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.v) as sim from embeddings e, (select embedding::double[] as v from embeddings where vec_id = 0) q where e.embedding is not null)"
 
 
-def _asked(vectors: DataFrame) -> list[float]:
+def asked_vector(vectors: DataFrame) -> list[float]:
     """The query vector: one row, by its key."""
     return [float(x) for x in vectors.filter("vec_id = 0").select("embedding").first()[0]]
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.scored(vectors, _asked(vectors), out="sim")
+    return retrieval.scored(vectors, asked_vector(vectors), out="sim")
 
 
 @query(
     "vector_topk",
-    f"with {_SIM} select s.vec_id, s.label, d.source, round(s.sim, 6) as similarity from s join documents d on d.doc_id = s.vec_id where s.sim >= 0.1 order by s.sim desc, s.vec_id limit 10",
+    f"with {SIMILARITY} select s.vec_id, s.label, d.source, round(s.sim, 6) as similarity from s join documents d on d.doc_id = s.vec_id where s.sim >= 0.1 order by s.sim desc, s.vec_id limit 10",
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -60,7 +60,7 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "vector_topk_asof",
-    f"""with {_SIM}, {_VERSIONS} select s.vec_id, v.o_orderkey, round(s.sim, 6) as similarity from s join v on v.o_custkey = s.vec_id
+    f"""with {SIMILARITY}, {_VERSIONS} select s.vec_id, v.o_orderkey, round(s.sim, 6) as similarity from s join v on v.o_custkey = s.vec_id
     where (v.valid_from is null or v.valid_from <= date '1997-01-31') and (v.valid_until is null or date '1997-01-31' <= v.valid_until) and s.label in (1, 2, 3, 5)
     order by s.sim desc, s.vec_id, v.o_orderkey limit 8""",
 )
@@ -72,7 +72,7 @@ def vector_topk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "per_source_topk",
-    f"with {_SIM}, r as (select *, row_number() over (partition by label order by sim desc, vec_id) as rank_in_source from s) select label, vec_id, rank_in_source, round(sim, 6) as similarity from r where rank_in_source <= 5",
+    f"with {SIMILARITY}, r as (select *, row_number() over (partition by label order by sim desc, vec_id) as rank_in_source from s) select label, vec_id, rank_in_source, round(sim, 6) as similarity from r where rank_in_source <= 5",
 )
 def per_source_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.top_k_by(_scored(spark, sf_dir), "label", 5, "vec_id", score="sim")
@@ -81,7 +81,7 @@ def per_source_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "per_source_topk_fused",
-    f"""with {_SIM}, w as (select s.*, d.source as title, case when s.label in (2, 4, 6) then sim * 0.55 else sim end as score, d.lang as heading from s join documents d on d.doc_id = s.vec_id),
+    f"""with {SIMILARITY}, w as (select s.*, d.source as title, case when s.label in (2, 4, 6) then sim * 0.55 else sim end as score, d.lang as heading from s join documents d on d.doc_id = s.vec_id),
     r as (select *, row_number() over (partition by label order by score desc, vec_id) as rn from w), t as (select *, row_number() over (order by score desc, label, rn, vec_id) as position from r where rn <= 5),
     f as (select *, row_number() over (partition by title, coalesce(heading, '') order by position) as occ from t where position <= 20)
     select vec_id, label, title, row_number() over (order by position) as citation, round(score, 6) as similarity, floor(score * 100 + 0.5)::bigint as relevance from f where occ = 1""",
@@ -97,7 +97,7 @@ def per_source_topk_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clarify_flags",
-    f"with {_SIM}, t as (select * from s order by sim desc, vec_id limit 6) select bool_or(label not in (2, 4, 6)) and bool_or(label in (2, 4, 6) and sim > 0.2) as clarify from t",
+    f"with {SIMILARITY}, t as (select * from s order by sim desc, vec_id limit 6) select bool_or(label not in (2, 4, 6)) and bool_or(label in (2, 4, 6) and sim > 0.2) as clarify from t",
 )
 def clarify_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc_type"), F.col("sim").alias("similarity"))

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.prefix import work_folder
 from inkwell.plans.registry import query
 from inkwell.streaming import usage
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below that of spark.checkpoint.dir; where it is unset, on one machine only, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="inkwell-work-")
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.landed(spark, sf_dir, glob="events.parquet")
 

@@ -35,12 +35,13 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.stripped_tags("html").alias("content"))
 
 
-@query(
-    "html_to_text",
-    f"""with t as (select page_id, {_PLAIN} as body from pages),
+#: SQL of html_text() over the column html of pages.
+HTML_TEXT = f"""with t as (select page_id, {_PLAIN} as body from pages),
     l as (select page_id, list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\x{{A0}}\\r]+', ' ', 'g'))) as ls from t)
-    select page_id, {TRIM.format("regexp_replace(array_to_string(ls, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} as content from l""",
-)
+    select page_id, {TRIM.format("regexp_replace(array_to_string(ls, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} as content from l"""
+
+
+@query("html_to_text", HTML_TEXT)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("content"))
 
@@ -219,7 +220,7 @@ def chunks_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), chunking.fixed("text", 3000), "doc_id")
 
 
-def _packed_sql(pattern: str, joiner: str, most: int, counted: int) -> str:
+def packed_sql(pattern: str, joiner: str, most: int, counted: int) -> str:
     return f"""with recursive p as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from (select doc_id, list_filter(list_transform(string_split(text, {pattern}), lambda x: {TRIM.format("x")}), lambda x: x <> '') as ps from d)),
     g as (select doc_id, i, p, 0 as grp, length(p) as size from p where i = 1
       union all select p.doc_id, p.i, p.p, case when g.size + length(p.p) + {counted} > {most} then g.grp + 1 else g.grp end, case when g.size + length(p.p) + {counted} > {most} then length(p.p) else g.size + length(p.p) + {counted} end
@@ -227,7 +228,7 @@ def _packed_sql(pattern: str, joiner: str, most: int, counted: int) -> str:
     select doc_id, grp as chunk_index, left(string_agg(p, {joiner} order by i), 8000) as content from g group by doc_id, grp"""
 
 
-@query("chunks_lines", _packed_sql("chr(10)", "chr(10)", 4000, 1).replace(" from d))", " from documents))"))
+@query("chunks_lines", packed_sql("chr(10)", "chr(10)", 4000, 1).replace(" from d))", " from documents))"))
 def chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), chunking.lines("text", 4000), "doc_id")
 
@@ -235,13 +236,13 @@ def chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOUBLED = " from (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents)))"
 
 
-@query("chunks_paragraph", _packed_sql("chr(10) || chr(10)", "chr(10) || chr(10)", 1500, 2).replace(" from d))", _DOUBLED))
+@query("chunks_paragraph", packed_sql("chr(10) || chr(10)", "chr(10) || chr(10)", 1500, 2).replace(" from d))", _DOUBLED))
 def chunks_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_rows(docs, chunking.paragraphs("text", 1500), "doc_id")
 
 
-@query("chunks_paragraph_loose", _packed_sql("chr(10) || chr(10)", "chr(10) || chr(10)", 3000, 0).replace(" from d))", _DOUBLED))
+@query("chunks_paragraph_loose", packed_sql("chr(10) || chr(10)", "chr(10) || chr(10)", 3000, 0).replace(" from d))", _DOUBLED))
 def chunks_paragraph_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_rows(docs, chunking.paragraphs_loose("text", 3000), "doc_id")

@@ -62,37 +62,64 @@ def _docx(data: pd.Series) -> pd.Series:
     return data.map(read, na_action="ignore")
 
 
-def docx(column: str | Column, most: int = 100_000) -> Column:
-    """Text of a .docx; null for what is none."""
-    return F.substring(_docx(F.col(column) if isinstance(column, str) else column), 1, most)
+def docx(column: str | Column, most: int | None = 100_000) -> Column:
+    """Text of a .docx up to `most` characters (None: all); null for what is none."""
+    out = _docx(F.col(column) if isinstance(column, str) else column)
+    return out if most is None else F.substring(out, 1, most)
 
 
 @F.pandas_udf(T.StringType())
 def _decoded(data: pd.Series) -> pd.Series:
     def read(x):
         try:
-            return x.decode("utf-8")
+            plain = x.decode("utf-8")
         except UnicodeDecodeError:
-            return x.decode("cp1250", "replace")
+            plain = None
+        # bytes that are valid UTF-8 with letters beyond ASCII are no text of windows-1250 in any language
+        return plain if plain is not None else x.decode("cp1250", "replace")
 
     return data.map(read, na_action="ignore")
 
 
-def decoded(column: str | Column) -> Column:
-    """UTF-8 if it is that, else windows-1250."""
-    return _decoded(F.col(column) if isinstance(column, str) else column)
+@F.pandas_udf(T.StringType())
+def _decoded_old_first(data: pd.Series) -> pd.Series:
+    def read(x):
+        try:
+            return x.decode("cp1250")
+        except UnicodeDecodeError:
+            return x.decode("utf-8", "replace")
 
+    return data.map(read, na_action="ignore")
 
-@F.pandas_udf(T.StringType())
-def _entities(text: pd.Series) -> pd.Series:
-    import html
 
-    return text.map(html.unescape, na_action="ignore")
+def decoded(column: str | Column, old_first: bool = False) -> Column:
+    """UTF-8 if it is that, else windows-1250; old_first: windows-1250, and UTF-8 only for bytes that it doesn't have."""
+    return (_decoded_old_first if old_first else _decoded)(F.col(column) if isinstance(column, str) else column)
+
+
+def days(spark: SparkSession, path: str, schema: str, first: str, last: str, day: str = "day") -> DataFrame:
+    """JSON pages landed in folders by day, from first to last; other days' folders aren't read."""
+    return spark.read.schema(f"{schema}, {day} string").json(path).filter(F.col(day).between(first, last))
+
+
+def sql_values(spark: SparkSession, statements: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Rows of the VALUES lists of INSERT statements, a file's text to a row; quotes are doubled in texts, null is null.
+
+    schema: the columns in their order, as DDL.
+    """
+    fields = T.StructType.fromDDL(schema)
+    one = r"(?:'(?:[^']|'')*'|[^,()']+)"
+    row = rf"\(\s*({one}(?:\s*,\s*{one})*)\s*\)"
+    body = F.regexp_replace(column, r"(?is)^.*?\bvalues\b", "")
+    cells = F.regexp_extract_all("r", F.lit(rf"\s*({one})\s*(?:,|$)"), F.lit(1))
+    rows = statements.select(F.explode(F.regexp_extract_all(body, F.lit(row), F.lit(1))).alias("r")).select(cells.alias("c"))
 
+    def value(k: int, kind) -> Column:
+        raw = F.trim(F.get("c", F.lit(k)))
+        quoted = F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
+        return F.when(F.lower(raw) == "null", None).when(F.startswith(raw, F.lit("'")), quoted).otherwise(raw).cast(kind)
 
-def all_entities(column: str | Column) -> Column:
-    """Every character entity that HTML knows; text.unescaped() is the faster one for the common ones."""
-    return _entities(F.col(column) if isinstance(column, str) else column)
+    return rows.select(*[value(k, f.dataType).alias(f.name) for k, f in enumerate(fields)])
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -115,8 +142,8 @@ def columns_of(df: DataFrame) -> list[tuple[str, str, bool]]:
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
 
 
-def ad_hoc(spark: SparkSession, sql: str, most: int = 20) -> DataFrame:
-    """The first rows of a reading statement, for administrators."""
+def ad_hoc(spark: SparkSession, sql: str, most: int | None = 20) -> DataFrame:
+    """The first `most` rows (None: all) of a reading statement, for administrators."""
     if not re.match(r"(?is)\s*(select|with|describe|show|explain)\b", sql):
         raise ValueError("only reading statements are run")
-    return spark.sql(sql).limit(most)
+    return spark.sql(sql) if most is None else spark.sql(sql).limit(most)
