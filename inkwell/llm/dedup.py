@@ -177,8 +177,12 @@ def flush(packed: common.Packed, key: str, text: str, batches: int) -> DataFrame
     return common.written(rows, "dedup-digests")
 
 
-def _bodies(packed: common.Packed, key: str, text: str, *more: Column) -> DataFrame:
-    return packed.docs.select(packed.column(key).alias("id"), normalised(packed.column(text)).alias("body"), *more).withColumn("digest", digest_of(F.col("body")))
+def _bodies(packed: common.Packed, key: str, text: str, *more: Column, ids: DataFrame | None = None, n: int = 0) -> DataFrame:
+    """id, body, more, digest of all rows, or of those whose id is one of n ids; only these texts are normalised and hashed."""
+    rows = packed.docs.select(packed.column(key).alias("id"), packed.column(text).alias("text"), *more)
+    if ids is not None:
+        rows = _of(rows, ids, n, "left_semi")
+    return rows.withColumn("body", normalised(F.col("text"))).withColumn("digest", digest_of(F.col("body"))).drop("text")
 
 
 def _of(rows: DataFrame, ids: DataFrame, n: int, kind: str) -> DataFrame:
@@ -195,7 +199,7 @@ def verified(packed: common.Packed, digests: DataFrame, groups: DataFrame, n: in
     """
     ids = common.written(digests.join(near(groups.select("digest"), n), "digest", "left_semi").select("id").distinct(), "dedup-ids")
     n_ids = ids.count()
-    hits = _of(_bodies(packed, key, text), ids, n_ids, "left_semi").join(near(groups.select("digest"), n), "digest", "left_semi")
+    hits = _bodies(packed, key, text, ids=ids, n=n_ids).join(near(groups.select("digest"), n), "digest", "left_semi")
     texts = hits.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
     collided = common.written(texts.filter("texts > 1").select("digest"), "dedup-collisions")
     differ = not collided.isEmpty()
@@ -274,6 +278,6 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ba
         return docs
     own = packed.docs.select(packed.column(key).alias("id"), packed.row())
     stay = _of(own, gone, n_gone, "left_anti").select("row")
-    asked = _judged(_of(_bodies(packed, key, text, packed.row()), gone, n_gone, "left_semi"), groups, n, by_text).filter("kept")
+    asked = _judged(_bodies(packed, key, text, packed.row(), ids=gone, n=n_gone), groups, n, by_text).filter("kept")
     tied = asked.filter("ties > 1").dropDuplicates(["digest", "id", *(["body"] if by_text else [])])
     return stay.unionByName(asked.filter("ties = 1").select("row")).unionByName(tied.select("row")).select(*packed.columns())
