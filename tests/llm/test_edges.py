@@ -108,6 +108,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "PIVOTS", 2)
     monkeypatch.setattr(neardup, "LEAF_PAIRS", 30)
+    monkeypatch.setattr(neardup, "GROUP_PAIRS", 30)
     monkeypatch.setattr(neardup, "LEVELS", 2)
     assert collected(neardup.near_duplicates(docs, width=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
@@ -471,3 +472,53 @@ def test_license_scan_equals_a_plain_version(spark):
         got = sorted((x["line"], x["family"], round(x["probability"], 9), round(x["overlap"], 9)) for x in r["licences"])
         assert got == pytest.approx(found) if not found else [g[:2] for g in got] == [f[:2] for f in found]
         assert [g[2:] for g in got] == [pytest.approx(f[2:], rel=1e-6) for f in found]
+
+
+ODD_NAMES = ("my col", "n-chars", "a.b", "Score", "N_Tokens", "Row", "KEPT", "ß `x`"[:4], "Keep_ID", "taken ", "Licences", "N_Words", "C0", "part")
+
+
+def _oddly_named(spark, rows):
+    """documents (doc_id, text, source) with columns of other kinds of names."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    return df.select("doc_id", *[F.lit(k).alias(name) for k, name in enumerate(ODD_NAMES)], "text", F.struct(F.lit(1).alias("p q")).alias("nested one"), "source")
+
+
+OPERATORS = {
+    "tokens": lambda docs, none: tokens.token_counts(docs, pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")),
+    "toxicity": lambda docs, none: toxicity.scored(docs, toxicity.Model(none, none.astype("float32"), 0.1)),
+    "lm": lambda docs, none: lm.scored(docs, lm.train(docs)),
+    "license": lambda docs, none: license.scanned(docs),
+    "decontam": lambda docs, none: decontam.decontaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 3")),
+    "dedup": lambda docs, none: dedup.deduplicated(docs),
+    "dedup decisions": lambda docs, none: dedup.decisions(docs),
+    "neardup": lambda docs, none: neardup.deduplicated(docs),
+    "neardup rows": lambda docs, none: neardup.near_duplicates(docs),
+    "mixing": lambda docs, none: mixing.taken_rows(docs),
+    "mixing rows": lambda docs, none: mixing.mixed(docs),
+    "warc": lambda docs, none: warc.with_revisits(docs.withColumns({"page_id": F.col("doc_id"), "url": F.col("source"), "html": F.col("text")})).drop("payload"),
+    "chat": lambda docs, none: chat.digests(common.written(chat.formatted(docs.withColumns({"conv_id": F.col("source"), "turn": F.col("doc_id"), "role": F.lit("user")})), "chat")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_any_column_names_and_empty_tables(spark, tmp_path, name):
+    import numpy as np
+
+    nothing = np.zeros(0, dtype=np.int64)
+    text = " ".join(f"slovo{k}" for k in range(30))
+    rows = [(1, text, "a"), (2, text, None), (3, "jiná " * 20, "a"), (None, None, None), (3, "", "b")]
+    docs = _oddly_named(spark, rows)
+    found = OPERATORS[name](docs, nothing)
+    found.write.parquet(str(tmp_path / "out"))  # names that Spark takes for one can't be written
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    kept = [c for c in found.columns if c in docs.columns and c not in ("doc_id", "text", "source")]
+    if name in ("tokens", "toxicity", "license", "decontam", "dedup", "neardup", "mixing"):
+        assert {"my col", "a.b", "nested one"} <= set(kept)
+    empty = OPERATORS[name](docs.limit(0), nothing)
+    assert empty.columns == found.columns and empty.count() == 0
+
+
+def test_string_keys_where_keys_may_be_any(spark):
+    docs = spark.createDataFrame([("x", "a b"), ("y", "a  b"), (None, "c")], "doc_id string, text string").withColumn("source", F.lit("s"))
+    assert collected(dedup.decisions(docs), "doc_id", "keep_id", "kept") == sorted([("x", "x", True), ("y", "x", False), (None, None, True)], key=repr)
+    assert mixing.mixed(docs).count() == 3 and lm.scored(docs, lm.train(docs)).count() == 3
