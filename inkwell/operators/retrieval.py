@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions import vector
+from inkwell.functions import text, vector
 
 FLOOR = 0.55
 DOWN_WEIGHT = 0.55
@@ -66,9 +66,9 @@ def top_k_by(rows: DataFrame, group: str, k: int, *ties: str, score: str = "simi
 
 def names_domain(question: str | Column, doc_type: str | None = None) -> Column:
     """Whether a question names the domain of a specialised type (of any, if none is given)."""
-    text = F.col(question) if isinstance(question, str) else question
+    asked = F.col(question) if isinstance(question, str) else question
     pattern = "|".join(f"(?:{p})" for p in DOMAIN_HINTS.values()) if doc_type is None else DOMAIN_HINTS[doc_type]
-    return F.rlike(text, F.lit("(?iu)" + pattern))
+    return F.rlike(asked, F.lit("(?iu)" + pattern))
 
 
 def weighted(score: Column, doc_type: Column, question: Column, factor: float = DOWN_WEIGHT, hints: Mapping[str, str] | None = None) -> Column:
@@ -94,25 +94,20 @@ def fused(rows: DataFrame, *, k: int = FUSED, source_rank: str = "source_rank",
     return kept.withColumn("citation", F.row_number().over(Window.orderBy("position")))
 
 
-def keyword_hits(chunks: DataFrame, terms: Column, words: Sequence[str], *ties: str, k: int = 12, every: bool = False) -> DataFrame:
-    """Rows whose terms hold any (every: all) of the words; the order is that of the ties."""
-    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    test = F.size(F.array_except(asked, terms)) == 0 if every else F.arrays_overlap(terms, asked)
+def keyword_hits(chunks: DataFrame, content: str | Column, words: Sequence[str], *ties: str, k: int = 12, every: bool = False) -> DataFrame:
+    """The first k rows, in the order of the ties, whose content has any (every: all) of the words; without words, none (every: all)."""
+    test = F.lit(every)
+    for number, word in enumerate(words):
+        one = text.has_word(content, word)
+        test = one if number == 0 else test & one if every else test | one
     return chunks.filter(F.coalesce(test, F.lit(False))).orderBy(*ties).limit(k)
 
 
-def staged(stages: Sequence[tuple[str, DataFrame]], key: str, *ties: str, k: int = 20, offset: int = 0) -> DataFrame:
-    """Union of search stages in order of preference; a row found by several bears the first one's label."""
-    rows = None
-    for rank, (label, df) in enumerate(stages):
-        part = df.withColumns({"stage": F.lit(rank), "match": F.lit(label)})
-        rows = part if rows is None else rows.unionByName(part)
-    first = Window.partitionBy(key).orderBy("stage")
-    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n").orderBy("stage", *ties).offset(offset).limit(k)
-
-
 def staged_match(rows: DataFrame, stages: Sequence[tuple[str, Column]], *ties: str | Column, k: int = 20, offset: int = 0) -> DataFrame:
-    """As staged(), where stages are conditions on the same rows: one pass, no shuffle but that of the page."""
+    """Search stages in order of preference, as conditions on the same rows; a row bears the label of the first that holds.
+
+    One pass, and nothing is shuffled but the first rows of each task.
+    """
     stage, label = F.lit(None).cast("int"), F.lit(None).cast("string")
     for number, (name, test) in reversed(list(enumerate(stages))):
         stage, label = F.when(test, number).otherwise(stage), F.when(test, name).otherwise(label)

@@ -132,7 +132,7 @@ def vector_pairs_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.keyword_hits(docs, text.words("text"), ["thst", "que", "schder", "eau"], "doc_id").select("doc_id", "lang")
+    return retrieval.keyword_hits(docs, "text", ["thst", "que", "schder", "eau"], "doc_id").select("doc_id", "lang")
 
 
 @query(
@@ -142,14 +142,9 @@ def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, stage::int as stage, ['cislo', 'fulltext', 'fulltext_volne'][stage + 1] as match from s where stage is not null order by stage, doc_id limit 20 offset 2""",
 )
 def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("terms"))
-    asked = F.array(F.lit("than"), F.lit("erth"))
-    stages = [
-        ("cislo", docs.filter("doc_id = 17").select("doc_id")),
-        ("fulltext", docs.filter(F.size(F.array_except(asked, "terms")) == 0).select("doc_id")),
-        ("fulltext_volne", docs.filter(F.arrays_overlap("terms", asked)).select("doc_id")),
-    ]
-    return retrieval.staged(stages, "doc_id", "doc_id", k=20, offset=2).select("doc_id", "stage", "match")
+    one, other = text.has_word("text", "than"), text.has_word("text", "erth")
+    stages = (("cislo", F.col("doc_id") == 17), ("fulltext", one & other), ("fulltext_volne", one | other))
+    return retrieval.staged_match(table(spark, sf_dir, "documents"), stages, "doc_id", k=20, offset=2).select("doc_id", "stage", "match")
 
 
 @query(

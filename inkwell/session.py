@@ -12,25 +12,35 @@ TABLES = (
 )
 
 
-def build_session(app: str = "inkwell", master: str | None = None, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
-    """UTC, ANSI, AQE; the cluster's own settings win where they are given at submit time."""
+#: What plans count on; set only where the session doesn't have it from elsewhere.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def build_session(app: str = "inkwell", master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+    """A session with DEFAULTS where nothing else is set: flags and files of spark-submit go before them.
+
+    master, shuffle_partitions and driver_memory are for one machine (tests, bench): given, they are set, and the console
+    is kept quiet; on a cluster they are left to its own settings.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": driver_memory,
-    }
-    for key, value in settings.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
