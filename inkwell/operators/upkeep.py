@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,9 +140,33 @@ def safe_to_delete(main: DataFrame, shard: DataFrame, key: str) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, key: str, content: str, order: str, separator: str = "|") -> DataFrame:
-    """md5 over a key's contents in order, null as empty."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("c"))))
-    return rows.groupBy(key).agg(F.md5(F.array_join(F.transform(listed, lambda x: x["c"]), separator)).alias("fingerprint"))
+    """md5 over a key's contents in order (ties by content), null as empty.
+
+    A digest grows over rows that stream by in order, so a key of any number of rows is held by no task as a whole.
+    """
+    light = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("c"))
+    kind = light.schema["k"].dataType
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, arrow = None, None, None
+        for batch in batches:
+            arrow = batch.schema.field("k").type
+            done: list[tuple] = []
+            for k, c in zip(batch.column("k").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                if digest is None or k != last:
+                    if digest is not None:
+                        done.append((last, digest.hexdigest()))
+                    last, digest = k, hashlib.md5(c.encode())
+                else:
+                    digest.update((separator + c).encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], arrow), pa.array([d for _, d in done])], names=["k", "fingerprint"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], arrow), pa.array([digest.hexdigest()])], names=["k", "fingerprint"])
+
+    ordered = light.repartition("k").sortWithinPartitions("k", "o", "c").select("k", "c")
+    found = ordered.mapInArrow(digested, T.StructType([T.StructField("k", kind), T.StructField("fingerprint", T.StringType())]))
+    return found.withColumnRenamed("k", key)
 
 
 def progress(total: Column, pending: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions import chunking, dates, mappings, text, vector
+from inkwell.functions import chunking, dates, embedding, mappings, text, vector
 from inkwell.operators import retrieval, upkeep
 from inkwell.operators.prefix import work_folder
 from inkwell.plans.registry import query
@@ -618,3 +618,10 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("court_by_case", f"select doc_id, case when contains(source || ' ÚS', 'ÚS') and doc_id % 2 = 0 then '{mappings.COURTS[0]}' else '{mappings.COURTS[1]}' end as court from documents")
 def court_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", mappings.court(F.concat(F.lit("n "), F.when(F.col("doc_id") % 2 == 0, "u s").otherwise("Af"))).alias("court"))
+
+
+@query("embedding_calls", "select doc_id, case when trim(text) <> '' then [length(left(text, 8000))::double, length(replace(left(text, 8000), 'e', ''))::double] end as vector from documents")
+def embedding_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service plugged in: here one whose vectors SQL can give, too."""
+    vectors = embedding.embedded(F.col("text"), lambda texts: [(len(t), len(t.replace("e", ""))) for t in texts])
+    return table(spark, sf_dir, "documents").select("doc_id", vectors.alias("vector"))

@@ -183,3 +183,40 @@ def test_descendant_text_whole_loses_nothing(spark):
     for source in {r["source"] for r in docs}:
         want = " ".join(r["text"].strip(" ") for r in sorted(docs, key=lambda r: r["doc_id"]) if r["source"] == source and (r["text"] or "").strip(" "))
         assert " ".join(r["content"] for r in sorted(rows, key=lambda r: r["part"]) if r["heading"] == source) == want
+
+
+def test_embedding_calls_are_tried_again(spark):
+    from inkwell.functions import embedding
+
+    def flaky(texts):
+        if any("bad" in t for t in texts):
+            raise TimeoutError
+        return [[len(t), 1] for t in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, " "), (4, "bad"), (5, "x" * 9000)], "k int, t string").coalesce(1)
+    got = {r["k"]: r["v"] for r in rows.select("k", embedding.embedded(F.col("t"), flaky, at_once=1, attempts=2, wait=0.01).alias("v")).collect()}
+    assert got == {1: [3.0, 1.0], 2: None, 3: None, 4: None, 5: [8000.0, 1.0]}
+
+
+def test_every_entity_is_unescaped_once(spark):
+    assert one(spark, text.unescaped("a"), "&eacute;&#8211;&#x41;&amp;eacute;") == "é–A&eacute;"
+    assert one(spark, text.unescaped("a"), "&amp;lt; &quot;") == '&lt; "'
+    assert one(spark, vector.l2_normalised(F.array(F.col("a"), F.col("a"))), 0) == [0.0, 0.0]
+    assert one(spark, vector.l2_normalised(F.array(F.col("a"), F.lit(4)), unless_length=2), 3) == [3.0, 4.0]
+
+
+def test_old_encoding_first(spark):
+    rows = spark.createDataFrame([(b"\xe8",), ("č\x81".encode(),)], "b binary")
+    assert rows.select(files.decoded("b", old_first=True).alias("t")).first()["t"] == "č"
+
+
+def test_running_sums_over_ranges(spark):
+    from inkwell.operators import prefix
+
+    rows = spark.range(1000).selectExpr("id", "id % 3 as g", "id % 7 as n").repartition(6)
+    got = sorted((r["g"], r["id"], r["b"]) for r in prefix.running(rows, F.col("n"), F.desc("id"), group=("g",), name="b").collect())
+    want, sums = [], {}
+    for k in range(999, -1, -1):
+        want.append((k % 3, k, sums.get(k % 3, 0)))
+        sums[k % 3] = sums.get(k % 3, 0) + k % 7
+    assert got == sorted(want)
