@@ -9,8 +9,9 @@
    others, those with few pairs outside their largest component are compared exhaustively and the rest branch again.
    Nodes at the depth limit are compared in tiles.
 3. The loose matches make groups. The full sets of a group come together once, and its links are confirmed on them. In a
-   group too large for a task, all documents are first compared to PIVOTS of them on full sets; where that leaves several
-   components, the group goes down trees of its own, whose small nodes are compared on full sets.
+   group of over GROUP_ROWS, all documents are first compared to PIVOTS of them on full sets; where that leaves several
+   components, pairs outside the largest are compared by one task if it can hold them, and else the group goes down trees
+   of its own, whose small nodes are compared on full sets.
 4. Components over the confirmed links, by large and small stars.
 No step makes all pairs of a node or group, and none drops or caps any. Rows of a node are counted before they are brought
 together, and only nodes small enough for a task are; joins by node on the way are split by AQE where a node is large.
@@ -38,13 +39,14 @@ TREES = 16
 BRANCH = 1.25
 #: A node is compared exhaustively if it has at most so many rows, and pairs of a row outside its largest component with any.
 LEAF_ROWS = 1 << 14
-LEAF_PAIRS = 1 << 20
+LEAF_PAIRS = 1 << 22
 LEVELS = 12
 #: Tokens of K that agree at least in a loose match; at similarity 0.8, five standard deviations below the mean.
 LOOSE = 36
 SHARD_BYTES = 4 << 20
 GROUP_ROWS = 1000
 GROUP_BYTES = 32 << 20
+GROUP_PAIRS = 1 << 25
 PIVOTS = 8
 BLOCK = 500
 BROADCAST_IDS = 500_000
@@ -256,11 +258,12 @@ def _rate(percent: int) -> float:
     return BRANCH * 100 / (percent * TOKENS)
 
 
-def _descended(current: DataFrame, reps: DataFrame, percent: int, compare: Callable[[DataFrame], DataFrame], name: str, most_bytes: int | None = None) -> list[DataFrame]:
-    """Links (a, b) that compare() finds in the leaves below the nodes of current (node, rid, comp); written.
+def _descended(current: DataFrame, reps: DataFrame, percent: int, compare: Callable[[DataFrame], DataFrame], name: str, most_bytes: int | None = None, planted: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
+    """Links (a, b) that compare() finds in the leaves at or below the nodes of current (node, rid, comp); written.
 
     Nodes of one component are done. A leaf has few enough rows and pairs of a row outside its largest component with any,
-    and if most_bytes is given, sets of so many bytes in all (8 for each shingle).
+    and if most_bytes is given, sets of so many bytes in all (8 for each shingle). planted: gives the nodes of the second
+    level where they aren't those of one tree.
     """
     links, before = [], []
     sized = reps.select("rid", (8 * F.col("n")).alias("bytes"))
@@ -273,7 +276,7 @@ def _descended(current: DataFrame, reps: DataFrame, percent: int, compare: Calla
         # combined before the shuffle, so a large node is no hot key
         stats = current.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("node")
         stats = stats.agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.count("*").alias("comps"), F.sum("bytes").alias("bytes")).filter("comps > 1")
-        leaf = (F.col("m") <= LEAF_ROWS) & ((F.col("m") - F.col("top")) * F.col("m") <= LEAF_PAIRS) & (F.col("bytes") <= F.lit(most_bytes if most_bytes is not None else 0))
+        leaf = (F.col("m") <= LEAF_ROWS) & ((F.col("m") - F.col("top")) * F.col("m") <= (LEAF_PAIRS if most_bytes is None else GROUP_PAIRS)) & (F.col("bytes") <= F.lit(most_bytes if most_bytes is not None else 0))
         live = common.written(current.drop("bytes").join(stats.select("node", "m", leaf.alias("leaf")), "node"), f"{name}-live{level}")
         common.dropped(current, *before)
         counts = live.agg(F.count_if("leaf").alias("small"), F.count_if(~F.col("leaf")).alias("large")).first()
@@ -286,7 +289,7 @@ def _descended(current: DataFrame, reps: DataFrame, percent: int, compare: Calla
         if level == LEVELS:
             links.append(common.written(compare(_tiles(large)), f"{name}-tiles"))
             break
-        current = _branched(large, reps, _rate(percent))
+        current = planted(large) if planted is not None and level == 1 else _branched(large, reps, _rate(percent))
     common.dropped(*before)
     return links
 
@@ -329,23 +332,37 @@ def _sets(blobs: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return sets, n, minwise(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), np.concatenate([[0], np.cumsum(n)]))
 
 
-def _confirm(forest: Forest, i: np.ndarray, j: np.ndarray, same: np.ndarray, xs: list[np.ndarray], ys: list[np.ndarray], shift: int, percent: int) -> list[tuple[int, int]]:
-    """Of pairs (i, j + shift), most alike first, the links that join sets of the forest not joined yet."""
+def exact_links(sets: list[np.ndarray], comps: np.ndarray, asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places of sets) of the asked ones to any that join components, by exact intersections.
+
+    The sizes of a set's intersections with all others are counted from lists of the sets that hold each of its shingles.
+    """
+    m, n = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    joined = np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")
+    new = textkit.heads(joined[order])
+    number = np.empty(len(joined), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    holders = np.repeat(np.arange(m), n)[order]
+    starts = np.append(np.flatnonzero(new), len(joined))
+    del joined, order, new
+    ends = np.cumsum(n)
+    _, label = np.unique(comps, return_inverse=True)
+    left = len(np.unique(label))
     out = []
-    order = np.argsort(-same, kind="stable")
-    at = 0
-    while at < len(order):
-        chunk = order[at : at + 1024]
-        for p in chunk.tolist():
-            x, y = int(i[p]), int(j[p])
-            if forest.find(x) != forest.find(y + shift) and _linked(xs[x], ys[y], percent):
-                forest.join(x, y + shift)
-                out.append((x, y))
-        at += len(chunk)
-        if at < len(order):
-            labels = forest.labels()
-            rest = order[at:]
-            order, at = rest[labels[i[rest]] != labels[j[rest] + shift]], 0
+    for x in asked.tolist():
+        if left == 1:
+            break
+        own = number[ends[x] - n[x] : ends[x]]
+        held = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        both = np.bincount(holders[at], minlength=m)
+        near = np.flatnonzero((100 * both >= percent * (n[x] + n - both)) & (label != label[x]))
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            out += [(x, y) for y in near[first].tolist()]
+            label[np.isin(label, others)] = label[x]
+            left -= len(others)
     return out
 
 
@@ -359,13 +376,8 @@ def _group_links(members: DataFrame, percent: int) -> DataFrame:
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["grp"]):
             ids = np.asarray(group.column("rid"))
-            sets, n, tokens = _sets(group.column("set"))
-            forest = Forest(ids)
-            out = []
-            for i, j, same in _agreeing(tokens, tokens, n, n, percent):
-                upper = i < j
-                out += _confirm(forest, i[upper], j[upper], same[upper], sets, sets, 0, percent)
-            if out:
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
+            if out := exact_links(sets, ids, np.arange(len(ids)), percent):
                 yield _pairs([ids[x] for x, _ in out], [ids[y] for _, y in out])
 
     return members.select("grp", "rid", "set").repartition("grp").sortWithinPartitions("grp").mapInArrow(resolve, "a bigint, b bigint")
@@ -406,32 +418,28 @@ def _leaf_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["node"]):
             ids, comps = np.asarray(group.column("rid")), np.asarray(group.column("comp"))
-            own, n, tokens = _sets(group.column("set"))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
             labels, sizes = np.unique(comps, return_counts=True)
             asked = np.flatnonzero(comps != labels[sizes.argmax()])
-            forest = Forest(comps)
-            out = []
-            for i, j, same in _agreeing(tokens[asked], tokens, n[asked], n, percent):
-                out += _confirm(forest, asked[i], j, same, own, own, 0, percent)
-            if out:
+            if out := exact_links(sets, comps, asked, percent):
                 yield _pairs([ids[x] for x, _ in out], [ids[y] for _, y in out])
 
     return full.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _group_roots(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(node, rid, comp): the first level of all trees of each group; members (grp, rid, comp)."""
+    """(node, rid, comp): the first level of all trees of each group; members (node, rid, comp), a node for each group."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _matrix(batch.column("tokens"))
-            groups = textkit.mixed(np.asarray(batch.column("grp")).astype(np.uint64))
+            groups = textkit.mixed(np.asarray(batch.column("node")).astype(np.uint64))
             for root in _ROOTS[:TREES]:
                 row, child = _chosen(tokens, textkit.mixed(groups + root), _rate(percent))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("rid").take(at), batch.column("comp").take(at)], names=["node", "rid", "comp"])
 
-    rows = members.join(reps.select("rid", "tokens"), "rid").select("grp", "rid", "comp", "tokens")
+    rows = members.select("node", "rid", "comp").join(reps.select("rid", "tokens"), "rid").select("node", "rid", "comp", "tokens")
     return rows.mapInArrow(grow, "node bigint, rid bigint, comp bigint")
 
 
@@ -449,9 +457,8 @@ def _large_links(sets: DataFrame, sizes: DataFrame, reps: DataFrame, percent: in
     comps = components(first)
     labelled = rows.select("grp", "rid").join(comps.select(F.col("hi").alias("rid"), F.col("lo").alias("comp")), "rid", "left").select("grp", "rid", F.coalesce("comp", "rid").alias("comp"))
     labelled = common.written(labelled, "near-labels")
-    open_ = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.count("*").alias("comps")).filter("comps > 1").select("grp")
-    roots = _group_roots(labelled.join(open_, "grp", "left_semi"), reps, percent)
-    rest = _descended(roots, reps, percent, lambda leaves: _leaf_links(leaves, sets, percent), "near", GROUP_BYTES)
+    # a group is the first node; one too large for a task to compare goes on as the roots of trees
+    rest = _descended(labelled.withColumnRenamed("grp", "node"), reps, percent, lambda leaves: _leaf_links(leaves, sets, percent), "near", GROUP_BYTES, lambda large: _group_roots(large, reps, percent))
     out = common.written(_union([first, *rest]), "near-large-links")
     common.dropped(first, comps, labelled, *rest)
     return out
