@@ -198,9 +198,16 @@ def first_known(rows: DataFrame, key: str, at: str, values: Sequence[str]) -> Da
     return rows.groupBy(key).agg(F.min(at).alias("first_seen"), *firsts)
 
 
-def newest_kept(runs: DataFrame, *order: Column, keep: int = 4) -> DataFrame:
-    """Backups that stay: the newest `keep`."""
-    return runs.orderBy(*order).limit(keep)
+def outdated(runs: DataFrame, by: str, *order: Column | str, keep: int = 4) -> DataFrame:
+    """Backups that go: all but the newest `keep` of each, in the order given."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return runs.withColumn("__rank", rank).filter(F.col("__rank") > keep).drop("__rank")
+
+
+def used_up(daily: DataFrame, user: str, day: str, n: str, most: int) -> DataFrame:
+    """daily counts with the user's total up to each day and whether it is over the quota."""
+    total = F.sum(n).over(Window.partitionBy(user).orderBy(day))
+    return daily.withColumns({"total": total, "over_trial": total > most})
 
 
 def guarded(old: DataFrame, new: DataFrame, key: str, protected: Sequence[str], is_admin: Column) -> DataFrame:

@@ -62,10 +62,9 @@ def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str,
     return past.unionByName(stay).unionByName(archive).unionByName(begin).unionByName(added)
 
 
-def intervals(rows: DataFrame, key: str, start: str) -> DataFrame:
-    """valid_from, valid_until (the day before the next version's start) and is_current by key and start."""
-    order = Window.partitionBy(key).orderBy(start)
-    following = F.lead(F.to_date(start)).over(order)
+def intervals(rows: DataFrame, key: str, start: str, *ties: str) -> DataFrame:
+    """valid_from, valid_until (the day before the next version's start) and is_current by key and start; `ties` order one start's."""
+    following = F.lead(F.to_date(start)).over(Window.partitionBy(key).orderBy(start, *ties))
     return rows.withColumns({"valid_from": F.to_date(start), "valid_until": F.date_sub(following, 1), "is_current": following.isNull()})
 
 

@@ -625,3 +625,26 @@ def embedding_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A service plugged in: here one whose vectors SQL can give, too."""
     vectors = embedding.embedded(F.col("text"), lambda texts: [(len(t), len(t.replace("e", ""))) for t in texts])
     return table(spark, sf_dir, "documents").select("doc_id", vectors.alias("vector"))
+
+
+@query(
+    "stream_sessions",
+    """with o as (select user_id, ts, event_id, lag(ts) over (partition by user_id order by ts, event_id) as before from events), g as (select *, sum((before is null or ts >= before + interval 30 minute)::int) over (partition by user_id order by ts, event_id) as s from o)
+    select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as begun, strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S') as ended, count(*) as n from g group by user_id, s""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events with less than half an hour between them."""
+    work = work_folder(spark)
+    events = usage.landed(spark, sf_dir, glob="events.parquet")
+    usage.worked_off(usage.sessions(events, late="4000 days"), lambda df, n: df.write.mode("append").parquet(f"{work}/out/v={n}"), f"{work}/check", "complete")
+    rows = spark.read.parquet(f"{work}/out")
+    rows = rows.filter(F.col("v") == rows.agg(F.max("v")).first()[0])
+    return rows.select("user_id", F.date_format("begun", "yyyy-MM-dd HH:mm:ss").alias("begun"), F.date_format("ended", "yyyy-MM-dd HH:mm:ss").alias("ended"), "n")
+
+
+@query("search_texts", r"""select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), lambda x: x <> ''))::bigint as n, true as none_longer from documents""")
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many stems as words, joined by spaces, none longer than its word by more than a letter."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w"), text.search_text("text").alias("s"))
+    stems = F.filter(F.split("s", " "), lambda x: x != "")
+    return rows.select("doc_id", F.size(F.filter(F.split("s", " "), lambda x: x != "")).cast("bigint").alias("n"), F.forall(F.zip_with("w", stems, lambda a, b: F.length(b) <= F.length(a) + 1), lambda x: F.coalesce(x, F.lit(True))).alias("none_longer"))

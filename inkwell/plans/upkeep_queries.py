@@ -27,11 +27,8 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select o_orderkey, o_custkey, cast(o_orderdate::date as varchar) as valid_from, cast(lead(o_orderdate::date) over w - 1 as varchar) as valid_until, lead(o_orderdate) over w is null as is_current from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
 )
 def scd2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").withColumn("start", F.struct("o_orderdate", "o_orderkey"))
-    from pyspark.sql import Window
-
-    following = F.lead(F.to_date("o_orderdate")).over(Window.partitionBy("o_custkey").orderBy("start"))
-    return rows.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").cast("string").alias("valid_from"), F.date_sub(following, 1).cast("string").alias("valid_until"), following.isNull().alias("is_current"))
+    rows = versions.intervals(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return rows.select("o_orderkey", "o_custkey", F.col("valid_from").cast("string"), F.col("valid_until").cast("string"), "is_current")
 
 
 @query(
@@ -176,11 +173,8 @@ def rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("daily_quota", "select user_id, cast(ts::date as varchar) as day, count(*) as n, sum(count(*)) over (partition by user_id order by ts::date)::bigint as total, sum(count(*)) over (partition by user_id order by ts::date) > 20 as over_trial from events group by user_id, ts::date")
 def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     daily = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("user_id").orderBy("d"))
-    return daily.select("user_id", F.col("d").cast("string").alias("day"), "n", total.alias("total"), (total > 20).alias("over_trial"))
+    return upkeep.used_up(daily, "user_id", "d", "n", 20).select("user_id", F.col("d").cast("string").alias("day"), "n", "total", "over_trial")
 
 
 @query(
@@ -222,10 +216,7 @@ def request_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("backup_retention", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn > 4")
 def backup_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return table(spark, sf_dir, "orders").withColumn("rn", rank).filter("rn > 4").select("o_custkey", "o_orderkey")
+    return upkeep.outdated(table(spark, sf_dir, "orders"), "o_custkey", F.desc("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query(
