@@ -80,5 +80,10 @@ def replaced_number(title: Column) -> Column:
 
 
 def archive_key(key: Column, version: Column, *rest: Column) -> Column:
-    """key#hist- and the last 40 characters of the version; without one, a digest of the row's other values, so that two differ."""
-    return F.concat(key, F.lit("#hist-"), F.coalesce(F.nullif(F.right(version, F.lit(40)), F.lit("")), F.sha1(F.to_json(F.struct(*rest)) if rest else key)))
+    """key#hist- and the last 40 characters of the version.
+
+    Without a version what follows is empty, so that two such rows of a key clash, or, given the row's other values, their
+    digest.
+    """
+    other = F.sha1(F.concat_ws("|", *[c.cast("string") for c in rest])) if rest else F.lit("")
+    return F.concat(key, F.lit("#hist-"), F.coalesce(F.nullif(F.right(version, F.lit(40)), F.lit("")), other))

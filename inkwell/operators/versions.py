@@ -34,13 +34,14 @@ def classified(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame
     return new.join(known, key, "left").select(key, outcome.alias("outcome"))
 
 
-def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str, *, content_counts: DataFrame | None = None, known_only: bool = False) -> DataFrame:
+def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str, *, content_counts: DataFrame | None = None, known_only: bool = False, told_apart: bool = False) -> DataFrame:
     """Next snapshot of live rows (key, version, valid_from, valid_until, is_current, status, superseded_by).
 
     A row whose version changes is archived as it was (its key gets the version's last 40 characters) and a live row with
     the new version begins; equal versions stay; unknown keys are added. new: (key, version, valid_from). content_counts
     (key, n): new versions without content don't replace anything. known_only: a row without a version isn't archived, its
-    new version just takes its place. Keys of archived rows are those of mappings.archive_key().
+    new version just takes its place. Keys of archived rows are those of mappings.archive_key(); told_apart: rows without
+    a version get a digest of their values in it, so that two of one key don't clash.
     """
     usable = new if content_counts is None else new.join(content_counts.filter("n > 0").select(key), key, "left_semi")
     day = F.to_date(F.lit(today))
@@ -55,7 +56,7 @@ def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str,
 
     stay = row(both.filter(~changed))
     kept = both.filter(changed & F.col(version).isNotNull()) if known_only else both.filter(changed)
-    archive = row(kept, **{key: mappings.archive_key(F.col(key), F.col(version), *[F.col(c) for c in columns]), "valid_until": day, "is_current": F.lit(False), "status": F.lit("historicky"), "superseded_by": F.col(key)})
+    archive = row(kept, **{key: mappings.archive_key(F.col(key), F.col(version), *([F.col(c) for c in columns] if told_apart else [])), "valid_until": day, "is_current": F.lit(False), "status": F.lit("historicky"), "superseded_by": F.col(key)})
     begin = row(both.filter(changed), **{version: F.col("__new"), "valid_from": F.coalesce(F.col("__from"), day), "valid_until": F.lit(None).cast("date")})
     added = usable.join(current.select(key), key, "left_anti")
     added = row(added.withColumns({c: F.lit(None).cast(live.schema[c].dataType) for c in columns if c not in added.columns}), is_current=F.lit(True), status=F.lit("platny"))

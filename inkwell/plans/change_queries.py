@@ -431,3 +431,14 @@ def embed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
     queue = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     return changes.embed_today(queue, log, "2024-01-02", 5000, 200, F.desc("c_acctbal"), "id").select("id")
+
+
+@query(
+    "archive_keys",
+    """with r as (select o_custkey::varchar as key, case when o_orderkey % 3 <> 0 then 'iri/2020/' || md5(o_orderkey::varchar) || '/znění' end as v, o_orderkey, o_orderstatus from orders)
+    select o_orderkey, key || '#hist-' || coalesce(right(v, 40), sha1(concat_ws('|', key, o_orderkey, o_orderstatus))) as archive_key from r""",
+)
+def archive_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    version = F.when(k % 3 != 0, F.concat(F.lit("iri/2020/"), F.md5(k.cast("string")), F.lit("/znění")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", mappings.archive_key(key, version, key, k, F.col("o_orderstatus")).alias("archive_key"))
