@@ -402,41 +402,6 @@ def chunks_cut_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.col("content") != F.md5(F.lit("")))
 
 
-def _sequential(step: str, where: str = "documents") -> str:
-    """Recursive SQL: the rest of a text, cut piece by piece; step gives the cut of `rest` as a number of characters."""
-    return f"""with recursive t as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as rest, -1 as n, '' as piece, false as last from {where}),
-    c as (select * from t union all select doc_id, case when length(rest) > 4000 then ltrim(substring(rest, cut + 1), ' ' || chr(10)) else '' end, n + 1, trim(case when length(rest) > 4000 then left(rest, cut) else rest end, ' ' || chr(10) || chr(9) || chr(13)), length(rest) <= 4000
-      from (select *, {step} as cut from c) where not last and rest <> '')"""
-
-
-_LAST = "(4000 - length(regexp_extract(reverse(left(rest, 4000)), '(?s)^(.*?){0}', 1)) - {1})"
-
-
-@query(
-    "chunks_sliding_texts",
-    _sequential(
-        """case when strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) > 0 and 4000 - strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) - 1 >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) - 1
-        when strpos(reverse(left(rest, 4000)), ' .') > 0 and 4000 - strpos(reverse(left(rest, 4000)), ' .') - 1 >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), ' .')
-        when strpos(reverse(left(rest, 4000)), ' ') > 0 and 4000 - strpos(reverse(left(rest, 4000)), ' ') >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), ' ') else 4000 end"""
-    )
-    + ", k as (select doc_id, n, piece from c where piece <> '') select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as chunk_index, md5(piece) as content from k",
-)
-def chunks_sliding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.chunk_rows(table(spark, sf_dir, "documents"), chunking.sliding("text", 4000), "doc_id", most=None)
-    return rows.select("doc_id", "chunk_index", F.md5("content").alias("content"))
-
-
-@query(
-    "chunks_titled_texts",
-    "with c as (" + packed_sql("chr(10)", "chr(10)", 1400, 1).replace("left(string_agg(p, chr(10) order by i), 8000)", "string_agg(p, chr(10) order by i)").replace(" from d))", " from documents))") + """),
-    a as (select * from c union all select doc_id, 0, '' from documents where doc_id not in (select doc_id from c))
-    select doc_id, chunk_index::int as chunk_index, md5(case when chunk_index = 0 and content = '' then 'Doc ' || doc_id::varchar when chunk_index = 0 and not contains(content, 'Doc ' || doc_id::varchar) then 'Doc ' || doc_id::varchar || chr(10) || content else content end) as content from a""",
-)
-def chunks_titled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
-    return chunking.chunk_rows(docs, chunking.titled("title", "text", 1400), "doc_id", most=None).select("doc_id", "chunk_index", F.md5("content").alias("content"))
-
-
 @query("chunks_hard_slices", "with t as (select doc_id, regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '\\s*\\n\\s*', ' ', 'g') as t from documents) select doc_id, len(list_filter(list_transform(range(0, greatest(1, ((length(t) - 1) // 1000 + 1))::bigint), lambda i: trim(substring(t, i * 1000 + 1, 1000))), lambda x: x <> ''))::bigint as n from t where t <> ''")
 def chunks_hard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paragraph without blank lines, cut hard."""
@@ -452,19 +417,6 @@ def report_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("content"))
 
 
-@query(
-    "greedy_fill_check",
-    """with recursive r as (select year(o_orderdate)::int as batch, o_orderkey, o_totalprice::bigint as bytes, row_number() over (partition by year(o_orderdate) order by o_orderkey) as n from orders),
-    g as (select distinct batch, 0::bigint as n, 2000000::bigint as a, 1000000::bigint as b, 500000::bigint as c, null::bigint as o_orderkey, -1 as shard from r union all
-      select r.batch, r.n, case when g.a >= r.bytes then g.a - r.bytes else g.a end, case when g.a < r.bytes and g.b >= r.bytes then g.b - r.bytes else g.b end, case when g.a < r.bytes and g.b < r.bytes and g.c >= r.bytes then g.c - r.bytes else g.c end,
-        r.o_orderkey, case when g.a >= r.bytes then 0 when g.b >= r.bytes then 1 when g.c >= r.bytes then 2 else -1 end from g join r on r.batch = g.batch and r.n = g.n + 1)
-    select batch, o_orderkey, shard::bigint as shard from g where n > 0""",
-)
-def greedy_fill_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("batch"), "o_orderkey", F.floor(F.col("o_totalprice") + 0.5).alias("bytes"))
-    return upkeep.greedy_fill(rows, "bytes", "o_orderkey", [2_000_000, 1_000_000, 500_000]).select("batch", "o_orderkey", "shard")
-
-
 # ---- retrieval ----
 
 

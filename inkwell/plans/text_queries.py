@@ -193,7 +193,12 @@ def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPACED = (("a", "S o u d n í\nRozhodnutí Nejvyššího soudu o odvolání\nkrátký"), ("b", "krátký\nstřední řádek"), ("c", "a\nb"), ("d", "obsah ....... 12\nVěc: žaloba na plnění"))
 
 
-@query("title_guess", None)
+@query(
+    "title_guess",
+    _sql_values("l", "k, s", *_SPACED) + """, x as (select k, list_transform(string_split(s, chr(10))[1:60], lambda x: trim(x)) as ls from l),
+    f as (select k, ls, list_filter(ls, lambda x: length(x) >= 15 and not contains(x, '...') and not (len(regexp_split_to_array(x, '\\s+')) >= 3 and 2 * len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: length(t) = 1)) > len(regexp_split_to_array(x, '\\s+')))) as fine from x)
+    select k, left(coalesce(nullif(list_reduce(fine, lambda a, b: case when length(b) > length(a) then b else a end, ''), ''), list_filter(ls, lambda x: length(x) >= 8)[1], 'bez názvu'), 200) as title from f""",
+)
 def title_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "k string, s string", *_SPACED).select("k", text.guessed_title("s", F.lit("bez názvu")).alias("title"))
 
@@ -254,7 +259,22 @@ def chunks_paragraph_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(docs, chunking.paragraphs_cut("text", 300), "doc_id")
 
 
-@query("chunks_sliding")
+def _sequential(step: str, where: str = "documents") -> str:
+    """Recursive SQL: the rest of a text, cut piece by piece; step gives the cut of `rest` as a number of characters."""
+    return f"""with recursive t as (select doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as rest, -1 as n, '' as piece, false as last from {where}),
+    c as (select * from t union all select doc_id, case when length(rest) > 4000 then ltrim(substring(rest, cut + 1), ' ' || chr(10)) else '' end, n + 1, trim(case when length(rest) > 4000 then left(rest, cut) else rest end, ' ' || chr(10) || chr(9) || chr(13)), length(rest) <= 4000
+      from (select *, {step} as cut from c) where not last and rest <> '')"""
+
+
+@query(
+    "chunks_sliding",
+    _sequential(
+        """case when strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) > 0 and 4000 - strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) - 1 >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), chr(10) || chr(10)) - 1
+        when strpos(reverse(left(rest, 4000)), ' .') > 0 and 4000 - strpos(reverse(left(rest, 4000)), ' .') - 1 >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), ' .')
+        when strpos(reverse(left(rest, 4000)), ' ') > 0 and 4000 - strpos(reverse(left(rest, 4000)), ' ') >= 1000 then 4000 - strpos(reverse(left(rest, 4000)), ' ') else 4000 end"""
+    )
+    + ", k as (select doc_id, n, piece from c where piece <> '') select doc_id, (row_number() over (partition by doc_id order by n) - 1)::int as chunk_index, left(piece, 8000) as content from k",
+)
 def chunks_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), chunking.sliding("text", 4000), "doc_id")
 
@@ -265,7 +285,12 @@ def chunks_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(docs, chunking.blank_line_paragraphs("text", 1000), "doc_id")
 
 
-@query("chunks_titled")
+@query(
+    "chunks_titled",
+    "with c as (" + packed_sql("chr(10)", "chr(10)", 1400, 1).replace("left(string_agg(p, chr(10) order by i), 8000)", "string_agg(p, chr(10) order by i)").replace(" from d))", " from documents))") + """),
+    a as (select * from c union all select doc_id, 0, '' from documents where doc_id not in (select doc_id from c))
+    select doc_id, chunk_index::int as chunk_index, left(case when chunk_index = 0 and content = '' then 'Doc ' || doc_id::varchar when chunk_index = 0 and not contains(content, 'Doc ' || doc_id::varchar) then 'Doc ' || doc_id::varchar || chr(10) || content else content end, 8000) as content from a""",
+)
 def chunks_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
     return chunking.chunk_rows(docs, chunking.titled("title", "text", 1400), "doc_id")

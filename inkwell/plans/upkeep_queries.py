@@ -108,7 +108,14 @@ def budget_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.running_fill(rows, F.col("bytes"), "doc_id", budget=50_000, group=["source"]).select("doc_id", "bytes", "shard")
 
 
-@query("greedy_fill")
+@query(
+    "greedy_fill",
+    """with recursive r as (select year(o_orderdate)::int as batch, o_orderkey, trunc(o_totalprice)::bigint as bytes, row_number() over (partition by year(o_orderdate) order by o_orderkey) as n from orders),
+    g as (select distinct batch, 0::bigint as n, 2000000::bigint as a, 1000000::bigint as b, 500000::bigint as c, null::bigint as o_orderkey, -1 as shard, 0::bigint as bytes from r union all
+      select r.batch, r.n, case when g.a >= r.bytes then g.a - r.bytes else g.a end, case when g.a < r.bytes and g.b >= r.bytes then g.b - r.bytes else g.b end, case when g.a < r.bytes and g.b < r.bytes and g.c >= r.bytes then g.c - r.bytes else g.c end,
+        r.o_orderkey, case when g.a >= r.bytes then 0 when g.b >= r.bytes then 1 when g.c >= r.bytes then 2 else -1 end, r.bytes from g join r on r.batch = g.batch and r.n = g.n + 1)
+    select batch, o_orderkey, bytes, shard::bigint as shard from g where n > 0""",
+)
 def greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("batch"), "o_orderkey", F.col("o_totalprice").cast("bigint").alias("bytes"))
     return upkeep.greedy_fill(rows, "bytes", "o_orderkey", [2_000_000, 1_000_000, 500_000])
