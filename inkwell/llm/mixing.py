@@ -11,8 +11,8 @@ an arrow). Targets come first: where limits leave no mu that keeps the mean, mu
 
 Rates are rounded to copies: everyone has floor(r) and, in the order of a hash divided by the rest of r (sequential Poisson
 sampling, so the chance of one more copy is that rest), documents get one more until the source's target is met. Places in
-that order are found by two-level prefix sums (ranges, then inside the one range that the target falls into). Documents that
-don't fit are set aside and the sum goes on over the others, until a source is within CLOSE of its target or nothing fits;
+that order are found by two-level prefix sums (ranges, then inside the one range that the target falls into). After all
+first ones stand second copies, as far as the limit goes, for sources that are still short. Documents that don't fit are set aside and the sum goes on over the others, until a source is within CLOSE of its target or nothing fits;
 a last one may go over if that is nearer. A decision depends on the row and its source's few numbers only, so rows are never
 sorted or moved to make it.
 """
@@ -48,15 +48,26 @@ def length_class(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
 
 
-def drawn(key: Column, size: Column, part: Column) -> Column:
-    """The place of a row in the order in which one more copy is dealt, 0 to 2 ** 52; rows with equal key and size are alike.
+def lot(key: Column, size: Column) -> Column:
+    """A number below 2 ** 53 by which a row draws; rows with equal key and size are alike."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), size, F.lit(20260101)), 11)
 
-    A uniform number from a hash over `part`, the chance of the copy: below 1/2 of the range for as many as are expected.
+
+def drawn(lot: Column, part: Column) -> Column:
+    """The place of a row in the order in which one more copy is dealt, 0 to 2 ** 52.
+
+    The row's uniform number over `part`, the chance of the copy: below 1/2 of the range for as many as are expected.
     """
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit("")), size, F.lit(20260101)), 11) + 0.5) / float(1 << 53)
+    uniform = (lot + 0.5) / float(1 << 53)
     return F.floor(uniform / (uniform + part) * float(1 << 52)).cast("bigint")
 
 
+def draws(limit: int) -> Column:
+    """The places of all copies that a row (base, draw, lot) may have besides base: its own, and after all rows' own the further ones."""
+    more = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(limit - 1 - F.col("base"), F.lit(0)).cast("bigint")), lambda t: F.when(t == 0, F.col("draw")).otherwise(F.shiftleft(F.lit(1).cast("bigint"), 52) * t + F.shiftright("lot", 1)))
+    return F.when((F.col("base") < limit) & (F.col("size") > 0), more).otherwise(F.array().cast("array<bigint>"))
+
+
 def near(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are few enough, else as it is: a shuffle join, whose hot keys AQE splits."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -142,17 +153,18 @@ def rates(state: DataFrame, mu: float, limit: float = 2.0) -> DataFrame:
 
 
 def _with_draws(rows: DataFrame, rate: DataFrame, n: int) -> DataFrame:
-    """rows (key, source, size) with base and draw."""
+    """rows (key, source, size) with base, lot and draw."""
     rows = rows.withColumn("class", length_class(F.col("size")))
     known = near(rate.select(F.col("source").alias("r_source"), F.col("class").alias("r_class"), "base", "part"), n)
     same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("class") == F.col("r_class"))
     rows = rows.join(known, same, "left").withColumns({"base": F.coalesce("base", F.lit(0).cast("bigint")), "part": F.coalesce("part", F.lit(0.0))})
-    return rows.withColumn("draw", drawn(F.col("key"), F.col("size"), F.col("part"))).drop("r_source", "r_class", "part", "class")
+    rows = rows.withColumn("lot", lot(F.col("key"), F.col("size")))
+    return rows.withColumn("draw", drawn(F.col("lot"), F.col("part"))).drop("r_source", "r_class", "part", "class")
 
 
 def rounded(rows: DataFrame, wanted: DataFrame, limit: float = 2.0, n: int = 0) -> DataFrame:
-    """source, steps, extras: what a row (source, size, base, draw, total) needs to know whether it has one more copy than
-    base. wanted (n rows): source, target.
+    """source, steps, extras: what a row (source, size, base, draw, lot, total) needs to know its copies besides base; see copies().
+    wanted (n rows): source, target.
 
     A pass takes, in the order of draws and among the rows that still fit the gap, the longest prefix that fits as a whole.
     The row it stops at no longer fits and the next pass goes on without it, until none that is left fits or the gap is
@@ -163,7 +175,7 @@ def rounded(rows: DataFrame, wanted: DataFrame, limit: float = 2.0, n: int = 0)
     plan = wanted.join(near(have, n), F.col("source").eqNullSafe(F.col("s")), "left")
     plan = plan.select("source", (F.col("target") - F.coalesce("have", F.lit(0))).alias("gap"), (CLOSE * F.col("target")).alias("close"))
     plan = common.written(plan.withColumn("steps", F.array().cast("array<struct<most:double,cut:bigint>>")), "mix-plan")
-    rows = rows.filter((F.col("base") < int(limit)) & (F.col("total") > 0))
+    rows = rows.select("source", "size", "total", F.explode(draws(int(limit))).alias("draw"))
     half = False
     while True:
         after, found = _passed(rows, plan, half, n)
@@ -178,6 +190,12 @@ def rounded(rows: DataFrame, wanted: DataFrame, limit: float = 2.0, n: int = 0)
     return out
 
 
+def copies(limit: int) -> Column:
+    """Copies of a row (base, draw, lot, size, total, and its source's steps and extras)."""
+    more = F.filter(draws(limit), lambda d: _taken(F.col("steps"), d, F.col("total")) | F.array_contains(F.col("extras"), d))
+    return F.col("base") + F.size(more)
+
+
 def _taken(steps: Column, draw: Column, total: Column) -> Column:
     return F.exists(steps, lambda s: (total <= s["most"]) & (draw <= s["cut"]))
 
@@ -226,11 +244,11 @@ def _closed(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
 
 
 def _with_totals(rows: DataFrame, alike: DataFrame | None) -> DataFrame:
-    """rows with total: the size of all rows of a source with the same draw, which are taken together."""
+    """rows with total: the size of all rows of a source with the same lot, which are taken together."""
     if alike is None:
         return rows.withColumn("total", F.col("size"))
-    same = F.col("source").eqNullSafe(F.col("a_source")) & (F.col("draw") == F.col("a_draw"))
-    return rows.join(alike, same, "left").withColumn("total", F.coalesce("a_total", "size")).drop("a_source", "a_draw", "a_total")
+    same = F.col("source").eqNullSafe(F.col("a_source")) & (F.col("lot") == F.col("a_lot"))
+    return rows.join(alike, same, "left").withColumn("total", F.coalesce("a_total", "size")).drop("a_source", "a_lot", "a_total")
 
 
 def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, weights: Sequence[float] = WEIGHTS, with_rows: bool = False) -> DataFrame:
@@ -252,8 +270,8 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     rate = rates(state, mu, limit)
     n_rates = rate.count()
     dealt = common.written(_with_draws(light, rate, n_rates), "mix-draws")
-    alike = dealt.filter((F.col("size") > 0) & (F.col("base") < int(limit))).groupBy("source", "draw").agg(F.count("*").alias("n"), F.sum("size").alias("a_total")).filter("n > 1")
-    alike = common.written(alike.select(F.col("source").alias("a_source"), F.col("draw").alias("a_draw"), "a_total"), "mix-alike")
+    alike = dealt.filter((F.col("size") > 0) & (F.col("base") < int(limit))).groupBy("source", "lot").agg(F.count("*").alias("n"), F.sum("size").alias("a_total")).filter("n > 1")
+    alike = common.written(alike.select(F.col("source").alias("a_source"), F.col("lot").alias("a_lot"), "a_total"), "mix-alike")
     n_alike = alike.count()  # keys are unique as a rule
     alike = near(alike, n_alike) if n_alike else None
     plan = rounded(_with_totals(dealt, alike), wanted, limit, n)
@@ -262,8 +280,7 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     if with_rows:
         dealt = _with_draws(packed.docs.select(*named, packed.row()), rate, n_rates)
     out = _with_totals(dealt, alike).join(near(table, n), F.col("source").eqNullSafe(F.col("of")))
-    extra = (F.col("base") < int(limit)) & (F.col("size") > 0) & (_taken(F.col("steps"), F.col("draw"), F.col("total")) | F.array_contains("extras", F.col("draw")))
-    out = out.withColumn("copies", F.col("base") + extra.cast("bigint"))
+    out = out.withColumn("copies", copies(int(limit)).cast("bigint"))
     return out.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if with_rows else []))
 
 

@@ -172,8 +172,8 @@ def mixing(docs, share=1.5, limit=2.0, close=5e-4):
             part = max(0.0, r - base)
             taken[k] = base * n
             gap -= base * n
-            if n and base < limit:
-                rows.append((uniform / (uniform + part), n, k))
+            # one more copy by the rest of the rate, and after all those the further ones that the limit allows
+            rows += [(uniform / (uniform + part) if t == 0 else t + uniform, n, k) for t in range(int(limit) - base if n else 0)]
         rows.sort()
         half = False
         while gap > close * target:

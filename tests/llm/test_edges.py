@@ -317,19 +317,20 @@ def test_mixing_row_by_row(spark):
 
 
 def test_mixing_goes_on_past_documents_that_do_not_fit(spark):
-    """Long documents early in the order leave the others their share; equal draws go together."""
-    rows = [("s", 100, k * 1000) for k in range(400)] + [("s", 60_000, 4_500)] + [("t", 37, k * 1000 + 1) for k in range(200)] + [("t", 9_000, 7), ("t", 41, 99), ("t", 41, 99)]
-    light = spark.createDataFrame([(s, n, 0 if n != 37 else 1, (1 << 40) + d) for s, n, d in rows], "source string, size bigint, base bigint, draw bigint").withColumn("total", F.when(F.col("size") == 41, 82).otherwise(F.col("size")).cast("bigint"))
-    for target_s, target_t in ((30_000.0, 7_400.0 + 3_000.0), (61_500.0, 7_400.0 + 9_040.0)):
-        wanted = spark.createDataFrame([("s", target_s), ("t", target_t)], "source string, target double")
-        plan = {r["source"]: r for r in mixing.rounded(light, wanted, n=2).collect()}
-        for source, target in (("s", target_s), ("t", target_t)):
-            p = plan[source]
-            own = [r for r in light.collect() if r["source"] == source]
-            extra = [any(r["total"] <= s["most"] and r["draw"] <= s["cut"] for s in p["steps"]) or r["draw"] in p["extras"] for r in own]
-            got = sum(r["size"] * (r["base"] + e) for r, e in zip(own, extra, strict=True))
-            left = [r["total"] for r, e in zip(own, extra, strict=True) if not e]
-            assert abs(target - got) <= max(mixing.CLOSE * target, min(left, default=0)), (source, target, got)
+    """Long documents early in the order leave the others their share; equal lots go together; short sources take second copies."""
+    rows = [("s", 100, k * 1000) for k in range(400)] + [("s", 60_000, 4_500)] + [("t", 37, k * 1000 + 1) for k in range(200)] + [("t", 9_000, 7), ("t", 41, 99), ("t", 41, 99)] + [("u", 10, k) for k in range(5)] + [("u", 300, 9)]
+    light = spark.createDataFrame([(s, n, 0 if n != 37 else 1, (1 << 40) + d, (1 << 30) + d) for s, n, d in rows], "source string, size bigint, base bigint, draw bigint, lot bigint")
+    light = light.withColumn("total", F.when(F.col("size") == 41, 82).otherwise(F.col("size")).cast("bigint"))
+    for targets in ({"s": 30_000.0, "t": 7_400.0 + 3_000.0, "u": 90.0}, {"s": 61_500.0, "t": 7_400.0 + 9_040.0, "u": 40.0}):
+        wanted = spark.createDataFrame(list(targets.items()), "source string, target double")
+        plan = mixing.rounded(light, wanted, n=3)
+        got = {}
+        for r in light.join(plan, "source").withColumn("copies", mixing.copies(2)).collect():
+            assert r["base"] <= r["copies"] <= 2
+            got.setdefault(r["source"], []).append((r["size"], r["total"], r["copies"]))
+        for source, target in targets.items():
+            left = [total for _, total, n in got[source] if n < 2]
+            assert abs(target - sum(size * n for size, _, n in got[source])) <= max(mixing.CLOSE * target, min(left, default=0)), (source, target)
 
 
 def test_dual_meets_its_constraints(spark):
