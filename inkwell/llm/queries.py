@@ -122,6 +122,69 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.audit import audit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+OP11_SQL = """
+with w as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+  from documents),
+f as (
+  select w.part, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic,
+         (case when len(words) < 50 then 'A' else '' end) || (case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end)
+         || (case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) then 'C' else '' end)
+         || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end)
+         || (case when w.doc_id > min(w.doc_id) over (partition by t) then 'E' else '' end) as fails
+  from w left join labels l on w.doc_id = l.doc_id),
+p as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+o as (select a.l || b.l || c.l || d.l || e.l as filter_order from x a, x b, x c, x d, x e
+      where b.l <> a.l and c.l not in (a.l, b.l) and d.l not in (a.l, b.l, c.l) and e.l not in (a.l, b.l, c.l, d.l)),
+s as (select filter_order, step::int as step, substr(filter_order, step, 1) as filter, substr(filter_order, 1, step - 1) as before from o, range(1, 6) r(step)),
+c as (
+  select part, filter_order, step, filter,
+         sum(n) filter (where translate(fails, before, '') = fails and not contains(fails, filter)) as kept,
+         sum(n) filter (where translate(fails, before, '') = fails and contains(fails, filter)) as removed,
+         sum(n) filter (where translate(fails, before, '') <> fails and contains(fails, filter)) as redundant,
+         sum(n) filter (where fails = filter) as unique_fails,
+         sum(good) filter (where translate(fails, before, '') = fails and contains(fails, filter)) as good_lost,
+         sum(toxic) filter (where translate(fails, before, '') = fails and contains(fails, filter)) as toxic_lost
+  from p, s group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+       coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       sum(coalesce(removed, 0)) over (partition by part, filter)::bigint as shapley
+from c
+"""
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm import fingerprint as fp
+
+    found = fp.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fp.written_out(F.col("sketch")).alias("fingerprint"), fp.written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fp.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op13_sql() -> str:
+    from inkwell.llm.centroids import sql
+
+    return sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,8 +203,11 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
-SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
 
 
 def queries() -> dict[str, Query]:
@@ -149,4 +215,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op13_centroid_clusters": _op13_sql()}
