@@ -241,6 +241,8 @@ def clustered(df: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, key: s
     found = common.written(assigned(planted, centroids), "clusters")
     common.dropped(planted)
     inertia = {r["cluster"]: int(r["x"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("x")).collect()}
+    if sum(inertia.values()) >= 1 << 63:
+        raise OverflowError("the sum of the distances passes 64 bits")
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
     by = F.element_at(F.array(*[F.struct(F.lit(inertia.get(c, 0)).cast("bigint").alias("inertia"), F.lit(d).alias("digest")) for c, d in enumerate(digests)]), F.col("cluster") + 1)
     return found.select(F.col("key").alias(key), "cluster", "distance", by["inertia"].alias("cluster_inertia"), F.lit(sum(inertia.values())).cast("bigint").alias("inertia"), by["digest"].alias("centroid_sha256"))

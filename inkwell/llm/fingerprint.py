@@ -71,8 +71,8 @@ def distinct_count(a: Column, size: int = SIZE) -> Column:
 
 
 def written_out(a: Column) -> Column:
-    """The sketch as a string: base64 of its hashes, 8 bytes each."""
-    return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
+    """The sketch as a string: base64 of its hashes, 8 bytes each, without line breaks whatever the session's setting."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))), "\r\n", "")
 
 
 def read_back(fingerprint: Column) -> Column:
