@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import chunking, dates, embedding, mappings, text, vector
 from inkwell.operators import retrieval, upkeep
 from inkwell.operators.prefix import work_folder
+from inkwell.operators.store import Store
 from inkwell.plans.registry import query
 from inkwell.plans.retrieval_queries import SIMILARITY, asked_vector
 from inkwell.plans.text_queries import HTML_TEXT, TRIM, packed_sql
@@ -559,12 +560,11 @@ def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_upserts", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, md5(arg_max(event_type, event_id)) as content_hash from events group by 1")
 def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest row of each key with its hash, a snapshot a batch."""
+    """The newest row of each key with its hash, in a stored table of which a batch rewrites what it meets."""
     work = work_folder(spark)
     events = usage.landed(spark, sf_dir, glob="events.parquet").select("user_id", "event_id", "event_type", F.md5("event_type").alias("content_hash"))
-    usage.worked_off(events, usage.upserted_by_batch(f"{work}/out", "user_id", "event_id"), f"{work}/check")
-    rows = spark.read.parquet(f"{work}/out")
-    return rows.filter(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+    usage.worked_off(events, usage.upserted_by_batch(f"{work}/out", "user_id", "event_id", buckets=64), f"{work}/check")
+    return Store.opened(spark, f"{work}/out").rows()
 
 
 @query("court_by_case", f"select doc_id, case when contains(source || ' ÚS', 'ÚS') and doc_id % 2 = 0 then '{mappings.COURTS[0]}' else '{mappings.COURTS[1]}' end as court from documents")

@@ -26,8 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def oracle_of(builder: Query) -> str:
+    """The SQL of a registered query, for another way to the same rows."""
+    return next(_SQL[name] for name, known in _QUERIES.items() if known is builder)
+
+
 def _load() -> None:
-    from inkwell.plans import change_queries, detail_queries, relational_queries, retrieval_queries, streaming_queries, text_queries, upkeep_queries  # noqa: F401
+    from inkwell.plans import change_queries, detail_queries, feature_queries, index_queries, relational_queries, retrieval_queries, store_queries, streaming_queries, text_queries, upkeep_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

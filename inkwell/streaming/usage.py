@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators import store
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -62,15 +65,28 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
 
 
-def upserted_by_batch(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each key: every batch writes a whole snapshot, `path/v=<batch>`; readers take the last."""
+def upserted_by_batch(path: str, key: str, order: str, buckets: int = 1024) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key in a Store at `path`: a batch rewrites the buckets that its keys are in.
+
+    A row that comes late never replaces a newer one; of rows that tie the one that was there stays. A batch that is repeated
+    after a failure is done once, as its commit bears its number.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        if number > 0:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-            newest = newest.unionByName(old.join(newest.select(key), key, "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        try:
+            kept = store.Store.opened(batch.sparkSession, path)
+        except AnalysisException as error:  # the first batch makes the table
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            store.Store.created(newest.limit(0), path, key, buckets)
+            kept = store.Store.opened(batch.sparkSession, path)
+        kept.changed(lambda old: _newer(old, newest, key, order), newest, name=f"batch-{number}")
 
     return sink
+
+
+def _newer(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    both = old.withColumn("__place", F.lit(1)).unionByName(new.withColumn("__place", F.lit(0)))
+    best = F.max_by(F.struct(*[F.col(c) for c in old.columns]), F.struct(order, "__place"))
+    return both.groupBy(F.col(key).alias("__key")).agg(best.alias("r")).select("r.*")
