@@ -25,6 +25,25 @@ SECTION_HEADING = r"^(?:§ \d+[a-z]*|Čl\. (?:\d+|[IVXLCDM]+))$"
 HTML_BLOCKS = ("script", "style", "nav", "header", "footer")
 BLOCK_ENDS = r"(?i)<(?:br\s*/?|/p|/div|/h[1-6]|/li|/tr|/table|/section|/article|/blockquote)>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&sect;", "§"), ("&amp;", "&"))
+#: Fields of a court's page and their labels; what its text stands between, and what is said instead of it.
+COURT_FIELDS: dict[str, str] = {
+    "ecli": "Identifikator evropske judikatury",
+    "sp_zn": "Spisova znacka",
+    "datum_rozhodnuti": "Datum rozhodnuti",
+    "datum_vyhlaseni": "Datum vyhlaseni",
+    "datum_podani": "Datum podani",
+    "datum_zpristupneni": "Datum zpristupneni",
+    "forma_rozhodnuti": "Forma rozhodnuti",
+    "typ_rizeni": "Typ rizeni",
+    "vyznam": "Vyznam",
+    "navrhovatel": "Navrhovatel",
+    "soudce_zpravodaj": "Soudce zpravodaj",
+    "predmet_rizeni": "Predmet rizeni",
+    "vecny_rejstrik": "Vecny rejstrik",
+}
+COURT_TEXT = "Text dokumentu"
+COURT_END = "Ustavni soud, Jostova 8"
+COURT_NO_TEXT = "Vytah z dokumentu neni k dispozici"
 # ---- end of fixed values ----
 
 
@@ -200,6 +219,21 @@ def field(text: str | Column, label: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(_col(text), rf"(?m)^[ \t]*{label}\s*:[ \t]*(.*)$", 1)), F.lit(""))
 
 
+def court_page(html: str | Column) -> Column:
+    """The fields of a court's page and `body`, its text, as a struct; null where the page has no text.
+
+    A field is the first line after its label that says something, before the text; null if there is none.
+    """
+    page = _col(html)
+    at = F.instr(page, COURT_TEXT)
+    head = F.regexp_replace(F.substring(page, F.lit(1), F.greatest(at - 1, F.lit(0))), "<[^>]+>", "\n")
+    tail = F.substring_index(F.substring(page, at + len(COURT_TEXT), F.length(page)), COURT_END, 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "<[^>]+>", " "), r"\s+\n", "\n"), r"[ \t]+", " ")
+    body = F.regexp_replace(bare, r"^\s+|\s+$", "")
+    said = [F.nullif(F.regexp_replace(F.regexp_extract(head, rf"{label}\s*([^\n]*)", 1), r"^\s+|\s+$", ""), F.lit("")).alias(name) for name, label in COURT_FIELDS.items()]
+    return F.when((at > 0) & (body != "") & ~F.contains(body, F.lit(COURT_NO_TEXT)), F.struct(*said, body.alias("body")))
+
+
 def between(text: str | Column, start: str, ends: tuple[str, ...]) -> Column:
     """The text from the first `start` to the first of `ends` after it; the whole if start is missing."""
     out = F.when(F.instr(_col(text), start) > 0, F.substring(_col(text), F.instr(_col(text), start), F.length(_col(text)))).otherwise(_col(text))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import mappings
+from inkwell.operators import versions
 
 
 def _hit(rows: DataFrame, ids: DataFrame, key: str, other: str | None = None) -> DataFrame:
@@ -150,6 +151,16 @@ def chunkless_history(docs: DataFrame, chunks: DataFrame, key: str = "id", paren
     return docs.filter("not is_current").join(chunks.select(F.col(parent).alias("__parent")), F.col(key) == F.col("__parent"), "left_anti")
 
 
+def backfilled(docs: DataFrame, chunks: DataFrame, nodes: DataFrame, fragments: DataFrame, key: str = "id", most: int | None = 3000, part_chars: int = 1 << 20) -> DataFrame:
+    """The chunks that historical documents without any should have: document_id, chunk_index, heading, part, content.
+
+    Made from the section nodes (document_id, path, heading, ord) and text fragments (path, ord, text) of these documents alone;
+    see versions.section_parts(). A second run, with the chunks added, finds none to make.
+    """
+    lacking = chunkless_history(docs, chunks, key).select(F.col(key).alias("document_id")).distinct()
+    return versions.section_parts(nodes.join(lacking, "document_id", "left_semi"), fragments, most, part_chars)
+
+
 def outside_era(is_new: Column, year: Column, first: int = 1945, last: int = 1950) -> Column:
     """New acts of an era are left out; known ones and those without a year stay."""
     return ~(is_new & F.coalesce(year.between(first, last), F.lit(False)))

@@ -32,6 +32,17 @@ DOMAIN_HINTS: dict[str, str] = {
     "metodika_uoou": r"osobn[ií] [uú]daj|\bGDPR\b|(?<![\p{L}\p{N}])ÚOOÚ(?![\p{L}\p{N}])",
     "metodika": r"metodik",
 }
+#: The types that a request may name, and the sources that each opens.
+SOURCES_OF: dict[str, tuple[str, ...]] = {
+    "judikat": ("ns", "judikaty"),
+    "rozhodnuti_uohs": ("uohs",),
+    "soudni_prezkum_uohs": ("uohs_soudni_prezkum",),
+    "metodika": ("metodiky", "fs", "celni", "mv", "eru", "mmr", "uoou"),
+    "cus_podnikatele": ("cus",),
+    "predpis_eu": ("predpisy_eu",),
+    "ifrs": ("ifrs",),
+    "zakon": ("zakony",),
+}
 # ---- end of fixed values ----
 
 
@@ -120,9 +131,10 @@ def first_sources(rows: DataFrame, key: str, source: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), source).alias("r")).select(key, "r.*")
 
 
-def gated(sources: Sequence[str], requested: Sequence[str] | None) -> list[str]:
-    """The sources to ask: all without a request, else those that serve a requested type."""
-    return [s for s in sources if requested is None or s in requested]
+def gated(requested: Sequence[str] | None, sources: Mapping[str, Sequence[str]] | None = None) -> list[str]:
+    """The sources to ask, in order: all without a request (None), else those that serve a requested type; unknown types open none."""
+    known = SOURCES_OF if sources is None else sources
+    return [name for kind, names in known.items() if requested is None or kind in requested for name in names]
 
 
 def needs_clarification(hits: DataFrame, question: str, *, special: Sequence[str], forced: bool = False, doc_types: Sequence[str] | None = None, words: int = 10, top: int = 6, over: float = 0.3) -> DataFrame:

@@ -31,22 +31,50 @@ def running_fill(items: DataFrame, size: Column, *order: Column | str, budget: i
     return prefix.running(items, size, *order, group=group, name="__before").withColumn("shard", F.floor(F.col("__before") / budget).cast("bigint")).drop("__before")
 
 
+class Rooms:
+    """Free room of shards, and the first that has enough: a tree of largest rooms, so that both take the depth of the tree."""
+
+    def __init__(self, budgets: Sequence[int]):
+        self.width = 1 << max(0, (len(budgets) - 1).bit_length())
+        self.most = [-1] * (2 * self.width)
+        self.most[self.width : self.width + len(budgets)] = budgets
+        for k in range(self.width - 1, 0, -1):
+            self.most[k] = max(self.most[2 * k], self.most[2 * k + 1])
+
+    def take(self, size: int | None) -> int:
+        """The number of the first shard with room for it, which has less then; -1 if none has, or the size is unknown."""
+        if size is None or self.most[1] < size:
+            return -1
+        k = 1
+        while k < self.width:
+            k = 2 * k if self.most[2 * k] >= size else 2 * k + 1
+        found = k - self.width
+        self.most[k] -= size
+        while k > 1:
+            k //= 2
+            self.most[k] = max(self.most[2 * k], self.most[2 * k + 1])
+        return found
+
+
 def greedy_fill(items: DataFrame, size: str, order: str, budgets: Sequence[int], group: str = "batch") -> DataFrame:
-    """First shard with room for each item, in order, within each group; -1 if none has. Groups fit a task (a day's batch)."""
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        room = list(budgets)
-        found = []
-        for n in rows[size]:
-            shard = next((k for k, left in enumerate(room) if left >= n), -1)
-            if shard >= 0:
-                room[shard] -= n
-            found.append(shard)
-        return rows.assign(shard=found)
+    """First shard with room for each item, in order, within each group; -1 if none has, or its size is null.
 
+    What an item gets depends on all before it, so a group is one task's; its rows stream through in order, sorted by Spark, and
+    no more of them is held than a batch and the rooms that are left.
+    """
     schema = T.StructType([*items.schema.fields, T.StructField("shard", T.LongType())])
-    return items.groupBy(group).applyInPandas(fill, schema)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rooms, now = None, None
+        for batch in batches:
+            found = []
+            for key, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if rooms is None or key != now:
+                    rooms, now = Rooms(budgets), key
+                found.append(rooms.take(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*batch.schema.names, "shard"])
+
+    return items.repartition(group).sortWithinPartitions(group, order).mapInArrow(fill, schema)
 
 
 def prioritised(rows: DataFrame, laws: DataFrame, *keys: str, current: str = "is_current") -> DataFrame:

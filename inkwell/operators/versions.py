@@ -34,14 +34,14 @@ def classified(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame
     return new.join(known, key, "left").select(key, outcome.alias("outcome"))
 
 
-def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str, *, content_counts: DataFrame | None = None, known_only: bool = False, told_apart: bool = False) -> DataFrame:
+def rolled(live: DataFrame, new: DataFrame, key: str, version: str, today: str, *, content_counts: DataFrame | None = None, known_only: bool = False, told_apart: bool = True) -> DataFrame:
     """Next snapshot of live rows (key, version, valid_from, valid_until, is_current, status, superseded_by).
 
     A row whose version changes is archived as it was (its key gets the version's last 40 characters) and a live row with
     the new version begins; equal versions stay; unknown keys are added. new: (key, version, valid_from). content_counts
     (key, n): new versions without content don't replace anything. known_only: a row without a version isn't archived, its
-    new version just takes its place. Keys of archived rows are those of mappings.archive_key(); told_apart: rows without
-    a version get a digest of their values in it, so that two of one key don't clash.
+    new version just takes its place. Keys of archived rows are those of mappings.archive_key(); rows without a version
+    get a digest of their values in it, so that two of one key don't clash (told_apart=False: nothing, and they do).
     """
     usable = new if content_counts is None else new.join(content_counts.filter("n > 0").select(key), key, "left_semi")
     day = F.to_date(F.lit(today))
@@ -107,25 +107,12 @@ def ancestors(rows: DataFrame, path: str) -> DataFrame:
     return different.select("__path", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))).alias("ancestor"))
 
 
-def section_chunks(nodes: DataFrame, fragments: DataFrame, most: int | None = 3000) -> DataFrame:
-    """A chunk for each section node: the texts at or below it, in order, joined by spaces; empty sections leave gaps in the index.
-
-    Of a document's sections the first `most` are taken, the others are left out (None: all).
-
-    nodes: document_id, path, heading, ord; fragments: path, ord, text.
-    """
-    order = Window.partitionBy("document_id").orderBy("ord", "path")
-    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.lit(True) if most is None else F.col("chunk_index") < most)
-    spread = ancestors(fragments, "path").join(fragments, F.col("__path") == F.col("path")).select("ancestor", F.col("ord").alias("fragment_ord"), "text").filter("trim(text) <> ''")
-    joined = numbered.join(spread, F.col("path") == F.col("ancestor"))
-    texts = F.array_sort(F.collect_list(F.struct("fragment_ord", "text")))
-    return joined.groupBy("document_id", "chunk_index", "heading").agg(F.array_join(F.transform(texts, lambda x: F.trim(x["text"])), " ").alias("content"))
-
-
 def section_parts(nodes: DataFrame, fragments: DataFrame, most: int | None = 3000, part_chars: int = 1 << 20, span: int = 1024) -> DataFrame:
-    """The chunks of section_chunks in parts of about part_chars characters: no row holds more than that and one fragment.
+    """For each section node the texts at or below it, in order, joined by spaces, in parts of about part_chars characters: no
+    row holds more than that and one fragment. Empty sections leave gaps in chunk_index.
 
-    Parts in the order of `part`, joined by spaces, are the content; numbers may be missing where a fragment is longer than
+    nodes: document_id, path, heading, ord; fragments: path, ord, text. Of a document's sections the first `most` are taken, the
+    others are left out (None: all). Parts in the order of `part`, joined by spaces, are the content; numbers may be missing where a fragment is longer than
     a part. ord of fragments is a whole number: a fragment's place is a sum over ranges of `span` numbers and one within
     its range, so that one large section is not one task.
     """

@@ -11,7 +11,7 @@ from inkwell.operators.prefix import work_folder
 from inkwell.operators.store import Store
 from inkwell.plans.registry import query
 from inkwell.plans.retrieval_queries import SIMILARITY, asked_vector
-from inkwell.plans.text_queries import HTML_TEXT, TRIM, packed_sql
+from inkwell.plans.text_queries import HTML_TEXT, STEMS_SQL, TRIM, packed_sql
 from inkwell.session import table
 from inkwell.sources import files, pages
 from inkwell.streaming import usage
@@ -76,9 +76,9 @@ def title_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.guessed_title("text", F.lit("bez názvu")).alias("title"))
 
 
-@query("letter_spacing", r"""with w as (select doc_id, list_filter(regexp_split_to_array(trim(left(text, 40) || ' a b c ' || doc_id::varchar), '\s+'), lambda t: t <> '') as ts from documents) select doc_id, len(ts) >= 3 and 2 * len(list_filter(ts, lambda t: length(t) = 1)) > len(ts) as spaced from w""")
+@query("letter_spacing", r"""with w as (select doc_id, list_filter(regexp_split_to_array(trim(text || ' a b c ' || doc_id::varchar), '\s+'), lambda t: t <> '') as ts from documents) select doc_id, len(ts) >= 3 and 2 * len(list_filter(ts, lambda t: length(t) = 1)) > len(ts) as spaced from w""")
 def letter_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.substring("text", 1, 40), F.lit(" a b c "), F.col("doc_id").cast("string"))
+    line = F.concat("text", F.lit(" a b c "), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", text.is_letter_spaced(line).alias("spaced"))
 
 
@@ -302,11 +302,15 @@ def standard_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.standards(spark, path).select("key", "chunk_index", "heading", "content")
 
 
-@query("values_load", "select document_id, chunk_index, heading, content from (values ('IAS2', 0, null, 'a''b (x); y'), ('IAS2', 1, 'Scope', 'c'), ('IFRS9', 0, 'h, i', 'd')) t(document_id, chunk_index, heading, content)")
+@query("values_load", "select doc_id::varchar as document_id, 0 as chunk_index, null::varchar as heading, coalesce(text, '') as content from documents union all select doc_id::varchar, 1, 'h, i ' || coalesce(source, ''), 'a''b (' || doc_id::varchar || '); y' from documents")
 def values_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of an INSERT statement's VALUES, quotes and brackets in texts included."""
-    statement = "insert into chunks (document_id, chunk_index, heading, content) values\n('IAS2', 0, null, 'a''b (x); y'),\n('IAS2', 1, 'Scope', 'c'),\n ('IFRS9', 0, 'h, i', 'd');"
-    return files.sql_values(spark, spark.createDataFrame([(statement,)], "value string"), "document_id string, chunk_index int, heading string, content string")
+    """Rows of INSERT statements' VALUES, one statement for each document; quotes, commas and brackets in whole texts included."""
+    key, quoted = F.col("doc_id").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit("'"), F.lit("''"))
+    statement = F.concat(
+        F.lit("insert into chunks (document_id, chunk_index, heading, content) values\n('"), key, F.lit("', 0, null, '"), quoted, F.lit("'),\n ('"), key, F.lit("', 1, 'h, i "),
+        F.coalesce("source", F.lit("")), F.lit("', 'a''b ("), key, F.lit("); y');"),
+    )
+    return files.sql_values(spark, table(spark, sf_dir, "documents").select(statement.alias("value")), "document_id string, chunk_index int, heading string, content string")
 
 
 @query("legacy_text", "select o_orderkey, 'žluť č. ' || o_orderkey::varchar as t from orders")
@@ -460,11 +464,17 @@ def sharded_topk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", "shard", "rank_in_source", F.round("similarity", 6).alias("similarity"))
 
 
-@query("gated_sources", f"with {_TYPED} select doc_type, count(*) as n from t where doc_type in ('judikat', 'zakon') group by 1")
+@query(
+    "gated_sources",
+    f"""with {_TYPED}, g as (select *, case doc_type when 'judikat' then ['ns', 'judikaty'] when 'rozhodnuti_uohs' then ['uohs'] when 'metodika' then ['metodiky', 'fs', 'celni', 'mv', 'eru', 'mmr', 'uoou'] else ['zakony'] end as served from t),
+    o as (select doc_type, unnest(served) as source from g) select source, count(*) as n from o where doc_type in ('judikat', 'metodika') group by 1""",
+)
 def gated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only sources that serve a requested type are asked."""
-    open_ = retrieval.gated(("judikat", "rozhodnuti_uohs", "metodika", "zakon"), ["zakon", "judikat", "unknown"])
-    return _hits(spark, sf_dir).filter(F.col("doc_type").isin(*open_)).groupBy("doc_type").agg(F.count("*").alias("n"))
+    """Only the sources that serve a requested type are asked; a type may open several."""
+    open_ = retrieval.gated(["metodika", "judikat", "unknown"])
+    served = F.create_map(*[x for kind, names in retrieval.SOURCES_OF.items() for x in (F.lit(kind), F.array(*[F.lit(n) for n in names]))])
+    rows = _hits(spark, sf_dir).select(F.explode(F.try_element_at(served, F.col("doc_type"))).alias("source"))
+    return rows.filter(F.col("source").isin(*open_)).groupBy("source").agg(F.count("*").alias("n"))
 
 
 _ACT = "d as (select o_orderkey as id, (o_custkey % 40)::varchar || '/' || (1990 + o_custkey % 7)::varchar || ' Sb.' as external_id, o_orderpriority as title, o_orderstatus <> 'F' as is_current from orders)"
@@ -594,9 +604,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.date_format("begun", "yyyy-MM-dd HH:mm:ss").alias("begun"), F.date_format("ended", "yyyy-MM-dd HH:mm:ss").alias("ended"), "n")
 
 
-@query("search_texts", r"""select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), lambda x: x <> ''))::bigint as n, true as none_longer from documents""")
+@query("search_texts", f"""with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '{text.WORD_BREAKS}'), lambda x: x <> '') as ws from documents) select doc_id, array_to_string({STEMS_SQL.format("ws")}, ' ') as search_text from d""")
 def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many stems as words, joined by spaces, none longer than its word by more than a letter."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w"), text.search_text("text").alias("s"))
-    stems = F.filter(F.split("s", " "), lambda x: x != "")
-    return rows.select("doc_id", F.size(F.filter(F.split("s", " "), lambda x: x != "")).cast("bigint").alias("n"), F.forall(F.zip_with("w", stems, lambda a, b: F.length(b) <= F.length(a) + 1), lambda x: F.coalesce(x, F.lit(True))).alias("none_longer"))
+    """The stems of all words of whole texts, in order."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.search_text("text").alias("search_text"))

@@ -1,13 +1,15 @@
-"""Vector cells, functions that SQL calls, streamed lists and keyed streams, as queries."""
+"""Vector cells, functions that SQL calls, streamed lists, keyed streams, fills, backfills and court pages, as queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import tables
+from inkwell.functions import tables, text
+from inkwell.operators import changes, upkeep
 from inkwell.operators.cells import Cells
 from inkwell.operators.prefix import work_folder
+from inkwell.operators.store import Store
 from inkwell.plans import retrieval_queries, text_queries
 from inkwell.plans.registry import oracle_of, query
 from inkwell.session import table
@@ -143,3 +145,60 @@ def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage.worked_off(stateful.decided(stream, 10, late="60 days"), lambda df, n: df.write.mode("append").parquet(f"{work}/out"), f"{work}/check")
     stateful.set_back(spark, before)
     return spark.read.schema("event_id bigint, in_window bigint, allowed boolean").parquet(f"{work}/out").filter("event_id >= 0")
+
+
+@query(
+    "greedy_fill_whole",
+    """with recursive r as (select o_orderkey, trunc(o_totalprice)::bigint as bytes, row_number() over (order by o_orderkey) as n from orders),
+    g as (select 0::bigint as n, 90000000::bigint as a, 20000000::bigint as b, 500000::bigint as c, null::bigint as o_orderkey, -1 as shard, 0::bigint as bytes union all
+      select r.n, case when g.a >= r.bytes then g.a - r.bytes else g.a end, case when g.a < r.bytes and g.b >= r.bytes then g.b - r.bytes else g.b end, case when g.a < r.bytes and g.b < r.bytes and g.c >= r.bytes then g.c - r.bytes else g.c end,
+        r.o_orderkey, case when g.a >= r.bytes then 0 when g.b >= r.bytes then 1 when g.c >= r.bytes then 2 else -1 end, r.bytes from g join r on r.n = g.n + 1)
+    select o_orderkey, bytes, shard::bigint as shard from g where n > 0""",
+)
+def greedy_fill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as one group: they stream through the rooms that are left."""
+    rows = table(spark, sf_dir, "orders").select(F.lit(1).alias("batch"), "o_orderkey", F.col("o_totalprice").cast("bigint").alias("bytes"))
+    return upkeep.greedy_fill(rows, "bytes", "o_orderkey", [90_000_000, 20_000_000, 500_000]).drop("batch")
+
+
+@query(
+    "backfilled_chunks",
+    """with d as (select o_orderkey as id from orders where o_orderstatus = 'F' and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'A')),
+    n as (select l_orderkey as document_id, l_linestatus as heading, row_number() over (partition by l_orderkey order by l_linestatus) - 1 as chunk_index from (select distinct l_orderkey, l_linestatus from lineitem where l_orderkey in (select id from d))),
+    made as (select n.document_id, n.chunk_index::int as chunk_index, n.heading, string_agg(l_returnflag || l_linenumber::varchar, ' ' order by l_linenumber, l_returnflag) as content from n join lineitem l on l.l_orderkey = n.document_id and l.l_linestatus = n.heading group by all)
+    select * from made union all select l_orderkey, l_linenumber::int, l_linestatus, 'had' from lineitem where l_returnflag = 'A'""",
+)
+def backfilled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historical documents without chunks get those of their sections, written into the stored table of chunks; twice, which changes nothing."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_linestatus", "l_returnflag")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "F").alias("is_current"))
+    path = lambda *parts: F.concat_ws("/", F.lit("o"), *[F.col(p).cast("string") for p in parts])
+    nodes = lines.select(F.col("l_orderkey").alias("document_id"), path("l_orderkey", "l_linestatus").alias("path"), F.col("l_linestatus").alias("heading"), F.col("l_linestatus").alias("ord")).distinct()
+    fragments = lines.select(path("l_orderkey", "l_linestatus", "l_linenumber").alias("path"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    had = lines.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_linestatus").alias("heading"), F.lit("had").alias("content"))
+    store = Store.created(had, f"{work_folder(spark)}/chunks", "document_id", 64)
+    for _ in range(2):
+        made = changes.backfilled(docs, store.rows(), nodes, fragments).select("document_id", "chunk_index", "heading", "content")
+        store.changed(lambda old, made=made: old.unionByName(made), made)
+    return store.rows()
+
+
+_PAGE = "'<h1>x</h1><table>' || case when page_id % 3 <> 0 then '<tr><td>Spisova znacka</td> <td> ' || page_id::varchar || '/20 </td></tr>' else '' end || '<tr><td>Navrhovatel</td><td></td></tr><tr><td>Vyznam</td><td>' || url || '</td></tr></table>' || case when page_id % 7 <> 0 then 'Text dokumentu' else '' end || case when page_id % 5 = 0 then 'Vytah z dokumentu neni k dispozici' else '' end || coalesce(html, '') || case when page_id % 2 = 0 then 'Ustavni soud, Jostova 8 <b>after</b>' else '' end"
+_FIELD_SQL = ", ".join(f"nullif(regexp_replace(regexp_extract(head, '{label}\\s*([^\\n]*)', 1), '^\\s+|\\s+$', '', 'g'), '') as {name}" for name, label in text.COURT_FIELDS.items())
+
+
+@query(
+    "court_fields",
+    rf"""with p as (select page_id, {_PAGE} as page from pages), h as (select page_id, regexp_replace(left(page, strpos(page, '{text.COURT_TEXT}') - 1), '<[^>]+>', chr(10), 'g') as head, split_part(substring(page, strpos(page, '{text.COURT_TEXT}') + {len(text.COURT_TEXT)}), '{text.COURT_END}', 1) as tail from p where contains(page, '{text.COURT_TEXT}')),
+    b as (select page_id, {_FIELD_SQL}, regexp_replace(regexp_replace(regexp_replace(regexp_replace(tail, '<[^>]+>', ' ', 'g'), '\s+\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') as body from h)
+    select * from b where body <> '' and not contains(body, '{text.COURT_NO_TEXT}')""",
+)
+def court_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirteen fields and the text of court pages, made around the given pages."""
+    k = F.col("page_id")
+    page = F.concat(
+        F.lit("<h1>x</h1><table>"), F.when(k % 3 != 0, F.concat(F.lit("<tr><td>Spisova znacka</td> <td> "), k.cast("string"), F.lit("/20 </td></tr>"))).otherwise(""),
+        F.lit("<tr><td>Navrhovatel</td><td></td></tr><tr><td>Vyznam</td><td>"), F.col("url"), F.lit("</td></tr></table>"), F.when(k % 7 != 0, text.COURT_TEXT).otherwise(""),
+        F.when(k % 5 == 0, text.COURT_NO_TEXT).otherwise(""), F.coalesce("html", F.lit("")), F.when(k % 2 == 0, F.lit(f"{text.COURT_END} <b>after</b>")).otherwise(""),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", text.court_page(page).alias("c")).filter("c is not null").select("page_id", "c.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text, vector
 from inkwell.operators import retrieval, versions
+from inkwell.plans import text_queries
 from inkwell.plans.registry import query
 from inkwell.session import table
 
@@ -149,12 +150,12 @@ def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hydrated_content",
-    "select doc_id, case when doc_id % 3 = 0 then sha256(text) else substring(text, 1, 50) end as content from documents",
+    "select doc_id, case when doc_id % 3 = 0 then sha256(text) else text end as content from documents",
 )
 def hydrated_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     moved = F.col("doc_id") % 3 == 0
-    chunks = docs.select(F.col("doc_id").alias("id"), F.when(moved, F.lit("")).otherwise(F.substring("text", 1, 50)).alias("content"))
+    chunks = docs.select(F.col("doc_id").alias("id"), F.when(moved, F.lit("")).otherwise(F.col("text")).alias("content"))
     stored = docs.filter(moved).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content"))
     return retrieval.hydrated(chunks, stored).select(F.col("id").alias("doc_id"), "content")
 
@@ -206,14 +207,22 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"), "cited").select("doc_id", "n", F.array_contains("cited", F.col("n")).alias("cited"))
 
 
+_QUESTION, _QUESTION_SQL = text_queries.said("účtování podle IFRS", "lhůty pro odvolání", "sazba DPH a kartel", "nájem bytu č. #", "ochrana osobních údajů, GDPR", None)
+_TYPES = (*retrieval.DOMAIN_HINTS, "zakon", "judikat")
+#: What a domain's pattern says with look-arounds, in words that DuckDB has.
+_HINT_SQL = " ".join(f"when t = '{name}' and not coalesce(regexp_matches(s, '{text_queries.re2_words(pattern)}'), false) then 0.8 * {retrieval.DOWN_WEIGHT}" for name, pattern in retrieval.DOMAIN_HINTS.items())
+
+
 @query(
     "domain_weights",
-    """with q(k, s, t) as (values (1, 'účtování podle IFRS', 'metodika_ifrs'), (2, 'lhůty pro odvolání', 'metodika_ifrs'), (3, 'sazba DPH', 'metodika_fs'), (4, 'nájem bytu', 'zakon'), (5, 'ochrana osobních údajů', 'metodika_uoou'))
-    select k, case when k in (2, 5) then 0.55 * 0.8 else 0.8 end as score from q""",
+    f"""with q as (select doc_id, {_QUESTION_SQL} as s, [{", ".join(f"'{t}'" for t in _TYPES)}][(doc_id // 6) % {len(_TYPES)} + 1] as t from documents)
+    select doc_id, t as doc_type, case when s is null and t not in ('zakon', 'judikat') then 0.8::double {_HINT_SQL} else 0.8 end as score from q""",
 )
 def domain_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "účtování podle IFRS", "metodika_ifrs"), (2, "lhůty pro odvolání", "metodika_ifrs"), (3, "sazba DPH", "metodika_fs"), (4, "nájem bytu", "zakon"), (5, "ochrana osobních údajů", "metodika_uoou")], "k int, s string, t string")
-    return rows.select("k", retrieval.weighted(F.lit(0.8), F.col("t"), F.col("s")).alias("score"))
+    """Weights of hits by type and by what a question names: sentences before whole texts stand for questions."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.floor(F.col("doc_id") / 6) % len(_TYPES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _QUESTION().alias("s"), kind.alias("doc_type"))
+    return rows.select("doc_id", "doc_type", retrieval.weighted(F.lit(0.8), F.col("doc_type"), F.col("s")).alias("score"))
 
 
 @query(
@@ -229,23 +238,27 @@ def prefix_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.predecessors(rows, known).select("doc_id", F.col("of").alias("version"))
 
 
-@query(
-    "descendant_text",
-    """with n as (select 1 as document_id, 'a/' || source as path, source as heading, row_number() over (order by source) as ord from (select distinct source from documents)),
-    f as (select doc_id as ord, 'a/' || source || '/' || doc_id as path, left(text, 20) as text from documents)
-    select n.document_id, (n.ord - 1)::int as chunk_index, n.heading, string_agg(trim(f.text), ' ' order by f.ord) as content from n join f on f.path = n.path or starts_with(f.path, n.path || '/') group by all""",
-)
-def descendant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    nodes = docs.select(F.lit(1).alias("document_id"), F.concat(F.lit("a/"), "source").alias("path"), F.col("source").alias("heading"), F.col("source").alias("ord")).distinct()
-    fragments = docs.select(F.concat_ws("/", F.lit("a"), "source", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"), F.substring("text", 1, 20).alias("text"))
-    return versions.section_chunks(nodes, fragments)
+def _section_sql(part_chars: int) -> str:
+    return f"""with n as (select 1 as document_id, 'a/' || source as path, source as heading, row_number() over (order by source) as ord from (select distinct source from documents)),
+    f as (select doc_id as ord, 'a/' || source || '/' || doc_id as path, trim(text) as text from documents where trim(text) <> ''),
+    j as (select n.document_id, (n.ord - 1)::int as chunk_index, n.heading, f.ord, f.path, f.text, sum(length(f.text) + 1) over (partition by n.ord order by f.ord, f.path rows unbounded preceding) - length(f.text) - 1 as before from n join f on f.path = n.path or starts_with(f.path, n.path || '/'))
+    select document_id, chunk_index, heading, floor(before / {part_chars})::bigint as part, string_agg(text, ' ' order by ord, path) as content from j group by all"""
 
 
-@query("descendant_text_whole")
-def descendant_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """descendant_text over whole texts, in parts of bounded size."""
+def _sections(spark: SparkSession, sf_dir: str, part_chars: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     nodes = docs.select(F.lit(1).alias("document_id"), F.concat(F.lit("a/"), "source").alias("path"), F.col("source").alias("heading"), F.col("source").alias("ord")).distinct()
     fragments = docs.select(F.concat_ws("/", F.lit("a"), "source", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"), "text")
-    return versions.section_parts(nodes, fragments)
+    return versions.section_parts(nodes, fragments, part_chars=part_chars)
+
+
+@query("descendant_text", _section_sql(4000))
+def descendant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts below each section in small parts."""
+    return _sections(spark, sf_dir, 4000)
+
+
+@query("descendant_text_whole", _section_sql(1 << 20))
+def descendant_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts below each section in parts of bounded size."""
+    return _sections(spark, sf_dir, 1 << 20)

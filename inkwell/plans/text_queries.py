@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import chunking, dates, text
@@ -10,15 +13,21 @@ from inkwell.plans.registry import query
 from inkwell.session import table
 
 
-def _values(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+def said(*snippets: str | None, by: int = 1) -> tuple[Callable[[], Column], str]:
+    """A snippet for each document, in turn (`by` documents each), with a number of its own for #, before its whole text: what makes the Column, and SQL."""
+
+    def column() -> Column:
+        k = F.floor(F.col("doc_id") / by).cast("bigint")
+        one = F.element_at(F.array(*[F.lit(x) for x in snippets]), (k % len(snippets) + 1).cast("int"))
+        return F.concat(F.replace(one, F.lit("#"), (F.col("doc_id") % 28 + 1).cast("string")), F.lit("\n"), F.coalesce("text", F.lit("")))
 
+    listed = ", ".join("null" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in snippets)
+    return column, f"(replace([{listed}][(doc_id // {by}) % {len(snippets)} + 1], '#', (doc_id % 28 + 1)::varchar) || chr(10) || coalesce(text, ''))"
 
-def _sql_values(name: str, columns: str, *rows: tuple) -> str:
-    def literal(x) -> str:
-        return "null" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
-    return f"with {name}({columns}) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
+def re2(pattern: str) -> str:
+    """A marked pattern as DuckDB reads it: letters have no case there without a flag for it."""
+    return pattern.replace("(?iu)", "(?i)")
 
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -30,6 +39,13 @@ for _entity, _character in text.ENTITIES:
     _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_character.replace(chr(39), chr(39) * 2)}')"
 
 
+def re2_words(pattern: str) -> str:
+    """re2() of a pattern with word edges: letters beyond ASCII are none to DuckDB, so edges are said with what stands there."""
+    plain = pattern.replace(r"(?<![\p{L}\p{N}])", r"(?:^|[^\p{L}\p{N}])").replace(r"(?![\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)")
+    parts = [re.sub(r"^\\b|\\b$", lambda m: r"(?:^|[^\p{L}\p{N}_])" if m.start() == 0 else r"(?:[^\p{L}\p{N}_]|$)", x) for x in plain.split("|")]
+    return "(?i)" + "|".join(parts)
+
+
 @query("html_strip", r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as content from pages")
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.stripped_tags("html").alias("content"))
@@ -89,60 +105,60 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).filter("copies > 1").select("doc_id", "content_hash", "copies")
 
 
-_CITED = (("x", "podle 89/2012 Sb., § 12a a § 3"), ("y", "zákon č. 262 / 2006, paragraf 52"), ("z", "bez citace"), ("n", None), ("p", "§ 5 a paragraf 5, § 10b"))
+_CITED, _CITED_SQL = said("podle #/2012 Sb., § #a a § 3", "zákon č. 262 / 20#, paragraf 5#", "bez citace", None, "§ # a paragraf #, § 10b", "č. 1234/1999 a #/2001")
 
 
 @query(
     "citation_parse",
-    _sql_values("q", "k, s", *_CITED)
-    + r""" select k, try_cast(nullif(regexp_extract(s, '(\d{1,4})\s*/\s*(\d{4})', 1), '') as int) as number, try_cast(nullif(regexp_extract(s, '(\d{1,4})\s*/\s*(\d{4})', 2), '') as int) as year from q""",
+    f"with q as (select doc_id, {_CITED_SQL} as s from documents) select doc_id, try_cast(nullif(regexp_extract(s, '{text.CITATION}', 1), '') as int) as number, try_cast(nullif(regexp_extract(s, '{text.CITATION}', 2), '') as int) as year from q",
 )
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "k string, s string", *_CITED).select("k", text.citation("s").alias("c")).select("k", "c.number", "c.year")
+    """The first citation in whole texts, before which sentences with and without one were put."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.citation(_CITED()).alias("c")).select("doc_id", "c.number", "c.year")
 
 
 @query(
     "paragraph_parse",
-    _sql_values("q", "k, s", *_CITED)
-    + r""" , m as (select k, generate_subscripts(regexp_extract_all(s, '(?i)(?:§|paragraf)\s*(\d+[a-z]?)', 1), 1) as i, unnest(regexp_extract_all(s, '(?i)(?:§|paragraf)\s*(\d+[a-z]?)', 1)) as p from q),
-    d as (select k, p, min(i) as i from m group by k, p)
-    select q.k, coalesce((select string_agg(p, ',' order by i) from d where d.k = q.k), '') as paragraphs from q""",
+    f"""with q as (select doc_id, {_CITED_SQL} as s from documents), m as (select doc_id, generate_subscripts(regexp_extract_all(s, '{re2(text.PARAGRAPH)}', 1), 1) as i, unnest(regexp_extract_all(s, '{re2(text.PARAGRAPH)}', 1)) as p from q),
+    d as (select doc_id, p, min(i) as i from m group by 1, 2), j as (select doc_id, string_agg(p, ',' order by i) as ps from d group by 1)
+    select doc_id, coalesce(ps, '') as paragraphs from q left join j using (doc_id)""",
 )
 def paragraph_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "k string, s string", *_CITED).select("k", F.coalesce(F.array_join(text.paragraphs("s"), ","), F.lit("")).alias("paragraphs"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.array_join(text.paragraphs(_CITED()), ","), F.lit("")).alias("paragraphs"))
 
 
-_ASKED = (("a", "stav k 1. 3. 2020"), ("b", "v roce 2019"), ("c", "bez data"), ("d", "89/2012 platný roku 2015"), ("e", "31. 2. 2021"), ("f", "za rok 2018 podle 262/2006"), ("n", None))
+_ASKED, _ASKED_SQL = said("stav k #. 3. 2020", "v roce 2019", "bez data", "#/2012 platný roku 2015", "31. 2. 2021", "za rok 20# podle 262/2006", None)
+_DAY = "case when x.y <> '' then x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') else yy || '-12-31' end"
 
 
 @query(
     "asof_parse",
-    _sql_values("q", "k, s", *_ASKED)
-    + r""", m as (select k, replace(s, nullif(regexp_extract(s, '(\d{1,4})\s*/\s*(\d{4})', 0), ''), '') as a, s from q), t as (select k, coalesce(a, s) as s from m),
-    p as (select k, s, regexp_extract(s, '(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})', ['d', 'm', 'y']) as x, nullif(regexp_extract(s, '(?i)(?:v\s+roce|roku|za\s+rok)\s+(\d{4})', 1), '') as yy from t)
-    select k, case when x.y <> '' then x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') else yy || '-12-31' end as as_of,
-      cast(try_cast(case when x.y <> '' then x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') else yy || '-12-31' end as date) as varchar) as day from p""",
+    f"""with q as (select doc_id, {_ASKED_SQL} as s from documents), m as (select doc_id, s, regexp_extract(s, '{text.CITATION}', 0) as c from q),
+    t as (select doc_id, case when c = '' then s else substring(s, 1, strpos(s, c) - 1) || substring(s, strpos(s, c) + length(c)) end as s from m),
+    p as (select doc_id, s, regexp_extract(s, '{dates.NUMERIC_DATE}', ['d', 'm', 'y']) as x, nullif(regexp_extract(s, '{dates.YEAR_CONTEXT}', 1), '') as yy from t)
+    select doc_id, {_DAY} as as_of, cast(try_cast({_DAY} as date) as varchar) as day from p""",
 )
 def asof_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _values(spark, "k string, s string", *_ASKED).select("k", dates.asked_date("s", text.CITATION).alias("as_of"))
-    return asked.select("k", "as_of", F.try_to_date("as_of", "yyyy-MM-dd").cast("string").alias("day"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", dates.asked_date(_ASKED(), text.CITATION).alias("as_of"))
+    return asked.select("doc_id", "as_of", F.try_to_date("as_of", "yyyy-MM-dd").cast("string").alias("day"))
 
 
-_DATED = (("a", "5. ledna 2020", "Vol-5/79"), ("b", "31. února 2020", "3/80"), ("c", "12. září 2021", "S12/2016/VZ"), ("d", "1. 2. 2003", "bez"), ("e", None, None))
+_DATED, _DATED_SQL = said("#. ledna 2020", "31. února 2020", "#. září 2021", "#. 2. 2003", "#. Prosince 1999", None)
+_CASED, _CASED_SQL = said("Vol-5/79", "#/80", "S#/2016/VZ", "bez", "x/0#", by=6)
+_MONTH = "list_position([" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "], x.m)"
 
 
 @query(
     "date_parse",
-    _sql_values("q", "k, s, c", *_DATED)
-    + r""", p as (select k, regexp_extract(translate(lower(s), 'áčďéěíňóřšťúůýž', 'acdeeinorstuuyz'), '(\d{1,2})\.\s*([a-z]+)\s+(\d{4})', ['d', 'm', 'y']) as x, nullif(regexp_extract(s, '(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})', 0), '') as num,
-      nullif(regexp_extract(c, '/(\d{4})(?:\W|$)', 1), '') as y4, try_cast(nullif(regexp_extract(c, '/(\d{2})(?:\W|$)', 1), '') as int) as y2, s from q),
-    m as (select *, list_position(['ledna','unora','brezna','dubna','kvetna','cervna','cervence','srpna','zari','rijna','listopadu','prosince'], x.m) as mm from p)
-    select k, cast(case when mm > 0 then try_cast(x.y || '-' || lpad(mm::varchar, 2, '0') || '-' || lpad(x.d, 2, '0') as date) end as varchar) as named, num is not null as numeric,
-      coalesce(try_cast(y4 as int), case when y2 <= 79 then 2000 + y2 else 1900 + y2 end) as case_year from m""",
+    rf"""with q as (select doc_id, {_DATED_SQL} as s, split_part({_CASED_SQL}, chr(10), 1) as c from documents),
+    p as (select doc_id, regexp_extract(translate(lower(s), 'áčďéěíňóřšťúůýž', 'acdeeinorstuuyz'), '(\d{{1,2}})\.\s*([a-z]+)\s+(\d{{4}})', ['d', 'm', 'y']) as x, nullif(regexp_extract(s, '{dates.NUMERIC_DATE}', 0), '') as num,
+      nullif(regexp_extract(c, '/(\d{{4}})(?:\W|$)', 1), '') as y4, try_cast(nullif(regexp_extract(c, '/(\d{{2}})(?:\W|$)', 1), '') as int) as y2 from q)
+    select doc_id, cast(case when {_MONTH} > 0 then try_cast(x.y || '-' || lpad({_MONTH}::varchar, 2, '0') || '-' || lpad(x.d, 2, '0') as date) end as varchar) as named, num is not null as numeric,
+      coalesce(try_cast(y4 as int), case when y2 <= 79 then 2000 + y2 else 1900 + y2 end) as case_year from p""",
 )
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, "k string, s string, c string", *_DATED)
-    return rows.select("k", dates.named_date("s").cast("string").alias("named"), dates.numeric_iso("s").isNotNull().alias("numeric"), dates.case_year("c").alias("case_year"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _DATED().alias("s"), F.substring_index(_CASED(), "\n", 1).alias("c"))
+    return rows.select("doc_id", dates.named_date("s").cast("string").alias("named"), dates.numeric_iso("s").isNotNull().alias("numeric"), dates.case_year("c").alias("case_year"))
 
 
 def _stem_sql(word: str) -> str:
@@ -153,6 +169,20 @@ def _stem_sql(word: str) -> str:
     return out + f" else {word} end"
 
 
+def _stems_sql() -> str:
+    """The stems of a list of words, as nested list functions with {} for the list."""
+    ends = """case when s = '' then s when right(s, 2) = 'čt' then left(s, length(s) - 2) || 'ck' when right(s, 2) = 'št' then left(s, length(s) - 2) || 'sk'
+      when right(s, 1) in ('c', 'č') then left(s, length(s) - 1) || 'k' when right(s, 1) in ('z', 'ž') then left(s, length(s) - 1) || 'h'
+      when length(s) > 1 and substring(s, length(s) - 1, 1) = 'e' then left(s, length(s) - 2) || right(s, 1)
+      when length(s) > 2 and substring(s, length(s) - 1, 1) = 'ů' then left(s, length(s) - 2) || 'o' || right(s, 1) else s end"""
+    first = f"list_transform({{}}, lambda w: {_stem_sql('w')})"
+    second = f"list_transform({first}, lambda s: case when length(s) > 5 and right(s, 2) in ('ov', 'in', 'ův') then left(s, length(s) - 2) else s end)"
+    return f"list_transform({second}, lambda s: {ends})"
+
+
+STEMS_SQL = _stems_sql()
+
+
 @query(
     "czech_stem",
     f"""with w as (select distinct unnest(list_filter(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), lambda x: x <> '')) as w from documents),
@@ -190,17 +220,18 @@ def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.size("k") > 0).select("doc_id", F.array_join("k", " ").alias("keywords"))
 
 
-_SPACED = (("a", "S o u d n í\nRozhodnutí Nejvyššího soudu o odvolání\nkrátký"), ("b", "krátký\nstřední řádek"), ("c", "a\nb"), ("d", "obsah ....... 12\nVěc: žaloba na plnění"))
+_SPACED, _SPACED_SQL = said("S o u d n í\nRozhodnutí Nejvyššího soudu o odvolání číslo #", "krátký\nstřední řádek", "a\nb", "obsah ....... #\nVěc: žaloba na plnění č. #")
 
 
 @query(
     "title_guess",
-    _sql_values("l", "k, s", *_SPACED) + """, x as (select k, list_transform(string_split(s, chr(10))[1:60], lambda x: trim(x)) as ls from l),
-    f as (select k, ls, list_filter(ls, lambda x: length(x) >= 15 and not contains(x, '...') and not (len(regexp_split_to_array(x, '\\s+')) >= 3 and 2 * len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: length(t) = 1)) > len(regexp_split_to_array(x, '\\s+')))) as fine from x)
-    select k, left(coalesce(nullif(list_reduce(fine, lambda a, b: case when length(b) > length(a) then b else a end, ''), ''), list_filter(ls, lambda x: length(x) >= 8)[1], 'bez názvu'), 200) as title from f""",
+    f"""with l as (select doc_id, {_SPACED_SQL} as s from documents), x as (select doc_id, list_transform(string_split(s, chr(10))[1:60], lambda x: trim(x)) as ls from l),
+    f as (select doc_id, ls, list_filter(ls, lambda x: length(x) >= 15 and not contains(x, '...') and not (len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: t <> '')) >= 3 and 2 * len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: length(t) = 1)) > len(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: t <> '')))) as fine from x)
+    select doc_id, left(coalesce(nullif(list_reduce(fine, lambda a, b: case when length(b) > length(a) then b else a end, ''), ''), list_filter(ls, lambda x: length(x) >= 8)[1], 'bez názvu'), 200) as title from f""",
 )
 def title_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "k string, s string", *_SPACED).select("k", text.guessed_title("s", F.lit("bez názvu")).alias("title"))
+    """The title among letter-spaced, dotted and short lines before whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.guessed_title(_SPACED(), F.lit("bez názvu")).alias("title"))
 
 
 @query(
@@ -253,7 +284,18 @@ def chunks_paragraph_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(docs, chunking.paragraphs_loose("text", 3000), "doc_id")
 
 
-@query("chunks_paragraph_cut")
+@query(
+    "chunks_paragraph_cut",
+    f"""with recursive d as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents where text is not null),
+    a as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {TRIM.format("x")}), lambda x: x <> '') as ps from d)),
+    b as (select doc_id, i, length(p) > 300 as cut, unnest(case when length(p) > 300 then list_transform(range(0, ((length(p) + 299) // 300)::bigint), lambda j: substring(p, j * 300 + 1, 300)) else [p] end) as p, unnest(range(0, case when length(p) > 300 then ((length(p) + 299) // 300)::bigint else 1 end)) as j from a),
+    c as (select doc_id, p, cut, row_number() over (partition by doc_id order by i, j) as n from b),
+    g as (select doc_id, n, p, 0 as grp, case when cut then 0 else length(p) end as size, not cut as open from c where n = 1
+      union all select c.doc_id, c.n, c.p, case when not c.cut and g.open and g.size + length(c.p) <= 300 then g.grp else g.grp + 1 end, case when c.cut then 0 when g.open and g.size + length(c.p) <= 300 then g.size + length(c.p) else length(c.p) end, not c.cut
+      from g join c on c.doc_id = g.doc_id and c.n = g.n + 1)
+    select doc_id, grp as chunk_index, left(string_agg(p, chr(10) || chr(10) order by n), 8000) as content from g group by doc_id, grp
+    union all select doc_id, 0, left(text, 300) from d where doc_id not in (select doc_id from a)""",
+)
 def chunks_paragraph_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_rows(docs, chunking.paragraphs_cut("text", 300), "doc_id")
@@ -279,7 +321,19 @@ def chunks_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, sf_dir, "documents"), chunking.sliding("text", 4000), "doc_id")
 
 
-@query("chunks_hard")
+@query(
+    "chunks_hard",
+    f"""with recursive d as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents where text is not null),
+    a as (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as i from (select doc_id, list_filter(list_transform(regexp_split_to_array({TRIM.format("text")}, '\\n\\s*\\n'), lambda x: {TRIM.format("x")}), lambda x: x <> '') as ps from d)),
+    z as (select doc_id, max(i) as n from a group by 1),
+    g as (select doc_id, 0::bigint as i, '' as open, []::varchar[] as done from z
+      union all select doc_id, i, substring(whole, k * 1000 + 1), list_concat(closed, list_transform(range(0, k), lambda j: {TRIM.format("substring(whole, j * 1000 + 1, 1000)")}))
+      from (select doc_id, i, whole, closed, greatest(0, (length(whole) - 1) // 1000)::bigint as k from (
+        select a.doc_id, a.i, case when g.open <> '' and length(g.open) + 2 + length(a.p) > 1000 then a.p when g.open = '' then a.p else g.open || chr(10) || chr(10) || a.p end as whole,
+          case when g.open <> '' and length(g.open) + 2 + length(a.p) > 1000 then [{TRIM.format("g.open")}] else []::varchar[] end as closed from g join a on a.doc_id = g.doc_id and a.i = g.i + 1))),
+    u as (select doc_id, i, unnest(done) as c, generate_subscripts(done, 1) as j from g union all select g.doc_id, g.i, {TRIM.format("g.open")}, 1000000 from g join z on z.doc_id = g.doc_id and z.n = g.i)
+    select doc_id, (row_number() over (partition by doc_id order by i, j) - 1)::int as chunk_index, left(c, 8000) as content from u where c <> ''""",
+)
 def chunks_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_rows(docs, chunking.blank_line_paragraphs("text", 1000), "doc_id")

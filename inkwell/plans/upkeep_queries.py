@@ -46,7 +46,7 @@ def scd2_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = F.concat(F.lit("v/"), "lang")
     live = docs.filter("doc_id % 4 <> 0").select(key, F.when(d % 6 == 0, None).otherwise(of).alias("version"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_until"), F.lit(True).alias("is_current"), F.lit("platny").alias("status"), F.lit(None).cast("string").alias("superseded_by"))
     new = docs.filter("doc_id % 5 <> 0").select(key, F.when(d % 3 == 0, F.concat(of, F.lit("/2"))).otherwise(of).alias("version"), F.lit(None).cast("date").alias("valid_from"))
-    return versions.rolled(live, new, "id", "version", "2026-01-01").select("id", "version", "is_current", "status", "superseded_by")
+    return versions.rolled(live, new, "id", "version", "2026-01-01", told_apart=False).select("id", "version", "is_current", "status", "superseded_by")
 
 
 @query(

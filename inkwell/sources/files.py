@@ -108,7 +108,7 @@ def sql_values(spark: SparkSession, statements: DataFrame, schema: str, column:
     schema: the columns in their order, as DDL.
     """
     fields = T.StructType.fromDDL(schema)
-    one = r"(?:'(?:[^']|'')*'|[^,()']+)"
+    one = r"(?:'[^']*+(?:''[^']*+)*+'|[^,()']+)"
     row = rf"\(\s*({one}(?:\s*,\s*{one})*)\s*\)"
     body = F.regexp_replace(column, r"(?is)^.*?\bvalues\b", "")
     cells = F.regexp_extract_all("r", F.lit(rf"\s*({one})\s*(?:,|$)"), F.lit(1))
