@@ -35,14 +35,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table of the shared folder, read again with the schema it had.
+def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """df as a Parquet table of the shared folder, read again with the schema it had; in a folder for each value of `by`, if given.
 
     Column names that clash or that Parquet forbids are no matter: operators give their own names here.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    out = df.write.option("compression", codec)
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path  # for dropped()
     return out

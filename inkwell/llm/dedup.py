@@ -1,11 +1,14 @@
 """Exact dedup as a log-structured merge index, in DataFrame operations only.
 
-Rows arrive in batches. A batch is a memtable: its digests are combined (smallest identifier, number of rows) and flushed as
-a run - sorted by digest, with its smallest and largest digest and a filter, a bitmap with about FILTER_BITS bits a digest.
-Before that the batch is looked up in the runs there are: digests outside a run's range or not in its filter need no look;
-a run that no digest of the batch passes is skipped and not read; in the others the candidates are joined. FANOUT runs of a level
-are merged into one of the next, keeping each digest's smallest identifier. Only digests that were hit, or that a batch
-itself holds twice, can be groups; all others keep their own row and are moved no more.
+Rows arrive in batches: blocks of BLOCK_ROWS rows in turn. A batch is a memtable: its digests are combined (smallest identifier,
+number of rows) and flushed as a run, sorted by digest: a folder for each range of leading digest bits, the same for all
+runs, and in it a sorted file. A range has a filter of FILTER_BITS bits a digest, FILTER_HASHES of them set, in blocks of 4 KB, so
+that one in some 700 digests that a range doesn't hold passes it.
+
+Before its flush a batch is looked up in the runs there are: by the filters first, which leaves candidates, and only the ranges of a run
+that have candidates are read. What is found there, and what the batch itself holds twice, are the hits. FANOUT runs of a
+level are merged into one of the next, range by range, keeping each digest's smallest identifier. Groups are the hits, with
+what the runs say of them, and nothing else: rows that no look-up found keep themselves and are moved no more.
 
 Hits receive byte verification: the texts of groups are compared as texts (grouped by the text, combined before the shuffle).
 Whatever is counted is combined before a shuffle, so a digest with any share of the rows is no hot key.
@@ -22,12 +25,19 @@ from inkwell.llm import common
 
 #: Rows of (digest, identifier) or (identifier) that may be broadcast: about 100 bytes each; more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
-#: Rows of filters that may be broadcast: FILTER_ROW_BYTES each.
+#: Blocks of filters that may be broadcast: 4 KB each.
 BROADCAST_FILTERS = 8_000
 FILTER_BITS = 16
-FILTER_ROW_BYTES = 4096
+FILTER_HASHES = 5
+#: Bits of a block of a filter; bitmap functions of Spark have blocks of this size.
+BLOCK_BITS = 8 * 4096
 FANOUT = 4
-BATCHES = 4
+#: Not a multiple of FANOUT, so that runs of several levels are there at the end, and groups need their look-ups.
+BATCHES = 6
+BLOCK_ROWS = 128
+#: Rows of a range of digests, about, and the most leading bits that tell ranges apart.
+RANGE_ROWS = 1 << 16
+LEAST_BITS, MOST_BITS = 3, 16
 
 
 def normalised(text: Column) -> Column:
@@ -53,30 +63,48 @@ def combined(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
-    """A sorted run (digest, id, ties, n), its filter (bucket, bits; `positions` bits in all), and what it holds."""
+    """A run (range, digest, id, ties, n), sorted by digest within its ranges, and its filters: (block, bits), `blocks` for each range."""
 
     name: int
     table: DataFrame
     filter: DataFrame
-    positions: int
-    buckets: int
-    low: bytes | None
-    high: bytes | None
+    blocks: int
+
+
+def _range(digest: Column, bits: int) -> Column:
+    """The leading bits of a digest as a number."""
+    return F.shiftright(F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int"), 16 - bits)
+
+
+def _block(digest: Column, range_: Column, blocks: int) -> Column:
+    return range_.cast("long") * blocks + F.pmod(F.xxhash64(digest), F.lit(blocks))
 
 
-def _position(digest: Column, positions: int) -> Column:
-    """Place in the filter, from 1."""
-    return F.pmod(F.xxhash64(digest), F.lit(positions)) + 1
+def _places(digest: Column) -> list[Column]:
+    """The places of a digest's bits in its block, from 0."""
+    return [F.pmod(F.xxhash64(F.lit(k), digest), F.lit(BLOCK_BITS)).cast("int") for k in range(1, FILTER_HASHES + 1)]
+
+
+def _is_set(bits: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(place, F.lit(8))) == 1
 
 
 @dataclass
 class Index:
-    """The runs by level; looked_up and skipped count (batch, run) pairs that were read, or passed over by filter or range."""
+    """The runs by level, and the hits so far.
 
+    looked_up and skipped count (batch, run) pairs of which something, or nothing, was read; ranges_read and ranges_skipped
+    count the ranges of runs.
+    """
+
+    bits: int = LEAST_BITS
     levels: list[list[Run]] = field(default_factory=list)
     hits: list[DataFrame] = field(default_factory=list)
     looked_up: int = 0
     skipped: int = 0
+    ranges_read: int = 0
+    ranges_skipped: int = 0
     merges: int = 0
     _names: int = 0
 
@@ -89,47 +117,53 @@ class Index:
         run = self._flushed(combined(ones))
         if run is None:
             return
-        self._look_up(run)
+        found, *candidates = self._look_up(run)
+        self.hits.append(common.written(_union([run.table.filter("n > 1").select("digest"), *found]), "dedup-hits"))
+        common.dropped(*candidates)
         self._add(run, 0)
 
     def _flushed(self, rows: DataFrame) -> Run | None:
-        table = common.written(rows.sortWithinPartitions("digest"), "dedup-run")
-        facts = table.agg(F.count("*").alias("rows"), F.min("digest").alias("low"), F.max("digest").alias("high")).first()
-        if not facts["rows"]:
+        """Rows (digest, id, ties, n) as a run, each range of digests in a task and a file; None if there are none."""
+        placed = rows.withColumn("range", _range(F.col("digest"), self.bits)).repartition("range").sortWithinPartitions("range", "digest")
+        table = common.written(placed, "dedup-run", by="range")
+        n = table.count()
+        if not n:
             common.dropped(table)
             return None
-        positions = FILTER_BITS * facts["rows"]
-        place = table.select(_position(F.col("digest"), positions).alias("at"))
-        bits = place.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        blocks = max(1, -(-n * FILTER_BITS // (BLOCK_BITS << self.bits)))
+        set_ = table.select(_block(F.col("digest"), F.col("range"), blocks).alias("block"), F.explode(F.array(*_places(F.col("digest")))).alias("at"))
+        filters = set_.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
         self._names += 1
-        return Run(self._names, table, common.written(bits, "dedup-filter"), positions, 1 + positions // (8 * FILTER_ROW_BYTES), bytes(facts["low"]), bytes(facts["high"]))
+        return Run(self._names, table, common.written(filters, "dedup-filter"), blocks)
 
-    def _look_up(self, batch: Run) -> None:
-        asked = [run for run in self.runs() if run.low <= batch.high and batch.low <= run.high]
-        self.skipped += len(self.runs()) - len(asked)
+    def _look_up(self, batch: Run) -> tuple:
+        """A list with the digests of the batch that each run holds, for the runs that may hold any; and the table it is read from."""
         candidates: DataFrame | None = None
-        for run in asked:
-            at = _position(F.col("digest"), run.positions)
-            keys = batch.table.select("digest", F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-            keys = keys.join(near(run.filter, run.buckets, BROADCAST_FILTERS), "bucket")
-            byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            passed = keys.filter(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).select("digest", F.lit(run.name).alias("run"))
+        digest = F.col("digest")
+        for run in self.runs():
+            keys = batch.table.select("digest", "range", _block(digest, F.col("range"), run.blocks).alias("block"))
+            keys = keys.join(near(run.filter, run.blocks << self.bits, BROADCAST_FILTERS), "block")
+            for place in _places(digest):
+                keys = keys.filter(_is_set(F.col("bits"), place))
+            passed = keys.select("digest", "range", F.lit(run.name).alias("run"))
             candidates = passed if candidates is None else candidates.unionByName(passed)
         if candidates is None:
-            return
+            return ([],)
         candidates = common.written(candidates, "dedup-candidates")
-        counts = {r["run"]: r["n"] for r in candidates.groupBy("run").agg(F.count("*").alias("n")).collect()}  # a row for each run
-        found: DataFrame | None = None
-        for run in asked:
-            if run.name not in counts:
-                self.skipped += 1
-                continue
-            self.looked_up += 1
-            known = candidates.filter(F.col("run") == run.name).join(run.table.select("digest"), "digest", "left_semi").select("digest")
-            found = known if found is None else found.unionByName(known)
-        if found is not None:
-            self.hits.append(common.written(found, "dedup-hits"))
-        common.dropped(candidates)
+        asked: dict[int, dict[int, int]] = {}
+        for r in candidates.groupBy("run", "range").agg(F.count("*").alias("n")).collect():  # a row for each range of each run
+            asked.setdefault(r["run"], {})[r["range"]] = r["n"]
+        found = []
+        for run in self.runs():
+            ranges = asked.get(run.name, {})
+            self.ranges_read += len(ranges)
+            self.ranges_skipped += (1 << self.bits) - len(ranges)
+            self.looked_up += bool(ranges)
+            self.skipped += not ranges
+            if ranges:
+                mine = near(candidates.filter(F.col("run") == run.name).select("digest"), sum(ranges.values()))
+                found.append(run.table.filter(F.col("range").isin(sorted(ranges))).join(mine, "digest", "left_semi").select("digest"))
+        return found, candidates
 
     def _add(self, run: Run, level: int) -> None:
         while len(self.levels) <= level:
@@ -138,24 +172,22 @@ class Index:
         if len(self.levels[level]) < FANOUT:
             return
         full, self.levels[level] = self.levels[level], []
-        merged = self._flushed(combined(_union([r.table for r in full])))
+        merged = self._flushed(combined(_union([r.table.drop("range") for r in full])))
         self.merges += 1
         common.dropped(*(x for r in full for x in (r.table, r.filter)))
         if merged is not None:
             self._add(merged, level + 1)
 
     def groups(self) -> DataFrame:
-        """Digests with more than one row: digest, id, ties, n; written."""
+        """What the runs say of the hits: digest, id, ties, n; written. Digests that were never hit are in no group."""
         runs = self.runs()
-        if len(runs) == 1:  # all that was hit has been merged
-            return common.written(runs[0].table.filter("n > 1"), "dedup-groups")
-        tables = [r.table for r in runs]
-        if not tables:
+        if not runs:
             raise ValueError("an index without rows has no groups")
-        twice = [t.filter("n > 1").select("digest") for t in tables]
-        wanted = common.written(_union([*self.hits, *twice]).distinct(), "dedup-wanted")
-        n = wanted.count()
-        out = common.written(combined(_union([t.join(near(wanted, n), "digest", "left_semi") for t in tables])), "dedup-groups")
+        empty = runs[0].table.select("digest").limit(0)
+        wanted = common.written(_union([empty, *self.hits]).distinct().withColumn("range", _range(F.col("digest"), self.bits)), "dedup-wanted")
+        facts = wanted.agg(F.count("*"), F.collect_set("range")).first()  # a number for each range
+        tables = [r.table.filter(F.col("range").isin(sorted(facts[1]))).join(near(wanted.select("digest"), facts[0]), "digest", "left_semi").drop("range") for r in runs]
+        out = common.written(combined(_union(tables)), "dedup-groups")
         common.dropped(wanted)
         return out
 
@@ -172,8 +204,10 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def flush(packed: common.Packed, key: str, text: str, batches: int) -> DataFrame:
-    """(digest, id, batch) of all rows; a row's batch is that of its input split, so rows aren't moved. Written."""
-    rows = packed.docs.select(digest_of(normalised(packed.column(text))).alias("digest"), packed.column(key).alias("id"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
+    """(digest, id, batch) of all rows. A split's blocks of BLOCK_ROWS rows go to the batches in turn, so rows aren't moved. Written."""
+    place = F.monotonically_increasing_id()
+    block = F.shiftright(place, 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK_ROWS)
+    rows = packed.docs.select(digest_of(normalised(packed.column(text))).alias("digest"), packed.column(key).alias("id"), F.pmod(block, F.lit(batches)).cast("int").alias("batch"))
     return common.written(rows, "dedup-digests")
 
 
@@ -225,7 +259,8 @@ def _judged(rows: DataFrame, groups: DataFrame, n: int, by_text: bool) -> DataFr
 def _indexed(packed: common.Packed, key: str, text: str, batches: int) -> tuple[DataFrame, DataFrame | None, int, bool]:
     """Digests of all rows; the verified groups or None; their number; whether they are matched by text, too."""
     digests = flush(packed, key, text, batches)
-    index = Index()
+    rows = digests.count()
+    index = Index(bits=min(MOST_BITS, max(LEAST_BITS, (rows // RANGE_ROWS).bit_length())))
     for k in range(batches):
         index.insert(digests.filter(F.col("batch") == k).select("digest", "id"))
     if not index.runs():

@@ -72,6 +72,33 @@ def test_exact_dedup_in_batches(spark):
     assert collected(dedup.decisions(docs, batches=1)) == collected(dedup.decisions(docs, batches=5))
 
 
+def test_exact_dedup_needs_its_look_ups(spark, monkeypatch):
+    """10,000 rows with copies near and far: several levels at the end, ranges that are skipped, and no group without a hit."""
+    rows = spark.range(10_000).select((9_999 - F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 2500 == 17, F.lit(17)).when(F.col("id").isin(41, 42, 8000), F.lit(-1)).otherwise(F.col("id")).cast("string")).alias("text"))
+    seen = []
+
+    class Watched(dedup.Index):
+        def groups(self):
+            seen.append(self)
+            return super().groups()
+
+    monkeypatch.setattr(dedup, "Index", Watched)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in dedup.decisions(rows).filter("group_size > 1").collect()}
+    first, second = [9_999 - 17 - 2500 * k for k in range(4)], [9_999 - k for k in (41, 42, 8000)]
+    assert got == {k: (min(g), len(g), k == min(g)) for g in (first, second) for k in g}
+    assert seen[0].merges == 1 and seen[0].skipped + seen[0].looked_up == 0 + 1 + 2 + 3 + 1 + 2
+    assert seen[0].ranges_read <= 12 and seen[0].ranges_read + seen[0].ranges_skipped == 9 * 8
+
+    class Blind(dedup.Index):
+        """An index whose look-ups find nothing in other batches."""
+
+        def _look_up(self, batch):
+            return ([],)
+
+    monkeypatch.setattr(dedup, "Index", Blind)
+    assert dedup.decisions(rows).filter("group_size > 1").count() < len(got)
+
+
 def test_near_duplicates(spark, odd, none):
     got = collected(neardup.near_duplicates(odd, width=4), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (None, 1, None, True), (7, 2, 7, True), (8, 3, 8, True)], key=repr)
