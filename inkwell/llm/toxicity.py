@@ -113,6 +113,7 @@ def fit(
     *,
     text: str = "text",
     label: str = "toxic",
+    orders: tuple[int, ...] = ORDERS,
     max_features: int = 40_000,
     min_z: float = 3.5,
     alpha: float = 1.0,
@@ -132,7 +133,7 @@ def fit(
     rows = common.written(rows.repartition(SAMPLE_PARTS), "toxic-sample")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    empty = Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0 if n0 == n1 else float(np.log((n1 + 1) / (n0 + 1))))
+    empty = Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0 if n0 == n1 else float(np.log((n1 + 1) / (n0 + 1))), orders)
     if not n0 or not n1:
         common.dropped(rows)
         return empty
@@ -141,7 +142,7 @@ def fit(
         counts = np.zeros((2, 1 << BITS), dtype=np.uint32)
         for batch in common.gathered(batches, 0, SHARD_BYTES):
             toxic = np.asarray(batch.column(1)) > 0
-            owner, feature = occurring(batch.column(0), ORDERS, BITS)
+            owner, feature = occurring(batch.column(0), orders, BITS)
             for c in (0, 1):
                 counts[c] += np.bincount(feature[toxic[owner] == bool(c)], minlength=1 << BITS).astype(np.uint32)
         for part in range((1 << BITS) // SLICE):
@@ -164,12 +165,12 @@ def fit(
     if not len(features):
         common.dropped(rows)
         return empty
-    model = Model(features, ratios.astype(np.float32), 0.0)
+    model = Model(features, ratios.astype(np.float32), 0.0, orders)
 
     def designs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = model.table()
         for batch in common.gathered(batches, 0, SHARD_BYTES):
-            owner, slot = occurring(batch.column(0), ORDERS, BITS, slots)
+            owner, slot = occurring(batch.column(0), orders, BITS, slots)
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             blobs = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(blobs, pa.binary())], names=["y", "x"])
@@ -187,7 +188,7 @@ def fit(
     made = common.written(rows.mapInArrow(designs, "y int, x binary"), "toxic-designs")
     found = made.coalesce(1).mapInArrow(regression, "weights binary, bias double").first()
     common.dropped(rows, made)
-    return Model(features, np.frombuffer(found["weights"], dtype=np.float32), found["bias"])
+    return Model(features, np.frombuffer(found["weights"], dtype=np.float32), found["bias"], orders)
 
 
 def regressed(counts: np.ndarray, column: np.ndarray, ratios: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
