@@ -58,8 +58,10 @@ def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.created(docs.filter("doc_id % 7 <> 3"), f"{work_folder(spark)}/documents", "doc_id", BUCKETS)
     seen = docs.filter("doc_id % 50 = 3").withColumn("source", F.lit("seen"))
     store.changed(lambda old: changes.refreshed(old, seen, "doc_id", ["source"], "2024-05-01 10:00:00"), seen)
+    store.prune(keep=1)  # no one reads the versions between
     offered = docs.filter("doc_id % 9 = 1")
     store.changed(lambda old: versions.first_write_wins(old, offered, "doc_id"), offered)
+    store.prune(keep=1)
     gone = docs.filter("doc_id % 60 = 11").select("doc_id")
     store.changed(lambda old: old.join(gone, "doc_id", "left_anti"), gone)
     return store.rows()
