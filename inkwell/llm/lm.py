@@ -8,13 +8,19 @@ one task adds up a range and writes it as a sorted array. Nothing is joined or p
 
 Weights come from counts by Bayesian smoothing. At a state h with count c(h) the arc of a word w weighs
     P(w | h) = (c(h w) + m * P(w | h')) / (c(h) + m)
-where h' is the longest proper suffix of h; without that arc the failure arc, which weighs m / (c(h) + m), leads to h'. As each
+where h' is the longest proper suffix of h; a word without an arc follows the failure arc, which weighs m / (c(h) + m), to h'. As each
 word of a text but its end is followed by a token, the arcs of a state sum to one with what the failure arc leaves over.
-A left-to-right traversal carries the state and adds the weights, for all texts of a batch at once, order by order.
-Unknown words are one class; its probability is the share of words seen once (Good-Turing).
+Unknown words are one class at the state without words; its probability is the share of words seen once (Good-Turing).
 
-Scoring sorts a batch's n-grams and walks the ranges in order, so it holds one range at a time; ranges on a mounted path are
-mapped, others are read for the batch and dropped. Counts are 64-bit; ranges grow in number with the input, not in size.
+Scoring takes texts in passes of about PASS_BYTES. The states that a pass can meet - the n-grams in its texts - are looked up
+in the ranges, each of which is read once a pass, in order, and become an automaton in memory: arc weights, failure weights and
+failure links, by number. Then all texts of the pass are walked from left to right at once, token place by token place: each
+carries its state, follows failure arcs until the word has an arc, adds up what it passes and goes on from where the arc
+leads: the longest suffix that is a state.
+
+A pass holds one range at a time; ranges on a mounted path are mapped, others are read for the pass and dropped. Counts are
+64-bit; ranges grow in number with the input, not in size. What is stored are counts: an arc's weight follows from three of
+them, and storing it would need the n-grams joined to their contexts and suffixes, twice their size on disk.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from inkwell.llm import artifacts, common, textkit
 from inkwell.llm.neardup import grouped
 
 SHARD_BYTES = 4 << 20
+#: Text of a pass of scoring; its n-grams are held by one task.
+PASS_BYTES = 16 << 20
 #: Bytes of training text for each range of hashed n-grams; a range is added up by one task.
 RANGE_BYTES = 32 << 20
 NAME_BITS = 48
@@ -197,6 +205,8 @@ class Automaton:
         if at in _RANGES:
             _RANGES.move_to_end(at)
             return _RANGES[at]
+        if any(folder != self.folder for folder, _, _ in _RANGES):
+            _RANGES.clear()  # of models that are gone
         data = artifacts.read(f"{self.folder}/{order}-{part}", np.uint8)
         found = Range.read(data)
         if isinstance(data, np.memmap):
@@ -274,6 +284,89 @@ def released(spark, model: Automaton) -> None:
     common.delete(spark, model.folder)
 
 
+@dataclass
+class Local:
+    """The part of the automaton that some texts can meet.
+
+    For each order from 1 on: `at`, the number of the n-gram that ends at each token (of those of that order); `met`, whether an
+    n-gram has an arc; `arc`, the arc's weight; `fail`, the weight of the failure arc of the n-gram as a state. A state is an order
+    and a number; its failure link is the n-gram of the next lower order that ends at the same token. Order 0 is the state
+    without words. counts: of the words.
+    """
+
+    at: list[np.ndarray]
+    met: list[np.ndarray]
+    arc: list[np.ndarray]
+    fail: list[np.ndarray]
+    counts: np.ndarray
+
+    @classmethod
+    def built(cls, model: Automaton, hashes: np.ndarray, first: np.ndarray) -> Local:
+        out = cls([], [], [], [], np.zeros(0))
+        p_before, counts_before = np.zeros(0), np.zeros(0)
+        for k, (names, inside) in enumerate(states(hashes, first, model.order, model.range_bits)):
+            distinct, place, at = np.unique(names[inside], return_index=True, return_inverse=True)
+            position = np.flatnonzero(inside)[place]  # a token at which each ends
+            counts = model.counts(k + 1, distinct)
+            if k == 0:
+                known = counts > 0
+                p = np.where(known, counts / (model.n + max(model.once, 1)), model.unknown())
+                out.counts, met = counts, np.ones(len(distinct), dtype=bool)  # unknown words are a class with an arc
+            else:
+                context, suffix = out.at[-1][position - 1], out.at[-1][position]
+                before, m = counts_before[context], _smoothing(k)
+                # an unknown word is no n-gram's last one
+                met = (counts > 0) & (before > 0) & (out.counts[out.at[0][position]] > 0)
+                p = np.where(before > 0, (np.where(met, counts, 0) + m * p_before[suffix]) / (before + m), p_before[suffix])
+            number = np.full(len(hashes), -1, dtype=np.int32)
+            number[inside] = at
+            out.at.append(number)
+            out.met.append(met)
+            out.arc.append(np.log10(p))
+            up = _smoothing(k + 1)
+            out.fail.append(np.where(counts > 0, np.log10(up / (counts + up)), 0.0))
+            p_before, counts_before = p, counts
+        return out
+
+    def walked(self, first: np.ndarray) -> np.ndarray:
+        """The sum of the weights that each text passes, from its first token to its end."""
+        order = len(self.at)
+        lengths = np.diff(first)
+        by_length = np.argsort(-lengths, kind="stable")
+        begin, left = first[:-1][by_length], lengths[by_length]
+        level = np.zeros(len(left), dtype=np.int64)  # of the state that each text is in
+        total = np.zeros(len(left))
+        active = len(left)
+        for t in range(int(left[0]) if len(left) else 0):
+            while active and left[active - 1] <= t:
+                active -= 1
+            here = begin[:active] + t
+            at_level = level[:active]
+            for k in range(order, 0, -1):  # the arc of order k leads from a state of order k - 1
+                asking = np.flatnonzero(at_level == k - 1)
+                if not len(asking):
+                    continue
+                token = here[asking]
+                gram = self.at[k - 1][token]
+                has = self.met[k - 1][gram]
+                goes = asking[has]
+                total[goes] += self.arc[k - 1][gram[has]]
+                # where the arc leads (an unknown word to the state without words); marked, so that it isn't asked again at this token
+                at_level[goes] = order + (min(k, order - 1) if k > 1 else np.where(self.counts[gram[has]] > 0, min(1, order - 1), 0))
+                fails = asking[~has]
+                if len(fails):
+                    total[fails] += self.fail[k - 2][self.at[k - 2][here[fails] - 1]]
+                    at_level[fails] = k - 2
+            at_level -= order
+        out = np.empty(len(total))
+        out[by_length] = total
+        return out
+
+
+def _smoothing(k: int) -> float:
+    return SMOOTHING[min(k, len(SMOOTHING) - 1)]
+
+
 RESULTS = ("n_tokens", "n_known", "base_score", "score")
 
 
@@ -290,25 +383,12 @@ def scored(docs: DataFrame, model: Automaton, *, text: str = "text") -> DataFram
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.log10(model.n + 0.5 * (model.distinct + 1))
-        for part in common.gathered(batches, 0, SHARD_BYTES):
+        for part in common.gathered(batches, 0, PASS_BYTES):
             hashes, first = tokens(part.column(0))
-            p, counts, known, base = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
-            for k, (names, inside) in enumerate(states(hashes, first, model.order, model.range_bits)):
-                before, counts = counts, np.zeros(len(hashes), dtype=np.int64)
-                if k == 0:
-                    counts = model.counts(1, names)
-                    known, base = counts > 0, np.log10(counts + 0.5) - rest
-                    p = np.where(known, counts / (model.n + max(model.once, 1)), model.unknown())
-                    continue
-                context = np.zeros(len(hashes), dtype=np.int64)
-                context[1:] = before[:-1]
-                context[~inside] = 0
-                at = np.flatnonzero((context > 0) & known)
-                counts[at] = model.counts(k + 1, names[at])
-                m = SMOOTHING[min(k, len(SMOOTHING) - 1)]
-                p = np.where(context > 0, (counts + m * p) / (context + m), p)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), base, np.log10(p))]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(first)), *map(pa.array, sums)], names=["row", *RESULTS])
+            local = Local.built(model, hashes, first)
+            counts = local.counts[local.at[0]]
+            known, base = np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(np.log10(counts + 0.5) - rest, first[:-1])
+            yield pa.RecordBatch.from_arrays([part.column(1), *map(pa.array, (np.diff(first), known, base, local.walked(first)))], names=["row", *RESULTS])
 
     out = rows.mapInArrow(score, packed.schema("n_tokens bigint, n_known bigint, base_score double, score double"))
     return out.select(*packed.columns(), *RESULTS)

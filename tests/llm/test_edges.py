@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing extra columns: each operator's defined results."""
 
+import math
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +201,34 @@ def test_suffix_array_cut_with_overlap(monkeypatch):
     assert (int(found.n_words[0]), int(found.n_hit[0])) == want[1:3]
 
 
+def test_lm_walks_states_and_reads_each_range_once(spark, monkeypatch):
+    """The automaton of a pass: its arcs, failure arcs and links, step by step; a range's file is opened once for all texts."""
+    import pyarrow as pa
+
+    from inkwell.llm import artifacts
+
+    monkeypatch.setattr(lm, "RANGE_BYTES", 256)
+    texts = ["a b c a b d", "a b c", "b c a", "", "x y a b c c", "c c c b a"]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    assert 1 << model.range_bits >= 4
+    read = []
+    monkeypatch.setattr(artifacts, "read", lambda uri, kind, plain=artifacts.read: read.append(uri) or plain(uri, kind))
+    monkeypatch.setattr(lm, "OPEN_RANGES", 0)
+    asked = ["a b c", "b x c a b", "", "never seen", "a b d a"] * 30
+    hashes, first = lm.tokens(pa.array(asked))
+    local = lm.Local.built(model, hashes, first)
+    assert len(read) == len(set(read)) <= 3 << model.range_bits
+    docs = [(5 * k, t) for k, t in enumerate(texts)]  # keys whose remainders don't matter here
+    monkeypatch.setattr(brute, "remainder", lambda k: 0 if k < 1000 else 1)
+    want = [r[6] for r in brute.lm(docs + [(1000 + k, t) for k, t in enumerate(asked)])[len(docs) :]]
+    assert local.walked(first) == pytest.approx(want, rel=1e-12)
+    # "a b" was seen four times: what a word without an arc costs there
+    a, b, c = (int(lm.tokens(pa.array([x]))[0][0]) for x in "abc")
+    pair = local.at[1][1]
+    assert (hashes[0], hashes[1], hashes[2]) == (a, b, c) and local.met[2][local.at[2][2]]
+    assert local.fail[1][pair] == pytest.approx(math.log10(3 / (4 + 3)))
+
+
 def test_lm(spark, odd, none):
     rows = [(r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in odd.filter("doc_id is not null").collect()]
     docs = odd.filter("doc_id is not null")
