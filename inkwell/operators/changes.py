@@ -32,6 +32,11 @@ def append_pages(rows: DataFrame, path: str, per_page: int = 500) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", per_page).parquet(path)
 
 
+def append_log(entries: DataFrame, path: str, asked: str = "query", preview: int = 200) -> None:
+    """Append entries to a log, a Parquet table: of what was asked the first `preview` characters only, as query_preview."""
+    entries.withColumn("query_preview", F.substring(asked, 1, preview)).drop(*({asked} - {"query_preview"})).write.mode("append").parquet(path)
+
+
 def refreshed(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], now: str) -> DataFrame:
     """Rows seen again get the new `columns`, are current again and bear the time; unknown ones are added; all others stay."""
     at = F.to_timestamp(F.lit(now))

@@ -133,6 +133,16 @@ def append_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.pages_written(spark, path).agg(F.sum("n").alias("n_rows"), (F.max("n") <= 500).alias("small"))
 
 
+@query("appended_rows", "select l_orderkey, l_linenumber, l_returnflag, round(l_extendedprice, 2) as price from lineitem")
+def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to one table, in pages of 500 rows: every row is there, once."""
+    path = f"{work_folder(spark)}/pages"
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.round("l_extendedprice", 2).alias("price"))
+    changes.append_pages(rows.filter("l_orderkey % 2 = 0"), path)
+    changes.append_pages(rows.filter("l_orderkey % 2 <> 0"), path)
+    return spark.read.parquet(path)
+
+
 _ARCHIVE = """d as (select o_orderkey as id, o_orderkey::varchar || case when o_orderkey % 3 = 0 then '#hist-a' else '' end as external_id, o_orderstatus as status from orders),
     a as (select -o_orderkey as id, o_orderkey::varchar || '#hist-a' as external_id, 'historicky' as status from orders where o_orderkey % 2 = 0),
     e as (select d.* from d where external_id in (select external_id from a))"""

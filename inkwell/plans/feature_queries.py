@@ -202,3 +202,13 @@ def court_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, text.COURT_NO_TEXT).otherwise(""), F.coalesce("html", F.lit("")), F.when(k % 2 == 0, F.lit(f"{text.COURT_END} <b>after</b>")).otherwise(""),
     )
     return table(spark, sf_dir, "pages").select("page_id", text.court_page(page).alias("c")).filter("c is not null").select("page_id", "c.*")
+
+
+@query("logged_queries", "select doc_id, lang, left(text, 200) as query_preview, doc_id % 3 = 0 as web from documents")
+def logged_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to a log, which keeps the beginning of what was asked and no more."""
+    path = f"{work_folder(spark)}/log"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("query"), (F.col("doc_id") % 3 == 0).alias("web"))
+    changes.append_log(rows.filter("web"), path)
+    changes.append_log(rows.filter("not web"), path)
+    return spark.read.parquet(path)

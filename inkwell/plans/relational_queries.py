@@ -215,13 +215,13 @@ def set_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "later_shard_wins",
-    """with u as (select o_custkey as id, o_totalprice as v, 1 as r from orders where o_orderkey % 5 = 0 union all select o_custkey, -o_totalprice, 2 from orders where o_orderkey % 7 = 0)
+    """with u as (select o_custkey as id, o_totalprice as v, 1 as r from orders where o_orderkey % 2 = 0 union all select o_custkey, -o_totalprice, 2 from orders where o_orderkey % 2 <> 0)
     select id, round(arg_max(v, r * 1e12 + abs(v)), 2) as v from u group by id""",
 )
 def later_shard_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
-    first = rows.filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit(1).alias("r"))
-    second = rows.filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id"), (-F.col("o_totalprice")).alias("v"), F.lit(2).alias("r"))
+    first = rows.filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit(1).alias("r"))
+    second = rows.filter("o_orderkey % 2 <> 0").select(F.col("o_custkey").alias("id"), (-F.col("o_totalprice")).alias("v"), F.lit(2).alias("r"))
     return first.unionByName(second).groupBy("id").agg(F.round(F.max_by("v", F.struct("r", F.abs("v"))), 2).alias("v"))
 
 

@@ -52,19 +52,19 @@ def docx_text(data: bytes, cells: str = "\n") -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _docx(data: pd.Series) -> pd.Series:
-    def read(x):
+def _docx(data: pd.Series, cells: pd.Series) -> pd.Series:
+    def read(x, between):
         try:
-            return docx_text(x, " | ")
+            return None if x is None else docx_text(x, between)
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
             return None
 
-    return data.map(read, na_action="ignore")
+    return pd.Series([read(x, between) for x, between in zip(data, cells, strict=True)], dtype=object)
 
 
-def docx(column: str | Column, most: int | None = 100_000) -> Column:
-    """Text of a .docx up to `most` characters (None: all); null for what is none."""
-    out = _docx(F.col(column) if isinstance(column, str) else column)
+def docx(column: str | Column, most: int | None = 100_000, cells: str = " | ") -> Column:
+    """Text of a .docx up to `most` characters (None: all), `cells` between the cells of a table's row; null for what is none."""
+    out = _docx(F.col(column) if isinstance(column, str) else column, F.lit(cells))
     return out if most is None else F.substring(out, 1, most)
 
 

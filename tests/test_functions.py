@@ -148,6 +148,8 @@ def test_sources(spark, tmp_path):
         z.writestr("word/document.xml", xml)
     (tmp_path / "d.docx").write_bytes(data.getvalue())
     got = files.binary_files(spark, str(tmp_path), "*.docx").select(files.docx("content").alias("t")).first()["t"]
+    lines = files.binary_files(spark, str(tmp_path), "*.docx").select(files.docx("content", cells="\n").alias("t")).first()["t"]
+    assert lines == got.replace(" | ", "\n") and " | " in got
     assert got == "Ahoj\na | b"
     raw = spark.createDataFrame([(bytearray("č".encode("cp1250")),), (bytearray("č".encode()),)], "b binary")
     assert [r["t"] for r in raw.select(files.decoded("b").alias("t")).collect()] == ["č", "č"]
