@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import tables, text
+from inkwell.functions import embedding, tables, text
 from inkwell.operators import changes, upkeep
 from inkwell.operators.cells import Cells
 from inkwell.operators.prefix import work_folder
 from inkwell.operators.store import Store
-from inkwell.plans import retrieval_queries, text_queries
+from inkwell.plans import detail_queries, retrieval_queries, text_queries
 from inkwell.plans.registry import oracle_of, query
 from inkwell.session import table
 from inkwell.sources import lists
@@ -212,3 +212,16 @@ def logged_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes.append_log(rows.filter("web"), path)
     changes.append_log(rows.filter("not web"), path)
     return spark.read.parquet(path)
+
+
+@query("embedding_rotation", oracle_of(detail_queries.embedding_calls))
+def embedding_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of embedding_calls from a service with three keys, one of which is spent from the beginning."""
+
+    def call(key: str, texts: list[str]) -> list[tuple[int, int]]:
+        if key == "spent":
+            raise embedding.KeySpent
+        return [(len(t), len(t.replace("e", ""))) for t in texts]
+
+    vectors = embedding.embedded(F.col("text"), embedding.Rotation(["one", "spent", "two"], call))
+    return table(spark, sf_dir, "documents").select("doc_id", vectors.alias("vector"))

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import mappings, text
+from inkwell.functions import embedding, mappings, text
 from inkwell.operators import changes, retrieval, upkeep
 
 
@@ -69,3 +70,32 @@ def test_archive_keys_without_a_version(spark):
     rows = spark.createDataFrame([("k", None, 1), ("k", None, 2), ("k", "v" * 50, 3)], "key string, v string, n int")
     got = [r[0] for r in rows.select(mappings.archive_key(F.col("key"), F.col("v"), F.col("n"))).collect()]
     assert len(set(got)) == 3 and got[2] == "k#hist-" + "v" * 40
+
+
+def test_keys_rotate_until_all_are_spent(spark):
+    calls = []
+    quota = {"a": 2, "b": 1, "c": 3}
+
+    def call(key, texts):
+        calls.append(key)
+        if quota[key] == 0:
+            raise embedding.KeySpent
+        quota[key] -= 1
+        return [[1.0]] * len(texts)
+
+    service = embedding.Rotation(["a", "b", "c"], call)
+    assert [service(["x"]) for _ in range(6)] == [[[1.0]]] * 6
+    assert calls == ["a", "b", "c", "a", "b", "c", "a", "c"]
+    for _ in range(2):
+        with pytest.raises(embedding.AllSpent):
+            service(["x"])
+    assert calls[8:] == ["c"]  # c was found to be spent; then no key is asked any more
+    with pytest.raises(ValueError):
+        embedding.Rotation([], call)
+
+    def down(key, texts):
+        raise embedding.KeySpent if key == "a" else OSError
+
+    rows = spark.createDataFrame([(k, "t") for k in range(6)], "k int, t string").coalesce(1)
+    got = rows.select(embedding.embedded(F.col("t"), embedding.Rotation(["a"], down), at_once=1, wait=0.001).alias("v")).collect()
+    assert [r["v"] for r in got] == [None] * 6
