@@ -100,3 +100,33 @@ def verified_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = digests.digests(copied.filter("doc_id % 2 = 0"), "source")
     later = digests.digests(copied.filter("doc_id % 2 <> 0"), "source")
     return digests.compared(digests.digests(docs, "source"), digests.added(first, later, by=["source"]), "source")
+
+
+@query(
+    "store_versions",
+    """with live as (select doc_id as doc, 'd' || doc_id as id, case when doc_id % 6 = 0 then null else 'v/' || lang end as version from documents where doc_id % 4 <> 0),
+    new as (select doc_id as doc, 'd' || doc_id as id, case when doc_id % 3 = 0 then 'v/' || lang || '/2' else 'v/' || lang end as version from documents where doc_id % 5 <> 0 and doc_id % 7 <> 0),
+    ch as (select l.doc, l.id, l.version as old, n.version as new from live l join new n using (id) where l.version is distinct from n.version)
+    select doc, id, version, true as is_current, 'platny' as status, null as superseded_by from live where id not in (select id from ch)
+    union all select doc, id || '#hist-' || coalesce(right(old, 40), sha1(concat_ws('|', id, old, 'true', 'platny'))), old, false, 'historicky', id from ch
+    union all select doc, id, new, true, 'platny', null from ch
+    union all select doc, id, version, true, 'platny', null from new where id not in (select id from live)""",
+)
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions roll over in a stored table: what has a new version with content is archived as it was and begins anew; done twice, once counts."""
+    d, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    key, of = F.concat(F.lit("d"), d.cast("string")).alias("id"), F.concat(F.lit("v/"), "lang")
+    columns = [F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_until"), F.lit(True).alias("is_current"), F.lit("platny").alias("status"), F.lit(None).cast("string").alias("superseded_by")]
+    live = docs.filter("doc_id % 4 <> 0").select(d.alias("doc"), key, F.when(d % 6 == 0, None).otherwise(of).alias("version"), *columns)
+    seen = docs.filter("doc_id % 5 <> 0")
+    new = seen.select(key, F.when(d % 3 == 0, F.concat(of, F.lit("/2"))).otherwise(of).alias("version"), F.lit(None).cast("date").alias("valid_from"))
+    counts = seen.select(key, (d % 7).alias("n"))
+    store = Store.created(live, f"{work_folder(spark)}/versions", "doc", BUCKETS)
+
+    def roll(old: DataFrame) -> DataFrame:
+        rolled = versions.rolled(old.drop("doc"), new, "id", "version", "2026-01-01", content_counts=counts)
+        return rolled.withColumn("doc", F.regexp_extract("id", r"^d(-?\d+)", 1).cast("bigint"))
+
+    for _ in range(2):
+        store.changed(roll, seen.select(d.alias("doc")), name="2026-01-01")
+    return store.rows().select("doc", "id", "version", "is_current", "status", "superseded_by")
