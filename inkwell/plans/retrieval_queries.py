@@ -129,7 +129,7 @@ def vector_pairs_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "keyword_any",
-    r"select doc_id, lang from documents where list_has_any(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), ['thst', 'que', 'schder', 'eau']) order by doc_id limit 12",
+    rf"select doc_id, lang from documents where list_has_any(regexp_split_to_array(lower(text), '{text.WORD_BREAKS}'), ['thst', 'que', 'schder', 'eau']) order by doc_id limit 12",
 )
 def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -138,7 +138,7 @@ def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "staged_search",
-    r"""with w as (select doc_id, regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+') as ws from documents),
+    rf"""with w as (select doc_id, regexp_split_to_array(lower(text), '{text.WORD_BREAKS}') as ws from documents),
     s as (select doc_id, case when doc_id = 17 then 0 when list_has_all(ws, ['than', 'erth']) then 1 when list_has_any(ws, ['than', 'erth']) then 2 end as stage from w)
     select doc_id, stage::int as stage, ['cislo', 'fulltext', 'fulltext_volne'][stage + 1] as match from s where stage is not null order by stage, doc_id limit 20 offset 2""",
 )

@@ -185,7 +185,7 @@ STEMS_SQL = _stems_sql()
 
 @query(
     "czech_stem",
-    f"""with w as (select distinct unnest(list_filter(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), lambda x: x <> '')) as w from documents),
+    f"""with w as (select distinct unnest(list_filter(regexp_split_to_array(lower(text), '{text.WORD_BREAKS}'), lambda x: x <> '')) as w from documents),
     a as (select w, {_stem_sql('w')} as s from w),
     b as (select w, case when length(s) > 5 and right(s, 2) in ('ov', 'in', 'ův') then left(s, length(s) - 2) else s end as s from a)
     select w as word, case when s = '' then s when right(s, 2) = 'čt' then left(s, length(s) - 2) || 'ck' when right(s, 2) = 'št' then left(s, length(s) - 2) || 'sk'
@@ -200,7 +200,7 @@ def czech_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "text_words",
-    """select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-zá-ěí-ňó-žA-ZÁ-ĚÍ-ŇÓ-Ž0-9]+'), lambda x: x <> ''))::bigint as n_words,
+    f"""select doc_id, len(list_filter(regexp_split_to_array(lower(text), '{text.WORD_BREAKS}'), lambda x: x <> ''))::bigint as n_words,
       trim(regexp_replace(text, '\\s+', ' ', 'g')) as collapsed, translate(lower(text), 'áčďéěíňóřšťúůýž', 'acdeeinorstuuyz') as plain from documents""",
 )
 def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
