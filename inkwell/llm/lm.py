@@ -25,7 +25,6 @@ them, and storing it would need the n-grams joined to their contexts and suffixe
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,7 @@ from inkwell.llm.neardup import grouped
 
 SHARD_BYTES = 4 << 20
 #: Text of a pass of scoring; its n-grams are held by one task.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 8 << 20
 #: Bytes of training text for each range of hashed n-grams; a range is added up by one task.
 RANGE_BYTES = 32 << 20
 NAME_BITS = 48
@@ -52,7 +51,6 @@ SMOOTHING = (0.0, 5.0, 3.0, 2.0, 2.0)
 END = np.uint64(0x5851F42D4C957F2D)
 #: Counts from here on stand in a list of their own beside the array of bytes.
 MANY = 255
-OPEN_RANGES = 300
 
 _PLACES = textkit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -201,22 +199,8 @@ class Automaton:
         return out
 
     def _range(self, order: int, part: int) -> Range:
-        at = (self.folder, order, part)
-        if at in _RANGES:
-            _RANGES.move_to_end(at)
-            return _RANGES[at]
-        if any(folder != self.folder for folder, _, _ in _RANGES):
-            _RANGES.clear()  # of models that are gone
-        data = artifacts.read(f"{self.folder}/{order}-{part}", np.uint8)
-        found = Range.read(data)
-        if isinstance(data, np.memmap):
-            _RANGES[at] = found
-            while len(_RANGES) > OPEN_RANGES:
-                _RANGES.popitem(last=False)
-        return found
-
-
-_RANGES: OrderedDict = OrderedDict()
+        """A range; its map goes with it, as a pass asks for it once."""
+        return Range.read(artifacts.read(f"{self.folder}/{order}-{part}", np.uint8))
 
 
 def train(docs: DataFrame, *, text: str = "text", order: int = ORDER) -> Automaton:

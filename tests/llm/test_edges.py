@@ -213,7 +213,6 @@ def test_lm_walks_states_and_reads_each_range_once(spark, monkeypatch):
     assert 1 << model.range_bits >= 4
     read = []
     monkeypatch.setattr(artifacts, "read", lambda uri, kind, plain=artifacts.read: read.append(uri) or plain(uri, kind))
-    monkeypatch.setattr(lm, "OPEN_RANGES", 0)
     asked = ["a b c", "b x c a b", "", "never seen", "a b d a"] * 30
     hashes, first = lm.tokens(pa.array(asked))
     local = lm.Local.built(model, hashes, first)
