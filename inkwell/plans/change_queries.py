@@ -319,7 +319,8 @@ def wanted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
     text = F.when(F.col("l_linenumber") % 3 == 0, "  ").otherwise(F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string")))
     at = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.col("l_linenumber").cast("string"))
-    return changes.wanted_texts(needed, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), at.alias("at"), text.alias("text")), "k", "at")
+    place = F.when(at.isNotNull(), F.struct(at, "_metadata.file_path", "_metadata.row_index"))  # of texts at the same time, the one that stands first in the files
+    return changes.wanted_texts(needed, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), place.alias("at"), text.alias("text")), "k", "at")
 
 
 @query("first_version", "select o_custkey, arg_min(o_orderpriority, o_orderkey) as first_priority, min(o_orderkey) as first_key, arg_max(o_orderpriority, o_orderkey) as last_priority from orders group by 1")
