@@ -5,10 +5,13 @@ Only immutable tables are at hand, so each operator is a pure function from old
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import mappings
+from inkwell.operators import prefix
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -102,9 +105,17 @@ def first_prefixes(rows: DataFrame, versions: DataFrame, path: str, version: str
 
 def ancestors(rows: DataFrame, path: str) -> DataFrame:
     """(path, ancestor) for each different path and each of its prefixes that end at a slash or its end."""
-    segments = F.split(F.col("__path"), "/")
     different = rows.select(F.col(path).alias("__path")).filter("__path is not null").distinct()
-    return different.select("__path", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))).alias("ancestor"))
+    return different.select("__path", F.explode(_ancestor_list("__path")).alias("ancestor"))
+
+
+def _ancestor_list(path: str, levels: Sequence[int] | None = None) -> Column:
+    """The prefixes of a path that end at a slash or its end; those of some numbers of segments only, if they are given."""
+    segments = F.split(F.col(path), "/")
+    upto = lambda k: F.array_join(F.slice(segments, 1, k), "/")
+    if levels is None:
+        return F.transform(F.sequence(F.lit(1), F.size(segments)), upto)
+    return F.transform(F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: k <= F.size(segments)), upto)
 
 
 def section_parts(nodes: DataFrame, fragments: DataFrame, most: int | None = 3000, part_chars: int = 1 << 20, span: int = 1024) -> DataFrame:
@@ -115,20 +126,28 @@ def section_parts(nodes: DataFrame, fragments: DataFrame, most: int | None = 300
     others are left out (None: all). Parts in the order of `part`, joined by spaces, are the content; numbers may be missing where a fragment is longer than
     a part. ord of fragments is a whole number: a fragment's place is a sum over ranges of `span` numbers and one within
     its range, so that one large section is not one task.
+
+    Fragments move once to find their sections, only at the levels at which sections are; what lies in none goes no further.
     """
+    spark, folder = nodes.sparkSession, prefix.work_folder(nodes.sparkSession, "sections")
     order = Window.partitionBy("document_id").orderBy("ord", "path")
-    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.lit(True) if most is None else F.col("chunk_index") < most)
-    said = fragments.select(F.col("path").alias("fragment_path"), F.col("ord").alias("fragment_ord"), F.trim("text").alias("text")).filter("text <> ''")
-    # places are found from lengths alone; the texts move to join them and to be put together
-    light = said.groupBy("fragment_path", "fragment_ord").agg(F.sum(F.length("text").cast("bigint") + 1).alias("size"))
-    rows = ancestors(light, "fragment_path").join(numbered, F.col("path") == F.col("ancestor")).select("__path", "document_id", "chunk_index", "heading").join(light, F.col("__path") == F.col("fragment_path")).drop("__path")
-    rows = rows.withColumn("range", F.floor(F.col("fragment_ord") / span))
+    numbered = nodes.withColumn("chunk_index", F.row_number().over(order) - 1).filter(F.lit(True) if most is None else F.col("chunk_index") < most).select("document_id", "path", "chunk_index", "heading")
+    numbered.write.parquet(f"{folder}/nodes")
+    numbered = spark.read.schema(numbered.schema).parquet(f"{folder}/nodes").filter("path is not null")
+    levels = sorted(r[0] for r in numbered.select(F.size(F.split("path", "/"))).distinct().collect())  # as many as a path has segments
+    said = fragments.select(F.col("path").alias("fragment_path"), F.col("ord").alias("fragment_ord"), F.trim("text").alias("text")).filter("text <> '' and fragment_path is not null")
+    above = _ancestor_list("fragment_path", levels)
+    rows = said.withColumn("ancestor", F.explode(above)).join(numbered, F.col("ancestor") == F.col("path")).drop("ancestor", "path").withColumn("range", F.floor(F.col("fragment_ord") / span))
+    if levels:
+        rows.write.parquet(f"{folder}/fragments")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/fragments")
+    else:
+        rows = spark.createDataFrame([], rows.schema)
+    by, sized = ["document_id", "chunk_index", "range"], F.length("text").cast("bigint") + 1
     upto = Window.partitionBy("document_id", "chunk_index").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("document_id", "chunk_index", "range").agg(F.sum("size").alias("range_size"))
-    starts = sums.select("document_id", "chunk_index", "range", F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("document_id", "chunk_index", "range").orderBy("fragment_ord", "fragment_path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["document_id", "chunk_index", "range"])
-    placed = placed.select("document_id", "chunk_index", "heading", F.floor((F.col("start") + F.col("inner")) / part_chars).alias("part"), "fragment_path", "fragment_ord")
+    starts = rows.groupBy(*by).agg(F.sum(sized).alias("size")).select(*by, F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*by).orderBy("fragment_ord", "fragment_path", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inner", F.coalesce(F.sum(sized).over(inside), F.lit(0))).join(starts, by)
+    placed = placed.withColumn("part", F.floor((F.col("start") + F.col("inner")) / part_chars))
     texts = F.array_sort(F.collect_list(F.struct("fragment_ord", "fragment_path", "text")))
-    whole = placed.join(said, ["fragment_path", "fragment_ord"])
-    return whole.groupBy("document_id", "chunk_index", "heading", "part").agg(F.array_join(F.transform(texts, lambda x: x["text"]), " ").alias("content"))
+    return placed.groupBy("document_id", "chunk_index", "heading", "part").agg(F.array_join(F.transform(texts, lambda x: x["text"]), " ").alias("content"))

@@ -173,12 +173,16 @@ def backfilled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_linestatus", "l_returnflag")
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "F").alias("is_current"))
     path = lambda *parts: F.concat_ws("/", F.lit("o"), *[F.col(p).cast("string") for p in parts])
-    nodes = lines.select(F.col("l_orderkey").alias("document_id"), path("l_orderkey", "l_linestatus").alias("path"), F.col("l_linestatus").alias("heading"), F.col("l_linestatus").alias("ord")).distinct()
+    sections = lines.select("l_orderkey", "l_linestatus").repartition("l_orderkey").distinct()
+    nodes = sections.select(F.col("l_orderkey").alias("document_id"), path("l_orderkey", "l_linestatus").alias("path"), F.col("l_linestatus").alias("heading"), F.col("l_linestatus").alias("ord"))
     fragments = lines.select(path("l_orderkey", "l_linestatus", "l_linenumber").alias("path"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
     had = lines.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_linestatus").alias("heading"), F.lit("had").alias("content"))
     store = Store.created(had, f"{work_folder(spark)}/chunks", "document_id", 64)
     for _ in range(2):
         made = changes.backfilled(docs, store.rows(), nodes, fragments).select("document_id", "chunk_index", "heading", "content")
+        folder = work_folder(spark, "made")
+        made.write.parquet(folder)  # asked twice: for its keys and for its rows
+        made = spark.read.schema(made.schema).parquet(folder)
         store.changed(lambda old, made=made: old.unionByName(made), made)
     return store.rows()
 
