@@ -59,22 +59,71 @@ class Rooms:
 def greedy_fill(items: DataFrame, size: str, order: str, budgets: Sequence[int], group: str = "batch") -> DataFrame:
     """First shard with room for each item, in order, within each group; -1 if none has, or its size is null.
 
-    What an item gets depends on all before it, so a group is one task's; its rows stream through in order, sorted by Spark, and
-    no more of them is held than a batch and the rooms that are left.
+    What an item gets depends on all before it in its group. Rows are dealt by ranges of group and order and written once; a range
+    begins with the rooms that the one before left. These follow from its sum and its smallest size where one shard takes all of
+    it or none; only ranges in which a shard fills up are walked for that, one after another. No task sorts more than its ranges.
     """
+    spark, path = items.sparkSession, prefix.work_folder(items.sparkSession, "fill")
     schema = T.StructType([*items.schema.fields, T.StructField("shard", T.LongType())])
+    dealt = items.repartitionByRange(group, order).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
+    dealt.write.partitionBy("__part").parquet(path)
+    laid = T.StructType([*[f for f in dealt.schema.fields if f.name != "__part"], T.StructField("__part", T.IntegerType())])
+    placed = spark.read.schema(laid).parquet(path)
+    starts = _range_rooms(placed, size, order, list(budgets), group)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rooms, now = None, None
+        rooms, now, part = None, None, None
         for batch in batches:
             found = []
-            for key, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
-                if rooms is None or key != now:
+            for p, key, n in zip(*(batch.column(c).to_pylist() for c in ("__part", group, size)), strict=True):
+                if p != part:
+                    rooms, now, part = Rooms(starts.get(p, budgets)), key, p
+                elif key != now:
                     rooms, now = Rooms(budgets), key
                 found.append(rooms.take(n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*batch.schema.names, "shard"])
+            kept = [batch.column(name) for name in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, type=pa.int64())], names=schema.names)
+
+    return placed.repartition("__part").sortWithinPartitions("__part", group, order, "__id").mapInArrow(fill, schema)
+
+
+def _range_rooms(placed: DataFrame, size: str, order: str, budgets: list[int], group: str) -> dict[int, list[int]]:
+    """The rooms with which each range begins that goes on with the group of the range before; a row for each range is looked at."""
+    each = placed.groupBy("__part", group).agg(F.sum(size).alias("sum"), F.min(size).alias("least"))
+    of = each.groupBy("__part").agg(F.min(F.struct(group)).alias("first"), F.max(F.struct(group, "sum", "least")).alias("last"))
+    parts = of.orderBy("__part").collect()
+    starts: dict[int, list[int]] = {}
+    for before, here in zip(parts, parts[1:], strict=False):
+        if before["last"][0] != here["first"][0]:
+            continue
+        goes_on = before["first"][0] == before["last"][0]
+        rooms = list(starts.get(before["__part"], budgets)) if goes_on else list(budgets)
+        total, least = before["last"][1], before["last"][2]
+        for k, room in enumerate(rooms):
+            if total is None or least >= 0 and room < least:
+                continue
+            if least >= 0 and room >= total:
+                rooms[k] -= total
+            else:
+                rows = placed.filter((F.col("__part") == before["__part"]) & F.col(group).eqNullSafe(F.lit(before["last"][0])))
+                rooms = _walked(rows.select(order, "__id", size), size, order, rooms)
+            break
+        starts[here["__part"]] = rooms
+    return starts
+
+
+def _walked(rows: DataFrame, size: str, order: str, rooms: list[int]) -> list[int]:
+    """The rooms that are left after the rows of one range."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Rooms(rooms)
+        for batch in batches:
+            for n in batch.column(size).to_pylist():
+                tree.take(n)
+        left = tree.most[tree.width : tree.width + len(rooms)]
+        yield pa.RecordBatch.from_arrays([pa.array([left], pa.list_(pa.int64()))], names=["left"])
 
-    return items.repartition(group).sortWithinPartitions(group, order).mapInArrow(fill, schema)
+    return list(rows.repartition(1).sortWithinPartitions(order, "__id").mapInArrow(walk, "left array<bigint>").first()[0])
 
 
 def prioritised(rows: DataFrame, laws: DataFrame, *keys: str, current: str = "is_current") -> DataFrame:
