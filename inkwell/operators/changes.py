@@ -211,9 +211,11 @@ def moved(source: DataFrame, target: DataFrame, ids: DataFrame, key: str) -> tup
     columns = shared_columns(source, target)
     copies = source.join(ids.select(key).distinct(), key, "left_semi").select(*columns)
     after = target.unionByName(_like(copies, target))
-    originals = copies.groupBy(key).agg(F.count("*").alias("n_source"))
-    there = after.join(ids.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias("n_target"))
-    report = originals.join(there, key).withColumn("verified", F.col("n_source") == F.col("n_target"))
+    # one pass over keys: what is there afterwards is what was there and the copies
+    sides = [rows.select(key, F.lit(side).alias("__side")) for side, rows in enumerate((source, target, ids))]
+    n = lambda side: F.count_if(F.col("__side") == side)
+    counts = sides[0].unionByName(sides[1]).unionByName(sides[2]).filter(F.col(key).isNotNull()).groupBy(key).agg(n(0).alias("n_source"), (n(0) + n(1)).alias("n_target"), n(2).alias("__listed"))
+    report = counts.filter("__listed > 0 and n_source > 0").drop("__listed").withColumn("verified", F.col("n_source") == F.col("n_target"))
     left = source.join(report.filter("verified").select(key), key, "left_anti")
     return left, after, report
 
