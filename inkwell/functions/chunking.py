@@ -92,7 +92,23 @@ def titled(title: str | Column, text: str | Column, most: int = 1400) -> Column:
 
 def blank_line_paragraphs(text: str | Column, most: int = 4000) -> Column:
     """Greedy over paragraphs between blank lines; whatever gets longer is cut hard and goes on from the cut."""
-    return _hard(_col(text), F.lit(most))
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(state: Column, piece: Column) -> Column:
+        full = (state["open"] != "") & (F.length(state["open"]) + 2 + F.length(piece) > most)
+        whole = F.when(full | (state["open"] == ""), piece).otherwise(F.concat(state["open"], F.lit("\n\n"), piece))
+        done = F.when(full, F.array_append(state["done"], trimmed(state["open"]))).otherwise(state["done"])
+        return F.struct(done.alias("done"), whole.alias("open"))
+
+    def cut(state: Column) -> Column:
+        n = F.greatest(F.floor((F.length(state["open"]) - 1) / most), F.lit(0)).cast("int")
+        slices = F.transform(F.sequence(F.lit(0), n - 1), lambda k: trimmed(F.substring(state["open"], k * most + 1, F.lit(most))))
+        return F.when(n == 0, state).otherwise(F.struct(F.concat(state["done"], slices).alias("done"), F.substring(state["open"], n * most + 1, F.length(state["open"])).alias("open")))
+
+    bound = lambda state, piece: F.element_at(F.transform(F.array(add(state, piece)), cut), 1)
+    chunks = F.aggregate(parts(text, r"\n\s*\n"), empty, bound, lambda s: F.array_append(s["done"], trimmed(s["open"])))
+    return F.filter(chunks, lambda c: c != "")
 
 
 def sliding(text: str | Column, most: int = 4000) -> Column:
@@ -133,11 +149,6 @@ def sliding_chunks(text: str, most: int) -> list[str]:
     return [c for c in [*done, whole[at:].strip()] if c]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _hard(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else hard_chunks(t, m) for t, m in zip(text, most, strict=True)])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _sliding(text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else sliding_chunks(t, m) for t, m in zip(text, most, strict=True)])
