@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,15 +76,19 @@ def embedded(text: Column, call: Callable[[list[str]], Sequence[Sequence[float]]
                     time.sleep(wait * 2**attempt)
         return [None] * len(texts)
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out: list = [None] * len(batch)
-            places = [k for k, t in enumerate(batch) if t is not None and t.strip()]
-            for at in range(0, len(places), at_once):
-                part = places[at : at + at_once]
-                for k, vector in zip(part, asked([batch.iloc[k] for k in part]), strict=True):
-                    out[k] = vector
-            yield pd.Series(out, dtype=object)
+            part: list[tuple[int, str]] = []  # no more texts than a call takes are strings at once
+            for first in range(0, len(batch), at_once):
+                for k, said in enumerate(batch.slice(first, at_once).to_pylist(), first):
+                    if said is not None and said.strip():
+                        part.append((k, said))
+                    if part and (len(part) == at_once or k + 1 == len(batch)):
+                        for (place, _), vector in zip(part, asked([t for _, t in part]), strict=True):
+                            out[place] = vector
+                        part = []
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return embed(text if most is None else F.substring(text, 1, most))
