@@ -74,8 +74,14 @@ class Index:
     def merged(self, path: str) -> Index:
         """A new index of what is alive here, as one segment, made from the postings alone."""
         other = Index.created(self.spark, path, self.parts, self.span)
-        alive = self._alive(self._postings().select("segment", "block", "term", F.explode("ids").alias("at")))
-        found = alive.groupBy("term", "block").agg(F.sort_array(F.collect_set("at")).alias("ids"))
+        rows = self._postings().select("segment", "block", "term", "ids")
+        if not self._segments().filter("n_dead > 0").isEmpty():
+            # lists stay whole: what is dead of a segment's block is a bit for each offset
+            rows = rows.join(self._dead_bits(), ["segment", "block"], "left")
+            bit = lambda at: F.getbit(F.get("dead", F.shiftright(at, 6)), at.bitwiseAND(F.lit(63)))
+            rows = rows.withColumn("ids", F.when(F.col("dead").isNull(), F.col("ids")).otherwise(F.filter("ids", lambda at: bit(at) == 0))).filter(F.size("ids") > 0)
+        # at most `span` offsets of each segment in a group
+        found = rows.groupBy("term", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
         other._write(found, 1)
         other._listed(1, self.spark.createDataFrame([], "id bigint"), False)
         return other
@@ -175,13 +181,26 @@ class Index:
             met = F.array_intersect(met, F.col(f"l{k}"))
         return both.select("segment", "block", F.explode(met).alias("at"))
 
+    def _replaced(self) -> DataFrame:
+        """__id, __last: the last segment that replaces a document."""
+        dead = self.spark.read.schema(_DEAD).parquet(f"{self.path}/dead").join(F.broadcast(self._segments().select("segment")), "segment", "left_semi")
+        return dead.groupBy(F.col("id").alias("__id")).agg(F.max("segment").alias("__last"))
+
+    def _dead_bits(self) -> DataFrame:
+        """segment, block, dead: a bit for each offset, 64 in a number, set where a later segment replaces the document."""
+        block = F.floor(F.col("__id") / self.span).cast("bigint")
+        ids = self._replaced().select(block.alias("block"), (F.col("__id") - block * self.span).cast("int").alias("at"), "__last")
+        words = ids.groupBy("block", "__last", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
+        each = words.join(F.broadcast(self._segments().select("segment")), F.col("segment") < F.col("__last")).groupBy("segment", "block", "word").agg(F.bit_or("bits").alias("bits"))
+        none = each.select("segment", "block").distinct().select("segment", "block", F.explode(F.sequence(F.lit(0), F.lit((self.span - 1) // 64))).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+        whole = each.unionByName(none).groupBy("segment", "block", "word").agg(F.bit_or("bits").alias("bits"))
+        return whole.groupBy("segment", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("dead"))
+
     def _alive(self, rows: DataFrame) -> DataFrame:
         """Rows (segment, block, at, ...) but for documents that a later segment replaces."""
         if not self._segments().filter("n_dead > 0").isEmpty():
-            dead = self.spark.read.schema(_DEAD).parquet(f"{self.path}/dead").join(F.broadcast(self._segments().select("segment")), "segment", "left_semi")
-            last = dead.groupBy(F.col("id").alias("__id")).agg(F.max("segment").alias("__last"))
             here = F.col("block") * self.span + F.col("at")
-            rows = rows.join(last, (here == F.col("__id")) & (F.col("segment") < F.col("__last")), "left_anti")
+            rows = rows.join(self._replaced(), (here == F.col("__id")) & (F.col("segment") < F.col("__last")), "left_anti")
         return rows
 
     def _ids(self, rows: DataFrame) -> DataFrame:
