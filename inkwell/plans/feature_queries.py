@@ -104,10 +104,10 @@ def streamed_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, rows: DataFrame, folder: str, parts: int) -> DataFrame:
-    """rows as files that arrive one after another, dealt by a hash; a stream of them, a file each micro-batch."""
-    for n in range(parts):
-        rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """rows as files, dealt by a hash in one pass; a stream of them in `parts` micro-batches, each of a file for every core."""
+    wide = spark.sparkContext.defaultParallelism
+    rows.repartition(parts * wide, "event_id").write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", wide).parquet(folder)
 
 
 _OP = "case when event_type = 'error' then 'delete' when event_type = 'purchase' then 'update' else 'insert' end"
@@ -138,9 +138,8 @@ def stream_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_folder(spark)
     rows = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "cast(ts as timestamp) as at")
     last = rows.agg(F.max("at")).selectExpr("cast(-1 as bigint) as event_id", "cast(-1 as bigint) as user_id", "`max(at)` + interval 1000 days as at")
-    _landed(spark, rows, f"{work}/in", 4)
+    stream = _landed(spark, rows, f"{work}/in", 4)
     last.coalesce(1).write.mode("append").parquet(f"{work}/in")  # a heartbeat: it lets the last events out
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
     before = stateful.use_rocksdb(spark)
     usage.worked_off(stateful.decided(stream, 10, late="60 days"), lambda df, n: df.write.mode("append").parquet(f"{work}/out"), f"{work}/check")
     stateful.set_back(spark, before)
