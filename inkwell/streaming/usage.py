@@ -33,6 +33,21 @@ def rolling_counts(events: DataFrame, window: str = "24 hours", step: str = "1 h
     return events.withWatermark("at", late).groupBy(F.window("at", window, step).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.end").alias("until"), "user_id", "n")
 
 
+def step_counts(events: DataFrame, step: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Events of each user by step, `until` its end: one state for an event, where rolling_counts has one for each window it is in."""
+    return events.withWatermark("at", late).groupBy(F.window("at", step).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.end").alias("until"), "user_id", "n")
+
+
+def rolled(counts: DataFrame, steps: int, step: str = "1 hour") -> DataFrame:
+    """The rows of rolling_counts, with windows of so many steps, from stored step_counts; a row for each step and user.
+
+    Where counts are dealt by user, windows are made and summed where they lie.
+    """
+    until = F.col("until") + F.expr(f"interval {step}") * F.col("__later")
+    each = counts.withColumn("__later", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).select(until.alias("until"), "user_id", "n")
+    return each.groupBy("until", "user_id").agg(F.sum("n").alias("n"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     return events.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("begun"), F.col("w.end").alias("ended"), "user_id", "n")
 
