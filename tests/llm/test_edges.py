@@ -142,6 +142,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert collected(neardup.near_duplicates(docs, width=4), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("waiting", [1 << 24, 0])
+def test_leaves_of_all_levels_are_compared_at_once(spark, monkeypatch, waiting):
+    shared = " ".join(f"p{k}" for k in range(30))
+    rows = list(enumerate([shared + " " + " ".join(f"q{seed}x{k}" for k in range(60)) for seed in range(60)] + _family(30), 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name, *more, **named: (names.append(name), write(df, name, *more, **named))[1])
+    monkeypatch.setattr(neardup, "LEAF_PAIRS", 30)
+    monkeypatch.setattr(neardup, "WAITING_ROWS", waiting)
+    got = collected(neardup.near_duplicates(docs, width=4), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near_duplicates(rows), key=repr)
+    assert "path-live3" in names and (names.count("path-leaves") == 1) == (waiting > 0)
+    # a pair's marks are a byte for each token
+    assert {len(r[0]) for r in neardup.sketches(docs, 4).select("marks").collect()} == {neardup.TOKENS}
+
+
 @pytest.mark.parametrize("one_task", [1000, 0])
 def test_components(spark, monkeypatch, one_task):
     monkeypatch.setattr(components, "ONE_TASK", one_task)
