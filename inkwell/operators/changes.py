@@ -7,14 +7,18 @@ collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import mappings
 from inkwell.operators import versions
 
+#: Pages of a file of append_pages().
+PAGES = 2000
+
 
 def _hit(rows: DataFrame, ids: DataFrame, key: str, other: str | None = None) -> DataFrame:
     """rows with __hit: whether their key is among the ids."""
@@ -28,8 +32,12 @@ def _like(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def append_pages(rows: DataFrame, path: str, per_page: int = 500) -> None:
-    """Append rows to a Parquet table in files of at most per_page rows; a task's files count only if all of it is done."""
-    rows.write.mode("append").option("maxRecordsPerFile", per_page).parquet(path)
+    """Append rows to a Parquet table in pages of at most per_page rows; a task's pages count only if all of it is done.
+
+    A page is a row group: held, written and found by itself, but not a file of its own, as files are listed and committed one
+    by one. A file has at most PAGES of them, which keeps its footer small.
+    """
+    rows.write.mode("append").option("parquet.block.row.count.limit", per_page).option("maxRecordsPerFile", per_page * PAGES).parquet(path)
 
 
 def append_log(entries: DataFrame, path: str, asked: str = "query", preview: int = 200) -> None:
@@ -266,5 +274,18 @@ def embed_today(queue: DataFrame, log: DataFrame, day: str, budget: int, page: i
 
 
 def pages_written(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n) of each page of append_pages()."""
-    return spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    """(file, page, n) of each page of append_pages(), from the files' footers; paths that pyarrow's file systems reach."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                files, name = fs.FileSystem.from_uri(file)
+                footer = pq.read_metadata(name, filesystem=files)
+                n = [footer.row_group(k).num_rows for k in range(footer.num_row_groups)]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(n), pa.string()), pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["file", "page", "n"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return found.mapInArrow(footers, "file string, page int, n bigint")
