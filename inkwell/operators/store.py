@@ -11,6 +11,7 @@ One writer at a time: two that publish the same version are found out when it is
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -27,6 +28,10 @@ BUCKET, COMMIT = "__bucket", "__commit"
 _MANIFEST = f"{BUCKET} int, {COMMIT} string, n bigint, one {digests.WIDE}, two {digests.WIDE}, version int"
 #: The manifest's row for the version itself: its own commit, and rows in all.
 HEAD = -1
+#: So many listed keys at most are sent to all tasks, which then tell the rows that stay from those that a change is given.
+LISTED = 500_000
+#: Rows that stay are copied where they are read, into files of their own, if buckets have so many rows, and no more files than that.
+COPIED_ROWS, COPIED_FILES = 1000, 8
 
 
 @dataclass(frozen=True)
@@ -115,9 +120,11 @@ class Store:
     def changed(self, change: Callable[[DataFrame], DataFrame], keys: DataFrame, name: str | None = None) -> int:
         """Publish what `change` makes of the rows of the buckets that the listed keys are in; the number of the version then.
 
-        change gets the present rows of these buckets and returns what stands in their place; the functions of `versions` and
-        `changes` fit, as they act key by key. It may add, change and drop rows with listed keys; a row that would belong to
-        another bucket is an error. Buckets whose rows stay the same keep their files; if all do, no version is published.
+        change gets present rows of these buckets, those with listed keys at least, and returns what stands in their place; the
+        functions of `versions` and `changes` fit, as they act key by key. It may add, change and drop rows with listed keys; a
+        row that would belong to another bucket is an error. Buckets whose rows stay the same keep their files; if all do, no
+        version is published. Up to LISTED keys, rows that aren't listed go past the change, and those of large buckets are
+        copied without a shuffle, until these have COPIED_FILES files each.
 
         name: of the commit, new each time unless given. A name that a version bears is not done again, so a batch that is
         repeated after a failure, under its own name, counts once.
@@ -126,8 +133,15 @@ class Store:
         if name is not None and self._published(_safe(name)):
             return versions[-1]
         before = self.entries(versions[-1])
-        met = self._met(keys)
-        after = self._written(change(self._at(before, met)), name or uuid.uuid4().hex, repeated=name is not None)
+        listed = {r["b"]: r["n"] for r in keys.groupBy(self._bucket().alias("b")).agg(F.count("*").alias("n")).collect()}
+        met = set(listed)
+        old, kept_rows, apart = self._at(before, met), None, False
+        if 0 < sum(listed.values()) <= LISTED:
+            named = F.broadcast(keys.select(*[c.alias(f"__key{k}") for k, c in enumerate(self._typed())]).distinct())
+            same = functools.reduce(Column.__and__, [F.col(f"`{x}`").eqNullSafe(F.col(f"__key{k}")) for k, x in enumerate(self.key)])
+            apart = sum(e.n for b, e in before.items() if b in met) >= COPIED_ROWS * len(met) and len(old.inputFiles()) <= COPIED_FILES * len(met)
+            old, kept_rows = old.join(named, same, "left_semi"), old.join(named, same, "left_anti")
+        after = self._written(change(old), name or uuid.uuid4().hex, repeated=name is not None, kept=kept_rows, apart=apart)
         if strange := set(after) - met - {HEAD}:
             raise ValueError(f"rows with keys that weren't listed, in buckets {sorted(strange)[:5]}")
         kept = {b: e for b, e in before.items() if b not in met and b != HEAD}
@@ -200,14 +214,22 @@ class Store:
         typed = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields])
         return typed.withColumn(BUCKET, self._bucket())
 
-    def _written(self, rows: DataFrame, commit: str, only: list[int] | None = None, repeated: bool = False) -> dict[int, Entry]:
-        """Write rows as a commit (of some buckets, if given); its buckets' entries, and HEAD with the number of rows."""
+    def _written(self, rows: DataFrame, commit: str, only: list[int] | None = None, repeated: bool = False, kept: DataFrame | None = None, apart: bool = False) -> dict[int, Entry]:
+        """Write rows as a commit (of some buckets, if given); its buckets' entries, and HEAD with the number of rows.
+
+        kept: more rows, from this table's files. apart: these stay in the tasks that read them.
+        """
         folder = f"{self.path}/data/{COMMIT}={commit}"
         placed = self._placed(rows)
         if only is not None:
             placed = placed.filter(F.col(BUCKET).isin(only))
+        if kept is not None and not apart:
+            placed = placed.unionByName(self._placed(kept))
         # dealt by bucket; AQE cuts large buckets and joins small ones
-        dealt = placed.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in self.key])
+        dealt = placed.hint("rebalance", BUCKET)
+        if kept is not None and apart:
+            dealt = dealt.unionByName(self._placed(kept))
+        dealt = dealt.sortWithinPartitions(BUCKET, *[f"`{k}`" for k in self.key])
         dealt.write.mode("overwrite" if repeated else "errorifexists").partitionBy(BUCKET).parquet(folder)
         laid = StructType([*self.schema.fields, StructField(BUCKET, IntegerType())])
         found = digests.digests(self.spark.read.schema(laid).parquet(folder), BUCKET, columns=self.schema.names).collect()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import digests, versions
+from inkwell.operators import store as store_module
 from inkwell.operators.store import HEAD, Store
 
 
@@ -45,6 +46,31 @@ def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
     assert read == {str(b) for b in met}
 
 
+@pytest.mark.parametrize("copied, listed", [(1, 1000), (10**9, 1000), (1, 0)])
+def test_rows_that_stay_go_past_a_change(spark, tmp_path, monkeypatch, copied, listed):
+    monkeypatch.setattr(store_module, "COPIED_ROWS", copied)
+    monkeypatch.setattr(store_module, "COPIED_FILES", 2)
+    monkeypatch.setattr(store_module, "LISTED", listed)
+    none = spark.createDataFrame([(None, "none", 0.0)], "k bigint, a string, b double")
+    store = Store.created(orders(spark, 1000).unionByName(none), str(tmp_path / "t"), "k", 4)
+    given = []
+    for at in range(4):
+        new = orders(spark, 1000).filter(f"k % 100 = {at}").withColumn("a", F.lit("new"))
+        new = new.unionByName(new.limit(1).withColumn("k", F.lit(-1 - at).cast("bigint")))
+        store.changed(lambda old, new=new: (given.append(old.count()), versions.upserted(old, new, "k"))[1], new)
+        # large buckets' rows aren't dealt anew, until these have too many files
+        held = store.rows().groupBy(F.input_file_name()).agg(F.count_if(F.col("a") == "new").alias("new"), F.count("*").alias("n")).collect()
+        if at == 0:
+            assert all(r.new in (0, r.n) for r in held) == (copied == 1 and listed > 0)
+        assert len(held) <= 12
+    assert (max(given) <= 11) == (listed > 0)
+    want = [(k, "new" if k % 100 < 4 else a, b) for k, a, b in rows(orders(spark, 1000))]
+    got = rows(store.rows())
+    assert [r for r in got if r[0] is None] == rows(none) and [r for r in got if r[0] is not None and r[0] >= 0] == sorted(want, key=repr)
+    assert sorted(r[0] for r in got if r[0] is not None and r[0] < 0) == [-4, -3, -2, -1]
+    assert store.digest() == tuple(int(x) for x in digests.digests(store.rows()).first())
+
+
 def test_what_changes_nothing_publishes_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     store = Store.created(orders(spark, 300), path, "k", 8)
