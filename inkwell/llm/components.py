@@ -24,24 +24,24 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while (over := up.get(top, top)) != top:
-            top = over
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
-
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = find(x), find(y)
-            up[max(x, y)] = up[min(x, y)] = min(x, y)
-    rows = np.array([(x, find(x)) for x in list(up)], dtype=np.int64).reshape(-1, 2)
-    rows = rows[rows[:, 0] != rows[:, 1]]
-    for at in range(0, len(rows), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 100_000, k]) for k in (0, 1)], names=["hi", "lo"])
+    """Numbers in arrays, no Python object for a link: the larger of two joined sets goes to the smaller, all at once."""
+    held = [(np.array(batch.column(0), dtype=np.int64), np.array(batch.column(1), dtype=np.int64)) for batch in batches]
+    x, y = (np.concatenate([both[k] for both in held] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
+    held.clear()
+    names = np.unique(np.concatenate([x, y]))
+    x, y = np.searchsorted(names, x).astype(np.int32), np.searchsorted(names, y).astype(np.int32)
+    up = np.arange(len(names), dtype=np.int32)
+    while len(x):
+        x, y = up[x], up[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(over := up[up], up):
+            up = over
+    moved = np.flatnonzero(up != np.arange(len(up)))
+    for at in range(0, len(moved), 100_000):
+        part = moved[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(names[up[part]])], names=["hi", "lo"])
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -46,10 +46,12 @@ WAITING_ROWS = 1 << 24
 #: Tokens of K whose marks (a byte of each) agree at least in a loose match; at similarity 0.8, five standard deviations below the
 #: mean. Equal tokens have equal marks, so a byte in place of four loses no match; other tokens' marks agree once in 256.
 LOOSE = 36
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 GROUP_ROWS = 1000
 GROUP_BYTES = 32 << 20
 GROUP_PAIRS = 1 << 25
+#: Places in the lists of holders that are counted at once.
+COUNTED = 1 << 18
 PIVOTS = 8
 BLOCK = 500
 BROADCAST_IDS = 500_000
@@ -187,12 +189,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             key = tuple(values[:, a])
             if held and key != last:
-                yield common.joined(held)
-                held = []
+                whole, held = common.joined(held), []  # the parts go before the run is worked on
+                yield whole
+                del whole
             held.append(batch.slice(a, b - a))
             last = key
     if held:
-        yield common.joined(held)
+        whole, held = common.joined(held), []
+        yield whole
 
 
 def _agreeing(tokens: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -342,31 +346,36 @@ def _sets(blobs: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return sets, n, minwise(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), np.concatenate([[0], np.cumsum(n)]))
 
 
-def exact_links(sets: list[np.ndarray], comps: np.ndarray, asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (places of sets) of the asked ones to any that join components, by exact intersections.
+def _views(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All members of all sets, in the array's own memory, and the sizes of the sets."""
+    blobs = blobs.cast(pa.large_binary())
+    ends = np.frombuffer(blobs.buffers()[1], dtype=np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = blobs.buffers()[2]
+    return np.frombuffer(data[ends[0] : ends[-1]] if data is not None else b"", dtype=np.uint64), np.diff(ends) // 8
+
+
+def exact_links(members: np.ndarray, n: np.ndarray, comps: np.ndarray, asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places of sets) of the asked ones to any that join components, by exact intersections; members: of sets of sizes n.
 
     The sizes of a set's intersections with all others are counted from lists of the sets that hold each of its shingles.
+    Beside the members it takes some 3 times their bytes while it sorts them, and once them after that.
     """
-    m, n = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
-    joined = np.concatenate(sets)
-    order = np.argsort(joined, kind="stable")
-    new = textkit.heads(joined[order])
-    number = np.empty(len(joined), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    holders = np.repeat(np.arange(m), n)[order]
-    starts = np.append(np.flatnonzero(new), len(joined))
-    del joined, order, new
-    ends = np.cumsum(n)
+    m, ends = len(n), np.cumsum(n)
+    order = np.argsort(members, kind="stable")
+    new = textkit.heads(members[order])
+    number = np.empty(len(members), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    holders = np.repeat(np.arange(m, dtype=np.int32), n)[order]
+    del order
+    starts = np.append(np.flatnonzero(new), len(members))
+    del new
     _, label = np.unique(comps, return_inverse=True)
     left = len(np.unique(label))
     out = []
     for x in asked.tolist():
         if left == 1:
             break
-        own = number[ends[x] - n[x] : ends[x]]
-        held = starts[own + 1] - starts[own]
-        at = np.repeat(starts[own] - np.cumsum(held) + held, held) + np.arange(held.sum())
-        both = np.bincount(holders[at], minlength=m)
+        both = _shared(number[ends[x] - n[x] : ends[x]], starts, holders, m)
         near = np.flatnonzero((100 * both >= percent * (n[x] + n - both)) & (label != label[x]))
         if len(near):
             others, first = np.unique(label[near], return_index=True)
@@ -376,6 +385,20 @@ def exact_links(sets: list[np.ndarray], comps: np.ndarray, asked: np.ndarray, pe
     return out
 
 
+def _shared(own: np.ndarray, starts: np.ndarray, holders: np.ndarray, m: int) -> np.ndarray:
+    """How many of the shingles `own` each of m sets holds; about COUNTED places in the lists of holders at a time."""
+    both = np.zeros(m, dtype=np.int64)
+    held = starts[own + 1] - starts[own]
+    ends, k = np.cumsum(held), 0
+    while k < len(own):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + COUNTED, side="right")))
+        part = held[k:stop]
+        at = np.repeat(starts[own[k:stop]] - np.cumsum(part) + part, part) + np.arange(part.sum())
+        both += np.bincount(holders[at], minlength=m)
+        k = stop
+    return both
+
+
 def _pairs(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -386,8 +409,7 @@ def _group_links(members: DataFrame, percent: int) -> DataFrame:
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["grp"]):
             ids = np.asarray(group.column("rid"))
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
-            if out := exact_links(sets, ids, np.arange(len(ids)), percent):
+            if out := exact_links(*_views(group.column("set")), ids, np.arange(len(ids)), percent):
                 yield _pairs([ids[x] for x, _ in out], [ids[y] for _, y in out])
 
     return members.select("grp", "rid", "set").repartition("grp").sortWithinPartitions("grp").mapInArrow(resolve, "a bigint, b bigint")
@@ -428,10 +450,9 @@ def _leaf_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["node"]):
             ids, comps = np.asarray(group.column("rid")), np.asarray(group.column("comp"))
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
             labels, sizes = np.unique(comps, return_counts=True)
             asked = np.flatnonzero(comps != labels[sizes.argmax()])
-            if out := exact_links(sets, comps, asked, percent):
+            if out := exact_links(*_views(group.column("set")), comps, asked, percent):
                 yield _pairs([ids[x] for x, _ in out], [ids[y] for _, y in out])
 
     return full.mapInArrow(compare, "a bigint, b bigint")

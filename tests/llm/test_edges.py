@@ -1,8 +1,11 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing extra columns: each operator's defined results."""
 
 import math
+import tracemalloc
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +170,54 @@ def test_components(spark, monkeypatch, one_task):
     assert components.components(chain.limit(0)).count() == 0
 
 
+def taken(f):
+    """Bytes that f takes at most, and what it returns."""
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_components_of_one_task_take_a_hundred_bytes_a_link():
+    n, rows = 30_000, np.random.default_rng(1).permutation(60_000)
+    links = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + 500]), pa.array(rows[n + k : n + k + 500])], names=["hi", "lo"]) for k in range(0, n, 500)]
+    most, out = taken(lambda: list(components._joined(iter(links))))
+    got = {x: y for b in out for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert got == {max(x, y): min(x, y) for x, y in zip(rows[:n].tolist(), rows[n:].tolist(), strict=True)}
+    assert most <= 100 * n
+    chain = pa.RecordBatch.from_arrays([pa.array(rows[1:]), pa.array(rows[:-1])], names=["hi", "lo"])
+    assert sum(b.num_rows for b in components._joined(iter([chain]))) == 59_999 and {y for b in components._joined(iter([chain])) for y in b.column(1).to_pylist()} == {0}
+    assert list(components._joined(iter([]))) == []
+
+
+def test_a_group_of_full_sets_takes_few_times_its_bytes(monkeypatch):
+    draw, m, k = np.random.default_rng(2), 400, 500
+    sets = np.tile(draw.integers(0, 1 << 63, k, dtype=np.uint64), (m, 1))
+    for row in sets:
+        row[draw.integers(0, k, 80)] = draw.integers(0, 1 << 63, 80, dtype=np.uint64)
+    sets[m // 2 :] ^= np.uint64(1)
+    sets.sort(axis=1)
+    blobs = [x.tobytes() for x in sets]
+    ids = np.arange(m)
+    parts = (pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), dtype=np.int64)), pa.array(x), pa.array([blobs[i] for i in x], pa.binary())], names=["grp", "rid", "set"]) for x in np.split(ids, 8))
+    before = pa.total_allocated_bytes()
+    for group in neardup.grouped(parts, ["grp"]):
+        # the last part, in its own memory, may stay; the others are gone
+        assert pa.total_allocated_bytes() - before <= 1.3 * sets.nbytes
+        members, n = neardup._views(group.column("set").slice(1))
+        assert (n == k).all() and (members.reshape(-1, k) == sets[1:]).all()
+        members, n = neardup._views(group.column("set"))
+        results = []
+        for counted in (1 << 12, 1 << 30):
+            monkeypatch.setattr(neardup, "COUNTED", counted)
+            most, out = taken(lambda: neardup.exact_links(members, n, ids, ids, 50))
+            results.append(out)
+            assert most <= 4.2 * sets.nbytes or counted > 1 << 12
+        assert results[0] == results[1] and len(results[0]) == m - 2 and {(x < m // 2) == (y < m // 2) for x, y in results[0]} == {True}
+
+
 def test_decontamination(spark, odd, none):
     bench = spark.createDataFrame([(1, "Slovo slovo"), (2, None), (3, ""), (None, "konec"), (10, "slovo slovo")], "item_id bigint, text string")
     items = [("1", "Slovo slovo"), ("", "konec"), ("10", "slovo slovo")]
